@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketeer.llm import packing
+from docketeer.llm import language, packing
 from docketeer.llm.common import crc, table
 
 
@@ -17,13 +17,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the folds that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc(F.col("doc_id")) % 5 == 0).alias("held_out"))
+    model = language.learn(docs.where(~F.col("held_out")))
+    return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op10_best_fit_packing]
+    found = [op5_cross_parsing_language, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
