@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketeer.llm import language, packing, simhash
+from docketeer.llm import language, packing, simhash, tokencount
 from docketeer.llm.common import crc, table
 
 
@@ -17,6 +17,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_longest_match_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, tokenizer_path("byte_bpe_50k.tiktoken")).drop("text")
+
+
 def op5_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the folds that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc(F.col("doc_id")) % 5 == 0).alias("held_out"))
@@ -35,7 +41,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_cross_parsing_language, op7_simhash_bk_trees, op10_best_fit_packing]
+    found = [op3_longest_match_tokens, op5_cross_parsing_language, op7_simhash_bk_trees, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
