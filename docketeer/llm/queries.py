@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketeer.llm import language, packing, simhash, tokencount
+from docketeer.llm import language, packing, secrets, simhash, tokencount
 from docketeer.llm.common import crc, table
 
 
@@ -35,13 +35,18 @@ def op7_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, and weak parts that complete one another."""
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_longest_match_tokens, op5_cross_parsing_language, op7_simhash_bk_trees, op10_best_fit_packing]
+    found = [op3_longest_match_tokens, op5_cross_parsing_language, op7_simhash_bk_trees, op9_linked_secrets, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
