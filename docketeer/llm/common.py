@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +54,8 @@ def slices(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int
 def crc(column: Column) -> Column:
     """CRC-32 of an id written as text."""
     return F.crc32(column.cast("string").cast("binary"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it stands there."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)

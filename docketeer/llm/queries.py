@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketeer.llm import language, packing, secrets, simhash, tokencount
+from docketeer.llm import language, linededup, packing, secrets, simhash, tokencount
 from docketeer.llm.common import crc, table
 
 
@@ -17,6 +17,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the lines whose template an earlier document has."""
+    return linededup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_longest_match_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy word pieces of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,10 +50,39 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+OP2 = r"""
+WITH raw_lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents
+), lines AS (
+  SELECT doc_id, line_no, CASE WHEN regexp_matches(raw, '[0-9]') THEN regexp_replace(trim(regexp_replace(raw, '\s+', ' ', 'g')), '\S*[0-9]\S*', '<*>', 'g')
+    ELSE trim(regexp_replace(raw, '\s+', ' ', 'g')) END AS line FROM raw_lines WHERE raw <> ''
+), kept AS (
+  SELECT *, string_split(line, ' ') AS tokens, len(string_split(line, ' ')) AS n, array_to_string(string_split(line, ' ')[1:5], ' ') AS lead FROM lines WHERE len(string_split(line, ' ')) >= 3
+), forms AS (
+  SELECT DISTINCT line, tokens, n, lead FROM kept
+), fields AS (
+  SELECT line, n, lead, unnest(tokens) AS token, unnest(range(n)) AS pos FROM forms
+), fixed AS (
+  SELECT line, n, lead, token, pos, count(*) OVER (PARTITION BY n, lead, pos, token) > 1 AS is_fixed FROM fields
+), shapes AS (
+  SELECT line, n, lead, list(CASE WHEN is_fixed THEN token END ORDER BY pos) AS shape, count_if(is_fixed) AS n_fixed FROM fixed GROUP BY ALL
+), named AS (
+  SELECT f.line, CASE WHEN s.line IS NULL THEN f.line ELSE concat('t', s.n, ' ', s.shape::VARCHAR) END AS form, s.line IS NOT NULL AS general
+  FROM forms f LEFT JOIN shapes s ON f.line = s.line AND s.n_fixed >= s.n * 0.8 AND s.n_fixed < s.n
+), owners AS (
+  SELECT form, general, min(doc_id) AS owner FROM kept JOIN named USING (line) GROUP BY ALL
+), dropped AS (
+  SELECT k.doc_id, k.line_no FROM kept k JOIN named USING (line) JOIN owners o USING (form, general) WHERE k.doc_id <> o.owner
+)
+SELECT a.doc_id, coalesce(string_agg(a.raw, chr(10) ORDER BY a.line_no) FILTER (d.line_no IS NULL), '') AS text, count(*)::INT AS n_lines, count(d.line_no)::INT AS n_dropped
+FROM raw_lines a LEFT JOIN dropped d ON a.doc_id = d.doc_id AND a.line_no = d.line_no GROUP BY a.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_longest_match_tokens, op5_cross_parsing_language, op7_simhash_bk_trees, op9_linked_secrets, op10_best_fit_packing]
+    found = [op2_line_templates, op3_longest_match_tokens, op5_cross_parsing_language, op7_simhash_bk_trees, op9_linked_secrets, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_templates": OP2}

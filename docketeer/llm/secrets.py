@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketeer.llm.common import save
+from docketeer.llm.common import let, save
 
 #: Base kinds in the order of the contract: name, pattern, group whose length counts, least length.
 BASE = (
@@ -28,11 +26,6 @@ ROLES = {"assign": "secret", "hex": "secret", "pass": "secret", "access": "id",
 SPAN = "array<struct<start:long,kind_no:int,kind:string,end:long>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often it stands there."""
-    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
-
-
 def running(lengths: Column, width: int = 64) -> Column:
     """Sums of what precedes each element, in blocks, so that a text with very many matches doesn't cost their square."""
     total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
