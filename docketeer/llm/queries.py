@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketeer.llm import language, linededup, packing, secrets, simhash, tokencount
+from docketeer.llm import imatch, language, linededup, packing, secrets, simhash, tokencount
 from docketeer.llm.common import crc, table
 
 
@@ -35,6 +35,11 @@ def op5_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -80,7 +85,7 @@ FROM raw_lines a LEFT JOIN dropped d ON a.doc_id = d.doc_id AND a.line_no = d.li
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_line_templates, op3_longest_match_tokens, op5_cross_parsing_language, op7_simhash_bk_trees, op9_linked_secrets, op10_best_fit_packing]
+    found = [op2_line_templates, op3_longest_match_tokens, op5_cross_parsing_language, op6_imatch_fingerprints, op7_simhash_bk_trees, op9_linked_secrets, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
