@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketeer.llm import imatch, language, linededup, packing, secrets, simhash, tokencount
+from docketeer.llm import decontam, imatch, language, linededup, packing, secrets, simhash, tokencount, urlfilter
 from docketeer.llm.common import crc, table
 
 
@@ -17,6 +17,62 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries for the hosts, parent domains and locations of the pages, derived from their MD5.
+
+    The pages have no lists beside them; these give every host a history of additions and removals in 2024.
+    """
+    name = urlfilter.host(F.col("url"))
+    digit = lambda i: (F.instr(F.lit("0123456789abcdef"), F.substring("md5", i, 1)) - 1)
+    hosts = pages.select(F.lit("domain").alias("kind"), F.explode(urlfilter.domains(name)).alias("key")).where("instr(key, '.') > 0").distinct()
+    urls = pages.select(F.lit("url").alias("kind"), urlfilter.location(F.col("url")).alias("key")).distinct()
+    known = hosts.union(urls).withColumn("md5", F.md5("key"))
+    known = known.where((digit(1) < 4) | F.col("key").like("example.%")).withColumn("list", F.when(digit(2) < 8, "ads").otherwise("malware"))
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    steps = F.array(
+        F.struct(F.lit("add").alias("action"), day(digit(3) * 12).alias("at")),
+        F.struct(F.when(digit(5) < 12, "remove").alias("action"), day(digit(3) * 12 + 30 + digit(4) * 4).alias("at")),
+        F.struct(F.when(digit(6) < 6, "add").alias("action"), day(digit(3) * 12 + 120 + digit(4) * 4).alias("at")),
+    )
+    return known.select("list", "kind", "key", F.explode(steps).alias("s")).select("list", "kind", "key", "s.action", "s.at")
+
+
+def op1_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with the lists that named its URL or a domain of it on its (derived) day of fetching."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int"))
+    captures = pages.select(F.col("page_id").alias("capture"), "url", fetched.alias("at"))
+    return urlfilter.judge(captures, dated_entries(pages)).withColumnsRenamed({"capture": "page_id", "at": "fetched_on"})
+
+
+OP1 = r"""
+WITH captures AS (
+  SELECT page_id, url, DATE '2024-01-01' + (page_id * 37 % 366)::INT AS fetched_on,
+    rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
+    regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '#.*$', '') AS rest FROM pages
+), asked AS (
+  SELECT page_id, fetched_on, 'domain' AS kind, array_to_string(string_split(host, '.')[unnest(range(1, len(string_split(host, '.')) + 1)):], '.') AS key FROM captures
+  UNION ALL SELECT page_id, fetched_on, 'url', host || rest FROM captures
+), known AS (
+  SELECT DISTINCT kind, key, md5(key) AS md5 FROM asked WHERE kind = 'url' OR contains(key, '.')
+), digits AS (
+  SELECT kind, key, [strpos('0123456789abcdef', md5[i]) - 1 FOR i IN range(1, 7)] AS d FROM known
+), listed AS (
+  SELECT *, CASE WHEN d[2] < 8 THEN 'ads' ELSE 'malware' END AS list FROM digits WHERE d[1] < 4 OR key LIKE 'example.%'
+), entries AS (
+  SELECT list, kind, key, 'add' AS action, DATE '2024-01-01' + (d[3] * 12)::INT AS day FROM listed
+  UNION ALL SELECT list, kind, key, 'remove', DATE '2024-01-01' + (d[3] * 12 + 30 + d[4] * 4)::INT FROM listed WHERE d[5] < 12
+  UNION ALL SELECT list, kind, key, 'add', DATE '2024-01-01' + (d[3] * 12 + 120 + d[4] * 4)::INT FROM listed WHERE d[6] < 6
+), latest AS (
+  SELECT a.page_id, e.list, e.kind, e.key, arg_max(e.action, e.day) AS action FROM asked a JOIN entries e ON a.kind = e.kind AND a.key = e.key AND e.day <= a.fetched_on GROUP BY ALL
+), found AS (
+  SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, count(*) AS n FROM latest WHERE action = 'add' GROUP BY page_id
+)
+SELECT c.page_id, c.url, c.fetched_on, f.page_id IS NOT NULL AS blocked, coalesce(f.lists, '') AS lists, coalesce(f.n, 0)::BIGINT AS n_entries
+FROM captures c LEFT JOIN found f ON c.page_id = f.page_id
+"""
+
+
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without the lines whose template an earlier document has."""
     return linededup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -28,6 +84,11 @@ def op3_longest_match_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(docs, tokenizer_path("byte_bpe_50k.tiktoken")).drop("text")
 
 
+def op4_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold, with at most eight edits in a hundred characters."""
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the folds that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc(F.col("doc_id")) % 5 == 0).alias("held_out"))
@@ -85,9 +146,9 @@ FROM raw_lines a LEFT JOIN dropped d ON a.doc_id = d.doc_id AND a.line_no = d.li
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_line_templates, op3_longest_match_tokens, op5_cross_parsing_language, op6_imatch_fingerprints, op7_simhash_bk_trees, op9_linked_secrets, op10_best_fit_packing]
+    found = [op1_temporal_url_lists, op2_line_templates, op3_longest_match_tokens, op4_pigeonhole_decontamination, op5_cross_parsing_language, op6_imatch_fingerprints, op7_simhash_bk_trees, op9_linked_secrets, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_templates": OP2}
+    return {"op1_temporal_url_lists": OP1, "op2_line_templates": OP2}
