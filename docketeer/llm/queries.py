@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketeer.llm import decontam, imatch, language, linededup, packing, secrets, simhash, tokencount, urlfilter
+from docketeer.llm import decontam, imatch, language, linededup, packing, quality, secrets, simhash, tokencount, urlfilter
 from docketeer.llm.common import crc, table
 
 
@@ -106,6 +106,15 @@ def op7_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document, learned from the labels of the folds that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.floor(F.log2(F.col("n_chars") + 1)).alias("magnitude"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good")).where(crc(F.col("doc_id")) % 5 != 0)
+    model = quality.learn(docs, labels, ["lang", "source", "magnitude"])
+    scored = quality.score(docs.withColumn("held_out", crc(F.col("doc_id")) % 5 == 0), model)
+    return scored.select("doc_id", "held_out", "text_score", "page_score", "score", (F.col("score") >= 0.5).cast("int").alias("quality_pred"))
+
+
 def op9_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, and weak parts that complete one another."""
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
@@ -146,7 +155,7 @@ FROM raw_lines a LEFT JOIN dropped d ON a.doc_id = d.doc_id AND a.line_no = d.li
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_temporal_url_lists, op2_line_templates, op3_longest_match_tokens, op4_pigeonhole_decontamination, op5_cross_parsing_language, op6_imatch_fingerprints, op7_simhash_bk_trees, op9_linked_secrets, op10_best_fit_packing]
+    found = [op1_temporal_url_lists, op2_line_templates, op3_longest_match_tokens, op4_pigeonhole_decontamination, op5_cross_parsing_language, op6_imatch_fingerprints, op7_simhash_bk_trees, op8_co_trained_quality, op9_linked_secrets, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
