@@ -223,3 +223,129 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.where("root <> fp").join(least, "root").select("fp", "component_id").union(least.select(F.col("root").alias("fp"), "component_id"))
     return prints.join(named, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# ---- documents that share a given part of their shingles ----
+
+ROUTES, TOGETHER = 12, 2  # routing keys of a document, and least hashes in each
+_draws = np.random.default_rng(42).integers(1, 2**63, (2, ROUTES * TOGETHER), dtype=np.uint64)
+FACTORS, MASKS = _draws[0] * np.uint64(2) + np.uint64(1), _draws[1]
+
+
+def routes(distinct: np.ndarray) -> list[int]:
+    """Keys that a pair of similar shingle sets shares one of: pairs of least hashes."""
+    if not len(distinct):
+        return []
+    least = np.array([((distinct ^ m) * f).min() for f, m in zip(FACTORS, MASKS)], np.uint64).reshape(ROUTES, TOGETHER)
+    return [xxhash.xxh64_intdigest(bytes([i]) + row.tobytes()) - (1 << 63) for i, row in enumerate(least)]
+
+
+def content(distinct: np.ndarray) -> str:
+    """A name for a shingle set."""
+    return xxhash.xxh3_128_hexdigest(distinct.tobytes())
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id``, ``cid`` (a name for the text's set of shingles), ``fp`` and ``keys``, without the sets themselves."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                rows = []
+                for text in texts[a:b]:
+                    hashes = shingles(text, words)
+                    distinct = np.unique(hashes)
+                    rows.append((content(distinct), simhash(hashes), routes(distinct)))
+                cid, fp, keys = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(cid, pa.string()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "cid", "fp", "keys"],
+                )
+
+    return docs.mapInArrow(run, "doc_id long, cid string, fp long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """``cid`` and the sorted distinct shingle hashes ``held``, as bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                sets = [np.unique(shingles(t, words)) for t in texts[a:b]]
+                yield pa.RecordBatch.from_arrays([pa.array([content(x) for x in sets]), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cid", "held"])
+
+    return docs.mapInArrow(run, "cid string, held binary").dropDuplicates(["cid"])
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == 0:
+        return float(len(b) == 0)
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return common / (len(a) + len(b) - common)
+
+
+def similar_in(codes: list[int], sets: list[np.ndarray], similarity: float, radius: int, most: int) -> Iterator[tuple[int, int]]:
+    """Links between a shard's sets of at least the similarity: a forest with the components of all of them.
+
+    A BK-tree gives the earlier members within the radius, nearest first; one is compared only if its component isn't reached
+    yet. In a shard with ``most`` members in its tree, a set that agrees with one by 0.9 or more stands behind that one.
+    """
+    tree, groups, size = BKTree(), Sets(len(codes)), 0
+    for i, code in enumerate(codes):
+        best = 0.0
+        for _, j in sorted(tree.within(code, radius)):
+            if groups.find(i) == groups.find(j):
+                continue
+            likeness = jaccard(sets[i], sets[j])
+            if likeness >= similarity:
+                groups.join(i, j)
+                best = max(best, likeness)
+                yield i, j
+        if size < most or best < 0.9:
+            tree.add(code, i)
+            size += 1
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 20, most: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row's ``doc_id`` and ``component_id``: the least id that links between similar texts reach.
+
+    Texts link whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more. A shard holds the
+    distinct sets that share a routing key; its BK-tree follows edges within ``radius`` bits of the SimHash, and exact
+    similarity decides. Of pairs at a similarity of 0.8, five in a million share no key; closer pairs fewer still. Equal
+    sets are one node, so copies never meet in pairs, and texts without words are equal. A shard gives a forest of links.
+    Null texts count as empty; a null id takes no part in the least id; repeated rows come out as often.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = save(sketches(docs, words))
+    nodes = rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
+    routed = save(nodes.select("cid", "least", "fp", F.explode("keys").alias("key")))
+    shared = routed.groupBy("key").count().where("count > 1").select("key")
+    routed = save(routed.join(shared, "key", "left_semi"))
+    wanted = routed.select(F.col("least").alias("doc_id")).distinct()
+    sets = save(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in runs(batches, 1):
+            cid, codes = shard.column("cid").to_pylist(), shard.column("fp").to_numpy().view(np.uint64).tolist()
+            held = [np.frombuffer(x, np.uint64) for x in shard.column("held").to_pylist()]
+            found = list(similar_in(codes, held, similarity, radius, most))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([cid[i] for i, _ in found]), pa.array([cid[j] for _, j in found])], names=["a", "b"])
+
+    dealt = routed.select("key", "cid", "fp").join(sets, "cid").select("key", "cid", "fp", "held")
+    edges = dealt.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(run, "a string, b string").distinct()
+    roots = components(edges).withColumnRenamed("node", "cid")
+    named = save(nodes.select("cid", "least").join(roots, "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root")))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "root").select("cid", "component_id")
+    return rows.select("doc_id", "cid").join(named, "cid").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stand for their group: those whose id is the least of it; rows with a null id stay."""
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
