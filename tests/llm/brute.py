@@ -20,3 +20,67 @@ def written(spans):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def shingles(text, words):
+    found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not found:
+        return []
+    return [" ".join(found[i : i + words]) for i in range(len(found) - words + 1)] if len(found) >= words else [" ".join(found)]
+
+
+def fingerprint(text):
+    import xxhash
+
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles(text, 3)]
+    return sum((sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) << b for b in range(64))
+
+
+def groups(ids, linked):
+    """The least id that each reaches, by comparing all pairs."""
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and linked(a, b):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def distance(pattern, text):
+    """Least edits that turn the pattern into a part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def greedy(first, inner, word):
+    n, i, pieces = 0, 0, first
+    while i < len(word):
+        j = next((j for j in range(len(word), i, -1) if word[i:j] in pieces), 0)
+        if not j:
+            return 1
+        n, i, pieces = n + 1, j, inner
+    return n
+
+
+def phrases(text, training):
+    """Greedy parse of the text into the longest parts that the training text has."""
+    n, i = 0, 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in training:
+            j += 1
+        i = max(i + 1, j - 1)
+        n += 1
+    return n
