@@ -104,5 +104,5 @@ def first_mentions(rows: DataFrame, group: str, term: str, order: str) -> DataFr
 
 def next_hearing(dates: Column, today: str) -> Column:
     """The first listed date (dd-MM-yyyy) after today; what is no date is skipped."""
-    parsed = F.transform(dates, lambda d: F.try_to_date(d, F.lit("dd-MM-yyyy")))
+    parsed = F.transform(dates, lambda d: F.try_to_date(d, "dd-MM-yyyy"))
     return F.get(F.filter(parsed, lambda d: d > F.lit(today).cast("date")), F.lit(0))

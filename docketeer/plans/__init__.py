@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from docketeer.plans import relational, retrieval, texts  # noqa: F401
+from docketeer.plans import ordered, relational, retrieval, texts  # noqa: F401
 from docketeer.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
