@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketeer.llm.common import let, save
 
-VARIABLE = r"\S*[0-9]\S*"  # a token with a digit is a variable field wherever it stands
+VARIABLE = r"(?<!\S)[^\s0-9]*[0-9]\S*"  # a token with a digit is a variable field wherever it stands
 WILDCARD = "<*>"
+SPACES = ("  ", "\t", "\r", "\f", "\x0b")
 
 
-def masked(line: Column) -> Column:
-    """A line with single spaces between its tokens and a wildcard for each token that holds a digit."""
-    plain = F.btrim(F.regexp_replace(line, r"\s+", " "))
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, VARIABLE, WILDCARD)).otherwise(plain)
+def masked(text: Column) -> Column:
+    """A text with single spaces between a line's tokens and a wildcard for each token that holds a digit."""
+    uneven = reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in SPACES])
+    even = F.when(uneven, F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")).otherwise(text)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(even, VARIABLE, WILDCARD)).otherwise(even)
 
 
 def n_tokens(line: Column) -> Column:
@@ -32,11 +36,13 @@ def lines_of(docs: DataFrame, least_tokens: int, depth: int) -> DataFrame:
 
     A leaf holds the lines of one token count and the same ``depth`` leading tokens.
     """
-    at = docs.select("doc", "doc_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    at = at.where(F.col("line") != "").select("doc", "doc_key", "line_no", masked(F.col("line")).alias("line"))
-    at = at.withColumn("n", n_tokens(F.col("line"))).where(F.col("n") >= least_tokens)
-    leaf = F.xxhash64("n", F.substring_index("line", " ", depth))
-    return at.select("doc", "doc_key", "line_no", "n", leaf.alias("leaf"), F.xxhash64("line", "n").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
+    at = docs.select("doc", "doc_key", F.posexplode(F.split(masked(F.col("text")), "\n")).alias("line_no", "line"))
+    return at.select("doc", "doc_key", "line_no", F.btrim("line").alias("line")).where(F.substring_index("line", " ", least_tokens - 1) != F.col("line")).select("doc", "doc_key", "line_no", *marks(F.col("line"), depth))
+
+
+def marks(line: Column, depth: int) -> list[Column]:
+    """Token count, leaf and two hashes of a masked line."""
+    return [n_tokens(line).alias("n"), F.xxhash64(n_tokens(line), F.substring_index(line, " ", depth)).alias("leaf"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -55,17 +61,17 @@ def templates(docs: DataFrame, distinct: DataFrame, least_tokens: int, depth: in
     kept = distinct.join(several, "leaf", "left_semi").select(F.col("first.doc").alias("doc"), F.col("first.doc_key").alias("doc_key"), F.col("first.line_no").alias("line_no"))
     # the texts of the few lines in such leaves come from a second scan, so the first ships hashes alone
     wanted = kept.groupBy("doc", "doc_key").agg(F.collect_set("line_no").alias("wanted"))
-    rows = docs.join(wanted, ["doc", "doc_key"]).select(F.explode(chosen(F.col("text"), F.col("wanted"))).alias("line"))
-    rows = rows.select(masked(F.col("line")).alias("line"))
-    rows = rows.select("line", n_tokens(F.col("line")).alias("n"), F.xxhash64("line", n_tokens(F.col("line"))).alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    leaf = F.xxhash64("n", F.substring_index("line", " ", depth))
-    tokens = rows.select("h1", "h2", "n", leaf.alias("leaf"), F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    tokens = tokens.select("h1", "h2", "n", "leaf", "pos", F.xxhash64("leaf", "pos", "token").alias("field"))
+    lines = docs.join(wanted, ["doc", "doc_key"]).select(F.explode(chosen(masked(F.col("text")), F.col("wanted"))).alias("line"))
+    rows = save(lines.select(F.btrim("line").alias("line")).select("line", *marks(F.col("line"), depth)))
+    # the leading tokens are constant in the leaf; the rest are counted
+    tokens = rows.select("h1", "h2", "n", "leaf", F.posexplode(F.slice(F.split("line", " "), depth + 1, F.greatest(F.col("n") - depth, F.lit(0)))).alias("pos", "token"))
+    tokens = tokens.select("h1", "h2", "n", "leaf", F.xxhash64("leaf", "pos", "token").alias("field"))
     often = tokens.groupBy("field").count().where("count > 1").select("field", F.lit(True).alias("fixed"))
     known = tokens.join(often, "field", "left")
     # the sum of mixed constant fields identifies the template; it is the same in any order
     shape = known.groupBy("h1", "h2", "n", "leaf").agg(F.count("fixed").alias("fixed"), F.sum(F.when(F.col("fixed"), F.shiftright("field", 8))).alias("sum"), F.bit_xor(F.when(F.col("fixed"), F.col("field"))).alias("xor"))
-    shape = shape.where((F.col("fixed") >= F.col("n") * constant) & (F.col("fixed") < F.col("n")))
+    shape = shape.withColumn("variable", F.col("n") - depth - F.col("fixed"))
+    shape = shape.where((F.col("variable") > 0) & (F.col("n") - F.col("variable") >= F.col("n") * constant))
     return shape.select("h1", "h2", F.xxhash64("leaf", "sum", "xor", "fixed").alias("template"))
 
 
