@@ -32,20 +32,21 @@ def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
     return band.select("term")
 
 
-def bucket_of(value: Column, bounds: list[int]) -> Column:
-    """The last of the ascending bounds that is not above the value, by binary search; 0 for nulls."""
-    array = F.array(*[F.lit(b) for b in bounds])
-    steps = F.array_repeat(F.lit(0), max(1, len(bounds).bit_length()))
+def with_bucket(rows: DataFrame, bounds: list[int]) -> DataFrame:
+    """Adds ``bucket``: the last of the ascending bounds that is not above ``doc_id``, by binary search; 0 for nulls.
 
-    def search(bound: Column) -> Column:
-        def halve(s: Column, _: Column) -> Column:
-            middle = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
-            fits = F.element_at(bound, middle + 1) <= value
-            return F.struct(F.when(fits, middle).otherwise(s["low"]).alias("low"), F.when(fits, s["high"]).otherwise(F.greatest(middle - 1, s["low"])).alias("high"))
-
-        return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(bounds) - 1).alias("high")), halve)["low"]
-
-    return F.when(value.isNull() | (value < bounds[0]), 0).otherwise(let(array, search))
+    Each step is a column of its own and none has a lambda, so that Spark sees the plans of both readers as the same and
+    shuffles the texts once.
+    """
+    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
+    rows = rows.withColumn("bucket", F.lit(0))
+    step = 1 << max(0, (len(bounds) - 1).bit_length() - 1)
+    while step and len(bounds) > 1:
+        further = F.col("bucket") + step
+        fits = (further < len(bounds)) & (F.try_element_at(array, further + 1) <= F.col("doc_id"))
+        rows = rows.withColumn("bucket", F.col("bucket") + F.when(fits, step).otherwise(0))
+        step >>= 1
+    return rows
 
 
 def followed(docs: DataFrame, bucket_chars: int, most_buckets: int) -> DataFrame:
@@ -60,10 +61,10 @@ def followed(docs: DataFrame, bucket_chars: int, most_buckets: int) -> DataFrame
     if n > 1:
         ranks = [i / n for i in range(1, n)]
         bounds = sorted({*bounds, *docs.agg(F.percentile_approx("doc_id", ranks, 100 * n)).first()[0]})
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), bucket_of(F.col("doc_id"), bounds).alias("bucket"), F.lit(False).alias("end"))
+    own = with_bucket(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")), bounds).withColumn("end", F.lit(False))
     first = docs.sparkSession.createDataFrame([(b, (i - 1) % len(bounds)) for i, b in enumerate(bounds)], "bound long, bucket int")
     # a range begins at its bound, which is a document's id; only nulls can precede the first range's
-    starts = docs.join(F.broadcast(first), F.col("doc_id") == F.col("bound")).select("doc_id", "text", "bucket")
+    starts = docs.join(F.broadcast(first), F.col("doc_id") == F.col("bound")).select("doc_id", "text", F.coalesce("bucket", F.lit(0)).alias("bucket"))
     starts = starts.union(docs.where("doc_id IS NULL").select("doc_id", "text", F.lit(len(bounds) - 1)))
     ends = starts.select("doc_id", "text", F.xxhash64("text").alias("tie"), "bucket", F.lit(True).alias("end"))
     w = Window.partitionBy("bucket").orderBy("end", "doc_id", "tie")
