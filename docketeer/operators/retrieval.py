@@ -107,8 +107,8 @@ def vector_top_k(chunks: DataFrame, vector: list[float], k: int, **wanted: objec
 
 def intent_first(rows: DataFrame, intent: str | None, limit: int) -> DataFrame:
     """Chunks of the intended type first, otherwise in their order (``pos``)."""
-    first = F.when(F.col("chunk_type") == intent, 0).otherwise(1) if intent else F.lit(0)
-    return rows.orderBy(first, "pos").limit(limit)
+    first = [F.when(F.col("chunk_type") == intent, 0).otherwise(1)] if intent else []
+    return rows.orderBy(*first, "pos").limit(limit)
 
 
 def reranked(rows: DataFrame, top_k: int) -> DataFrame:
