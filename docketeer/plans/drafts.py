@@ -9,13 +9,13 @@ from docketeer.functions import drafting as D
 from docketeer.functions import text as X
 from docketeer.functions import translation as T
 from docketeer.plans.registry import query
-from docketeer.plans.texts import ID, docs, planted
+from docketeer.plans.texts import doc_key, docs, planted
 from docketeer.sources.tables import table
 
 
 @query("STR-20", "SELECT doc_id, 'The defendant shall receive Rs. ' || doc_id || ' under Section 138, IPC' AS body FROM documents")
 def spelling_and_currency_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.concat(F.lit("The  Defendent shall recieve rs."), ID, F.lit(" under section 138 , ipc"))
+    body = F.concat(F.lit("The  Defendent shall recieve rs."), doc_key(), F.lit(" under section 138 , ipc"))
     return docs(spark, sf_dir).select("doc_id", F.replace(D.standardised(body), F.lit("Defendant"), F.lit("defendant")).alias("body"))
 
 
@@ -35,7 +35,7 @@ def session_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("STR-52", "SELECT doc_id, 'bail ' || doc_id AS q FROM documents")
 def search_query_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    brief = F.concat(F.lit("# Brief\nx\n## Search Query\n\n **bail "), ID, F.lit("**\n## Next"))
+    brief = F.concat(F.lit("# Brief\nx\n## Search Query\n\n **bail "), doc_key(), F.lit("**\n## Next"))
     return docs(spark, sf_dir).select("doc_id", D.search_query(brief).alias("q"))
 
 
@@ -104,25 +104,25 @@ def nfc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("STR-34 STR-36", "SELECT doc_id, 'धारा ' || doc_id || '। अगला, 1' AS t FROM documents")
 def danda_and_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("धारा "), ID, F.lit(" ।अगला , १"))
+    raw = F.concat(F.lit("धारा "), doc_key(), F.lit(" ।अगला , १"))
     return docs(spark, sf_dir).select("doc_id", T.western_digits(T.spaced(raw)).alias("t"))
 
 
 @query("STR-30 STR-47 STR-39", "SELECT doc_id, 'की abc कि' || doc_id AS t FROM documents")
 def script_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("क ीabcक ि"), ID)
+    raw = F.concat(F.lit("क ीabcक ि"), doc_key())
     return docs(spark, sf_dir).select("doc_id", T.script_spaces(T.rejoined_words(T.without_private_glyphs(raw))).alias("t"))
 
 
 @query("STR-31 STR-32 AGG-14", "SELECT doc_id, 'of the court in ' || doc_id || ' cases' AS t FROM documents")
 def repeat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("of the court of the court in "), ID, F.lit(" cases in "), ID, F.lit(" cases"))
+    raw = F.concat(F.lit("of the court of the court in "), doc_key(), F.lit(" cases in "), doc_key(), F.lit(" cases"))
     return docs(spark, sf_dir).select("doc_id", T.without_repeats(raw).alias("t"))
 
 
 @query("STR-29", "SELECT doc_id, 'The order was passed ' || doc_id || ' days ago.' || chr(10) || 'Next' AS t FROM documents")
 def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("The order was\npassed "), ID, F.lit(" days\nago.\nNext"))
+    raw = F.concat(F.lit("The order was\npassed "), doc_key(), F.lit(" days\nago.\nNext"))
     return docs(spark, sf_dir).select("doc_id", T.rejoined_lines(raw).alias("t"))
 
 
@@ -141,7 +141,7 @@ def html_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ARR-06", "SELECT doc_id, 'new' || doc_id AS spans FROM documents")
 def reviewer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before, after = F.lit("the old order stands"), F.concat(F.lit("the new"), ID, F.lit(" order stands"))
+    before, after = F.lit("the old order stands"), F.concat(F.lit("the new"), doc_key(), F.lit(" order stands"))
     return docs(spark, sf_dir).select("doc_id", F.array_join(T.changed_spans(before, after), "|").alias("spans"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketeer.functions import legal as L
@@ -22,7 +22,9 @@ def planted(spark: SparkSession, sf_dir: str, *parts: object) -> DataFrame:
     return docs(spark, sf_dir).withColumn("text", F.concat("text", *parts))
 
 
-ID = F.col("doc_id").cast("string")
+def doc_key() -> Column:
+    """The document's id as text."""
+    return F.col("doc_id").cast("string")
 
 
 @query("STR-03 STR-04", r"""WITH t AS (SELECT doc_id, text || ' (' || (1990 + doc_id % 35) || ') 5 SCC ' || doc_id || '; AIR 2001 SC ' || doc_id || ' (2020) 5 SCC 1 (2020) 5 SCC 1.' AS text FROM documents WHERE doc_id % 2 = 0)
@@ -31,7 +33,7 @@ list_filter(found, lambda x, i: list_position(found, x) = i) AS list_distinct_or
 def citation_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reporter citations planted in the documents, distinct and in order."""
     year = (F.col("doc_id") % 35 + 1990).cast("string")
-    rows = planted(spark, sf_dir, F.lit(" ("), year, F.lit(") 5 SCC "), ID, F.lit("; AIR 2001 SC "), ID, F.lit(" (2020) 5 SCC 1 (2020) 5 SCC 1.")).where("doc_id % 2 = 0")
+    rows = planted(spark, sf_dir, F.lit(" ("), year, F.lit(") 5 SCC "), doc_key(), F.lit("; AIR 2001 SC "), doc_key(), F.lit(" (2020) 5 SCC 1 (2020) 5 SCC 1.")).where("doc_id % 2 = 0")
     return rows.select("doc_id", F.array_join(L.all_matches(F.col("text"), *L.CITATIONS[:2]), "|").alias("citations"), year.cast("int").alias("last_year"))
 
 
@@ -45,7 +47,7 @@ def year_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS n, count_if(NOT contains(corpus, cite))::BIGINT AS unverified FROM t""")
 def citation_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many citations the tool results don't hold."""
-    cite = F.concat(F.lit("(2001) 5 SCC "), ID)
+    cite = F.concat(F.lit("(2001) 5 SCC "), doc_key())
     rows = docs(spark, sf_dir).withColumns({"cites": F.array(cite), "corpus": F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.col("text"), F.lit(" "), cite))})
     missing = F.size(L.grounded(F.col("cites"), F.col("corpus")))
     return rows.agg(F.sum(F.size("cites")).alias("n"), F.sum(missing).alias("unverified"))
@@ -174,7 +176,7 @@ def web_citation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("STR-48", "SELECT doc_id, '{\"k\": ' || doc_id || '}' AS body FROM documents")
 def code_fence_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fenced = F.concat(F.lit('```json\n{"k": '), ID, F.lit("}\n```\n"))
+    fenced = F.concat(F.lit('```json\n{"k": '), doc_key(), F.lit("}\n```\n"))
     return docs(spark, sf_dir).select("doc_id", T.code_fence_stripped(fenced).alias("body"))
 
 
@@ -202,7 +204,7 @@ def chunk_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("STR-70 AGG-15", r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(t, '"([^"]+)"', 1), regexp_extract_all(t, '[^\n]([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)', 1))))[1:10], '|') AS terms FROM (SELECT doc_id, 'x "alpha ' || doc_id || '" and Loan Amount due' AS t FROM documents)""")
 def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit('x "alpha '), ID, F.lit('" and Loan Amount due'))
+    text = F.concat(F.lit('x "alpha '), doc_key(), F.lit('" and Loan Amount due'))
     return docs(spark, sf_dir).select("doc_id", F.array_join(L.key_terms(text), "|").alias("terms"))
 
 
