@@ -64,3 +64,8 @@ def without_adjacent_repeats(rows: DataFrame, group: str, order: str, text: str,
     norm = F.lower(F.trim(text))
     before = F.lag(norm).over(Window.partitionBy(group).orderBy(order))
     return rows.withColumn("__before", before).where((F.length(text) <= least) | F.col("__before").isNull() | (F.col("__before") != norm)).drop("__before")
+
+
+def with_previous(rows: DataFrame, group: str, order: list[str], column: str, name: str) -> DataFrame:
+    """The value of the row before, null for the first."""
+    return rows.withColumn(name, F.lag(column).over(Window.partitionBy(group).orderBy(*order)))
