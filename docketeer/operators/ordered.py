@@ -18,18 +18,16 @@ def job_states(events: DataFrame) -> DataFrame:
     """
     last = F.max_by(F.struct("status", "ts"), F.struct("ts", "event_id"))
     jobs = events.groupBy("job_id").agg(F.min("ts").alias("created_at"), last.alias("last"), F.count("*").alias("n_events"))
-    now = events.agg(F.max("ts").alias("now"))
-    jobs = jobs.join(F.broadcast(now))  # one row
-    late = (F.col("last.status") == "processing") & (F.unix_timestamp(F.col("now").cast("timestamp")) - F.unix_timestamp(F.col("created_at").cast("timestamp")) > TIMEOUT_SECONDS)
+    now = events.agg(F.max("ts")).scalar()
+    late = (F.col("last.status") == "processing") & (F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("created_at").cast("timestamp")) > TIMEOUT_SECONDS)
     status = F.when(late, "failed").otherwise(F.col("last.status"))
     return jobs.select("job_id", "created_at", status.alias("status"), F.when(status.isin(*TERMINAL), F.col("last.ts")).alias("completed_at"), "n_events")
 
 
 def page_of(jobs: DataFrame, offset: int, limit: int) -> DataFrame:
     """One page of the newest jobs, with the number of all."""
-    total = jobs.agg(F.count("*").alias("total"))
-    page = jobs.orderBy(F.desc("created_at"), "job_id").offset(offset).limit(limit)
-    return page.join(F.broadcast(total))  # one row
+    total = jobs.agg(F.count("*")).scalar()
+    return jobs.orderBy(F.desc("created_at"), "job_id").offset(offset).limit(limit).withColumn("total", total)
 
 
 def evicted(jobs: DataFrame, keep: int = KEPT_TERMINAL) -> DataFrame:

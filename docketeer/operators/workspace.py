@@ -53,8 +53,7 @@ def answer_context(chunks: DataFrame, vector: list[float], feedback: DataFrame,
 
 def precedents(internal: DataFrame, web: DataFrame, top_k: int) -> DataFrame:
     """Internal precedents, and web ones behind them where there are under five; each with its place."""
-    few = internal.agg((F.count("*") < ENOUGH_INTERNAL).alias("few"))
-    more = web.join(F.broadcast(few)).where("few").drop("few")  # one row
+    more = web.where(internal.agg(F.count("*")).scalar() < ENOUGH_INTERNAL)
     rows = internal.withColumn("source_no", F.lit(0)).unionByName(more.withColumn("source_no", F.lit(1)))
     return retrieval.ranked(rows, [F.asc("source_no"), F.desc("score"), F.asc("id")], top_k, "place")
 
@@ -65,8 +64,8 @@ def verified(claims: DataFrame, evidence: DataFrame, most: int = 7) -> DataFrame
     The few claims' anchors go to every row of evidence as one constant; the evidence is read once and not shuffled.
     """
     first = claims.orderBy("id").limit(most).select("id", anchors(F.col("text"), F.col("kind")).alias("anchors"))
-    packed = first.agg(F.collect_list(F.struct("id", "anchors")).alias("claims"))
-    rows = evidence.select("id", "url", F.lower("body").alias("hay")).join(F.broadcast(packed))  # one row
+    packed = first.agg(F.collect_list(F.struct("id", "anchors"))).scalar()
+    rows = evidence.select("id", "url", F.lower("body").alias("hay"), packed.alias("claims"))
     supports = lambda c: F.exists(c["anchors"], lambda a: F.contains(F.col("hay"), F.lower(a)))
     hits = rows.select(F.struct("id", "url").alias("hit"), F.explode(F.filter("claims", supports)).alias("c"))
     best = hits.groupBy(F.col("c.id").alias("id")).agg(F.min("hit").alias("hit"))

@@ -107,8 +107,8 @@ def claim_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     The claims are a fixed few, so they go to every document as one constant array.
     """
     claims = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(7).select("item_id", F.lower(F.substring("text", 5, 12)).alias("anchor"))
-    few = claims.agg(F.collect_list(F.struct("item_id", "anchor")).alias("claims"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("hay")).join(F.broadcast(few))  # one row
+    few = claims.agg(F.collect_list(F.struct("item_id", "anchor"))).scalar()
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("hay"), few.alias("claims"))
     hits = docs.select("doc_id", F.explode(F.filter("claims", lambda c: F.contains(F.col("hay"), c["anchor"]))).alias("c")).select("doc_id", "c.item_id")
     found = hits.groupBy("item_id").agg(F.min("doc_id").alias("first_doc"), F.count("doc_id").alias("n_docs"))
     return claims.join(found, "item_id", "left").select("item_id", "first_doc", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
@@ -181,8 +181,7 @@ def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def internal_else_web(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web results join in when there are under five internal ones."""
     internal = table(spark, sf_dir, "documents").where("n_chars > 30000").orderBy("doc_id").limit(20).select("doc_id", F.lit("internal").alias("origin"))
-    few = internal.agg((F.count("*") < 5).alias("few"))
-    web = table(spark, sf_dir, "pages").join(F.broadcast(few)).where("few").orderBy("page_id").limit(10)  # one row
+    web = table(spark, sf_dir, "pages").where(internal.agg(F.count("*")).scalar() < 5).orderBy("page_id").limit(10)
     return internal.unionByName(web.select(F.col("page_id").alias("doc_id"), F.lit("web").alias("origin")))
 
 
