@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local folder only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="docketeer-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or local_folder(spark.sparkContext.applicationId)).rstrip("/")
+
+
+@cache
+def local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"docketeer-{application}-")
