@@ -125,7 +125,7 @@ class Languages:
         weight = np.array([math.log2(max(2, n)) for n in self.sizes])
         out = []
         for c, row in zip(codes, phrases):
-            if not len(c) or not (c != 1).any():
+            if not self.names or not (c != 1).any():
                 out.append((UNDETERMINED, 0.0, row.tolist()))
                 continue
             cost = row * weight

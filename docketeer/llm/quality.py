@@ -125,8 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame, columns: list[str], most_labelled:
     draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30))
     n_labels, n_docs = labels.count(), docs.count()
     some = labels.where(draw < (1 << 30) * min(1.0, most_labelled / max(1, n_labels)))
-    known = docs.dropDuplicates(["doc_id"]) if n_docs <= most_pool else docs
-    known = known.join(F.broadcast(some), "doc_id").withColumn("draw", draw)  # some: bounded by most_labelled
+    known = docs.join(F.broadcast(some), "doc_id").withColumn("draw", draw)  # some: bounded by most_labelled
     pool = docs.where(draw < (1 << 30) * min(1.0, most_pool / max(1, n_docs))).join(labels, "doc_id", "left_anti")
     pool = pool.withColumns({"good": F.lit(None).cast("int"), "draw": draw})
     text, page, y = matrix(known, columns)
