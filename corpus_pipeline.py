@@ -10,18 +10,29 @@ from docketeer.llm.common import save, table
 from docketeer.llm.queries import tokenizer_path
 
 
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """The documents with columns of these names renamed, and how to name them back: an operator adds its own."""
+    back = {f"__own_{c}": c for c in docs.columns if c in names}
+    return docs.withColumnsRenamed({c: own for own, c in back.items()}), back
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told, with it in ``lang``: those without a letter go.
+    """Documents whose language can be told, with it in ``lang``: those without a letter, null texts included, go.
 
-    The languages are learned from the labels that the documents come with.
+    The languages are learned from the labels that the documents come with; if there are none, ``lang`` stays as it is.
     """
-    known = language.identify(docs, language.learn(docs)).where(F.col("lang_pred") != language.UNDETERMINED)
-    return known.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    model = language.learn(docs)
+    if not model.names:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    rows, back = set_aside(docs, "lang_pred", "score", "phrases")
+    known = language.identify(rows, model).where(F.col("lang_pred") != language.UNDETERMINED)
+    return known.withColumn("lang", F.col("lang_pred")).drop("lang_pred", "score", "phrases").withColumnsRenamed(back).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines whose template an earlier one has; ``n_chars`` follows the text."""
-    left = linededup.drop_recurring(docs).select(*docs.columns)
+    """Documents without the lines whose template an earlier one has; ``n_chars`` follows the text. None goes."""
+    rows, back = set_aside(docs, "n_lines", "n_dropped")
+    left = linededup.drop_recurring(rows).drop("n_lines", "n_dropped").withColumnsRenamed(back).select(*docs.columns)
     return left.withColumn("n_chars", F.length("text").cast("long"))
 
 
