@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,43 +20,82 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-class WordIds(dict):
-    """Token ids, as little-endian bytes, of the words between ASCII white space.
+#: Units of these characters are lower-cased and divided here, as the tokenizer would: it changes nothing else about them.
+PLAIN = re.compile(r"[ -~À-ÖØ-öø-ÿ]*")
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
-    The tokenizer drops white space and merges only within a word, so a text's ids are its words' ids in order.
-    Up to ``most`` words are remembered.
+
+class UnitIds:
+    """Token ids, as little-endian bytes, of what stands between ASCII white space.
+
+    The tokenizer drops white space and merges only within a word, so a text's ids are its units' ids in order, and a
+    unit's are its words'. Up to ``most`` units and as many words are remembered.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task on each core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.most, self.whole, self.bare = most, Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.units: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
-        """The ids of all words of these texts."""
-        new = list({word for words in texts for word in words}.difference(self))
-        ids = self.tokenizer.encode_batch_fast([word.decode() for word in new], add_special_tokens=False)
-        found = {word: np.array(x.ids, "<u4").tobytes() for word, x in zip(new, ids)}
-        if len(self) + len(found) <= self.most:
-            self.update(found)
-            return self
-        for word, x in found.items():
-            if len(self) >= self.most:
-                break
-            self[word] = x
-        return Both(self, found)
+        """The ids of all units of these texts."""
+        divided, other = {}, []
+        for unit in set().union(*texts).difference(self.units):
+            text = unit.decode()
+            if PLAIN.fullmatch(text) and "<|" not in text:
+                divided[unit] = WORDS.findall(text.lower())
+            else:
+                other.append(unit)
+        words = self.learn_words(list(set().union(*divided.values()).difference(self.words)))
+        found = {unit: b"".join(map(words.__getitem__, parts)) for unit, parts in divided.items()}
+        for unit, x in zip(other, self.whole.encode_batch_fast([u.decode() for u in other], add_special_tokens=False)):
+            found[unit] = np.array(x.ids, "<u4").tobytes()
+        return remember(self.units, found, self.most)
+
+    def learn_words(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of lower-case words, each on its own."""
+        if not new:
+            return self.words
+        x = self.bare.encode(new, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(x.ids, "<u4").tobytes()
+        ends = [0, *(4 * (np.flatnonzero(np.diff(x.word_ids)) + 1)).tolist(), len(ids)]
+        found = {word: ids[a:b] for word, a, b in zip(new, ends, ends[1:], strict=False)}
+        return remember(self.words, found, self.most)
+
+
+_units: dict[str, UnitIds] = {}
+
+
+def unit_ids(path: str) -> UnitIds:
+    """A worker's units, which it keeps from task to task."""
+    if path not in _units:
+        _units[path] = UnitIds(path)
+    return _units[path]
+
+
+def remember(kept: dict, found: dict, most: int) -> dict:
+    """Adds what is found as long as there is room; all of both."""
+    if len(kept) + len(found) <= most:
+        kept.update(found)
+        return kept
+    kept.update(islice(found.items(), most - len(kept)))
+    return Both(kept, found)
 
 
 class Both(dict):
-    """The remembered words and, behind them, those of one batch."""
+    """What is remembered and what one batch needs besides."""
 
     def __init__(self, kept: dict, found: dict) -> None:
         super().__init__(found)
         self.kept = kept
 
-    def __missing__(self, word: bytes) -> bytes:
-        return self.kept[word]
+    def __missing__(self, key: str | bytes) -> bytes:
+        return self.kept[key]
 
 
 def cut(ids: bytes, most: int) -> Iterator[tuple[int, int, int, int]]:
@@ -73,15 +114,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 4096, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_ids = WordIds(tokenizer)
+        known_units = unit_ids(tokenizer)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices(texts):
-                words = [(text or "").encode().split() for text in texts[a:b]]
-                known = words_ids.learn(words)
+                units = [(text or "").encode().split() for text in texts[a:b]]
+                known = known_units.learn(units)
                 at, rows = [], []
-                for i, w in enumerate(words, a):
-                    for row in cut(b"".join(map(known.__getitem__, w)) + end, most):
+                for i, own in enumerate(units, a):
+                    for row in cut(b"".join(map(known.__getitem__, own)) + end, most):
                         at.append(i)
                         rows.append(row)
                 piece, start, length, crc = zip(*rows)

@@ -108,6 +108,16 @@ def rank_file(path: str) -> list[bytes]:
         return [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
 
 
+_counts: dict[str, Counts] = {}
+
+
+def piece_counts(path: str) -> Counts:
+    """A worker's automaton and counts, which it keeps from task to task."""
+    if path not in _counts:
+        _counts[path] = Counts(LongestMatch(rank_file(path)))
+    return _counts[path]
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """Adds ``n_words`` and ``n_tokens``, the greedy longest-match pieces of the whole text, to every row.
 
@@ -118,7 +128,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Da
     at = kept.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(LongestMatch(rank_file(vocabulary)))
+        counts = piece_counts(vocabulary)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             n_words, n_tokens = [], []
