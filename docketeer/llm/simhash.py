@@ -36,14 +36,36 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes)).view(">u8")[0])
 
 
+class Sets:
+    """Union-find over a shard."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.find(i), self.find(j)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
 class BKTree:
-    """A node's children are keyed by their Hamming distance to it; small subtrees stay lists until they exceed a bucket."""
+    """A node's children are keyed by their Hamming distance to it; small subtrees stay lists until they exceed a bucket.
+
+    A node remembers a member of the component that its whole subtree is in, as long as there is only one: a search from
+    inside of that component has nothing to find there, so a large group of near copies costs no more than its links.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, sets: Sets) -> None:
+        self.sets = sets
         self.root: tuple | list = []
 
-    @staticmethod
-    def _add(node: tuple | list, code: int, item: int) -> tuple | list:
+    def _add(self, node: tuple | list, code: int, item: int) -> tuple | list:
         if isinstance(node, list):
             node.append((code, item))
             if len(node) <= BUCKET:
@@ -52,55 +74,48 @@ class BKTree:
             children: dict[int, tuple | list] = {}
             for c, i in rest:
                 children.setdefault((c ^ pivot).bit_count(), []).append((c, i))
-            return (pivot, own, children)
-        d = (code ^ node[0]).bit_count()
-        node[2][d] = BKTree._add(node[2].get(d, []), code, item)
+            whole = len({self.sets.find(i) for _, i in node}) == 1
+            return (pivot, own, children, [own if whole else None])
+        pivot, _, children, one = node
+        if one[0] is not None and self.sets.find(one[0]) != self.sets.find(item):
+            one[0] = None
+        d = (code ^ pivot).bit_count()
+        children[d] = self._add(children.get(d, []), code, item)
         return node
 
     def add(self, code: int, item: int) -> None:
         self.root = self._add(self.root, code, item)
 
-    def within(self, code: int, radius: int) -> list[tuple[int, int]]:
-        """(distance, item) of what lies in the radius; only edges that the triangle inequality allows are followed."""
-        found, todo = [], [self.root]
+    def apart(self, code: int, radius: int, item: int) -> Iterator[int]:
+        """What lies in the radius and is not in the item's component when its turn comes, near children first.
+
+        Only edges that the triangle inequality allows are followed; joins between two results count at once.
+        """
+        find, todo = self.sets.find, [self.root]
         while todo:
             node = todo.pop()
             if isinstance(node, list):
-                found += [(d, i) for c, i in node if (d := (c ^ code).bit_count()) <= radius]
+                for c, i in node:
+                    if (c ^ code).bit_count() <= radius and find(i) != find(item):
+                        yield i
+                continue
+            pivot, own, children, one = node
+            if one[0] is not None and find(one[0]) == find(item):
                 continue
-            pivot, own, children = node
             d = (pivot ^ code).bit_count()
-            if d <= radius:
-                found.append((d, own))
-            todo += [child for e, child in children.items() if d - radius <= e <= d + radius]
-        return found
-
-
-class Sets:
-    """Union-find over a shard."""
-
-    def __init__(self, n: int) -> None:
-        self.parent = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.find(i), self.find(j)
-        self.parent[max(a, b)] = min(a, b)
-        return a != b
+            if d <= radius and find(own) != find(item):
+                yield own
+            todo += [child for e, child in sorted(children.items(), key=lambda x: -abs(x[0] - d)) if abs(e - d) <= radius]
 
 
 def forest(codes: list[int], radius: int) -> Iterator[tuple[int, int]]:
     """Links that connect the shard as all its pairs within the radius would: one fewer than a component's members."""
-    tree, sets = BKTree(), Sets(len(codes))
+    sets = Sets(len(codes))
+    tree = BKTree(sets)
     for i, code in enumerate(codes):
-        for _, j in tree.within(code, radius):
-            if sets.join(i, j):
-                yield i, j
+        for j in tree.apart(code, radius, i):
+            sets.join(i, j)
+            yield i, j
         tree.add(code, i)
 
 
@@ -254,9 +269,8 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             for a, b in slices(texts):
                 rows = []
                 for text in texts[a:b]:
-                    hashes = shingles(text, words)
-                    distinct = np.unique(hashes)
-                    rows.append((content(distinct), simhash(hashes), routes(distinct)))
+                    distinct = np.unique(shingles(text, words))
+                    rows.append((content(distinct), simhash(distinct), routes(distinct)))
                 cid, fp, keys = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(cid, pa.string()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
@@ -288,40 +302,34 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def similar_in(codes: list[int], sets: list[np.ndarray], similarity: float, radius: int, most: int) -> Iterator[tuple[int, int]]:
+def similar_in(codes: list[int], sets: list[np.ndarray], similarity: float, radius: int) -> Iterator[tuple[int, int]]:
     """Links between a shard's sets of at least the similarity: a forest with the components of all of them.
 
-    A BK-tree gives the earlier members within the radius, nearest first; one is compared only if its component isn't reached
-    yet. In a shard with ``most`` members in its tree, a set that agrees with one by 0.9 or more stands behind that one.
+    A BK-tree gives the earlier members within the radius that are not in the component yet; exact similarity decides.
     """
-    tree, groups, size = BKTree(), Sets(len(codes)), 0
+    groups = Sets(len(codes))
+    tree = BKTree(groups)
     for i, code in enumerate(codes):
-        best = 0.0
-        for _, j in sorted(tree.within(code, radius)):
-            if groups.find(i) == groups.find(j):
-                continue
-            likeness = jaccard(sets[i], sets[j])
-            if likeness >= similarity:
+        for j in tree.apart(code, radius, i):
+            if jaccard(sets[i], sets[j]) >= similarity:
                 groups.join(i, j)
-                best = max(best, likeness)
                 yield i, j
-        if size < most or best < 0.9:
-            tree.add(code, i)
-            size += 1
+        tree.add(code, i)
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 20, most: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's ``doc_id`` and ``component_id``: the least id that links between similar texts reach.
 
     Texts link whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more. A shard holds the
     distinct sets that share a routing key; its BK-tree follows edges within ``radius`` bits of the SimHash, and exact
-    similarity decides. Of pairs at a similarity of 0.8, five in a million share no key; closer pairs fewer still. Equal
-    sets are one node, so copies never meet in pairs, and texts without words are equal. A shard gives a forest of links.
+    similarity decides. Of pairs at a similarity of 0.8, five in a million share no key and about as many, where sets are tiny,
+    differ in more bits; closer pairs fewer still. Equal sets are one node, so copies never meet in pairs, and texts without
+    words are equal. A shard gives a forest of links.
     Null texts count as empty; a null id takes no part in the least id; repeated rows come out as often.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = save(sketches(docs, words))
-    nodes = rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     routed = save(nodes.select("cid", "least", "fp", F.explode("keys").alias("key")))
     shared = routed.groupBy("key").count().where("count > 1").select("key")
     routed = save(routed.join(shared, "key", "left_semi"))
@@ -332,7 +340,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         for shard in runs(batches, 1):
             cid, codes = shard.column("cid").to_pylist(), shard.column("fp").to_numpy().view(np.uint64).tolist()
             held = [np.frombuffer(x, np.uint64) for x in shard.column("held").to_pylist()]
-            found = list(similar_in(codes, held, similarity, radius, most))
+            found = list(similar_in(codes, held, similarity, radius))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([cid[i] for i, _ in found]), pa.array([cid[j] for _, j in found])], names=["a", "b"])
 
