@@ -32,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines whose template an earlier one has; ``n_chars`` follows the text. None goes."""
     rows, back = set_aside(docs, "n_lines", "n_dropped")
-    left = linededup.drop_recurring(rows).drop("n_lines", "n_dropped").withColumnsRenamed(back).select(*docs.columns)
+    left = linededup.drop_recurring(rows, by_leaf=True).drop("n_lines", "n_dropped").withColumnsRenamed(back).select(*docs.columns)
     return left.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -82,6 +82,21 @@ def test_line_templates(spark, odd, empty):
     assert linededup.drop_recurring(empty).count() == 0
 
 
+def test_templates_of_whole_leaves(spark):
+    """Edits at different places, repeated field values, and two forms mixed in a leaf."""
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    changed = lambda *at: " ".join(f"new{chr(97 + j)}" if (j := dict(at).get(i)) is not None else w for i, w in enumerate(words))
+    three = [(1, changed()), (2, changed((7, 0))), (3, changed((9, 1)))]
+    r = random.Random(9)
+    many = [(1, changed())] + [(i, changed((r.randrange(5, 12), r.randrange(26)), (r.randrange(12, 20), r.randrange(26)))) for i in range(2, 1001)]
+    names = [(i, f"the court of appeal at {('York', 'Leeds', 'Bath')[i % 3]} heard the claim of {('Smith', 'Jones')[i % 2]} today and again") for i in range(1, 13)]
+    other = [" ".join([*words[:5], *(f"x{w}" for w in words[5:])]), " ".join([*words[:5], *(f"y{w}" for w in words[5:])])]
+    mixed = [(1, other[0]), (2, other[1]), (3, other[0].replace("xwk", "z")), (4, other[1].replace("ywl", "z"))]
+    for docs, kept in ((three, {1}), (many, {1}), (names, {1}), (mixed, {1, 2})):
+        out = linededup.drop_recurring(spark.createDataFrame(docs, DOCS), by_leaf=True).collect()
+        assert len(out) == len(docs) and {x.doc_id for x in out if x.text} == kept
+
+
 def test_extra_columns_with_clashing_names_survive(spark):
     df = spark.createDataFrame([(1, "one two three", 7, "x", "y", "z"), (2, "one two three", 8, "x", "y", "z")], DOCS + ", n_lines int, doc string, line_no string, drop string")
     out = linededup.drop_recurring(df).orderBy("doc_id").collect()
