@@ -57,34 +57,58 @@ class Sets:
 class BKTree:
     """A node's children are keyed by their Hamming distance to it; small subtrees stay lists until they exceed a bucket.
 
-    A node remembers a member of the component that its whole subtree is in, as long as there is only one: a search from
-    inside of that component has nothing to find there, so a large group of near copies costs no more than its links.
+    A code is in the tree once, with all its items beside it, so equal codes add no depth. A node, and a code's items,
+    remember a member of the component that all of it is in, as long as there is only one: a search from inside of that
+    component has nothing to find there, so a large group of near copies costs no more than its links.
     """
 
     def __init__(self, sets: Sets) -> None:
         self.sets = sets
         self.root: tuple | list = []
+        self.items: dict[int, tuple[list[int], list]] = {}  # of each code, and a member of their component if it is one
 
-    def _add(self, node: tuple | list, code: int, item: int) -> tuple | list:
-        if isinstance(node, list):
-            node.append((code, item))
-            if len(node) <= BUCKET:
-                return node
-            (pivot, own), rest = node[0], node[1:]
-            children: dict[int, tuple | list] = {}
-            for c, i in rest:
-                children.setdefault((c ^ pivot).bit_count(), []).append((c, i))
-            whole = len({self.sets.find(i) for _, i in node}) == 1
-            return (pivot, own, children, [own if whole else None])
-        pivot, _, children, one = node
+    def _narrow(self, one: list, item: int) -> None:
         if one[0] is not None and self.sets.find(one[0]) != self.sets.find(item):
             one[0] = None
-        d = (code ^ pivot).bit_count()
-        children[d] = self._add(children.get(d, []), code, item)
-        return node
+
+    def _divided(self, codes: list[int]) -> tuple:
+        children: dict[int, tuple | list] = {}
+        for c in codes[1:]:
+            children.setdefault((c ^ codes[0]).bit_count(), []).append(c)
+        ones = [self.items[c][1][0] for c in codes]
+        whole = None not in ones and len({self.sets.find(i) for i in ones}) == 1
+        return (codes[0], children, [ones[0] if whole else None])
 
     def add(self, code: int, item: int) -> None:
-        self.root = self._add(self.root, code, item)
+        new = code not in self.items
+        held, one = self.items.setdefault(code, ([], [item]))
+        held.append(item)
+        self._narrow(one, item)
+        node, siblings, at = self.root, None, 0
+        while not isinstance(node, list):
+            pivot, children, one = node
+            self._narrow(one, item)
+            if pivot == code:
+                return
+            siblings, at = children, (code ^ pivot).bit_count()
+            node = children.setdefault(at, [])
+        if new:
+            node.append(code)
+        if len(node) > BUCKET:
+            if siblings is None:
+                self.root = self._divided(node)
+            else:
+                siblings[at] = self._divided(node)
+
+    def _equal(self, code: int, item: int) -> Iterator[int]:
+        """A code's items that are not in the item's component when their turn comes."""
+        find = self.sets.find
+        held, one = self.items[code]
+        for i in held:
+            if one[0] is not None and find(one[0]) == find(item):
+                return
+            if find(i) != find(item):
+                yield i
 
     def apart(self, code: int, radius: int, item: int) -> Iterator[int]:
         """What lies in the radius and is not in the item's component when its turn comes, near children first.
@@ -95,16 +119,16 @@ class BKTree:
         while todo:
             node = todo.pop()
             if isinstance(node, list):
-                for c, i in node:
-                    if (c ^ code).bit_count() <= radius and find(i) != find(item):
-                        yield i
+                for c in node:
+                    if (c ^ code).bit_count() <= radius:
+                        yield from self._equal(c, item)
                 continue
-            pivot, own, children, one = node
+            pivot, children, one = node
             if one[0] is not None and find(one[0]) == find(item):
                 continue
             d = (pivot ^ code).bit_count()
-            if d <= radius and find(own) != find(item):
-                yield own
+            if d <= radius:
+                yield from self._equal(pivot, item)
             todo += [child for e, child in sorted(children.items(), key=lambda x: -abs(x[0] - d)) if abs(e - d) <= radius]
 
 

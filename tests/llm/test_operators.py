@@ -3,6 +3,7 @@ import re
 import zlib
 
 import brute
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -257,6 +258,19 @@ def test_similar_documents_against_all_pairs(spark, odd, empty):
     assert simhash.similar_documents(empty).count() == 0
 
 
+def test_many_equal_codes_in_a_shard():
+    """Sets of one SimHash: as many as would exceed the recursion limit, of two groups and some that fit neither."""
+    r = random.Random(11)
+    numbers = lambda: np.unique(np.array([r.getrandbits(63) for _ in range(60)], np.uint64))
+    base = [numbers(), numbers()]
+    sets = [np.unique(np.append(base[i % 2], np.uint64(i))) if i % 500 else numbers() for i in range(3000)]
+    found = list(simhash.similar_in([5] * 3000, sets, 0.8, 26))
+    groups = simhash.Sets(3000)
+    assert all(groups.join(i, j) for i, j in found)
+    assert len({groups.find(i) for i in range(3000)}) == 2 + 6
+    assert len(list(simhash.forest([1 << i for i in range(64)] * 40, 2))) == 64 * 40 - 1
+
+
 def test_co_training_on_planted_quality(spark):
     r = random.Random(8)
     rows = [(i, prose(i, 40) + "." if i % 4 else "### $$$ 000 " * r.randint(3, 9), "web" if i % 4 else r.choice(["junk", "web"])) for i in range(400)]
