@@ -89,7 +89,7 @@ class Languages:
     def codes(self, text: str) -> np.ndarray:
         """A code for each character of the lower-cased text."""
         points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-        return code_table(self.letters)[np.minimum(points, 0x10FFF)]
+        return code_table(self.letters)[points]
 
     def phrases(self, codes: list[np.ndarray]) -> np.ndarray:
         """Phrases of each document (row) in each language (column)."""
@@ -139,10 +139,9 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def code_table(letters: str) -> np.ndarray:
-    """Codes of the code points below 0x11000; those above share the last one's."""
+    """Codes of all code points."""
     if letters not in _tables:
-        table = np.array([0 if chr(p).isalpha() else 1 for p in range(0x11000)], np.int32)
-        table[0x10FFF] = 0
+        table = np.array([0 if chr(p).isalpha() else 1 for p in range(0x110000)], np.int32)
         for i, c in enumerate(letters, 2):
             table[ord(c)] = i
         _tables[letters] = table
@@ -175,7 +174,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     texts = {lang: folded("\n".join(t))[:chars] for lang, t in sorted(sample(labelled, id_col, text_col, lang_col, chars, most_languages).items())}
     seen = Counter("".join(texts.values()))
-    letters = "".join(sorted(c for c, _ in seen.most_common(most_letters) if c != " " and ord(c) < 0x10FFF))
+    letters = "".join(sorted(c for c, _ in seen.most_common(most_letters) if c != " "))
     code = {c: i for i, c in enumerate(letters, 2)} | {" ": 1}
     edges = []
     for text in texts.values():

@@ -185,6 +185,15 @@ def test_cross_parsing_counts_and_languages(spark, odd, empty):
     assert [r.lang_pred for r in language.identify(odd.limit(2), nothing).collect()] == ["und", "und"]
 
 
+def test_symbols_above_the_basic_plane_are_no_letters(spark):
+    en = "the law of the land and the court of appeal " * 20
+    model = language.learn(spark.createDataFrame([(i, en, "en") for i in range(4)], DOCS + ", lang string"))
+    texts = ["😀 😀🎉", "𝄞", "🇩🇪", "\U0010fffd", "the 😀 law", "𐐷", "𠀀"]
+    out = language.identify(spark.createDataFrame(list(enumerate(texts)), DOCS), model).orderBy("doc_id").collect()
+    assert [x.lang_pred for x in out] == ["und"] * 4 + ["en"] * 3
+    assert model.phrases([model.codes("the 😀 law")]).tolist() == model.phrases([model.codes("the   law")]).tolist()
+
+
 def test_imatch_edits_and_order(spark, empty):
     docs = [(10 * i, prose(i, 60 + i)) for i in range(30)] + [(5, None), (7, ""), (300, prose(1, 61))]
     for options in ({}, {"bucket_chars": 900}):
