@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLOTS = 32  # of the hashed metadata values
-
 
 def text_features(text: Column) -> dict[str, Column]:
     """Measures of the whole text, from 0 to about 10; a null text counts as empty."""
@@ -31,9 +30,9 @@ def text_features(text: Column) -> dict[str, Column]:
     }
 
 
-def page_slots(columns: list[str]) -> list[Column]:
-    """For each metadata column the slot of its value; numbers by their magnitude, nulls as a value of their own."""
-    return [F.pmod(F.xxhash64(F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(SLOTS)).cast("int") for c in columns]
+def page_values(columns: list[str]) -> list[Column]:
+    """For each metadata column a 64-bit hash of its name and value; a null counts as empty."""
+    return [F.xxhash64(F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -56,26 +55,50 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 25) -> n
     return w
 
 
-@dataclass
-class View:
-    """A linear classifier on standardised features, and the line that calibrates its output."""
+def conjugate(times: Callable[[np.ndarray], np.ndarray], g: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """The solution of a positive definite system, by conjugate gradients scaled by its diagonal."""
+    x, r = np.zeros(len(g)), g.copy()
+    z = r / diagonal
+    p, rz = z, r @ z
+    for _ in range(200):
+        if np.abs(r).max() <= 1e-9 * max(1.0, np.abs(g).max()):
+            break
+        q = times(p)
+        alpha = rz / (p @ q)
+        x, r = x + alpha * p, r - alpha * q
+        z = r / diagonal
+        p, rz = z + (r @ z) / rz * p, r @ z
+    return x
+
+
+def logistic_values(at: np.ndarray, y: np.ndarray, size: int, penalty: float, steps: int = 25) -> np.ndarray:
+    """Like ``logistic`` for rows that have the values at the places ``at`` of ``size``: a weight for each, then the intercept."""
+    ridge = np.append(np.full(size, penalty), 1e-6)
+    ahead = lambda v: v[at].sum(1) + v[-1]
+    back = lambda r: np.append(np.bincount(at.ravel(), np.repeat(r, at.shape[1]), size), r.sum())
+    w = np.zeros(size + 1)
+    for _ in range(steps):
+        p = sigmoid(ahead(w))
+        d = p * (1 - p) + 1e-9
+        step = conjugate(lambda v, d=d: back(d * ahead(v)) + ridge * v, back(y - p) - ridge * w, back(d) + ridge)
+        w += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+@dataclass(kw_only=True)
+class Linear:
+    """Weights, and the line that calibrates their output."""
 
-    mean: np.ndarray
-    spread: np.ndarray
     weights: np.ndarray
     slope: float = 1.0
     offset: float = 0.0
 
-    @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float) -> View:
-        mean, spread = x.mean(0), x.std(0)
-        spread[spread < 1e-9] = 1
-        return cls(mean, spread, logistic((x - mean) / spread, y, penalty))
-
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.spread @ self.weights[:-1] + self.weights[-1]
+        raise NotImplementedError
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> View:
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> Linear:
         """Platt scaling on rows that were not fitted on."""
         self.slope, self.offset = logistic(self.raw(x)[:, None], y, 0.01)
         return self
@@ -83,34 +106,61 @@ class View:
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self.slope * self.raw(x) + self.offset
 
+
+@dataclass(kw_only=True)
+class View(Linear):
+    """A linear classifier on standardised features."""
+
+    mean: np.ndarray
+    spread: np.ndarray
+
+    @classmethod
+    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float) -> View:
+        mean, spread = x.mean(0), x.std(0)
+        spread[spread < 1e-9] = 1
+        return cls(mean=mean, spread=spread, weights=logistic((x - mean) / spread, y, penalty))
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.spread @ self.weights[:-1] + self.weights[-1]
+
     def linear(self) -> tuple[np.ndarray, float]:
         """The calibrated logit as weights of the plain features and a constant."""
         w = self.weights[:-1] / self.spread * self.slope
         return w, float(self.slope * self.weights[-1] + self.offset - w @ self.mean)
 
 
+@dataclass(kw_only=True)
+class Values(Linear):
+    """A classifier with a weight for each metadata value (its hash in ``values``); one that was not seen has weight 0."""
+
+    values: np.ndarray
+
+    @classmethod
+    def fit(cls, values: np.ndarray, at: np.ndarray, y: np.ndarray, penalty: float) -> Values:
+        return cls(values=values, weights=logistic_values(at, y, len(values), penalty))
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return self.weights[x].sum(1) + self.weights[-1]
+
+    def linear(self) -> tuple[np.ndarray, float]:
+        """The calibrated logit as weights of the values and a constant."""
+        return self.weights[:-1] * self.slope, float(self.slope * self.weights[-1] + self.offset)
+
+
 @dataclass
 class Model:
     columns: list[str]
     text: View
-    page: View
+    page: Values
     prior: float  # logit of the share of good rows
 
 
-def one_hot(slots: np.ndarray) -> np.ndarray:
-    """A column for each slot of each metadata value."""
-    out = np.zeros((len(slots), SLOTS * slots.shape[1]))
-    for j in range(slots.shape[1]):
-        out[np.arange(len(slots)), SLOTS * j + slots[:, j]] = 1
-    return out
-
-
 def matrix(rows: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of both views and the labels (NaN where there is none) of a bounded sample."""
+    """Text features, hashes of the metadata values and the labels (NaN where there is none) of a bounded sample."""
     features = text_features(F.col("text"))
-    got = rows.select(*features.values(), *page_slots(columns), F.col("good").cast("double")).orderBy("draw").toArrow()
-    values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in got.columns]) if len(got) else np.empty((0, len(got.columns)))
-    return values[:, : len(features)], one_hot(values[:, len(features) : -1].astype(int)), values[:, -1]
+    got = rows.select(*features.values(), *page_values(columns), F.col("good").cast("double")).orderBy("draw").toArrow()
+    stacked = lambda some, kind: np.array([c.to_numpy(zero_copy_only=False).astype(kind) for c in some], kind).reshape(len(some), len(got)).T
+    return stacked(got.columns[: len(features)], float), stacked(got.columns[len(features) : -1], np.int64), stacked(got.columns[-1:], float)[:, 0]
 
 
 def learn(docs: DataFrame, labels: DataFrame, columns: list[str], most_labelled: int = 20_000, most_pool: int = 20_000, rounds: int = 4, confidence: float = 0.97, most_added: int = 1000) -> Model:
@@ -132,6 +182,8 @@ def learn(docs: DataFrame, labels: DataFrame, columns: list[str], most_labelled:
     if len(set(y)) < 2:
         raise ValueError("labels of both classes are needed")
     pool_text, pool_page, _ = matrix(pool, columns)
+    values, at = np.unique(np.vstack([page, pool_page]), return_inverse=True)
+    page, pool_page = np.split(at.reshape(-1, len(columns)), [len(page)])
     check = np.arange(len(y)) % 5 == 0
     if len(set(y[check])) < 2 or len(set(y[~check])) < 2:
         check[:] = True
@@ -141,7 +193,8 @@ def learn(docs: DataFrame, labels: DataFrame, columns: list[str], most_labelled:
         views = {}
         for name, x, more in (("text", text, pool_text), ("page", page, pool_page)):
             at, given = extra[name]
-            views[name] = View.fit(np.vstack([x[fit_on], more[at]]), np.concatenate([y[fit_on], given]), 1.0).calibrate(x[check], y[check])
+            xs, ys = np.vstack([x[fit_on], more[at]]), np.concatenate([y[fit_on], given])
+            views[name] = (View.fit(xs, ys, 1.0) if name == "text" else Values.fit(values, xs, ys, 1.0)).calibrate(x[check], y[check])
         extra = {other: confident(views[name].logit(x), confidence, most_added, y.mean()) for name, x, other in (("text", pool_text, "page"), ("page", pool_page, "text"))}
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     return Model(columns, views["text"], views["page"], float(np.log(share / (1 - share))))
@@ -161,17 +214,20 @@ def confident(logit: np.ndarray, confidence: float, most: int, share: float) ->
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds to every row ``text_score``, ``page_score`` and ``score``: the probability of good quality by each view and by both.
 
-    The views' calibrated log-odds add up, less those of the classes. All columns are expressions of the row, so rows with
+    The views' calibrated log-odds add up, less those of the classes. The weights of values are joined by broadcast, so rows with
     nulls, empty texts and repeats have scores like any other. Columns of the input with these names are replaced.
     """
     w, base = model.text.linear()
     text = sum((f * float(a) for f, a in zip(text_features(F.col(text_col)).values(), w)), F.lit(base))
     v, start = model.page.linear()
-    page = F.lit(start)
-    for j, slot in enumerate(page_slots(model.columns)):
-        page = page + F.element_at(F.array(*[F.lit(float(a)) for a in v[SLOTS * j : SLOTS * (j + 1)]]), slot + 1)
-    p = lambda x: 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))))
+    weights = docs.sparkSession.createDataFrame(list(zip(model.page.values.tolist(), v.tolist())), "__value long, __weight double")
     kept = docs.drop("text_score", "page_score", "score")
-    both = kept.withColumns({"__text": text, "__page": page})
+    both, page = kept.withColumn("__text", text), F.lit(start)
+    for j, value in enumerate(page_values(model.columns)):
+        own = F.broadcast(weights.toDF(f"__value{j}", f"__weight{j}"))  # at most the values in the learning rows
+        both = both.join(own, value == F.col(f"__value{j}"), "left")
+        page = page + F.coalesce(F.col(f"__weight{j}"), F.lit(0.0))
+    both = both.select(*kept.columns, "__text", page.alias("__page"))
+    p = lambda x: 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))))
     out = both.withColumns({"text_score": p(F.col("__text")), "page_score": p(F.col("__page")), "score": p(F.col("__text") + F.col("__page") - F.lit(model.prior))})
     return out.drop("__text", "__page")
