@@ -67,9 +67,14 @@ def fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.batches(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("group"), "turn"), "turn", 3)
 
 
+def embedded(docs: DataFrame) -> DataFrame:
+    """Whole texts and their stand-in embeddings."""
+    return docs.select("text", W.hash_embedding(F.col("text")).alias("v"))
+
+
 @query("UDF-01", "SELECT count(*) AS n, count(DISTINCT text) AS texts FROM documents")
 def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in embeddings of the first words of all documents; equal texts must agree."""
-    rows = table(spark, sf_dir, "documents").select("text", W.hash_embedding(F.left("text", F.lit(400))).alias("v"))
+    """Stand-in embeddings of all documents; equal texts must agree."""
+    rows = embedded(table(spark, sf_dir, "documents"))
     per = rows.groupBy(F.sha2("text", 256).alias("t")).agg(F.count("*").alias("n"), F.count_distinct("v").alias("vectors"))
     return per.agg(F.sum("n").alias("n"), F.sum("vectors").alias("texts"))

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from docketeer.plans import QUERIES
+from docketeer.plans import QUERIES, flows
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -48,3 +48,8 @@ def test_query(spark, db, name):
 
 def test_every_query_names_its_operators():
     assert all(q.operators for q in QUERIES.values())
+
+
+def test_embeddings_are_of_whole_texts(spark):
+    texts = ["word " * 100 + end for end in ("alpha", "omega")]
+    assert len({tuple(r.v) for r in flows.embedded(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}) == 2
