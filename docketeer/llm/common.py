@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about so many characters each, so that a batch of long texts is never expanded at once."""
     start = size = 0
     for i, text in enumerate(texts):
@@ -65,6 +66,17 @@ def slices(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int
         yield start, len(texts)
 
 
+_kept: dict[tuple[str, Any], Any] = {}
+
+
+def kept_by_worker(operator: str, key: Any, build: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one thing at a time, so that the stages of a pipeline don't add up."""
+    if (operator, key) not in _kept:
+        _kept.clear()
+        _kept[operator, key] = build()
+    return _kept[operator, key]
+
+
 def crc(column: Column) -> Column:
     """CRC-32 of an id written as text."""
     return F.crc32(column.cast("string").cast("binary"))

@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from docketeer.llm.common import slices
+from docketeer.llm.common import kept_by_worker, slices
 
 UNDETERMINED = "und"
 PREDICTED = "lang_pred string, score double, phrases array<long>"
-BREAK = 1 << 30  # marks a transition that starts a new phrase
-BLOCK = 2048  # a phrase ends at the end of a block of so many characters, so that long documents are parsed in parallel
+UNKNOWN, SPACE, FIRST = 0, 1, 2  # codes of a letter that no language was seen with, of what is no letter, of the first letter
+BLOCK = 2048  # characters that are parsed side by side with those of other blocks
+SEGMENT = 1 << 20  # of longer texts so many characters are in memory as codes at once
 
 
 def folded(text: str) -> str:
@@ -25,7 +26,7 @@ def folded(text: str) -> str:
     return "".join(c if c.isalpha() else " " for c in text.lower())
 
 
-def suffix_automaton(codes: list[int]) -> tuple[list[dict[int, int]], int]:
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     """Transitions of the smallest automaton that accepts the substrings of a text; state 0 is its start."""
     go: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -52,145 +53,235 @@ def suffix_automaton(codes: list[int]) -> tuple[list[dict[int, int]], int]:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return go, len(go)
+    return go
+
+
+def displaced(rows: list[np.ndarray], width: int) -> tuple[np.ndarray, int]:
+    """Where each row of codes begins in one common array, so that no two have a place in common, and that array's size.
+
+    Rows of many codes go first, each to the first place that has room; rows of a single code fill the gaps.
+    """
+    total = sum(map(len, rows))
+    taken = np.zeros(2 * total + 4 * width + 64, bool)
+    start, low = np.zeros(len(rows), np.int64), width  # a code is at most width, so no row begins before 0
+    for i in sorted((i for i, r in enumerate(rows) if len(r) > 1), key=lambda i: -len(rows[i])):
+        ahead = rows[i] - rows[i][0]
+        while True:
+            if low + ahead[-1] + 64 > len(taken):
+                taken = np.append(taken, np.zeros(len(taken) + ahead[-1] + 64, bool))
+            fits = ~taken[low : low + 64]
+            for k in ahead[1:]:
+                fits = fits & ~taken[low + k : low + k + 64]
+            place = low + int(fits.argmax())
+            if fits[place - low]:
+                break
+            low += 64  # too full for the rows to come; those of a single code fill it
+        taken[place + ahead] = True
+        start[i] = place - rows[i][0]
+    single = [i for i, r in enumerate(rows) if len(r) == 1]
+    taken = np.append(taken, np.zeros(len(single), bool))
+    gaps = width + np.flatnonzero(~taken[width:])[: len(single)]
+    start[single] = gaps - np.array([rows[i][0] for i in single], np.int64)
+    taken[gaps] = True
+    return start, int(np.flatnonzero(taken).max(initial=0)) + width + 1
 
 
 @dataclass
 class Languages:
-    """Each language's automaton as edge lists; a worker expands them to tables once."""
+    """The automata of all languages in one array, by row displacement: a state's transition by a code is at their sum.
+
+    A place belongs to a state only if ``owner`` says so; otherwise the phrase ends before the character, and the next
+    begins with the language's ``first`` transition.
+    """
 
     names: list[str]
-    letters: str  # code 1 is the space, the letters follow; 0 is any other letter
+    letters: str
     sizes: list[int]  # training characters
-    edges: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]
-    tables: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
-
-    def expand(self) -> tuple[np.ndarray, np.ndarray]:
-        """One transition table for all languages, and each language's starting place in it.
-
-        An entry holds the next state's row offset, and BREAK if the character starts a phrase. A language's first
-        row is the state before any phrase; an unknown character is a phrase by itself and leads back there.
+    starts: np.ndarray  # each language's state before any phrase
+    first: np.ndarray  # language x code: the state of a phrase of that one character
+    begin: np.ndarray  # by state
+    owner: np.ndarray  # by place
+    target: np.ndarray
+
+    @classmethod
+    def of(cls, texts: dict[str, str]) -> Languages:
+        """The automata of a folded text for each language."""
+        letters = "".join(sorted(set("".join(texts.values())) - {" "}))
+        code = {c: i for i, c in enumerate(letters, FIRST)} | {" ": SPACE}
+        width = len(letters) + FIRST
+        first, starts, rows, targets = np.zeros((len(texts), width), np.int32), [], [], []
+        for number, text in enumerate(texts.values()):
+            go, base = suffix_automaton([code[c] for c in text]), len(rows)
+            starts.append(base)
+            first[number] = base  # no phrase holds an unknown character, so the state after it is the one before any
+            for c, t in go[0].items():
+                first[number, c] = base + t
+            for state, row in enumerate(go):
+                held = sorted(row) if state else []
+                rows.append(np.array(held, np.int64))
+                targets.append([base + row[c] for c in held])
+        begin, size = displaced(rows, width)
+        owner, target = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        if rows:
+            own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            places = begin[own] + np.concatenate(rows)
+            owner[places], target[places] = own, np.array([t for some in targets for t in some], np.int32)
+        return cls(list(texts), letters, [len(t) for t in texts.values()], np.array(starts, np.int32), first, begin.astype(np.int32), owner, target)
+
+    def codes(self, lower: str) -> np.ndarray:
+        """A code for each character of a lower-case text."""
+        table = kept_by_worker("language", self.letters, lambda: code_table(self.letters))
+        return table[np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+    def step(self, state: np.ndarray, row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and which of them begin a phrase. ``row``: where the language's first transitions lie."""
+        at = self.begin[state] + code
+        new = self.owner[at] != state
+        return np.where(new, self.first.reshape(-1)[row + code], self.target[at]), new
+
+    def parse(self, texts: list[np.ndarray], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases begun in each text (column) by each language (row), and the states at its end, from the given states.
+
+        All blocks of all texts are parsed side by side, those that aren't a text's first as if a phrase began there. Then
+        each goes on from the end of the one before it until both parses begin a phrase at the same character, from
+        where they agree. A block that they never agree in passes its own end on to the next one.
         """
-        if self.tables is None:
-            width = len(self.letters) + 2
-            rows = sum(states + 1 for *_, states in self.edges)
-            table, starts, base = np.empty((rows, width), np.int32), [], 0
-            for source, code, target, states in self.edges:
-                anew = np.full(width, base * width | BREAK, np.int32)
-                at_root = source == 0
-                anew[code[at_root]] = (base + 1 + target[at_root]) * width | BREAK
-                table[base : base + states + 1] = anew
-                table[base + 1 + source, code] = (base + 1 + target) * width
-                starts.append(base * width)
-                base += states + 1
-            self.tables = table.reshape(-1), np.array(starts, np.int32)
-        return self.tables
-
-    def codes(self, text: str) -> np.ndarray:
-        """A code for each character of the lower-cased text."""
-        points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-        return code_table(self.letters)[points]
-
-    def phrases(self, codes: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each document (row) in each language (column)."""
-        table, starts = self.expand()
-        parts = [(i, c[k : k + BLOCK]) for i, c in enumerate(codes) for k in range(0, len(c), BLOCK)]
-        counts = np.zeros((len(codes), len(starts)), np.int64)
-        if not parts:
-            return counts
-        parts.sort(key=lambda x: -len(x[1]))
-        size = np.array([len(c) for _, c in parts])
+        langs = len(self.names)
+        counts, end = np.zeros((langs, len(texts)), np.int64), state.copy()
+        parts = sorted(((i, k) for i, t in enumerate(texts) for k in range(0, len(t), BLOCK)), key=lambda p: -min(BLOCK, len(texts[p[0]]) - p[1]))
+        if not parts or not langs:
+            return counts, end
+        lane = {p: j for j, p in enumerate(parts)}
+        size = np.array([min(BLOCK, len(texts[i]) - k) for i, k in parts])
         grid = np.zeros((size[0], len(parts)), np.int32)
-        for j, (_, c) in enumerate(parts):
-            grid[: len(c), j] = c
-        state = np.repeat(starts[:, None], len(parts), axis=1)
-        found = np.zeros_like(state)
-        lanes = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # those that have a character at each step
-        for step, n in enumerate(lanes):
-            now = table[state[:, :n] + grid[step, :n]]
-            found[:, :n] += now >> 30
-            state[:, :n] = now & (BREAK - 1)
-        np.add.at(counts, [i for i, _ in parts], found.T)
-        return counts
+        for j, (i, k) in enumerate(parts):
+            grid[: size[j], j] = texts[i][k : k + BLOCK]
+        row = (np.arange(langs, dtype=np.int32) * self.first.shape[1])[:, None]
+        now = np.where([k == 0 for _, k in parts], state[:, [i for i, _ in parts]], self.starts[:, None])
+        begins = np.zeros((len(grid), langs, len(parts)), bool)
+        lanes = np.searchsorted(-size, -np.arange(1, len(grid) + 1), side="right")  # those with a character at each step
+        for t, n in enumerate(lanes):
+            now[:, :n], begins[t, :, :n] = self.step(now[:, :n], row, grid[t, :n])
+        found, alone = begins.sum(0), now.copy()
+        before = np.array([lane.get((i, k - BLOCK), -1) for i, k in parts])
+        after = np.full(len(parts), -1)
+        after[before[before >= 0]] = np.flatnonzero(before >= 0)
+        lang, at = (x.ravel() for x in np.meshgrid(np.arange(langs), np.flatnonzero(before >= 0), indexing="ij"))
+        while len(at):
+            own, of, st = now[lang, before[at]], lang, at
+            n = np.zeros(len(at), np.int64)
+            which, last = np.arange(len(at)), alone[lang, at]
+            for t in range(len(grid)):
+                ended = size[st] <= t
+                if ended.any():
+                    last[which[ended]] = own[ended]
+                    which, own, of, st = which[~ended], own[~ended], of[~ended], st[~ended]
+                if not len(which):
+                    break
+                own, new = self.step(own, row[of, 0], grid[t, st])
+                ours = begins[t, of, st]
+                n[which] += new.astype(np.int64) - ours
+                apart = ~(new & ours)
+                which, own, of, st = which[apart], own[apart], of[apart], st[apart]
+            last[which] = own
+            found[lang, at] = begins[:, lang, at].sum(0) + n
+            again = (now[lang, at] != last) & (after[at] >= 0)
+            now[lang, at] = last
+            lang, at = lang[again], after[at[again]]
+        for j, (i, k) in enumerate(parts):
+            counts[:, i] += found[:, j]
+            if k + BLOCK >= len(texts[i]):
+                end[:, i] = now[:, j]
+        return counts, end
+
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases of each whole text (row) in each language (column), how many are letters new to it, and the texts' letters."""
+        lower = [t.lower() for t in texts]
+        counts = np.zeros((len(texts), len(self.names)), np.int64)
+        new, letters = counts.copy(), np.zeros(len(texts), np.int64)
+        strange = (self.first == self.starts[:, None]).T.astype(np.int64)
+        strange[SPACE] = 0
+
+        def tally(i: int, codes: np.ndarray) -> None:
+            seen = np.bincount(codes, minlength=len(strange))
+            new[i] += seen @ strange
+            letters[i] += len(codes) - seen[SPACE]
+
+        short = [i for i, t in enumerate(lower) if len(t) <= SEGMENT]
+        codes = [self.codes(lower[i]) for i in short]
+        for i, c in zip(short, codes):
+            tally(i, c)
+        counts[short] = self.parse(codes, np.repeat(self.starts[:, None], len(short), axis=1))[0].T
+        for i in set(range(len(texts))) - set(short):
+            state = self.starts[:, None]
+            for k in range(0, len(lower[i]), SEGMENT):
+                piece = self.codes(lower[i][k : k + SEGMENT])
+                more, state = self.parse([piece], state)
+                counts[i] += more[:, 0]
+                tally(i, piece)
+        return counts, new, letters
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, list[int]]]:
         """Language, score and phrases of each text.
 
-        The languages compare by phrases times the logarithm of their training size. The score is one minus the ratio
-        of the best to the second best (1 if there is one language); ties go to the first name, with score 0. A text
-        that is null or has no letter is ``und`` with score 0.
+        A phrase costs the logarithm of the language's training size, or that of all code points if it is a letter new to
+        the language; the cheapest language wins. The score is one minus the ratio of the least cost to the second (1 if there
+        is one language); ties go to the first name, with score 0. A text that is null or has no letter is ``und`` with score 0.
         """
-        codes = [self.codes(t or "") for t in texts]
-        phrases = self.phrases(codes)
-        weight = np.array([math.log2(max(2, n)) for n in self.sizes])
+        phrases, new, letters = self.phrases([t or "" for t in texts])
+        costs = (phrases - new) * np.log2(np.maximum(2, self.sizes)) + new * math.log2(0x110000)
         out = []
-        for c, row in zip(codes, phrases):
-            if not self.names or not (c != 1).any():
+        for known, row, cost in zip(letters, phrases, costs):
+            if not self.names or not known:
                 out.append((UNDETERMINED, 0.0, row.tolist()))
                 continue
-            cost = row * weight
             best = int(cost.argmin())
             second = np.partition(cost, 1)[1] if len(cost) > 1 else np.inf
             out.append((self.names[best], float(1 - cost[best] / second), row.tolist()))
         return out
 
 
-_tables: dict[str, np.ndarray] = {}
-
-
 def code_table(letters: str) -> np.ndarray:
     """Codes of all code points."""
-    if letters not in _tables:
-        table = np.array([0 if chr(p).isalpha() else 1 for p in range(0x110000)], np.int32)
-        for i, c in enumerate(letters, 2):
-            table[ord(c)] = i
-        _tables[letters] = table
-    return _tables[letters]
+    table = np.array([UNKNOWN if chr(p).isalpha() else SPACE for p in range(0x110000)], np.int32)
+    for i, c in enumerate(letters, FIRST):
+        table[ord(c)] = i
+    return table
 
 
-def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, chars: int, most_languages: int) -> dict[str, list[str]]:
-    """About twice ``chars`` characters of each language, chosen by a hash of the id, at most ``chars`` from a text."""
+def sample(labelled: DataFrame, text_col: str, lang_col: str, chars: int, piece: int) -> dict[str, list[str]]:
+    """At least ``chars`` characters of each language where there are as many: the first ``piece`` of distinct texts, drawn by a hash."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("draw"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(F.least(F.length("text"), F.lit(chars))).alias("n")).limit(most_languages + 1).collect()}
-    if len(sizes) > most_languages:
-        raise ValueError(f"over {most_languages} languages")
+    rows = rows.select(F.col(lang_col).alias("lang"), F.left(F.col(text_col), F.lit(piece)).alias("text"), F.xxhash64(F.col(text_col)).alias("draw"))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    if not sizes:
+        return {}
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, 4 * chars / n))])
+    drawn = rows.where(F.pmod("draw", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).dropDuplicates(["lang", "draw"])
     found: dict[str, list[str]] = {}
-    if sizes:
-        share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, 2 * chars / n))])
-        drawn = rows.where(F.pmod("draw", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-        for r in sorted(drawn.select("lang", "draw", F.left("text", F.lit(chars)).alias("text")).collect()):
-            found.setdefault(r.lang, []).append(r.text)
-    for lang in sizes.keys() - found.keys():  # a few very long texts, none drawn
-        found[lang] = [r.text for r in rows.where(F.col("lang") == lang).orderBy("draw").select(F.left("text", F.lit(chars)).alias("text")).limit(4).collect()]
+    for r in sorted(drawn.select("lang", "draw", "text").collect()):
+        found.setdefault(r.lang, []).append(r.text)
+    for lang in sizes.keys() - found.keys():  # a few texts that no draw fell on
+        found[lang] = [r.text for r in rows.where(F.col("lang") == lang).orderBy("draw").select("text").limit(4).collect()]
     return found
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chars: int = 32_768, most_languages: int = 64, most_letters: int = 400) -> Languages:
-    """Builds the automata from a bounded sample: ``chars`` characters of text for each language.
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", chars: int = 32_768, piece: int = 2048) -> Languages:
+    """Builds the automata from a bounded sample: ``chars`` characters of text for each language, ``piece`` at most from a text.
 
-    Rows with a null language, or whose text has no letter, are left out. The ``most_letters`` most frequent letters of the
-    sample have transitions; others count as unknown. No rows: no languages, and every text is ``und``.
+    Copies of a text count once. Rows with a null language, or whose text has no letter, are left out. Letters that no sample has
+    are phrases by themselves. No rows: no languages, and every text is ``und``.
     """
-    texts = {lang: folded("\n".join(t))[:chars] for lang, t in sorted(sample(labelled, id_col, text_col, lang_col, chars, most_languages).items())}
-    seen = Counter("".join(texts.values()))
-    letters = "".join(sorted(c for c, _ in seen.most_common(most_letters) if c != " "))
-    code = {c: i for i, c in enumerate(letters, 2)} | {" ": 1}
-    edges = []
-    for text in texts.values():
-        go, states = suffix_automaton([code.get(c, 0) for c in text])
-        flat = [(s, c, t) for s, row in enumerate(go) for c, t in row.items() if c]
-        source, codes, target = (np.array(x, np.int32) for x in zip(*flat))
-        edges.append((source, codes, target, states))
-    return Languages(list(texts), letters, [len(t) for t in texts.values()], edges)
+    found = sample(labelled, text_col, lang_col, chars, piece)
+    return Languages.of({lang: folded("\n".join(t))[:chars] for lang, t in sorted(found.items())})
 
 
 def identify(docs: DataFrame, languages: Languages, text_col: str = "text") -> DataFrame:
     """Adds ``lang_pred``, ``score`` and ``phrases`` (one count for each learned language) to every row.
 
-    Whole texts are parsed, in blocks of 2048 characters. A column of the input with one of these names is replaced.
+    Whole texts are parsed. A column of the input with one of these names is replaced.
     """
-    model = docs.sparkSession.sparkContext.broadcast(languages)  # bounded by learn()'s parameters
+    model = docs.sparkSession.sparkContext.broadcast(languages)  # about a megabyte for each language
     kept = docs.drop("lang_pred", "score", "phrases")
     at = kept.columns.index(text_col)
 
@@ -202,6 +293,4 @@ def identify(docs: DataFrame, languages: Languages, text_col: str = "text") -> D
                 new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(phrases, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], names=[*batch.schema.names, "lang_pred", "score", "phrases"])
 
-    from pyspark.sql.types import StructType
-
     return kept.mapInArrow(run, StructType([*kept.schema.fields, *StructType.fromDDL(PREDICTED).fields]))
