@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from docketeer.llm.common import discard, save, slices
 
 BITS = 64
-BUCKET = 32  # fingerprints in a leaf of a tree before it is divided
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -55,17 +55,18 @@ class Sets:
 
 
 class BKTree:
-    """A node's children are keyed by their Hamming distance to it; small subtrees stay lists until they exceed a bucket.
+    """A node's children are keyed by their Hamming distance to it; subtrees of up to ``leaf`` codes are lists.
 
     A code is in the tree once, with all its items beside it, so equal codes add no depth. A node, and a code's items,
     remember a member of the component that all of it is in, as long as there is only one: a search from inside of that
     component has nothing to find there, so a large group of near copies costs no more than its links.
     """
 
-    def __init__(self, sets: Sets) -> None:
-        self.sets = sets
+    def __init__(self, sets: Sets, leaf: int = 1) -> None:
+        self.sets, self.leaf = sets, leaf
         self.root: tuple | list = []
         self.items: dict[int, tuple[list[int], list]] = {}  # of each code, and a member of their component if it is one
+        self.visited = self.pruned = 0  # nodes and lists that searches went into, and subtrees that the distance ruled out
 
     def _narrow(self, one: list, item: int) -> None:
         if one[0] is not None and self.sets.find(one[0]) != self.sets.find(item):
@@ -94,7 +95,7 @@ class BKTree:
             node = children.setdefault(at, [])
         if new:
             node.append(code)
-        if len(node) > BUCKET:
+        if len(node) > self.leaf:
             if siblings is None:
                 self.root = self._divided(node)
             else:
@@ -118,6 +119,7 @@ class BKTree:
         find, todo = self.sets.find, [self.root]
         while todo:
             node = todo.pop()
+            self.visited += 1
             if isinstance(node, list):
                 for c in node:
                     if (c ^ code).bit_count() <= radius:
@@ -129,7 +131,10 @@ class BKTree:
             d = (pivot ^ code).bit_count()
             if d <= radius:
                 yield from self._equal(pivot, item)
-            todo += [child for e, child in sorted(children.items(), key=lambda x: -abs(x[0] - d)) if abs(e - d) <= radius]
+            near = [e for e in children if d - radius <= e <= d + radius]
+            self.pruned += len(children) - len(near)
+            near.sort(key=lambda e: -abs(e - d))
+            todo += [children[e] for e in near]
 
 
 def forest(codes: list[int], radius: int) -> Iterator[tuple[int, int]]:
@@ -146,19 +151,21 @@ def forest(codes: list[int], radius: int) -> Iterator[tuple[int, int]]:
 def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """The rows of each value of the first ``keys`` columns, which the input is sorted by; values with one row are skipped."""
     held: list[pa.RecordBatch] = []
+    last: tuple = ()
     for batch in batches:
         if not batch.num_rows:
             continue
-        if held:
-            batch = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
         values = [c.to_numpy() for c in batch.columns[:keys]]
-        new = reduce(np.logical_or, [v[1:] != v[:-1] for v in values]) if batch.num_rows > 1 else np.empty(0, bool)
-        bounds = [0, *(np.flatnonzero(new) + 1).tolist()]
-        for a, b in zip(bounds, bounds[1:]):
-            if b - a > 1:
-                yield pa.Table.from_batches([batch.slice(a, b - a)])
-        held = [batch.slice(bounds[-1])]
-    if held and held[0].num_rows > 1:
+        new = reduce(np.logical_or, [v[1:] != v[:-1] for v in values])
+        bounds = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for a, b in pairwise(bounds):
+            if not held or a or last != tuple(v[0] for v in values):
+                if sum(x.num_rows for x in held) > 1:
+                    yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = tuple(v[-1] for v in values)
+    if sum(x.num_rows for x in held) > 1:
         yield pa.Table.from_batches(held)
 
 
@@ -189,25 +196,27 @@ def block_value(code: Column, shift: int, mask: int) -> Column:
     return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit(mask))
 
 
-def links(codes: DataFrame, radius: int = 2, most: int = 4096) -> DataFrame:
+def links(codes: DataFrame, radius: int = 2, shard: int = 256, most: int = 4096) -> DataFrame:
     """``a``, ``b``: links that connect the distinct codes (column ``fp``) as all pairs within the radius do.
 
-    A shard holds the codes that agree on a block of bits, and has a BK-tree. A shard of over ``most`` codes is divided by
-    the blocks of its rotated bits: again a pair within the radius agrees on one of them, so no link is lost.
+    A pair within the radius agrees on one of radius + 1 blocks of bits, so also on the first bits of it. A shard holds the codes
+    that agree on those, as many bits as give about ``shard`` codes each, and has a BK-tree. A shard of over ``most`` codes is
+    divided by the blocks of its other bits: again a pair within the radius agrees on one of them, so no link is lost.
     """
-    first = blocks(radius)
+    n = codes.count()
+    width = min(BITS // (radius + 1), max(0, (n // shard).bit_length() - 1))
+    first = [(shift, (1 << width) - 1) for shift, _ in blocks(radius)] if width else [(0, 0)]
     keyed = codes.select("fp", F.posexplode(F.array(*[block_value(F.col("fp"), *b) for b in first])).alias("block", "value"))
     large = keyed.groupBy("block", "value").count().where(F.col("count") > most).select("block", "value", F.lit(True).alias("large"))
     # the other bits of a shard, as one number: those before its block and those behind it
     others = F.element_at(F.array(*[rest_of(F.col("fp"), *b) for b in first]), F.col("block") + 1)
-    width = BITS - max(mask.bit_length() for _, mask in first)
-    finer = F.array(*[F.struct(F.lit(i).alias("i"), block_value(others, *b).alias("v")) for i, b in enumerate(blocks(radius, 0, width + 1))])
+    finer = F.array(*[F.struct(F.lit(i).alias("i"), block_value(others, *b).alias("v")) for i, b in enumerate(blocks(radius, 0, BITS - width))])
     keyed = keyed.join(large, ["block", "value"], "left")
     keyed = keyed.select("block", "value", F.explode(F.when(F.col("large"), finer).otherwise(F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("long").alias("v"))))).alias("f"), "fp")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in runs(batches, 4):
-            fp = shard.column("fp").to_numpy()
+        for held in runs(batches, 4):
+            fp = held.column("fp").to_numpy()
             found = list(forest(fp.view(np.uint64).tolist(), radius))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(fp[[i for i, _ in found]]), pa.array(fp[[j for _, j in found]])], names=["a", "b"])
@@ -248,25 +257,37 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, n_rows: int, most_hot: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has each key once, and in ``n`` how many rows have it.
+
+    Keys with over 1/``most_hot`` of the rows, fewer than ``most_hot``, are broadcast; their rows are not shuffled.
+    """
+    limit = n_rows // most_hot + 1
+    hot, cold = F.broadcast(table.where(F.col("n") > limit).drop("n")), table.where(F.col("n") <= limit).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's ``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``: the least id that links reach.
 
     Fingerprints of ``words``-word shingles link at ``radius`` or fewer differing bits. Equal fingerprints are one node, so
     groups of copies never meet in pairs. Null and empty texts have fingerprint zero and link like any other. Repeated rows
-    come out as often; rows with a null id have a null id and take no part in their component's least id.
+    come out as often; rows with a null id have a null id and take no part in their component's least id. Other columns are left.
     """
     prints = save(fingerprints(docs, words, id_col, text_col))
-    codes = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    codes = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(links(codes, radius))
-    named = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.where("root <> fp").join(least, "root").select("fp", "component_id").union(least.select(F.col("root").alias("fp"), "component_id"))
-    return prints.join(named, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    named = save(codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of_code = looked_up(named.select("fp", "root", F.col("n").alias("n_rows")), least, "root", named.count())
+    of_code = save(of_code.select("fp", "component_id", F.col("n_rows").alias("n")))
+    return looked_up(prints, of_code, "fp", prints.count()).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 # ---- documents that share a given part of their shingles ----
 
-ROUTES, TOGETHER = 12, 2  # routing keys of a document, and least hashes in each
+ROUTES, TOGETHER = 24, 2  # routing keys of a document, and least hashes in each
+EARLY = 3  # routing keys that are enough for nearly all members of a group
 _draws = np.random.default_rng(42).integers(1, 2**63, (2, ROUTES * TOGETHER), dtype=np.uint64)
 FACTORS, MASKS = _draws[0] * np.uint64(2) + np.uint64(1), _draws[1]
 
@@ -279,13 +300,13 @@ def routes(distinct: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(bytes([i]) + row.tobytes()) - (1 << 63) for i, row in enumerate(least)]
 
 
-def content(distinct: np.ndarray) -> str:
+def content(distinct: np.ndarray) -> bytes:
     """A name for a shingle set."""
-    return xxhash.xxh3_128_hexdigest(distinct.tobytes())
+    return xxhash.xxh3_128_digest(distinct.tobytes())
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id``, ``cid`` (a name for the text's set of shingles), ``fp`` and ``keys``, without the sets themselves."""
+    """``doc_id``, ``cid`` (a name for the text's set of shingles), its ``size``, ``fp`` and ``keys``, without the sets themselves."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,14 +315,14 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 rows = []
                 for text in texts[a:b]:
                     distinct = np.unique(shingles(text, words))
-                    rows.append((content(distinct), simhash(distinct), routes(distinct)))
-                cid, fp, keys = zip(*rows)
+                    rows.append((content(distinct), len(distinct), simhash(distinct), routes(distinct)))
+                cid, size, fp, keys = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(cid, pa.string()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "cid", "fp", "keys"],
+                    [batch.column(0).slice(a, b - a), pa.array(cid, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "cid", "size", "fp", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, cid string, fp long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, cid binary, size long, fp long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -312,9 +333,9 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 sets = [np.unique(shingles(t, words)) for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([pa.array([content(x) for x in sets]), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cid", "held"])
+                yield pa.RecordBatch.from_arrays([pa.array([content(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cid", "held"])
 
-    return docs.mapInArrow(run, "cid string, held binary").dropDuplicates(["cid"])
+    return docs.mapInArrow(run, "cid binary, held binary").dropDuplicates(["cid"])
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -326,55 +347,99 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def similar_in(codes: list[int], sets: list[np.ndarray], similarity: float, radius: int) -> Iterator[tuple[int, int]]:
+def similar_in(codes: list[int], sets: list[np.ndarray], similarity: float, radius: int, known: list | None = None, asks: list[bool] | None = None) -> Iterator[tuple[int, int]]:
     """Links between a shard's sets of at least the similarity: a forest with the components of all of them.
 
     A BK-tree gives the earlier members within the radius that are not in the component yet; exact similarity decides.
+    With ``known``, members of one known group are in a component already; with ``asks``, only those rows look for others.
     """
     groups = Sets(len(codes))
-    tree = BKTree(groups)
+    first: dict = {}
+    for i, k in enumerate(known or ()):
+        groups.join(first.setdefault(k, i), i)
+    tree = BKTree(groups, leaf=32)
+    if asks:
+        for i, code in enumerate(codes):
+            if not asks[i]:
+                tree.add(code, i)
     for i, code in enumerate(codes):
+        if asks and not asks[i]:
+            continue
         for j in tree.apart(code, radius, i):
             if jaccard(sets[i], sets[j]) >= similarity:
                 groups.join(i, j)
                 yield i, j
-        tree.add(code, i)
+        if not asks:
+            tree.add(code, i)
+
 
+def compared(dealt: DataFrame, keys: list[str], sets: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """``a``, ``b``: the links that ``similar_in`` finds among the rows (cid, fp, known, asks) of each value of the keys."""
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in runs(batches, len(keys)):
+            cid, known, asks = (shard.column(c).to_pylist() for c in ("cid", "known", "asks"))
+            codes = shard.column("fp").to_numpy().view(np.uint64).tolist()
+            held = [np.frombuffer(x, np.uint64) for x in shard.column("held").to_pylist()]
+            found = list(similar_in(codes, held, similarity, radius, known if any(known) else None, asks if any(asks) else None))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([cid[i] for i, _ in found], pa.binary()), pa.array([cid[j] for _, j in found], pa.binary())], names=["a", "b"])
+
+    rows = dealt.join(sets, "cid").select(*keys, "cid", "fp", "known", "asks", "held")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "cid").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 32, most: int = 1024, most_hashes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's ``doc_id`` and ``component_id``: the least id that links between similar texts reach.
 
-    Texts link whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more. A shard holds the
-    distinct sets that share a routing key; its BK-tree follows edges within ``radius`` bits of the SimHash, and exact
-    similarity decides. Of pairs at a similarity of 0.8, five in a million share no key and about as many, where sets are tiny,
-    differ in more bits; closer pairs fewer still. Equal sets are one node, so copies never meet in pairs, and texts without
-    words are equal. A shard gives a forest of links.
-    Null texts count as empty; a null id takes no part in the least id; repeated rows come out as often.
+    Texts link whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more. Equal sets are one
+    node, so copies never meet in pairs, and texts without words are equal. A shard holds the distinct sets that share a routing key; its
+    BK-tree follows edges within ``radius`` bits of the SimHash, and exact similarity decides. A pair at a similarity of 0.8
+    shares none of the 24 keys with probability 2e-11, and differs in over 32 bits less often than one in 10^9; closer pairs fewer still.
+
+    First the shards of three keys are compared, in parts of ``most`` sets and ``most_hashes`` shingles at most: that joins
+    nearly all members of each group. Then, of all keys, those shards remain in which members of several components have not
+    been compared. Their largest component needn't be compared with itself: the others are a query set, in blocks of ``most``,
+    against all members in parts. So no task holds a whole hot key, and no pair is left out.
+    Null texts count as empty; a null id takes no part in the least id; repeated rows come out as often. Other columns are left.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = save(sketches(docs, words))
-    nodes = rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    routed = save(nodes.select("cid", "least", "fp", F.explode("keys").alias("key")))
-    shared = routed.groupBy("key").count().where("count > 1").select("key")
-    routed = save(routed.join(shared, "key", "left_semi"))
+    nodes = save(rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count("*").alias("n")))
+    routed = nodes.select("cid", "least", "fp", "size", F.posexplode("keys").alias("route", "key"))
+    shared = routed.groupBy("key").agg(F.count("*").alias("members"), F.sum("size").alias("hashes")).where("members > 1")
+    parts = F.greatest(F.ceil(F.col("members") / most), F.ceil(F.col("hashes") / most_hashes)).cast("int")
+    routed = save(routed.join(shared.select("key", parts.alias("parts")), "key"))
     wanted = routed.select(F.col("least").alias("doc_id")).distinct()
     sets = save(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in runs(batches, 1):
-            cid, codes = shard.column("cid").to_pylist(), shard.column("fp").to_numpy().view(np.uint64).tolist()
-            held = [np.frombuffer(x, np.uint64) for x in shard.column("held").to_pylist()]
-            found = list(similar_in(codes, held, similarity, radius))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([cid[i] for i, _ in found]), pa.array([cid[j] for _, j in found])], names=["a", "b"])
+    deal = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    alone = {"known": F.lit(None).cast("binary"), "asks": F.lit(False)}
+    early = routed.where(F.col("route") < EARLY).withColumns({"part": deal(F.col("parts"))} | alone)
+    edges = save(compared(early, ["key", "part"], sets, similarity, radius))
+    roots = components(edges).withColumnRenamed("node", "cid")
+
+    left = routed.where((F.col("route") >= EARLY) | (F.col("parts") > 1)).join(roots, "cid", "left")
+    left = left.select("key", "cid", "fp", "size", F.coalesce("root", "cid").alias("known"))
+    ranked = left.groupBy("key", "known").agg(F.count("*").alias("members"), F.sum("size").alias("hashes"))
+    total = lambda members, hashes: F.greatest(F.lit(1), F.ceil(members / most), F.ceil(hashes / most_hashes)).cast("int")
+    several = ranked.groupBy("key").agg(F.sum("members").alias("members"), F.sum("hashes").alias("hashes"), F.max(F.struct("members", "hashes", "known")).alias("top"), F.count("*").alias("groups"))
+    several = several.where("groups > 1").select(
+        "key", F.col("top.known").alias("top"), total(F.col("members"), F.col("hashes")).alias("parts"),
+        total(F.col("members") - F.col("top.members"), F.col("hashes") - F.col("top.hashes")).alias("blocks"),
+    )
+    left = save(left.join(several, "key"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    held = left.select("key", every(F.col("blocks")).alias("block"), deal(F.col("parts")).alias("part"), "cid", "fp", "known", F.lit(False).alias("asks"))
+    asks = left.where("known <> top").select("key", deal(F.col("blocks")).alias("block"), every(F.col("parts")).alias("part"), "cid", "fp", "known", F.lit(True).alias("asks"))
+    edges = edges.union(compared(held.union(asks), ["key", "block", "part"], sets, similarity, radius))
 
-    dealt = routed.select("key", "cid", "fp").join(sets, "cid").select("key", "cid", "fp", "held")
-    edges = dealt.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(run, "a string, b string").distinct()
     roots = components(edges).withColumnRenamed("node", "cid")
-    named = save(nodes.select("cid", "least").join(roots, "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root")))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("cid", "component_id")
-    return rows.select("doc_id", "cid").join(named, "cid").select("doc_id", "component_id")
+    named = save(nodes.join(roots, "cid", "left").select("cid", "least", "n", F.coalesce("root", "cid").alias("root")))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of_set = looked_up(named.select("cid", "root", F.col("n").alias("n_rows")), least, "root", named.count())
+    of_set = save(of_set.select("cid", "component_id", F.col("n_rows").alias("n")))
+    return looked_up(rows.select("doc_id", "cid"), of_set, "cid", rows.count()).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
