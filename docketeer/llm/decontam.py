@@ -5,14 +5,17 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketeer.llm.common import kept_by_worker, save
 
 WORD = re.compile(r"[^\W_]+")
 MATCHES = "doc_id long, item_id long, distance int, start long, end long"
@@ -23,14 +26,19 @@ def plain(text: str) -> str:
     return " ".join(WORD.findall(text)).lower()
 
 
-def places(text: str, start: int, end: int) -> tuple[int, int]:
-    """Where a range of the plain text lies in the text itself, by whole words."""
-    words = list(WORD.finditer(text))
-    at, starts = 0, []
-    for m in words:
-        starts.append(at)
-        at += len(m[0].lower()) + 1
-    return words[max(0, bisect_right(starts, start) - 1)].start(), words[max(0, bisect_right(starts, max(start, end - 1)) - 1)].end()
+class Places:
+    """Where ranges of the plain text lie in the text itself, by whole words."""
+
+    def __init__(self, text: str) -> None:
+        self.words = [m.span() for m in WORD.finditer(text)]
+        self.starts, at = [], 0
+        for a, b in self.words:
+            self.starts.append(at)
+            at += len(text[a:b].lower()) + 1
+
+    def of(self, start: int, end: int) -> tuple[int, int]:
+        word = lambda i: self.words[max(0, bisect_right(self.starts, i) - 1)]
+        return word(start)[0], word(max(start, end - 1))[1]
 
 
 def masks(pattern: str) -> dict[str, int]:
@@ -77,6 +85,7 @@ class Item:
     text: str
     pieces: list[tuple[int, int]]
     above: list[list[Part]]  # for each piece, the larger and larger parts that hold it; the last is the whole
+    whole: dict[str, int]
     reverse: dict[str, int]
 
     @classmethod
@@ -95,19 +104,29 @@ class Item:
             divide(middle, b, [*over, part])
 
         divide(0, n, [])
-        return cls(number, text, list(zip(edges, edges[1:])), above, masks(text[::-1]))
-
-    def verify(self, text: str, piece: int, at: int) -> tuple[int, int, int] | None:
-        """Distance, start and end of a match around an exact hit of a piece, if every larger part allows it."""
-        for part in self.above[piece]:
-            low = max(0, at - (self.pieces[piece][0] - part.start) - part.budget)
-            window = text[low : at - self.pieces[piece][0] + part.end + part.budget]
-            found = myers(part.peq, part.end - part.start, window, part.budget)
-            if not found:
-                return None
-        distance, end = found
-        start = myers(self.reverse, len(self.text), window[:end][::-1], distance)
-        return distance, low + end - start[1], low + end
+        return cls(number, text, list(zip(edges, edges[1:])), above, masks(text), masks(text[::-1]))
+
+    def around(self, piece: int, at: int) -> tuple[int, int]:
+        """What a match that has an exact hit of a piece there can reach."""
+        budget, begin = len(self.pieces) - 1, at - self.pieces[piece][0]
+        return max(0, begin - budget), begin + len(self.text) + budget
+
+    def may_match(self, text: str, piece: int, at: int) -> bool:
+        """Whether every larger part around an exact hit of a piece allows a match."""
+        begin = at - self.pieces[piece][0]
+        return all(myers(p.peq, p.end - p.start, text[max(0, begin + p.start - p.budget) : begin + p.end + p.budget], p.budget) for p in self.above[piece])
+
+    def closest(self, text: str, windows: list[tuple[int, int]]) -> tuple[int, int, int] | None:
+        """Distance, start and end of the closest match within the windows, the leftmost end of equals."""
+        best = None
+        for low, high in windows:
+            window = text[low:high]
+            found = myers(self.whole, len(self.text), window, len(self.pieces) - 1)
+            if found and (best is None or found[0] < best[0]):
+                distance, end = found
+                start = myers(self.reverse, len(self.text), window[:end][::-1], distance)
+                best = distance, low + end - start[1], low + end
+        return best
 
 
 class Matcher:
@@ -115,10 +134,10 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
         self.items = [Item.of(i, t, rate) for i, text in items if (t := plain(text or ""))]
-        held: dict[str, list[tuple[Item, int]]] = {}
-        for item in self.items:
+        held: dict[str, list[tuple[int, int]]] = {}
+        for i, item in enumerate(self.items):
             for k, (a, b) in enumerate(item.pieces):
-                held.setdefault(item.text[a:b], []).append((item, k))
+                held.setdefault(item.text[a:b], []).append((i, k))
         self.automaton = ahocorasick.Automaton()
         for piece, owners in held.items():
             self.automaton.add_word(piece, (len(piece), owners))
@@ -126,30 +145,57 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str) -> dict[int, tuple[int, int, int]]:
-        """For each item found in the text its closest match, the leftmost of equals: distance, start, end in the plain text."""
-        found: dict[int, tuple[int, int, int]] = {}
+        """For each item found in the text its closest match, the leftmost of equals: distance, start, end in the plain text.
+
+        Each exact hit of a piece whose larger parts allow a match opens a window, and hits within an open window widen it.
+        Every match lies whole in the window of a hit, so the least distance in the windows is the least there is.
+        """
         if not self.items:
-            return found
+            return {}
+        windows: dict[int, list[list[int]]] = {}
         for last, (size, owners) in self.automaton.iter(text):
             at = last + 1 - size
             for item, piece in owners:
-                best = found.get(item.number)
-                if best and (best[0] == 0 or best[1] <= at < best[2]):
-                    continue
-                match = item.verify(text, piece, at)
-                if match and (not best or match[:2] < best[:2]):
-                    found[item.number] = match
+                low, high = self.items[item].around(piece, at)
+                held = windows.get(item)
+                if held and held[-1][0] <= at < held[-1][1]:
+                    held[-1][0], held[-1][1] = min(low, held[-1][0]), max(high, held[-1][1])
+                elif self.items[item].may_match(text, piece, at):
+                    windows.setdefault(item, []).append([low, high])
+        found: dict[int, tuple[int, int, int]] = {}
+        for i, held in windows.items():
+            item = self.items[i]
+            match = item.closest(text, held)
+            if match and (item.number not in found or match < found[item.number]):
+                found[item.number] = match
         return found
 
+    def has_any(self, text: str) -> bool:
+        """Whether a match of any item is in the text."""
+        return bool(self.items) and any(self.items[item].may_match(text, piece, last + 1 - size) for last, (size, owners) in self.automaton.iter(text) for item, piece in owners)
+
+
+@contextmanager
+def shared(items: DataFrame, number: int, n: int) -> Iterator[Broadcast]:
+    """One of ``n`` blocks of the items, broadcast for as long as it is needed."""
+    own = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == number)
+    held = items.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()])
+    try:
+        yield held
+    finally:
+        if n > 1:
+            held.destroy()
 
-def blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in lists of about ``block_chars`` characters, which bounds what is broadcast at once."""
-    items = items.where("text IS NOT NULL")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_chars))
-    for i in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").collect() if n > 1 else items.orderBy("item_id", "text").collect()
-        yield [(r.item_id, r.text) for r in rows]
+
+def prepared(items: DataFrame, block_chars: int) -> tuple[DataFrame, int]:
+    """The items with a text, and in how many blocks of about ``block_chars`` characters they go out."""
+    items = items.select(F.col("item_id").cast("long"), F.col("text")).where("text IS NOT NULL")
+    return items, max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+
+
+def matcher(held: Broadcast, rate: float) -> Matcher:
+    """A worker's automaton of the block, which it keeps from task to task."""
+    return kept_by_worker("decontam", (rate, tuple(held.value)), lambda: Matcher(held.value, rate))
 
 
 def matches(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_chars: int = 4_000_000) -> DataFrame:
@@ -157,24 +203,30 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_chars:
 
     A match differs from the item in at most ``rate`` of its characters (insertions, deletions, replacements), both without
     case and punctuation. Null texts and items without a letter or digit match nothing; of items that share an
-    id the closest counts; repeated documents repeat their rows. ``docs``: doc_id, text. ``items``: item_id, text.
+    id the closest counts; repeated documents repeat their rows. ``docs``: doc_id, text. ``items``: item_id, text. Other columns are left.
+    Items go out in blocks of about ``block_chars`` characters, one after the other: with several, each block's matches are
+    saved, and its broadcast is removed before the next.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    parts = [docs.mapInArrow(matching(docs, block, rate), MATCHES) for block in blocks(items.select(F.col("item_id").cast("long"), "text"), block_chars)]
-    return reduce(DataFrame.union, parts)
-
+    items, n = prepared(items, block_chars)
+    found = []
+    for i in range(n):
+        with shared(items, i, n) as held:
+            own = docs.mapInArrow(matching(held, rate), MATCHES)
+            found.append(save(own) if n > 1 else own)
+    return reduce(DataFrame.union, found)
 
-def matching(docs: DataFrame, block: list[tuple[int, str]], rate: float):
-    held = docs.sparkSession.sparkContext.broadcast(block)
 
+def matching(held: Broadcast, rate: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(held.value, rate)
+        own = matcher(held, rate)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             rows = []
             for i, text in enumerate(texts):
-                for item, (distance, start, end) in matcher.find(plain(text or "")).items():
-                    rows.append((ids[i].as_py(), item, distance, *places(text, start, end)))
+                if found := own.find(plain(text or "")):
+                    at = Places(text)
+                    rows += [(ids[i].as_py(), item, distance, *at.of(start, end)) for item, (distance, start, end) in found.items()]
             if rows:
                 columns = zip(*rows)
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
@@ -184,16 +236,21 @@ def matching(docs: DataFrame, block: list[tuple[int, str]], rate: float):
 
 
 def without_matches(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_chars: int = 4_000_000, text_col: str = "text") -> DataFrame:
-    """The rows whose text holds no test item, with all their columns; rows with a null text stay."""
+    """The rows whose text holds no test item, with all their columns; rows with a null text stay.
+
+    With several blocks of items each leaves a saved table for the next, and its broadcast is removed.
+    """
     at = docs.columns.index(text_col)
-    for block in blocks(items.select(F.col("item_id").cast("long"), "text"), block_chars):
-        held = docs.sparkSession.sparkContext.broadcast(block)
+    items, n = prepared(items, block_chars)
+    for i in range(n):
+        with shared(items, i, n) as held:
 
-        def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value, rate)
-            for batch in batches:
-                texts = batch.column(at).to_pylist()
-                yield batch.filter(pa.array([not matcher.find(plain(t or "")) for t in texts], pa.bool_()))
+            def run(batches: Iterable[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
+                own = matcher(held, rate)
+                for batch in batches:
+                    texts = batch.column(at).to_pylist()
+                    yield batch.filter(pa.array([not own.has_any(plain(t or "")) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+            docs = docs.mapInArrow(run, docs.schema)
+            docs = save(docs) if n > 1 else docs
     return docs
