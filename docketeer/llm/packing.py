@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketeer.llm.common import save, slices
+from docketeer.llm.common import kept_by_worker, save, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -32,7 +32,7 @@ class UnitIds:
     unit's are its words'. Up to ``most`` units and as many words are remembered.
     """
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task on each core
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -68,16 +68,6 @@ class UnitIds:
         return remember(self.words, found, self.most)
 
 
-_units: dict[str, UnitIds] = {}
-
-
-def unit_ids(path: str) -> UnitIds:
-    """A worker's units, which it keeps from task to task."""
-    if path not in _units:
-        _units[path] = UnitIds(path)
-    return _units[path]
-
-
 def remember(kept: dict, found: dict, most: int) -> dict:
     """Adds what is found as long as there is room; all of both."""
     if len(kept) + len(found) <= most:
@@ -114,7 +104,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 4096, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_units = unit_ids(tokenizer)
+        known_units = kept_by_worker("packing", tokenizer, lambda: UnitIds(tokenizer))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices(texts):
@@ -169,12 +159,12 @@ class OpenBins:
         return number
 
 
-def pack(pieces: DataFrame, size: int = 4096, open_bins: int = 16_384, tokens_a_task: int = 1 << 25) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 4096, open_bins: int = 256, tokens_a_task: int = 1 << 25) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to the pieces, whose ``length`` is between 1 and ``size``.
 
-    Each task packs about ``tokens_a_task`` tokens, longest pieces first, so what is left open at its end is a
-    negligible share, and memory depends on ``open_bins`` alone. The order of ties is fixed by id and piece, so a task that
-    runs again gives the same bins. No pieces: no rows.
+    Each task packs about ``tokens_a_task`` tokens as they arrive, in an order that says nothing of their lengths, and has at
+    most ``open_bins`` open bins. The order is fixed by a hash of the id, and by piece, so a task that runs again gives the same bins;
+    pieces without an id are dealt out by their place in the input. No pieces: no rows.
     """
     total = pieces.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, -(-total // tokens_a_task))
@@ -184,12 +174,13 @@ def pack(pieces: DataFrame, size: int = 4096, open_bins: int = 16_384, tokens_a_
         for batch in batches:
             at = [bins.put(n) for n in batch.column("length").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([first + n for n, _ in at], pa.int64()), pa.array([o for _, o in at], pa.int64())],
-                names=[*batch.schema.names, "sequence_id", "offset"],
+                [*batch.columns[:5], pa.array([first + n for n, _ in at], pa.int64()), pa.array([o for _, o in at], pa.int64())],
+                names=[*batch.schema.names[:5], "sequence_id", "offset"],
             )
 
-    dealt = pieces.repartition(int(tasks), "doc_id", "piece", "start")
-    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(run, PACKED)
+    turn = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()))
+    dealt = pieces.withColumn("turn", turn).repartition(int(tasks), "turn", "piece", "start")
+    return dealt.sortWithinPartitions("turn", "doc_id", "piece", "ids_crc32").mapInArrow(run, PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, **columns: str) -> DataFrame:

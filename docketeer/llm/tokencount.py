@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from docketeer.llm.common import kept_by_worker
+
 
 #: The public pattern of the byte-level vocabularies, and what it comes to on texts of the PLAIN characters.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -92,7 +94,7 @@ def words_of(text: str) -> list[str]:
 class Counts(dict):
     """Pieces of each word met; up to ``most`` words are remembered."""
 
-    def __init__(self, automaton: LongestMatch, most: int = 700_000) -> None:
+    def __init__(self, automaton: LongestMatch, most: int = 500_000) -> None:
         self.automaton, self.most = automaton, most
 
     def __missing__(self, word: str) -> int:
@@ -108,16 +110,6 @@ def rank_file(path: str) -> list[bytes]:
         return [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
 
 
-_counts: dict[str, Counts] = {}
-
-
-def piece_counts(path: str) -> Counts:
-    """A worker's automaton and counts, which it keeps from task to task."""
-    if path not in _counts:
-        _counts[path] = Counts(LongestMatch(rank_file(path)))
-    return _counts[path]
-
-
 def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """Adds ``n_words`` and ``n_tokens``, the greedy longest-match pieces of the whole text, to every row.
 
@@ -128,7 +120,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Da
     at = kept.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = piece_counts(vocabulary)
+        counts = kept_by_worker("tokencount", vocabulary, lambda: Counts(LongestMatch(rank_file(vocabulary))))
         for batch in batches:
             texts = batch.column(at).to_pylist()
             n_words, n_tokens = [], []
