@@ -2,48 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from docketeer.llm.common import discard, save, slices
 
-def text_features(text: Column) -> dict[str, Column]:
-    """Measures of the whole text, from 0 to about 10; a null text counts as empty."""
-    text = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.length(text), F.lit(1))
-    words = F.greatest(F.regexp_count(text, F.lit(r"\S+")), F.lit(1))
-    lines = F.split(text, "\n")
-    share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / n
-    return {
-        "size": F.log1p(F.length(text)) / 2,
-        "word": F.least(n / words, F.lit(40)) / 4,
-        "symbols": share(r"[^\p{L}\p{N}\s.,;:!?'\"()-]") * 10,
-        "digits": share("[0-9]") * 10,
-        "capitals": share(r"\p{Lu}") * 10,
-        "stops": F.regexp_count(text, F.lit(r"[.!?](?:\s|$)")) / words * 10,
-        "lines": F.least(n / F.size(lines), F.lit(1000)) / 100,
-        "repeats": 1 - F.size(F.array_distinct(lines)) / F.size(lines),
-        "variety": F.size(F.array_distinct(F.split(F.lower(text), r"\s+"))) / words,
-    }
+GRAMS = WORDS = 1 << 16  # buckets of byte trigrams and of words
+SLOTS = 1 << 20  # of metadata values: many times more than there are values, so that hardly two share one
+COUNTS = "feature long, bad double, good double"
+_draws = np.random.default_rng(8)
+POWERS = _draws.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+SPACE, LOWER, UPPER, DIGIT, STOP, MARK, OTHER = range(7)
 
 
-def page_values(columns: list[str]) -> list[Column]:
-    """For each metadata column a 64-bit hash of its name and value; a null counts as empty."""
-    return [F.xxhash64(F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
+def _classes() -> np.ndarray:
+    kinds = np.full(256, OTHER, np.uint8)
+    kinds[[0, 9, 10, 11, 12, 13, 32]] = SPACE
+    kinds[97:123], kinds[65:91], kinds[48:58] = LOWER, UPPER, DIGIT
+    kinds[list(b".!?")] = STOP
+    kinds[[c for c in range(33, 127) if kinds[c] == OTHER]] = MARK
+    return kinds
+
+
+KINDS = _classes()
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 25) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float | np.ndarray, steps: int = 25) -> np.ndarray:
     """Weights, the last of them the intercept, of a penalised logistic regression, by Newton's method."""
     x = np.column_stack([x, np.ones(len(x))])
-    ridge = np.full(x.shape[1], penalty)
-    ridge[-1] = 1e-6
+    ridge = np.append(np.broadcast_to(penalty, x.shape[1] - 1), 1e-6)
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = sigmoid(x @ w)
@@ -55,179 +53,237 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 25) -> n
     return w
 
 
-def conjugate(times: Callable[[np.ndarray], np.ndarray], g: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-    """The solution of a positive definite system, by conjugate gradients scaled by its diagonal."""
-    x, r = np.zeros(len(g)), g.copy()
-    z = r / diagonal
-    p, rz = z, r @ z
-    for _ in range(200):
-        if np.abs(r).max() <= 1e-9 * max(1.0, np.abs(g).max()):
-            break
-        q = times(p)
-        alpha = rz / (p @ q)
-        x, r = x + alpha * p, r - alpha * q
-        z = r / diagonal
-        p, rz = z + (r @ z) / rz * p, r @ z
-    return x
-
-
-def logistic_values(at: np.ndarray, y: np.ndarray, size: int, penalty: float, steps: int = 25) -> np.ndarray:
-    """Like ``logistic`` for rows that have the values at the places ``at`` of ``size``: a weight for each, then the intercept."""
-    ridge = np.append(np.full(size, penalty), 1e-6)
-    ahead = lambda v: v[at].sum(1) + v[-1]
-    back = lambda r: np.append(np.bincount(at.ravel(), np.repeat(r, at.shape[1]), size), r.sum())
-    w = np.zeros(size + 1)
-    for _ in range(steps):
-        p = sigmoid(ahead(w))
-        d = p * (1 - p) + 1e-9
-        step = conjugate(lambda v, d=d: back(d * ahead(v)) + ridge * v, back(y - p) - ridge * w, back(d) + ridge)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
-@dataclass(kw_only=True)
-class Linear:
-    """Weights, and the line that calibrates their output."""
-
-    weights: np.ndarray
-    slope: float = 1.0
-    offset: float = 0.0
-
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        raise NotImplementedError
-
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> Linear:
-        """Platt scaling on rows that were not fitted on."""
-        self.slope, self.offset = logistic(self.raw(x)[:, None], y, 0.01)
-        return self
-
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return self.slope * self.raw(x) + self.offset
+class Texts:
+    """The hashed byte trigrams and words of some whole texts."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        held = [(t or "").encode() for t in texts]
+        self.n = len(held)
+        self.size = np.array([len(t) for t in held], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.size + 2)[:-1]]).astype(np.int64) if held else np.empty(0, np.int64)
+        self.bytes = np.frombuffer(b"".join(t + b"\0\0" for t in held) + b"\0\0", np.uint8)
+        wide = self.bytes.astype(np.uint64)
+        grams = wide[:-2] * POWERS[0] + wide[1:-1] * POWERS[1] + wide[2:] * POWERS[2]
+        self.grams = (grams * MIX >> np.uint64(48)).astype(np.int64)
+        self.doc = np.repeat(np.arange(self.n), self.size + 2)  # of each byte; a text's last two are no text of its own
+        self.kinds = KINDS[self.bytes]
+        inside = self.kinds != SPACE
+        first = inside & ~np.concatenate([[False], inside[:-1]])
+        begins = np.flatnonzero(first)
+        at = np.arange(len(wide)) - (begins[np.cumsum(first) - 1] if len(begins) else 0)
+        value = np.where(inside, (wide + np.uint64(1)) * POWERS[at & 63], np.uint64(0))
+        self.words = np.add.reduceat(value, begins) if len(begins) else np.empty(0, np.uint64)
+        self.word_doc = self.doc[begins]
+        self.buckets = ((self.words ^ (self.words >> np.uint64(29))) * MIX >> np.uint64(48)).astype(np.int64)
+
+    def own(self) -> np.ndarray:
+        """Which trigrams begin inside of a text."""
+        return np.arange(len(self.doc)) - self.start[self.doc] < self.size[self.doc]
+
+    def counts(self, weight: np.ndarray) -> np.ndarray:
+        """Trigrams and words of all texts together, each text with its weight."""
+        some = self.own() & (weight[self.doc] != 0)
+        grams = np.bincount(self.grams[: len(self.doc)][some], weight[self.doc[some]], GRAMS)
+        return np.concatenate([grams, np.bincount(self.buckets, weight[self.word_doc], WORDS)])
+
+    def means(self, weights: np.ndarray) -> np.ndarray:
+        """Each text's mean weight of its trigrams, and of its words."""
+        grams = np.bincount(self.doc, np.where(self.own(), weights[self.grams[: len(self.doc)]], 0.0), self.n)
+        words = np.bincount(self.word_doc, weights[GRAMS + self.buckets], self.n)
+        return np.column_stack([grams / np.maximum(1, self.size), words / np.maximum(1, self.n_words())])
+
+    def n_words(self) -> np.ndarray:
+        return np.bincount(self.word_doc, minlength=self.n)
+
+    def measures(self) -> np.ndarray:
+        """Of each text: length, word length, shares of kinds of characters, sentence ends a word, repeated words."""
+        kinds = np.bincount(self.doc * 7 + self.kinds[: len(self.doc)], minlength=7 * self.n).reshape(-1, 7)[:, 1:]
+        size, words = np.maximum(1, self.size), np.maximum(1, self.n_words())
+        order = np.lexsort((self.words, self.word_doc))
+        doc, word = self.word_doc[order], self.words[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])
+        distinct = np.bincount(doc[new], minlength=self.n)
+        again = np.zeros(len(self.words), bool)
+        again[1:] = (self.words[1:] == self.words[:-1]) & (self.word_doc[1:] == self.word_doc[:-1])
+        return np.column_stack([
+            np.log1p(self.size), np.minimum(size / words, 40), kinds[:, [UPPER - 1, DIGIT - 1, MARK - 1, OTHER - 1]] / size[:, None],
+            kinds[:, STOP - 1] / words, distinct / words, np.bincount(self.word_doc, again, self.n) / words,
+        ])
+
+
+def log_ratios(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Naive Bayes weights of features: the logarithm of how much likelier each is in good rows; 0 for one never seen."""
+    seen = good + bad > 0
+    share = lambda n: np.log((n + 0.5) / (n.sum() + 0.5 * max(1, seen.sum())))
+    return np.where(seen, share(good) - share(bad), 0.0)
 
 
-@dataclass(kw_only=True)
-class View(Linear):
-    """A linear classifier on standardised features."""
+@dataclass
+class Line:
+    """A calibrated line through standardised inputs: log-odds of good quality."""
 
     mean: np.ndarray
     spread: np.ndarray
+    weights: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float) -> View:
+    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float | np.ndarray = 0.1) -> Line:
         mean, spread = x.mean(0), x.std(0)
         spread[spread < 1e-9] = 1
-        return cls(mean=mean, spread=spread, weights=logistic((x - mean) / spread, y, penalty))
+        return cls(mean, spread, logistic((x - mean) / spread, y, penalty))
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.spread @ self.weights[:-1] + self.weights[-1]
-
-    def linear(self) -> tuple[np.ndarray, float]:
-        """The calibrated logit as weights of the plain features and a constant."""
-        w = self.weights[:-1] / self.spread * self.slope
-        return w, float(self.slope * self.weights[-1] + self.offset - w @ self.mean)
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.spread, -10, 10) @ self.weights[:-1] + self.weights[-1]
 
 
-@dataclass(kw_only=True)
-class Values(Linear):
-    """A classifier with a weight for each metadata value (its hash in ``values``); one that was not seen has weight 0."""
+@dataclass
+class Model:
+    """Both views; None without labelled rows of both classes."""
 
-    values: np.ndarray
+    columns: list[str]
+    share: float  # of good rows
+    features: np.ndarray | None = None  # weights of trigrams, words
+    slots: np.ndarray | None = None  # and of metadata values
+    text: Line | None = None
+    page: Line | None = None
 
-    @classmethod
-    def fit(cls, values: np.ndarray, at: np.ndarray, y: np.ndarray, penalty: float) -> Values:
-        return cls(values=values, weights=logistic_values(at, y, len(values), penalty))
+    def inputs(self, texts: Texts, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the lines of the text view and of the metadata view take."""
+        return np.column_stack([texts.means(self.features), texts.measures()]), self.slots[slots].sum(1, keepdims=True)
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.weights[x].sum(1) + self.weights[-1]
 
-    def linear(self) -> tuple[np.ndarray, float]:
-        """The calibrated logit as weights of the values and a constant."""
-        return self.weights[:-1] * self.slope, float(self.slope * self.weights[-1] + self.offset)
+def prepared(docs: DataFrame, columns: list[str], text_col: str = "text") -> list:
+    """The text, and the slot of each metadata value (a null counts as a value of its own)."""
+    slots = [F.pmod(F.xxhash64(F.lit(c), F.col(c).cast("string")), F.lit(SLOTS)) for c in columns]
+    return [F.col(text_col).cast("string").alias("__text"), F.array(*slots).cast("array<long>").alias("__slots")]
 
 
-@dataclass
-class Model:
-    columns: list[str]
-    text: View
-    page: Values
-    prior: float  # logit of the share of good rows
+def in_batches(batches: Iterable[pa.RecordBatch], text: str = "__text", slots: str = "__slots") -> Iterator[tuple[pa.RecordBatch, Texts, np.ndarray]]:
+    for batch in batches:
+        texts = batch.column(text).to_pylist()
+        for a, b in slices(texts):
+            part = batch.slice(a, b - a)
+            held = part.column(slots)
+            yield part, Texts(texts[a:b]), held.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
 
 
-def matrix(rows: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text features, hashes of the metadata values and the labels (NaN where there is none) of a bounded sample."""
-    features = text_features(F.col("text"))
-    got = rows.select(*features.values(), *page_values(columns), F.col("good").cast("double")).orderBy("draw").toArrow()
-    stacked = lambda some, kind: np.array([c.to_numpy(zero_copy_only=False).astype(kind) for c in some], kind).reshape(len(some), len(got)).T
-    return stacked(got.columns[: len(features)], float), stacked(got.columns[len(features) : -1], np.int64), stacked(got.columns[-1:], float)[:, 0]
+def counted(rows: DataFrame, label: Callable[[pa.RecordBatch, Texts, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Feature counts by class over all rows: row 0 bad, row 1 good; trigrams, words and metadata slots side by side.
 
+    ``label`` gives each row's class for the text view and for the metadata view: 1, 0, or NaN to leave it out. A task passes on a
+    row for each feature it met, so what reaches the driver has the size of the feature space, whatever the input's.
+    """
 
-def learn(docs: DataFrame, labels: DataFrame, columns: list[str], most_labelled: int = 20_000, most_pool: int = 20_000, rounds: int = 4, confidence: float = 0.97, most_added: int = 1000) -> Model:
-    """Co-trains the two views on at most about ``most_labelled`` labelled rows and ``most_pool`` others, chosen by a hash.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, GRAMS + WORDS + SLOTS))
+        for part, texts, slots in in_batches(batches):
+            for_text, for_page = label(part, texts, slots)
+            for c in (0, 1):
+                if (for_text == c).any():
+                    total[c, : GRAMS + WORDS] += texts.counts((for_text == c).astype(float))
+                np.add.at(total[c], GRAMS + WORDS + slots[for_page == c].ravel(), 1.0)
+        met = np.flatnonzero(total.any(0))
+        for k in range(0, len(met), 10_000):
+            some = met[k : k + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0, some]), pa.array(total[1, some])], names=["feature", "bad", "good"])
+
+    got = rows.mapInArrow(run, COUNTS).groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
+    counts = np.zeros((2, GRAMS + WORDS + SLOTS))
+    for c, name in enumerate(("bad", "good")):
+        counts[c, got.column("feature").to_numpy()] = got.column(name).to_numpy()
+    return counts
+
+
+def views(columns: list[str], counts: np.ndarray, share: float) -> Model:
+    """Naive Bayes weights from the counts; the lines are not fitted yet."""
+    n = GRAMS + WORDS
+    weights = [log_ratios(counts[1, a:b], counts[0, a:b]) for a, b in ((0, GRAMS), (GRAMS, n), (n, n + SLOTS))]
+    return Model(columns, share, np.concatenate(weights[:2]), weights[2])
+
+
+def calibrated(model: Model, labelled: DataFrame) -> Model:
+    """Fits both lines on the labelled rows that the weights were not learned from."""
+    spark = labelled.sparkSession
+    held = spark.sparkContext.broadcast(model)
+    width = 2 + 9 + 1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts, slots in in_batches(batches):
+            x = np.column_stack(held.value.inputs(texts, slots))
+            yield pa.RecordBatch.from_arrays([part.column("__good").cast(pa.float64()), part.column("__draw"), *[pa.array(c) for c in x.T.copy()]], names=["good", "draw", *[f"x{i}" for i in range(width)]])
+
+    schema = "good double, draw long, " + ", ".join(f"x{i} double" for i in range(width))
+    got = labelled.where("__check").mapInArrow(run, schema).orderBy("draw", "x0", "x1").toArrow()
+    x = np.column_stack([got.column(f"x{i}").to_numpy() for i in range(width)])
+    y = got.column("good").to_numpy()
+    # style says less of unseen kinds of text than the learned weights do, so it costs more
+    model.text, model.page = Line.fit(x[:, :-1], y, np.repeat([0.1, 10.0], [2, width - 3])), Line.fit(x[:, -1:], y)
+    held.destroy()
+    return model
+
+
+def learn(docs: DataFrame, labels: DataFrame, columns: list[str], most_labelled: int = 100_000, rounds: int = 2, confidence: float = 0.95, text_col: str = "text") -> Model:
+    """Co-trains the two views on at most about ``most_labelled`` labelled rows, chosen by a hash of the id, and on all others.
 
     ``docs``: doc_id, text and the metadata ``columns``. ``labels``: doc_id, good (0 or 1; rows with a null are left out, of
-    several labels of a document the lowest counts). A fifth of the labelled rows calibrates the views and is not fitted on.
-    Each round a view's most confident predictions on the pool, over ``confidence``, become labels for the other. Without
-    labels of both classes a view can't be fitted: ValueError.
+    several labels of a document the lowest counts). The text view: naive Bayes weights of hashed byte trigrams and words, whose
+    means go into a line together with measures of style. The metadata view: a naive Bayes weight for each value. The lines are
+    fitted on a fifth of the labelled rows, from which no weights are learned. In each round every document that is not among the labelled
+    ones gets a label for one view if the other is surer than ``confidence``, and the weights are learned anew from all.
+    Without labelled documents of both classes there are no views.
     """
-    labels = labels.dropna(subset=["doc_id", "good"]).groupBy("doc_id").agg(F.min("good").alias("good"))
+    labels = labels.dropna(subset=["doc_id", "good"]).groupBy("doc_id").agg(F.min("good").cast("double").alias("__good"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30))
-    n_labels, n_docs = labels.count(), docs.count()
-    some = labels.where(draw < (1 << 30) * min(1.0, most_labelled / max(1, n_labels)))
-    known = docs.join(F.broadcast(some), "doc_id").withColumn("draw", draw)  # some: bounded by most_labelled
-    pool = docs.where(draw < (1 << 30) * min(1.0, most_pool / max(1, n_docs))).join(labels, "doc_id", "left_anti")
-    pool = pool.withColumns({"good": F.lit(None).cast("int"), "draw": draw})
-    text, page, y = matrix(known, columns)
-    if len(set(y)) < 2:
-        raise ValueError("labels of both classes are needed")
-    pool_text, pool_page, _ = matrix(pool, columns)
-    values, at = np.unique(np.vstack([page, pool_page]), return_inverse=True)
-    page, pool_page = np.split(at.reshape(-1, len(columns)), [len(page)])
-    check = np.arange(len(y)) % 5 == 0
-    if len(set(y[check])) < 2 or len(set(y[~check])) < 2:
-        check[:] = True
-    fit_on = ~check if not check.all() else check
-    extra = {"text": (np.empty(0, int), np.empty(0)), "page": (np.empty(0, int), np.empty(0))}
-    for _ in range(rounds + 1):
-        views = {}
-        for name, x, more in (("text", text, pool_text), ("page", page, pool_page)):
-            at, given = extra[name]
-            xs, ys = np.vstack([x[fit_on], more[at]]), np.concatenate([y[fit_on], given])
-            views[name] = (View.fit(xs, ys, 1.0) if name == "text" else Values.fit(values, xs, ys, 1.0)).calibrate(x[check], y[check])
-        extra = {other: confident(views[name].logit(x), confidence, most_added, y.mean()) for name, x, other in (("text", pool_text, "page"), ("page", pool_page, "text"))}
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    return Model(columns, views["text"], views["page"], float(np.log(share / (1 - share))))
-
-
-def confident(logit: np.ndarray, confidence: float, most: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pool rows and labels of the surest predictions, both classes in their usual proportion."""
-    limit = np.log(confidence / (1 - confidence))
-    order = np.argsort(-logit, kind="stable")
-    good = [i for i in order if logit[i] >= limit]
-    bad = [i for i in order[::-1] if logit[i] <= -limit]
-    n_bad = min(len(bad), int(most * (1 - share)) + 1)
-    n_good = min(len(good), int(most * share) + 1)
-    return np.array([*good[:n_good], *bad[:n_bad]], int), np.array([1.0] * n_good + [0.0] * n_bad)
+    some = labels.where(draw < (1 << 30) * min(1.0, most_labelled / max(1, labels.count())))
+    rows = docs.select("doc_id", *prepared(docs, columns, text_col)).join(F.broadcast(some), "doc_id", "left").withColumn("__draw", draw)  # some: bounded by most_labelled
+    rows = rows.withColumn("__check", F.pmod(F.col("__draw"), F.lit(5)) == 0).drop("doc_id")
+    labelled = save(rows.where("__good IS NOT NULL"))
+    tally = {(r["__check"], r["__good"]): r["count"] for r in labelled.groupBy("__check", "__good").count().collect()}
+    n_good, n = sum(v for (_, g), v in tally.items() if g > 0), sum(tally.values())
+    share = (n_good + 1) / (n + 2)
+    if n_good in (0, n):
+        return Model(columns, share)
+    if len(tally) < 4:  # too few for a part that is held back
+        labelled = save(labelled.withColumn("__check", F.lit(True)))
+
+    whole = len(tally) < 4
+    known = lambda part, *_: (part.column("__good").to_numpy(zero_copy_only=False),) * 2
+    base = counted(labelled if whole else labelled.where("NOT __check"), known)
+    model = calibrated(views(columns, base, share), labelled)
+    limit = float(np.log(confidence / (1 - confidence)))
+    for _ in range(rounds):
+        held = docs.sparkSession.sparkContext.broadcast(model)
+
+        def exchanged(part: pa.RecordBatch, texts: Texts, slots: np.ndarray, held=held) -> tuple[np.ndarray, np.ndarray]:
+            text, page = (line.logit(x) for line, x in zip((held.value.text, held.value.page), held.value.inputs(texts, slots)))
+            sure = lambda x: np.where(np.abs(x) >= limit, (x > 0).astype(float), np.nan)
+            return sure(page), sure(text)
+
+        model = calibrated(views(columns, base + counted(rows.where("__good IS NULL"), exchanged), share), labelled)
+        held.destroy()
+    discard(labelled)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds to every row ``text_score``, ``page_score`` and ``score``: the probability of good quality by each view and by both.
 
-    The views' calibrated log-odds add up, less those of the classes. The weights of values are joined by broadcast, so rows with
-    nulls, empty texts and repeats have scores like any other. Columns of the input with these names are replaced.
+    The views' calibrated log-odds add up, less those of the classes. Nulls, empty texts, unseen values and repeated rows have scores
+    like any other. A model without views gives null for each, and the share of good labels (a half without labels) for
+    both. Columns of the input with these names are replaced.
     """
-    w, base = model.text.linear()
-    text = sum((f * float(a) for f, a in zip(text_features(F.col(text_col)).values(), w)), F.lit(base))
-    v, start = model.page.linear()
-    weights = docs.sparkSession.createDataFrame(list(zip(model.page.values.tolist(), v.tolist())), "__value long, __weight double")
     kept = docs.drop("text_score", "page_score", "score")
-    both, page = kept.withColumn("__text", text), F.lit(start)
-    for j, value in enumerate(page_values(model.columns)):
-        own = F.broadcast(weights.toDF(f"__value{j}", f"__weight{j}"))  # at most the values in the learning rows
-        both = both.join(own, value == F.col(f"__value{j}"), "left")
-        page = page + F.coalesce(F.col(f"__weight{j}"), F.lit(0.0))
-    both = both.select(*kept.columns, "__text", page.alias("__page"))
-    p = lambda x: 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))))
-    out = both.withColumns({"text_score": p(F.col("__text")), "page_score": p(F.col("__page")), "score": p(F.col("__text") + F.col("__page") - F.lit(model.prior))})
-    return out.drop("__text", "__page")
+    fields = [StructField(c, DoubleType()) for c in ("text_score", "page_score", "score")]
+    if model.text is None:
+        return kept.select(*kept.columns, F.lit(None).cast("double").alias("text_score"), F.lit(None).cast("double").alias("page_score"), F.lit(model.share).alias("score"))
+    held, n_kept = docs.sparkSession.sparkContext.broadcast(model), len(kept.columns)  # the model has the size of the feature space
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prior = np.log(held.value.share / (1 - held.value.share))
+        for part, texts, slots in in_batches(batches):
+            text, page = (line.logit(x) for line, x in zip((held.value.text, held.value.page), held.value.inputs(texts, slots)))
+            new = [pa.array(sigmoid(x)) for x in (text, page, text + page - prior)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:n_kept], *new], names=[*part.schema.names[:n_kept], "text_score", "page_score", "score"])
+
+    return kept.select("*", *prepared(kept, model.columns, text_col)).mapInArrow(run, StructType([*kept.schema.fields, *fields]))

@@ -108,11 +108,10 @@ def op7_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document, learned from the labels of the folds that are not held out."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.floor(F.log2(F.col("n_chars") + 1)).alias("magnitude"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good")).where(crc(F.col("doc_id")) % 5 != 0)
-    model = quality.learn(docs, labels, ["lang", "source", "magnitude"])
-    scored = quality.score(docs.withColumn("held_out", crc(F.col("doc_id")) % 5 == 0), model)
-    return scored.select("doc_id", "held_out", "text_score", "page_score", "score", (F.col("score") >= 0.5).cast("int").alias("quality_pred"))
+    scored = quality.score(docs, quality.learn(docs, labels, ["lang", "source"]))
+    return scored.select("doc_id", (crc(F.col("doc_id")) % 5 == 0).alias("held_out"), "text_score", "page_score", "score", (F.col("score") >= 0.5).cast("int").alias("quality_pred"))
 
 
 def op9_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
