@@ -14,6 +14,19 @@ def base_spans(text):
     return sorted(found)
 
 
+def linked_spans(text, base, weak, roles, reach):
+    """Weak parts with a complementary part in reach, by comparing all pairs; patterns and roles are the operator's."""
+    found = [(m.start(), len(base) + i, kind, m.end()) for i, (kind, pattern, group, least) in enumerate(weak) for m in re.finditer(pattern, text, re.ASCII) if (len(set(m[0])) if group < 0 else len(m[group])) >= least]
+    parts = base_spans(text) + found
+    kept = []
+    for start, number, kind, end in found:
+        complete = any((roles[k] == "secret") != (roles[kind] == "secret") and s <= end + reach and e >= start - reach for s, _, k, e in parts)
+        held = kind == "key" and any(k != "key" and s < end and e > start for s, _, k, e in parts)
+        if complete and not held:
+            kept.append((start, number, kind, end))
+    return kept
+
+
 def written(spans):
     return ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in sorted(spans))
 
