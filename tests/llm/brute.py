@@ -77,6 +77,68 @@ def distance(pattern, text):
     return min(row)
 
 
+def signed(n):
+    return n - (1 << 64) if n >> 63 else n
+
+
+def chained(values):
+    """One hash of a list, as Spark hashes an array: each element's hash is the next one's seed."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        h = xxhash.xxh64(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed=h).intdigest()
+    return h
+
+
+def imatch(docs, low, high, families, dense):
+    """Every text's hashes by lexicon, None where a lexicon has no term of it."""
+    import math
+
+    import regex
+
+    words = [set(regex.split(r"[^\p{L}\p{N}]+", t.lower())) - {""} for t in docs]
+    df = {}
+    for own in words:
+        for w in own:
+            df[w] = df.get(w, 0) + 1
+    least, most = max(2, math.ceil(len(docs) * math.exp(-high))), len(docs) * math.exp(-low)
+    band = {w: signed(chained([w])) for w, n in df.items() if least <= n <= most}
+
+    def hashes(text):
+        own = set(regex.split(r"[^\p{L}\p{N}]+", text.lower())) - {""}
+        terms = sorted(band[w] for w in own if w in band)
+        if not terms:
+            return [chained(sorted(own, key=str.encode))] + [None] * (sum(n for _, n in families) + dense - 1)
+        lexicons = [[t for t in terms if (t >> 11 * i) % parts == j] for i, (parts, n) in enumerate(families) for j in range(n)]
+        lexicons += [[t for t in terms if signed(chained_on(t, j)) % 3 > 0] for j in range(dense)]
+        return [chained(x) if x else None for x in lexicons]
+
+    return hashes
+
+
+def chained_on(term, number):
+    """A long's hash followed by that of an int."""
+    import xxhash
+
+    h = xxhash.xxh64(term.to_bytes(8, "little", signed=True), seed=42).intdigest()
+    return xxhash.xxh64(number.to_bytes(4, "little"), seed=h).intdigest()
+
+
+def likeness(a, b, families):
+    if a == b:
+        return 1.0
+    start, shares = 0, []
+    for _, n in families:
+        pairs = [(x, y) for x, y in zip(a[start : start + n], b[start : start + n]) if x is not None or y is not None]
+        shares.append((len(pairs), sum(x == y for x, y in pairs) / max(1, len(pairs))))
+        start += n
+    for n, share in shares[:0:-1]:
+        if n >= 4:
+            return share
+    return shares[1][1] if shares[1][0] else 0.0
+
+
 def greedy(first, inner, word):
     n, i, pieces = 0, 0, first
     while i < len(word):

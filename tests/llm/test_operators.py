@@ -252,6 +252,40 @@ def test_imatch_edits_and_order(spark, empty):
     assert len(again) == 3 and {r.near_next for r in again} == {1.0}
 
 
+def test_imatch_fingerprints_against_plain_python(spark):
+    r = random.Random(17)
+    docs = [(i, prose(i, r.randint(5, 300))) for i in range(60)] + [(60, None), (61, "zzz yyy"), (62, "Ünïcode ... wörds, wörds"), (63, prose(1, 40) * 200)]
+    docs += [(1000 + i, prose(i, 90) + f" extra{i % 3}") for i in range(8)]
+    frame = spark.createDataFrame(docs, DOCS).withColumns({"bucket": F.lit("x"), "rn": F.lit(1), "terms": F.lit(2), "tie": F.lit(3)})
+    texts = [t or "" for _, t in sorted(docs)]
+    hashes = brute.imatch(texts, 0.7, 7.0, imatch.FAMILIES, imatch.DENSE)
+    cut = [t[: len(t) - len(t) // 4] + after[: len(t) // 4] for t, after in zip(texts, texts[1:] + texts[:1])]
+    own, other = [hashes(t) for t in texts], [hashes(t) for t in cut]
+    shown = lambda x: ".".join("" if h is None else f"{h & 0xFFFFFFFF:X}" for h in x)
+    most = [0, *range(imatch.SPARSE, imatch.SPARSE + imatch.DENSE)]
+    agree = lambda a, b: sum(a[i] is not None and a[i] == b[i] for i in most)
+    got = sorted(imatch.fingerprints(frame, low=0.7, bucket_chars=3000).collect(), key=lambda x: x.doc_id)
+    for i, x in enumerate(got):
+        after = own[(i + 1) % len(own)]
+        assert (x.fingerprint, x.edited_fingerprint) == (shown(own[i]), shown(other[i]))
+        assert (x.agree_edited, x.agree_next) == (agree(own[i], other[i]), agree(own[i], after))
+        assert abs(x.near_edited - brute.likeness(own[i], other[i], imatch.FAMILIES)) < 1e-12
+        assert abs(x.near_next - brute.likeness(own[i], after, imatch.FAMILIES)) < 1e-12
+
+
+def test_one_id_of_very_many_rows_is_divided(spark):
+    """Null ids, and rows of one id, are ordered by a hash of their text in several buckets, in the same circle as ever."""
+    docs = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, prose(i, 20)) for i in range(300)]
+    frame = spark.createDataFrame(docs, DOCS)
+    tie = lambda t: brute.signed(brute.chained([t]))
+    wanted = [t for _, _, t in sorted((-1 if d is None else d, tie(t), t) for d, t in docs)]
+    rows = imatch.followed(frame, 1500, 100).collect()
+    assert len(rows) == 300 and {x.text: x.next_text for x in rows} == dict(zip(wanted, wanted[1:] + wanted[:1]))
+    buckets = {x.bucket for x in rows if x.doc_id is None}, {x.bucket for x in rows if x.doc_id == 7}
+    assert all(len(b) > 4 for b in buckets)
+    assert {(x.next_bucket, x.next_rn) for x in rows} == {(x.bucket, x.rn) for x in rows}
+
+
 def test_simhash_components_against_all_pairs(spark, odd, empty):
     r = random.Random(5)
     base = [prose(i, 120) for i in range(12)]
