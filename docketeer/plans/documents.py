@@ -12,7 +12,7 @@ from docketeer.operators import chunking as C
 from docketeer.operators import ingest as I
 from docketeer.operators import layout as Y
 from docketeer.plans.registry import query
-from docketeer.plans.texts import doc_key, docs
+from docketeer.plans.texts import doc_key, docs, planted
 from docketeer.sources.shared import shared_folder
 from docketeer.sources.tables import table
 
@@ -25,28 +25,35 @@ def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", N.content_type(F.concat(starts, "text"), size).alias("kind"))
 
 
-@query("STR-67", "SELECT doc_id, (doc_id % 30)::INT AS chapter, CASE doc_id % 3 WHEN 0 THEN 'example' WHEN 1 THEN 'question' ELSE 'concept' END AS kind FROM documents")
+@query("STR-67", r"""WITH t AS (SELECT doc_id, 'CHAPTER ' || (doc_id % 30) || ': ' || ['Worked cases', 'Review', 'Law'][doc_id % 3 + 1] || ' ' || text AS t FROM documents)
+SELECT doc_id, TRY_CAST(regexp_extract(t, '(?i)\bchapter\s+(\d+)', 1) AS INT) AS chapter, CASE WHEN regexp_matches(lower(t), 'example|sample|worked|demonstration|illustration|case study') THEN 'example' WHEN regexp_matches(lower(t), 'exercise|problem|question|checkpoint|practice|review|test yourself') THEN 'question' ELSE 'concept' END AS kind FROM t""")
 def chapter_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.concat(F.lit("CHAPTER "), (F.col("doc_id") % 30).cast("string"), F.lit(": "), F.element_at(F.array(F.lit("Worked cases"), F.lit("Review"), F.lit("Law")), (F.col("doc_id") % 3 + 1).cast("int")))
+    """The documents behind a chapter's heading."""
+    heading = F.concat(F.lit("CHAPTER "), (F.col("doc_id") % 30).cast("string"), F.lit(": "), F.element_at(F.array(F.lit("Worked cases"), F.lit("Review"), F.lit("Law")), (F.col("doc_id") % 3 + 1).cast("int")))
+    title = F.concat(heading, F.lit(" "), "text")
     return docs(spark, sf_dir).select("doc_id", N.chapter_number(title).alias("chapter"), N.header_kind(title).alias("kind"))
 
 
-@query("STR-49", "SELECT doc_id, '- item' || chr(10) || 'sum 40K+ of ' || doc_id AS t FROM documents")
+@query("STR-49", r"""WITH t AS (SELECT doc_id, '$\circ$ item' || chr(10) || text || chr(10) || '  $\bullet$ \text{sum} $40K+$ of\quad ' || doc_id AS t FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^(\s*)\$\\(?:circ|bullet|cdot)\$\s*', '\1- ', 'g'), '\\text\{([^}]*)\}', '\1', 'g'), '\$([^$\n]*)\$', '\1', 'g'), '\\[a-zA-Z]+', '', 'g') AS t FROM t""")
 def latex_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("$\\circ$ item\n\\text{sum} $40K+$ of\\quad "), doc_key())
-    return docs(spark, sf_dir).select("doc_id", N.without_latex(raw).alias("t"))
+    rows = docs(spark, sf_dir)
+    raw = F.concat(F.lit("$\\circ$ item\n"), "text", F.lit("\n  $\\bullet$ \\text{sum} $40K+$ of\\quad "), doc_key())
+    return rows.select("doc_id", N.without_latex(raw).alias("t"))
 
 
-@query("STR-51", "SELECT doc_id, 'kept ' || doc_id AS t FROM documents")
+@query("STR-51", r"""WITH t AS (SELECT doc_id, '<think>why' || chr(10) || '</think>--- BEGIN DOCUMENT ---' || chr(10) || '```text' || chr(10) || text || chr(10) || '```' || chr(10) || '--- END DOCUMENT ---' AS t FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?is)<think(?:ing)?>.*?</think(?:ing)?>', '', 'g'), '-{2,}\s*(?:BEGIN|END)\s+DOCUMENT\s*-{2,}', '', 'g'), '(?m)^```\w*\s*$\n?', '', 'g'), '^\s+|\s+$', '', 'g') AS t FROM t""")
 def reply_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("<think>why\n</think>--- BEGIN DOCUMENT ---\n```text\nkept "), doc_key(), F.lit("\n```\n--- END DOCUMENT ---"))
+    """The documents as a model's replies."""
+    raw = F.concat(F.lit("<think>why\n</think>--- BEGIN DOCUMENT ---\n```text\n"), "text", F.lit("\n```\n--- END DOCUMENT ---"))
     return docs(spark, sf_dir).select("doc_id", N.without_reasoning(raw).alias("t"))
 
 
-@query("FLT-16", "SELECT doc_id, doc_id % 3 <> 1 AS valid FROM documents")
+@query("FLT-16", "SELECT doc_id, coalesce(regexp_matches(string_split(text, ' ')[1], '^[a-zA-Z0-9_-]+$'), false) AS valid FROM documents")
 def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = F.element_at(F.array(F.lit("a_B-1"), F.lit("a b"), F.lit("0")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return docs(spark, sf_dir).select("doc_id", N.valid_folder(folder).alias("valid"))
+    """Each document's first word as the name of a folder."""
+    return docs(spark, sf_dir).select("doc_id", N.valid_folder(F.substring_index("text", " ", 1)).alias("valid"))
 
 
 @query("FLT-19 FLT-20 JSON-04", "SELECT c_custkey, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_mktsegment END AS segment, 2 + (c_custkey % 2 = 0)::INT AS n FROM customer")
@@ -78,12 +85,12 @@ def cause_title_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", draft.alias("draft"))
 
 
-@query("STR-45 STR-46 SORT-14 RET-08", "SELECT doc_id, 'The वादी under धारा ' || doc_id || ' of the act' AS t FROM documents")
+@query("STR-45 STR-46 SORT-14 RET-08", "SELECT doc_id, text || ' The वादी under धारा ' || doc_id || ' of the act' AS t FROM documents")
 def glossary_freeze_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms frozen before a translator and restored behind it; the longer term wins."""
     terms = F.create_map(F.lit("plaintiff"), F.lit("वादी"), F.lit("section"), F.lit("धारा"), F.lit("under section"), F.lit("under धारा"))
-    rows = docs(spark, sf_dir).select("doc_id", N.freeze(F.concat(F.lit("The Plaintiff under Section "), doc_key(), F.lit(" of the act")), terms).alias("f"))
-    spaced = F.replace("f.text", F.lit("__"), F.lit("_ _"))
+    rows = planted(spark, sf_dir, F.lit(" The Plaintiff under Section "), doc_key(), F.lit(" of the act")).select("doc_id", N.freeze(F.col("text"), terms).alias("f"))
+    spaced = F.regexp_replace("f.text", r"\[__(\d{4})__\]", "[_ _$1_ _]")
     return rows.select("doc_id", N.restore(spaced, F.col("f.held")).alias("t"))
 
 

@@ -13,39 +13,47 @@ from docketeer.plans.texts import doc_key, docs, planted
 from docketeer.sources.tables import table
 
 
-@query("STR-20", "SELECT doc_id, 'The defendant shall receive Rs. ' || doc_id || ' under Section 138, IPC' AS body FROM documents")
+@query("STR-20", r"""WITH t AS (SELECT doc_id, text || ' The  defendant shall receive Rs. ' || doc_id || ' under Section 138 , IPC' AS t FROM documents)
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '\s+([,;.!?])', '\1', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ') AS body FROM t""")
 def spelling_and_currency_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.concat(F.lit("The  Defendent shall recieve rs."), doc_key(), F.lit(" under section 138 , ipc"))
-    return docs(spark, sf_dir).select("doc_id", F.replace(D.standardised(body), F.lit("Defendant"), F.lit("defendant")).alias("body"))
+    rows = planted(spark, sf_dir, F.lit(" The  Defendent shall recieve rs."), doc_key(), F.lit(" under section 138 , ipc"))
+    return rows.select("doc_id", D.standardised(F.col("text")).alias("body"))
 
 
 @query("STR-21", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '=== SENDER / CLIENT DETAILS ===' WHEN 1 THEN '=== PLAINTIFF / PETITIONER DETAILS ===' ELSE '=== FIRST PARTY DETAILS ===' END || chr(10) || lang ||
-CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || CASE doc_id % 3 WHEN 0 THEN '=== RECIPIENT DETAILS ===' WHEN 1 THEN '=== DEFENDANT / RESPONDENT DETAILS ===' ELSE '=== SECOND PARTY DETAILS ===' END || chr(10) || source ELSE '' END || chr(10) || chr(10) || '=== RELIEF SOUGHT ===' || chr(10) || 'x' AS body FROM documents""")
+CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || CASE doc_id % 3 WHEN 0 THEN '=== RECIPIENT DETAILS ===' WHEN 1 THEN '=== DEFENDANT / RESPONDENT DETAILS ===' ELSE '=== SECOND PARTY DETAILS ===' END || chr(10) || source ELSE '' END ||
+CASE WHEN text <> '' THEN chr(10) || chr(10) || '=== FACTS ===' || chr(10) || text ELSE '' END || chr(10) || chr(10) || '=== RELIEF SOUGHT ===' || chr(10) || n_chars AS body FROM documents""")
 def labelled_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as the facts of a draft."""
     kind = F.element_at(F.array(F.lit("legal_notice"), F.lit("petition"), F.lit("lease")), (F.col("doc_id") % 3 + 1).cast("int"))
-    body = D.sections(kind, F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.col("source")), facts=F.lit(""), relief_sought=F.lit("x"))
-    return docs(spark, sf_dir, "lang", "source").select("doc_id", body.alias("body"))
+    body = D.sections(kind, F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.col("source")), facts=F.col("text"), relief_sought=F.col("n_chars").cast("string"))
+    return docs(spark, sf_dir, "text", "lang", "source", "n_chars").select("doc_id", body.alias("body"))
 
 
-@query("STR-53", "SELECT conv_id, turn, left(replace(replace(replace(text, '\"', ''), '.', ''), '''', ''), 80) AS title FROM conversations WHERE turn = 0")
+@query("STR-53", r"""WITH t AS (SELECT conv_id, turn, trim(' "' || text || '..."', ' ') AS t FROM conversations)
+SELECT conv_id, turn, left(regexp_replace(regexp_replace(regexp_replace(t, '^["''“”‘’]+', ''), '["''“”‘’]+$', ''), '\.+$', ''), 80) AS title FROM t""")
 def session_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bare = F.replace(F.replace(F.replace("text", F.lit('"'), F.lit("")), F.lit("."), F.lit("")), F.lit("'"), F.lit(""))
-    return table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", "turn", D.session_title(F.concat(F.lit(' "'), F.left(bare, F.lit(80)), F.lit('..."'))).alias("title")).withColumn("title", F.regexp_replace("title", r"\.+$", ""))
+    """Every message as a model's title, in quotation marks and with dots."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", D.session_title(F.concat(F.lit(' "'), "text", F.lit('..."'))).alias("title"))
 
 
-@query("STR-52", "SELECT doc_id, 'bail ' || doc_id AS q FROM documents")
+@query("STR-52", r"""WITH t AS (SELECT doc_id, '# Brief' || chr(10) || text || chr(10) || '## Search Query' || chr(10) || chr(10) || ' **bail ' || source || ' ' || doc_id || '**' || chr(10) || '## Next' || chr(10) || text AS t FROM documents)
+SELECT doc_id, regexp_replace(regexp_extract(t, '(?i)##\s*Search Query\s*\n+([^\n#]+)', 1), '^[\s"''`*]+|[\s"''`*]+$', '', 'g') AS q FROM t""")
 def search_query_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    brief = F.concat(F.lit("# Brief\nx\n## Search Query\n\n **bail "), doc_key(), F.lit("**\n## Next"))
-    return docs(spark, sf_dir).select("doc_id", D.search_query(brief).alias("q"))
+    """The documents as briefs with a heading for the query."""
+    brief = F.concat(F.lit("# Brief\n"), "text", F.lit("\n## Search Query\n\n **bail "), "source", F.lit(" "), doc_key(), F.lit("**\n## Next\n"), "text")
+    return docs(spark, sf_dir, "text", "source").select("doc_id", D.search_query(brief).alias("q"))
 
 
-@query("STR-40 STR-42 RET-09", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'WP' ELSE 'CRL_A' END AS case_type, CASE o_orderkey % 3 WHEN 0 THEN 'A vs B' WHEN 1 THEN 'A' ELSE (CASE WHEN o_orderkey % 2 = 0 THEN 'WP' ELSE 'CRL_A' END) || '/' || o_orderkey END AS title, CASE o_orderstatus WHEN 'F' THEN 'CLOSED' WHEN 'P' THEN 'PENDING' ELSE 'ACTIVE' END AS status FROM orders")
+@query("STR-40 STR-42 RET-09", r"""WITH t AS (SELECT o_orderkey, upper(substr(o_orderpriority, 3)) || '/' || o_orderkey AS number, CASE WHEN o_totalprice < 100000 THEN ' ' ELSE 'C' || o_custkey END AS p, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS r, 'Case ' || CASE o_orderstatus WHEN 'F' THEN 'Disposed' WHEN 'P' THEN 'Pending hearing' ELSE o_orderpriority END AS state FROM orders)
+SELECT o_orderkey, regexp_extract(number, '^[A-Z_]+') AS case_type, CASE WHEN trim(p) <> '' AND r IS NOT NULL THEN p || ' vs ' || r WHEN trim(p) <> '' THEN p ELSE coalesce(r, number) END AS title,
+CASE WHEN contains(lower(state), 'disposed') THEN 'CLOSED' WHEN contains(lower(state), 'pending') THEN 'PENDING' ELSE 'ACTIVE' END AS status FROM t""")
 def case_detail_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as listed cases."""
-    key, state = F.col("o_orderkey"), F.col("o_orderstatus")
-    number = F.concat(F.when(key % 2 == 0, "WP").otherwise("CRL_A"), F.lit("/"), key.cast("string"))
-    petitioner, respondent = F.when(key % 3 < 2, "A").otherwise(" "), F.when(key % 3 == 0, "B")
-    status = F.when(state == "F", "Case Disposed").when(state == "P", "Pending hearing").otherwise("Listed")
+    """Orders as listed cases: the priority names the type, the customer is the petitioner."""
+    key, state, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    number = F.concat(F.upper(F.substring(priority, 3, 100)), F.lit("/"), key.cast("string"))
+    petitioner, respondent = F.when(F.col("o_totalprice") < 100_000, " ").otherwise(F.concat(F.lit("C"), F.col("o_custkey").cast("string"))), F.when(key % 3 > 0, priority)
+    status = F.concat(F.lit("Case "), F.when(state == "F", "Disposed").when(state == "P", "Pending hearing").otherwise(priority))
     return table(spark, sf_dir, "orders").select("o_orderkey", D.case_type(number).alias("case_type"), D.case_title(petitioner, respondent, number).alias("title"), D.case_status(status).alias("status"))
 
 
@@ -56,18 +64,24 @@ def detail_label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", D.label_map(labels, values).alias("m")).select("c_custkey", F.col("m")["stage"].alias("stage"), F.col("m")["judge"].alias("judge"))
 
 
-@query("STR-62", "SELECT event_id, event_id % 2 = 0 AS limited, CASE WHEN event_id % 4 = 0 THEN (event_id % 60)::DOUBLE END AS wait FROM events")
+@query("STR-62", r"""WITH t AS (SELECT event_id, event_type || ' of ' || user_id || CASE event_id % 5 WHEN 0 THEN ': HTTP 429, Retry-After: ' || (user_id % 60) || 's' WHEN 1 THEN ': RESOURCE_EXHAUSTED, retry in ' || (event_id % 90) || '.5' WHEN 2 THEN ': too many requests ' || props ELSE ': error ' || props END AS e FROM events)
+SELECT event_id, regexp_matches(lower(e), '\b429\b|rate.?limit|resource.?exhausted|too many requests|quota') AS limited, TRY_CAST(nullif(regexp_extract(lower(e), '(?:retry(?:ing)?[ _-]?(?:after|in|delay)\D{0,5})(\d+(?:\.\d+)?)', 1), '') AS DOUBLE) AS wait FROM t""")
 def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("event_id")
-    error = F.when(key % 4 == 0, F.concat(F.lit("HTTP 429, retry after "), (key % 60).cast("string"), F.lit("s"))).when(key % 2 == 0, "Resource exhausted").otherwise("server error 500")
+    """Events as the messages of services; a number in them may be 429 by chance."""
+    kind, user = F.col("event_id") % 5, F.col("user_id")
+    detail = F.when(kind == 0, F.concat(F.lit(": HTTP 429, Retry-After: "), (user % 60).cast("string"), F.lit("s")))
+    detail = detail.when(kind == 1, F.concat(F.lit(": RESOURCE_EXHAUSTED, retry in "), (F.col("event_id") % 90).cast("string"), F.lit(".5")))
+    detail = detail.when(kind == 2, F.concat(F.lit(": too many requests "), "props")).otherwise(F.concat(F.lit(": error "), "props"))
+    error = F.concat("event_type", F.lit(" of "), user.cast("string"), detail)
     return table(spark, sf_dir, "events").select("event_id", D.is_rate_limit(error).alias("limited"), D.retry_after(error).alias("wait"))
 
 
-@query("SRC-14 SRC-17 STR-56", "SELECT page_id, 'a b/' || page_id || '.pdf' AS path, 'q' || page_id || '.pdf' AS name FROM pages")
+@query("SRC-14 SRC-17 STR-56", "SELECT page_id, url || ' ü' AS path, regexp_extract(url, '[^/]*$') || '.pdf' AS name FROM pages")
 def stored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("page_id").cast("string")
-    uploaded = F.concat(F.lit("f/123e4567-e89b-12d3-a456-426614174000_q"), key, F.lit(".pdf"))
-    return table(spark, sf_dir, "pages").select("page_id", D.stored_path(F.concat(F.lit("local://a%20b/"), key, F.lit(".pdf"))).alias("path"), D.original_name(uploaded).alias("name"))
+    """The pages' addresses as percent-encoded names in local storage, and behind the random identifiers of uploads."""
+    uploaded = F.concat(F.regexp_extract("url", "^.*/", 0), F.lit("123e4567-e89b-12d3-a456-426614174000_"), F.regexp_extract("url", "[^/]*$", 0), F.lit(".pdf"))
+    encoded = F.concat(F.replace(F.replace("url", F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")), F.lit("%20%C3%BC"))
+    return table(spark, sf_dir, "pages").select("page_id", D.stored_path(F.concat(F.lit("local://"), encoded)).alias("path"), D.original_name(uploaded).alias("name"))
 
 
 @query("STR-57", "SELECT n_nationkey, '| k | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || '/ |' || chr(10) || '| x |  |' AS md FROM nation")
@@ -83,10 +97,10 @@ def provider_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.provider(model).alias("provider"))
 
 
-@query("STR-13", "SELECT conv_id, turn, '(site:livelaw.in OR site:scconline.com OR site:barandbench.com) ' || left(text, 30) AS q FROM conversations")
+@query("STR-13", "SELECT conv_id, turn, '(site:livelaw.in OR site:scconline.com OR site:barandbench.com) ' || text AS q FROM conversations")
 def site_scoped_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = F.array_join(F.array(*[F.lit(f"site:{d}") for d in X.DOMAIN_LABELS]), " OR ")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("("), sites, F.lit(") "), F.left("text", F.lit(30))).alias("q"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("("), sites, F.lit(") "), "text").alias("q"))
 
 
 @query("STR-44", "SELECT doc_id, text || ' https://x.org/a@b see a.b@c.org S.482 and 2024 2024 ' || (10000 + doc_id) AS restored, true AS clean FROM documents")
@@ -102,33 +116,36 @@ def nfc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planted(spark, sf_dir, F.lit("éक़")).select("doc_id", T.nfc(F.col("text")).alias("text"))
 
 
-@query("STR-34 STR-36", "SELECT doc_id, 'धारा ' || doc_id || '। अगला, 1' AS t FROM documents")
+@query("STR-34 STR-36", r"""SELECT doc_id, regexp_replace(text, '\s+([,.])(\s|$)', '\1\2', 'g') || ' धारा ' || doc_id || '। अगला, 1' AS t FROM documents""")
 def danda_and_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("धारा "), doc_key(), F.lit(" ।अगला , १"))
-    return docs(spark, sf_dir).select("doc_id", T.western_digits(T.spaced(raw)).alias("t"))
+    rows = planted(spark, sf_dir, F.lit(" धारा "), doc_key(), F.lit(" ।अगला , १"))
+    return rows.select("doc_id", T.western_digits(T.spaced(F.col("text"))).alias("t"))
 
 
-@query("STR-30 STR-47 STR-39", "SELECT doc_id, 'की abc कि' || doc_id AS t FROM documents")
+@query("STR-30 STR-47 STR-39", "SELECT doc_id, text || ' की abc कि' || doc_id AS t FROM documents")
 def script_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("क ीabcक ि"), doc_key())
-    return docs(spark, sf_dir).select("doc_id", T.script_spaces(T.rejoined_words(T.without_private_glyphs(raw))).alias("t"))
+    rows = planted(spark, sf_dir, F.lit(" \ue001क ीabcक ि"), doc_key())
+    return rows.select("doc_id", T.script_spaces(T.rejoined_words(T.without_private_glyphs(F.col("text")))).alias("t"))
 
 
-@query("STR-31 STR-32 AGG-14", "SELECT doc_id, 'of the court in ' || doc_id || ' cases' AS t FROM documents")
+@query("STR-31 STR-32 AGG-14")
 def repeat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("of the court of the court in "), doc_key(), F.lit(" cases in "), doc_key(), F.lit(" cases"))
-    return docs(spark, sf_dir).select("doc_id", T.without_repeats(raw).alias("t"))
+    """Whole documents, with a repeat planted in them."""
+    rows = planted(spark, sf_dir, F.lit(" of the court of the court in "), doc_key(), F.lit(" cases in "), doc_key(), F.lit(" cases"))
+    return rows.select("doc_id", T.without_repeats(F.col("text")).alias("t"))
 
 
-@query("STR-29", "SELECT doc_id, 'The order was passed ' || doc_id || ' days ago.' || chr(10) || 'Next' AS t FROM documents")
+@query("STR-29")
 def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("The order was\npassed "), doc_key(), F.lit(" days\nago.\nNext"))
-    return docs(spark, sf_dir).select("doc_id", T.rejoined_lines(raw).alias("t"))
+    """Whole documents, with wrapped lines planted in them."""
+    rows = planted(spark, sf_dir, F.lit("\nThe order was\npassed "), doc_key(), F.lit(" days\nago.\nNext"))
+    return rows.select("doc_id", T.rejoined_lines(F.col("text")).alias("t"))
 
 
-@query("STR-50", "SELECT page_id, '<strong>x</strong> &amp; ' || page_id AS t FROM pages")
+@query("STR-50")
 def inline_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("<strong>x</strong><script>bad()</script> <foo>&amp; </foo>"), F.col("page_id").cast("string"))
+    """Whole pages with a few inline tags left, and markup planted behind them."""
+    raw = F.concat("html", F.lit("<strong>x</strong><script>bad()</script> <foo>&amp; </foo>"), F.col("page_id").cast("string"))
     return table(spark, sf_dir, "pages").select("page_id", T.sanitised(raw).alias("t"))
 
 
@@ -139,10 +156,11 @@ def html_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "n", "b.kind", "b.text")
 
 
-@query("ARR-06", "SELECT doc_id, 'new' || doc_id AS spans FROM documents")
+@query("ARR-06", "SELECT doc_id, 'new' || doc_id || CASE WHEN regexp_matches(text, '\\S') THEN '|' ELSE ' ' END || 'last' || doc_id AS spans FROM documents")
 def reviewer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before, after = F.lit("the old order stands"), F.concat(F.lit("the new"), doc_key(), F.lit(" order stands"))
-    return docs(spark, sf_dir).select("doc_id", F.array_join(T.changed_spans(before, after), "|").alias("spans"))
+    """What a reviewer added before and behind each document."""
+    after = F.concat(F.lit("new"), doc_key(), F.lit("  "), "text", F.lit("\nlast"), doc_key())
+    return docs(spark, sf_dir).select("doc_id", F.array_join(T.changed_spans(F.col("text"), after), "|").alias("spans"))
 
 
 @query("SRC-19", "SELECT c_custkey, c_name AS plain FROM customer")

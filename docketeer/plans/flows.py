@@ -53,12 +53,13 @@ def candidate_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.candidate_terms(table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("page"), "text"))
 
 
-@query("RET-10 AGG-19", "SELECT doc_id AS id, 2::BIGINT AS n, CASE WHEN doc_id % 2 = 0 THEN '(2001) 5 SCC ' || doc_id ELSE '' END AS unverified FROM documents")
+@query("RET-10 AGG-19", """SELECT doc_id AS id, 2::BIGINT AS n, CASE WHEN doc_id % 2 = 0 THEN '(2001) 5 SCC ' || doc_id ELSE '' END AS unverified FROM documents""")
 def draft_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as drafts with two citations, of which the tools' results hold one or both."""
     key = F.col("doc_id").cast("string")
     own = F.concat(F.lit("(2001) 5 SCC "), key)
-    draft = F.concat(F.lit("see "), own, F.lit(" and AIR 2002 SC "), key)
-    corpus = F.concat(F.lit("AIR 2002 SC "), key, F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit(" "), own)))
+    draft = F.concat("text", F.lit("; see "), own, F.lit(" and AIR 2002 SC "), key)
+    corpus = F.concat("text", F.lit("; AIR 2002 SC "), key, F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit(" "), own)))
     return W.grounding(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), draft.alias("draft"), corpus.alias("corpus")))
 
 

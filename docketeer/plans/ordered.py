@@ -47,19 +47,19 @@ def session_first_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.left(F.min_by("text", "turn"), F.lit(80)).alias("title"), F.count("*").alias("n"))
 
 
-@query("STM-07 JOIN-18 ARR-08", """WITH m AS (SELECT conv_id AS thread, turn AS seq, CASE WHEN turn % 4 = 3 THEN 'tool' ELSE role END AS role, left(text, 40) AS text FROM conversations),
+@query("STM-07 JOIN-18 ARR-08", """WITH m AS (SELECT conv_id AS thread, turn AS seq, CASE WHEN turn % 4 = 3 THEN 'tool' ELSE role END AS role, text FROM conversations),
 n AS (SELECT *, sum((role <> 'tool')::INT) OVER (PARTITION BY thread ORDER BY seq)::BIGINT AS turn FROM m WHERE role <> 'system')
 SELECT thread, turn, max(role) FILTER (role <> 'tool') AS role, max(text) FILTER (role <> 'tool') AS text, coalesce(string_agg(text, chr(10) ORDER BY seq) FILTER (role = 'tool'), '') AS results, count(*) AS n FROM n WHERE turn > 0 GROUP BY thread, turn""")
 def history_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth message stands for a tool's result."""
     role = F.when(F.col("turn") % 4 == 3, "tool").otherwise(F.col("role"))
-    return O.history(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("thread"), F.col("turn").alias("seq"), role.alias("role"), F.left("text", F.lit(40)).alias("text")))
+    return O.history(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("thread"), F.col("turn").alias("seq"), role.alias("role"), "text"))
 
 
-@query("WIN-07", """SELECT conv_id, turn, coalesce(string_agg(left(text, 20), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS before,
-coalesce(string_agg(left(text, 20), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), '') AS after FROM conversations""")
+@query("WIN-07", """SELECT conv_id, turn, coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS before,
+coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), '') AS after FROM conversations""")
 def context_window_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.left("text", F.lit(20)).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return O.around(rows, "conv_id", "turn", "text").drop("text")
 
 

@@ -45,9 +45,9 @@ def mime_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", path.alias("path")).select("page_id", I.mime_type(F.col("path")).alias("mime"), I.source_type(F.regexp_replace("path", "^https?://", "")).alias("parser"))
 
 
-@query("SRC-22", "SELECT doc_id, coalesce(CASE WHEN length(left(text, 60)) >= 100 THEN left(text, 60) END, CASE WHEN length(left(text, 150)) >= 100 THEN left(text, 150) END, CASE WHEN length(lang || text) >= 100 THEN lang || text END) AS chosen FROM documents")
+@query("SRC-22", "SELECT doc_id, coalesce(CASE WHEN length(source) >= 100 THEN source END, CASE WHEN length(text) >= 100 THEN text END, CASE WHEN length(repeat(text, 3)) >= 100 THEN repeat(text, 3) END) AS chosen FROM documents")
 def extraction_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = [F.left("text", F.lit(60)), F.left("text", F.lit(150)), F.concat("lang", "text")]
+    candidates = [F.col("source"), F.col("text"), F.repeat("text", F.lit(3))]
     return table(spark, sf_dir, "documents").select("doc_id", I.first_long_enough(*candidates).alias("chosen"))
 
 
@@ -87,11 +87,11 @@ def case_insensitive_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.join(known, "name").select("c_custkey", "s_suppkey")
 
 
-@query("JOIN-10 JOIN-11", """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN left(d.text, 30) WHEN l.toxic = 1 THEN 'corrected ' || d.doc_id WHEN trim(CASE WHEN l.quality = 1 THEN reverse(left(d.text, 30)) ELSE ' ' END) = '' THEN left(d.text, 30) ELSE reverse(left(d.text, 30)) END AS final
+@query("JOIN-10 JOIN-11", """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.text WHEN l.toxic = 1 THEN 'corrected ' || d.doc_id WHEN trim(CASE WHEN l.quality = 1 THEN reverse(d.text) ELSE ' ' END) = '' THEN d.text ELSE reverse(d.text) END AS final
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def translation_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reviewer's correction, else the translation, else the source where it is missing or blank."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(30)).alias("source_text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source_text"))
     labels = table(spark, sf_dir, "labels")
     joined = docs.join(labels, "doc_id", "left")
     translated = F.when(F.col("quality") == 1, F.reverse("source_text")).otherwise(F.lit(" "))
@@ -159,9 +159,9 @@ def question_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), (F.count("*") * 2).alias("minutes"))
 
 
-@query("AGG-17", "SELECT conv_id, string_agg(role || ': ' || left(text, 20), chr(10) || '---' || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
+@query("AGG-17", "SELECT conv_id, string_agg(role || ': ' || text, chr(10) || '---' || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.col("role"), F.lit(": "), F.left("text", F.lit(20)))
+    line = F.concat(F.col("role"), F.lit(": "), "text")
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("rows"))
     return rows.select("conv_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n---\n").alias("context"))
 

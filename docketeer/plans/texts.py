@@ -27,13 +27,13 @@ def doc_key() -> Column:
     return F.col("doc_id").cast("string")
 
 
-@query("STR-03 STR-04", r"""WITH t AS (SELECT doc_id, text || ' (' || (1990 + doc_id % 35) || ') 5 SCC ' || doc_id || '; AIR 2001 SC ' || doc_id || ' (2020) 5 SCC 1 (2020) 5 SCC 1.' AS text FROM documents WHERE doc_id % 2 = 0)
+@query("STR-03 STR-04", r"""WITH t AS (SELECT doc_id, text || ' (' || (1990 + doc_id % 35) || ') 5 SCC ' || doc_id || '; AIR 2001 SC ' || doc_id || ' (2020) 5 SCC 1 (2020) 5 SCC 1.' AS text FROM documents)
 SELECT doc_id, array_to_string(list_distinct_ordered, '|') AS citations, (1990 + doc_id % 35)::INT AS last_year FROM (SELECT doc_id, text, list_filter(list_concat(regexp_extract_all(text, '(?i)\(\s*\d{4}\s*\)\s*\d+\s+SCC\s+\d+'), regexp_extract_all(text, '(?i)\bAIR\s+\d{4}\s+(?:SC|Del|Bom|Cal|Mad|Kar|Guj|Ker|All|Raj|Pat|Ori)\s+\d+')), lambda x: true) AS found,
 list_filter(found, lambda x, i: list_position(found, x) = i) AS list_distinct_ordered FROM t)""")
 def citation_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reporter citations planted in the documents, distinct and in order."""
     year = (F.col("doc_id") % 35 + 1990).cast("string")
-    rows = planted(spark, sf_dir, F.lit(" ("), year, F.lit(") 5 SCC "), doc_key(), F.lit("; AIR 2001 SC "), doc_key(), F.lit(" (2020) 5 SCC 1 (2020) 5 SCC 1.")).where("doc_id % 2 = 0")
+    rows = planted(spark, sf_dir, F.lit(" ("), year, F.lit(") 5 SCC "), doc_key(), F.lit("; AIR 2001 SC "), doc_key(), F.lit(" (2020) 5 SCC 1 (2020) 5 SCC 1."))
     return rows.select("doc_id", F.array_join(L.all_matches(F.col("text"), *L.CITATIONS[:2]), "|").alias("citations"), year.cast("int").alias("last_year"))
 
 
@@ -104,10 +104,10 @@ def safe_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.safe_filename(F.regexp_replace(title, r"/\.\. ", "")).alias("filename"))
 
 
-@query("STR-01", "SELECT conv_id, turn, 'IPC (Indian Penal Code) and IPC of the SC (Supreme Court) ' || left(replace(replace(text, 'Art', ''), 'Sec', ''), 20) AS query FROM conversations")
+@query("STR-01", "SELECT conv_id, turn, 'IPC (Indian Penal Code) and IPC of the SC (Supreme Court) ' || replace(replace(text, 'Art', ''), 'Sec', '') AS query FROM conversations")
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abbreviations planted before the messages."""
-    own = F.left(F.replace(F.replace("text", F.lit("Art"), F.lit("")), F.lit("Sec"), F.lit("")), F.lit(20))
+    own = F.replace(F.replace("text", F.lit("Art"), F.lit("")), F.lit("Sec"), F.lit(""))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.expanded(F.concat(F.lit("IPC and IPC of the SC "), own)).alias("query"))
 
 
@@ -180,18 +180,18 @@ def code_fence_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", T.code_fence_stripped(fenced).alias("body"))
 
 
-@query("FLT-10 FLT-11 STR-54", r"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'a.b@c.org' WHEN 1 THEN '--- //' WHEN 2 THEN 'https://x.org/a' WHEN 3 THEN '12-166' ELSE left(text, 20) END AS t FROM documents)
+@query("FLT-10 FLT-11 STR-54", r"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'a.b@c.org' WHEN 1 THEN '--- //' WHEN 2 THEN 'https://x.org/a' WHEN 3 THEN '12-166' ELSE text END AS t FROM documents)
 SELECT doc_id, length(trim(t)) > 2 AND NOT regexp_matches(trim(t), '^[\w.+-]+@[\w.-]+$|^https?://\S+$') AND length(regexp_replace(trim(t), '[^\p{L}\p{N}]', '', 'g')) >= 3 AS needed, regexp_matches(t, '^[0-9./,:()\-]{1,16}$') AND regexp_matches(t, '[0-9]') AS compact FROM t""")
 def needs_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = F.array(F.lit("a.b@c.org"), F.lit("--- //"), F.lit("https://x.org/a"), F.lit("12-166"), F.left("text", F.lit(20)))
+    kinds = F.array(F.lit("a.b@c.org"), F.lit("--- //"), F.lit("https://x.org/a"), F.lit("12-166"), F.col("text"))
     rows = docs(spark, sf_dir).withColumn("t", F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")))
     return rows.select("doc_id", T.needs_translation(F.col("t")).alias("needed"), T.numeric_compact(F.col("t")).alias("compact"))
 
 
-@query("MATH-11 FLT-07", r"SELECT doc_id, length(regexp_replace(left(text, 9), '[^A-Za-z]', '', 'g')) >= 4 AND length(regexp_replace(left(text, 9), '[^A-Z]', '', 'g')) / greatest(1, length(regexp_replace(left(text, 9), '[^A-Za-z]', '', 'g'))) > 0.85 AS caps FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ABCD EFGx' ELSE text END AS text FROM documents)")
+@query("MATH-11 FLT-07", r"SELECT doc_id, letters >= 4 AND length(regexp_replace(text, '[^A-Z]', '', 'g')) / greatest(1, letters) > 0.85 AS caps, length(regexp_replace(text, '[^\p{L}\p{M}\p{N}\p{P}\p{S} ]', '', 'g')) / greatest(length(text), 1)::DOUBLE > 0.8 AS printable FROM (SELECT doc_id, text, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters FROM documents)")
 def all_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.left(F.when(F.col("doc_id") % 2 == 0, "ABCD EFGx").otherwise(F.col("text")), F.lit(9))
-    return docs(spark, sf_dir).select("doc_id", F.coalesce(T.is_all_caps(head), F.lit(False)).alias("caps"))
+    text = F.col("text")
+    return docs(spark, sf_dir).select("doc_id", F.coalesce(T.is_all_caps(text), F.lit(False)).alias("caps"), (T.printable_share(text) > 0.8).alias("printable"))
 
 
 @query("STR-69", r"""WITH t AS (SELECT doc_id, ['Whereas ', 'Here x means ', 'He shall ', '1. ', ''][doc_id % 5 + 1] || text AS t FROM documents)
