@@ -6,7 +6,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +20,30 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-#: Units of these characters are lower-cased and divided here, as the tokenizer would: it changes nothing else about them.
-PLAIN = re.compile(r"[ -~À-ÖØ-öø-ÿ]*")
+#: Texts of these characters are lower-cased and divided here, as the tokenizer would: it changes nothing else about them.
+PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
-class UnitIds:
-    """Token ids, as little-endian bytes, of what stands between ASCII white space.
+def divided(text: str) -> list[str | bytes]:
+    """The text's words; what stands between white space and isn't plain is one unit, as bytes."""
+    if PLAIN.fullmatch(text) and "<|" not in text:
+        return WORDS.findall(text.lower())
+    out: list[str | bytes] = []
+    for unit in text.encode().split():
+        own = unit.decode()
+        if PLAIN.fullmatch(own) and "<|" not in own:
+            out += WORDS.findall(own.lower())
+        else:
+            out.append(unit)
+    return out
+
+
+class WordIds(dict):
+    """Token ids, as little-endian bytes, of words and of units that aren't plain.
 
-    The tokenizer drops white space and merges only within a word, so a text's ids are its units' ids in order, and a
-    unit's are its words'. Up to ``most`` units and as many words are remembered.
+    The tokenizer drops white space and merges only within a word, so a text's ids are its words' ids in order. Up to ``most``
+    words are remembered.
     """
 
     def __init__(self, path: str, most: int = 300_000) -> None:
@@ -39,53 +53,26 @@ class UnitIds:
         self.most, self.whole, self.bare = most, Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.units: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
-        """The ids of all units of these texts."""
-        divided, other = {}, []
-        for unit in set().union(*texts).difference(self.units):
-            text = unit.decode()
-            if PLAIN.fullmatch(text) and "<|" not in text:
-                divided[unit] = WORDS.findall(text.lower())
-            else:
-                other.append(unit)
-        words = self.learn_words(list(set().union(*divided.values()).difference(self.words)))
-        found = {unit: b"".join(map(words.__getitem__, parts)) for unit, parts in divided.items()}
-        for unit, x in zip(other, self.whole.encode_batch_fast([u.decode() for u in other], add_special_tokens=False)):
-            found[unit] = np.array(x.ids, "<u4").tobytes()
-        return remember(self.units, found, self.most)
-
-    def learn_words(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of lower-case words, each on its own."""
-        if not new:
-            return self.words
-        x = self.bare.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(x.ids, "<u4").tobytes()
-        ends = [0, *(4 * (np.flatnonzero(np.diff(x.word_ids)) + 1)).tolist(), len(ids)]
-        found = {word: ids[a:b] for word, a, b in zip(new, ends, ends[1:], strict=False)}
-        return remember(self.words, found, self.most)
-
-
-def remember(kept: dict, found: dict, most: int) -> dict:
-    """Adds what is found as long as there is room; all of both."""
-    if len(kept) + len(found) <= most:
-        kept.update(found)
-        return kept
-    kept.update(islice(found.items(), most - len(kept)))
-    return Both(kept, found)
-
-
-class Both(dict):
-    """What is remembered and what one batch needs besides."""
-
-    def __init__(self, kept: dict, found: dict) -> None:
-        super().__init__(found)
-        self.kept = kept
-
-    def __missing__(self, key: str | bytes) -> bytes:
-        return self.kept[key]
+        self.now: dict[str | bytes, bytes] = {}  # what this batch needs besides what is remembered
+
+    def __missing__(self, word: str | bytes) -> bytes:
+        return self.now[word]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        parts = [divided(t) for t in texts]
+        new = set().union(*parts).difference(self)
+        words, units = [w for w in new if isinstance(w, str)], [u for u in new if isinstance(u, bytes)]
+        self.now = {}
+        if words:
+            x = self.bare.encode(words, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(x.ids, "<u4").tobytes()
+            ends = [0, *(4 * (np.flatnonzero(np.diff(x.word_ids)) + 1)).tolist(), len(ids)]
+            self.now = {word: ids[a:b] for word, (a, b) in zip(words, pairwise(ends), strict=True)}
+        for unit, x in zip(units, self.whole.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)):
+            self.now[unit] = np.array(x.ids, "<u4").tobytes()
+        self.update(islice(self.now.items(), max(0, self.most - len(self))))
+        return [b"".join(map(self.__getitem__, own)) for own in parts]
 
 
 def cut(ids: bytes, most: int) -> Iterator[tuple[int, int, int, int]]:
@@ -104,15 +91,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 4096, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_units = kept_by_worker("packing", tokenizer, lambda: UnitIds(tokenizer))
+        words = kept_by_worker("packing", tokenizer, lambda: WordIds(tokenizer))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices(texts):
-                units = [(text or "").encode().split() for text in texts[a:b]]
-                known = known_units.learn(units)
                 at, rows = [], []
-                for i, own in enumerate(units, a):
-                    for row in cut(b"".join(map(known.__getitem__, own)) + end, most):
+                for i, own in enumerate(words.of([text or "" for text in texts[a:b]]), a):
+                    for row in cut(own + end, most):
                         at.append(i)
                         rows.append(row)
                 piece, start, length, crc = zip(*rows)
