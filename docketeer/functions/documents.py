@@ -13,6 +13,9 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 BOOK = (r"\bedition\b", r"\bisbn[\s\-:]*\d", r"\bcopyright\s+©?\s*\d{4}", r"\bpublished\s+by\b", r"\b(?:university|academic)\s+press\b")
 CHAPTER = r"(?im)^chapter\s+\d+|^ch\.?\s*\d+|^\d+\.\s+[A-Z]"
 LEAST_BOOK, LEAST_REFERENCES, CHAPTER_LINES, BOOK_BYTES = 2, 3, 5, 5 * 1024 * 1024
+# Words in headings of examples and of questions.
+EXAMPLE_HEADINGS = "example|sample|worked|demonstration|illustration|case study"
+QUESTION_HEADINGS = "exercise|problem|question|checkpoint|practice|review|test yourself"
 # Abbreviations that end no sentence, and the sizes of semantic chunks.
 ABBREVIATIONS = ("Dr", "Mr", "Mrs", "Ms", "Prof", "Sr", "Jr", "vs", "etc", "No", "Art", "Sec")
 SEMANTIC_LEAST, SEMANTIC_MOST, SEMANTIC_SIMILARITY, SENTENCE_LEAST = 100, 1200, 0.8, 10
@@ -32,8 +35,7 @@ def content_type(text: Column, size: Column) -> Column:
 def header_kind(title: Column) -> Column:
     """example, question or concept, by words in a heading."""
     lower = F.lower(title)
-    example, question = "example|sample|worked|demonstration|illustration|case study", "exercise|problem|question|checkpoint|practice|review|test yourself"
-    return F.when(lower.rlike(example), "example").when(lower.rlike(question), "question").otherwise("concept")
+    return F.when(lower.rlike(EXAMPLE_HEADINGS), "example").when(lower.rlike(QUESTION_HEADINGS), "question").otherwise("concept")
 
 
 def chapter_number(text: Column) -> Column:

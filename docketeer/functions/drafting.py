@@ -40,6 +40,9 @@ PARTIES = {
 }
 
 
+BLANKS = " \t\n\r\f\x0b"
+
+
 def words_replaced(text: Column, words: dict[str, str]) -> Column:
     """Whole words in any case, one after the other; texts without any are left alone in one test."""
     any_word = r"(?i)\b(?:" + "|".join(words) + r")\b"
@@ -130,3 +133,26 @@ def markdown_table(rows: Column) -> Column:
     full = lambda r: F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), width - F.size(r)))
     lines = F.transform(rows, lambda r: line(full(r)))
     return F.concat_ws("\n", F.get(lines, F.lit(0)), line(F.array_repeat(F.lit("---"), width)), F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n"))
+
+
+def assembled(draft: Column, title: Column, parts: Column) -> Column:
+    """The draft, or, where it is blank, its sections (order, title, content) under the title; null if there is no content at all."""
+    filled = F.filter(F.array_sort(parts), lambda s: F.btrim(s["content"], F.lit(BLANKS)) != "")
+    body = F.array_join(F.transform(filled, lambda s: F.concat(F.lit("## "), s["title"], F.lit("\n"), F.btrim(s["content"], F.lit(BLANKS)))), "\n\n---\n\n")
+    head = F.when(F.btrim(title, F.lit(BLANKS)) != "", F.concat(F.lit("# "), title, F.lit("\n\n"))).otherwise("")
+    return F.when(F.btrim(draft, F.lit(BLANKS)) != "", draft).otherwise(F.when(F.size(filled) > 0, F.concat(head, body)))
+
+
+def rewrite_input(draft: Column, claims: Column, shown: int = 500) -> Column:
+    """A draft and the report of its verified claims (supported, type, text, url, snippet), as a model gets them to rewrite it."""
+
+    def one(c: Column, i: Column) -> Column:
+        lines = [
+            F.concat(F.lit("## Claim "), (i + 1).cast("string"), F.when(c["supported"], " — SUPPORTED").otherwise(" — NOT SUPPORTED")),
+            F.concat(F.lit("- Type: "), c["type"]), F.concat(F.lit("- Claim text: "), c["text"]),
+            F.when(c["url"] != "", F.concat(F.lit("- Supporting URL: "), c["url"])),
+            F.when(c["snippet"] != "", F.concat(F.lit("- Supporting snippet: "), F.left(c["snippet"], F.lit(shown)))), F.lit(""),
+        ]
+        return F.concat_ws("\n", *lines)
+
+    return F.concat_ws("\n", F.lit("# DRAFT\n"), draft, F.lit("\n# VERIFICATION REPORT\n"), F.transform(claims, one))

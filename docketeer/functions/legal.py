@@ -15,6 +15,10 @@ CITATIONS = (
     r"(?i)\(\s*\d{4}\s*\)\s*SCC\s+OnLine\s+\w+\s+\d+",
 )
 YEAR = r"\b((?:19|20)\d{2})\b"
+# Names of cases, and numbers of articles and sections. A party has ten words at most: without a bound a long
+# text without punctuation would be searched again from each of its words.
+CASE_NAME = r"(?i)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,9})\s+v\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,9})\s*(?:\((\d{4})\))?"
+STATUTE = r"(?i)(?:Article|Art\.|Section|Sec\.)\s+(\d+[A-Z]?(?:\([a-z]\))?)"
 # Unfilled places in a draft.
 BRACKET, MUSTACHE, LINE, WORDS = r"\[[A-Z][A-Za-z][A-Za-z \-/]{1,38}\](?!\()", r"\{\{[^}]{1,60}\}\}", "_{4,}", r"(?i)\b(?:XXXX|TBD|TO BE FILLED|TO BE DECIDED|NOT PROVIDED|INSERT HERE)\b"
 EXTERNAL = r"(?i)^\[to be \w+(?:\s+\w+)*\s+by\s+\w+"
@@ -39,6 +43,16 @@ def citations(text: Column) -> Column:
     return all_matches(text, *CITATIONS)
 
 
+def statutes(text: Column) -> Column:
+    """The numbers of articles and sections, in order of place."""
+    return F.regexp_extract_all(text, F.lit(STATUTE), F.lit(1))
+
+
+def case_names(text: Column) -> Column:
+    """Names of cases with their year, in order of place."""
+    return F.transform(F.regexp_extract_all(text, F.lit(CASE_NAME), F.lit(0)), lambda s: F.trim(s))
+
+
 def first_year(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, YEAR, 1), F.lit("")).cast("int")
 

@@ -34,6 +34,12 @@ LEGAL_WORDS = (
 # Domains with a label, and what marks a page as no judgment.
 DOMAIN_LABELS = {"livelaw.in": "LiveLaw", "scconline.com": "SCC Online", "barandbench.com": "Bar and Bench"}
 BLOG_PATHS, BLOG_TITLES = "/blog|/article|/column|/news|/newsline", "blog|editorial|opinion piece"
+# How remarks of a text recognition about an image begin, and the kinds of image placeholders.
+IMAGE_REMARKS = (
+    r"there\s+is\s+no\s+(readable\s+)?(text|writing)\b", r"this\s+image\s+(contains|shows|depicts|appears)", r"the\s+image\s+(contains|shows|depicts|appears)",
+    r"(it|this)\s+appears\s+to\s+be\b", r"in\s+(this|the)\s+image\b", r"no\s+readable\s+(text|content)\b",
+)
+IMAGE_PLACEHOLDERS = ("stamp", "seal", "image", "logo", "handwritten", "figure", "photo", "picture", "graphic", "sign", "emblem", "signature")
 # Quotation marks and dashes with their plain forms.
 SMART, PLAIN = "‘’‚“”„«»–", "'''\"\"\"\"\"-"
 
@@ -153,3 +159,8 @@ def provider(model: Column) -> Column:
 def numeric_compact(text: Column) -> Column:
     """At most sixteen digits and marks, a digit among them."""
     return text.rlike(r"^[0-9./,:()\-]{1,16}$") & text.rlike("[0-9]")
+
+
+def is_image_remark(text: Column) -> Column:
+    """Whether a block says something of an image instead of what stands in it, or is a placeholder for one."""
+    return text.rlike(r"(?i)^\s*(?:" + "|".join(IMAGE_REMARKS) + ")") | text.rlike(r"(?i)^\s*\[\s*(?:" + "|".join(IMAGE_PLACEHOLDERS) + r")\b")

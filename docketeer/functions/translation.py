@@ -6,6 +6,7 @@ import difflib
 import html
 import re
 import unicodedata
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -20,6 +21,12 @@ MARK = re.compile(r"__KEEP_\d+__")
 DEVANAGARI, WESTERN = "०१२३४५६७८९", "0123456789"
 DEPENDENT = "़ािीुूृॄॅॆेैॉॊोौ्ँंः"
 ALLOWED_TAGS = ("strong", "em", "u", "br")
+# Countries, labels of offices, and words of addresses in Hindi, in the order of replacement.
+COUNTRIES = ((r"(?U)\bU\.S\b\.?", "अमेरिकी"), (r"(?U)\bU\.K\b\.?", "ब्रिटेन"), (r"(?U)\bE\.U\b\.?", "यूरोपीय संघ"))
+OFFICE_LABELS = ((r"(?U)\bDIN-", "डीआईएन-"), (r"(?U)\bF\.\s*NO\.?[-:\s]", "फा.सं.-"), (r"(?U)\bF\.\s*No\.?[-:\s]", "फा.सं.-"))
+ADDRESSES = ((r"प्लॉट\s*नं\.?", "प्लॉट संख्या"), (r"बैंक\s*खाता\s*नं\.?", "बैंक खाता संख्या"), (r"मकान\s*नं\.?", "मकान संख्या"))
+# What no edit may touch.
+SENTINEL = re.compile(r"\[__(?:SEP_|VTAG_|STITCH_)?\d{4}__\]")
 
 MASKED = StructType([StructField("text", StringType()), StructField("kept", ArrayType(StringType()))])
 BLOCKS = ArrayType(StructType([StructField("kind", StringType()), StructField("text", StringType())]))
@@ -27,18 +34,16 @@ BLOCKS = ArrayType(StructType([StructField("kind", StringType()), StructField("t
 
 def masked(text: str | None) -> tuple[str, list[str]]:
     """The text with numbered marks, and what each stands for; equal substrings share one."""
-    out, kept = text or "", []
+    out, kept = text or "", {}
 
     def stash(m: re.Match) -> str:
-        if m[0] not in kept:
-            kept.append(m[0])
-        return f"__KEEP_{kept.index(m[0])}__"
+        return f"__KEEP_{kept.setdefault(m[0], len(kept))}__"
 
     for pattern in KEPT:
         # marks of earlier passes stay whole: only what stands between them is searched
         parts = re.split(r"(__KEEP_\d+__)", out)
         out = "".join(p if MARK.fullmatch(p) else re.sub(pattern, stash, p) for p in parts)
-    return out, kept
+    return out, list(kept)
 
 
 @F.pandas_udf(MASKED)
@@ -62,10 +67,15 @@ def leftover_marks(text: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
+def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t) if t is not None else None)
 
 
+def nfc(text: Column) -> Column:
+    """Composed characters; ASCII texts, which have none to compose, don't go to Python."""
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def western_digits(text: Column) -> Column:
     return F.translate(text, DEVANAGARI, WESTERN)
 
@@ -96,12 +106,16 @@ def collapsed(line: str, most: int) -> str:
     """A line without immediate repeats of two to ``most`` tokens, longest first."""
     tokens = line.split(" ")
     for n in range(min(most, len(tokens) // 2), 1, -1):
-        i = 0
-        while i + 2 * n <= len(tokens):
-            if [t.lower() for t in tokens[i : i + n]] == [t.lower() for t in tokens[i + n : i + 2 * n]]:
-                del tokens[i + n : i + 2 * n]
+        lower = [t.lower() for t in tokens]
+        kept, window, ahead = tokens[:n], lower[:n], n  # the last n kept, and what comes next
+        while ahead + n <= len(tokens):
+            if window == lower[ahead : ahead + n]:
+                ahead += n
             else:
-                i += 1
+                kept.append(tokens[ahead])
+                window = [*window[1:], lower[ahead]]
+                ahead += 1
+        tokens = kept + tokens[ahead:]
     return " ".join(tokens)
 
 
@@ -214,8 +228,11 @@ def html_blocks(pages: pd.Series) -> pd.Series:
 
 
 def changed(before: str, after: str) -> list[str]:
-    """The parts of the second text that the first has otherwise."""
+    """The parts of the second text that the first has otherwise. What both begin or end with isn't compared further."""
     a, b = before.split(), after.split()
+    low = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    same = next((i for i, (x, y) in enumerate(zip(a[low:][::-1], b[low:][::-1])) if x != y), min(len(a), len(b)) - low)
+    a, b = a[low : len(a) - same], b[low : len(b) - same]
     return [" ".join(b[j:k]) for kind, _, _, j, k in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if kind in ("replace", "insert")]
 
 
@@ -225,13 +242,57 @@ def changed_spans(before: pd.Series, after: pd.Series) -> pd.Series:
 
 
 def edited(text: str, edits: list[tuple[int, int, str]]) -> str:
-    """The edits that lie in the text, touch no mark and no earlier edit, applied from the right."""
-    marks = [m.span() for m in MARK.finditer(text)]
-    kept: list[tuple[int, int, str]] = []
-    for start, end, new in sorted(edits):
-        inside = 0 <= start <= end <= len(text)
-        if inside and all(end <= a or b <= start for a, b in marks) and (not kept or kept[-1][1] <= start):
-            kept.append((start, end, new))
-    for start, end, new in reversed(kept):
-        text = text[:start] + new + text[end:]
-    return text
+    """The text with those edits that lie in it and touch neither a mark nor an edit before them; of equal starts the first given."""
+    marks = [m.span() for pattern in (MARK, SENTINEL) for m in pattern.finditer(text)]
+    parts, done = [], 0
+    for start, end, new in sorted(edits, key=lambda e: e[0]):
+        free = all(end <= a or b <= start for a, b in marks)
+        if free and done <= start <= end <= len(text):
+            parts += [text[done:start], new]
+            done = end
+    return "".join(parts) + text[done:]
+
+
+@F.pandas_udf(StringType())
+def _with_edits(texts: pd.Series, edits: pd.Series) -> pd.Series:
+    rows = zip(texts, edits)
+    return pd.Series([None if t is None else edited(t, [(e["start"], e["end"], e["new"]) for e in (es if es is not None else [])]) for t, es in rows])
+
+
+def with_edits(text: Column, edits_json: Column) -> Column:
+    """A text with the edits of a JSON list of {span: [start, end], replacement}; malformed ones count as none."""
+    given = F.from_json(edits_json, "array<struct<span:array<int>,replacement:string>>")
+    whole = F.filter(given, lambda e: (F.size(e["span"]) == 2) & (F.get(e["span"], F.lit(0)) >= 0) & (F.get(e["span"], F.lit(1)) >= F.get(e["span"], F.lit(0))) & e["replacement"].isNotNull())
+    return _with_edits(text, F.transform(whole, lambda e: F.struct(e["span"][0].alias("start"), e["span"][1].alias("end"), e["replacement"].alias("new"))))
+
+
+def curled(text: str) -> str:
+    """Paired quotation marks as curly ones where both stand by a Devanagari character, within two outside or three inside."""
+    near = re.compile("[ऀ-ॿ]").search
+    parts, done = [], 0
+    for m in re.finditer('"([^"]{1,500})"', text):
+        a, b = m.span()
+        sides = (text[max(0, a - 2) : a] + m[1][:3], m[1][-3:] + text[b : b + 2])
+        if all(map(near, sides)):
+            parts.append(f"{text[done:a]}“{m[1]}”")
+            done = b
+    return "".join(parts) + text[done:]
+
+
+@F.pandas_udf(StringType())
+def _curled(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: curled(t) if t is not None else None)
+
+
+def devanagari_quotes(text: Column) -> Column:
+    """Curly quotation marks in Hindi; only texts with both a mark and a Devanagari character go to Python."""
+    return F.coalesce(_curled(F.when(text.contains('"') & text.rlike("[ऀ-ॿ]"), text)), text)
+
+
+def country_names(text: Column) -> Column:
+    return reduce(lambda t, rule: F.regexp_replace(t, *rule), COUNTRIES, text)
+
+
+def office_labels(text: Column) -> Column:
+    """Labels and addresses of government documents."""
+    return reduce(lambda t, rule: F.regexp_replace(t, *rule), OFFICE_LABELS + ADDRESSES, text)

@@ -50,9 +50,14 @@ def ranked(rows: DataFrame, order: list[Column], limit: int, rank: str) -> DataF
     return top.withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def kept_with(paragraphs: DataFrame) -> list[str]:
+    """What a ranking keeps of its paragraphs: the id, and the judgment's, so that it needn't be looked up again."""
+    return [c for c in ("id", "judgment_id") if c in paragraphs.columns]
+
+
 def semantic_ranks(paragraphs: DataFrame, vector: list[float], limit: int = CANDIDATES) -> DataFrame:
     """id, distance (to nine places) and rank_s of the nearest paragraphs; equal distances go by id."""
-    near = paragraphs.select("id", F.round(cosine_distance(F.col("embedding"), literal(vector)), 9).alias("distance"))
+    near = paragraphs.select(*kept_with(paragraphs), F.round(cosine_distance(F.col("embedding"), literal(vector)), 9).alias("distance"))
     return ranked(near, [F.asc("distance"), F.asc("id")], limit, "rank_s")
 
 
@@ -61,24 +66,26 @@ def lexical_score(text: Column, words: list[str]) -> Column:
 
     It stands in for a text-search rank with stemming, which neither Spark nor SQL has.
     """
-    tokens = F.split(F.lower(text), "[^a-z0-9]+")
-    count = lambda word: F.size(F.filter(tokens, lambda t: t == word))
-    counts = [count(w) for w in words]
-    total = reduce(Column.__add__, [n / (1.0 + n) for n in counts])
-    return F.when(reduce(Column.__and__, [n > 0 for n in counts]), total)
+    # the tokens, and then their counts, are bound to a lambda's variable, so each is computed once
+    tokens = F.array(F.split(F.lower(text), "[^a-z0-9]+"))
+    count = lambda own, word: F.size(F.filter(own, lambda t: t == word))
+    counts = F.transform(tokens, lambda own: F.array(*[count(own, w) for w in words]))
+    parts = lambda n: [n[i] / (1.0 + n[i]) for i in range(len(words))]
+    return F.transform(counts, lambda n: F.when(F.array_min(n) > 0, reduce(Column.__add__, parts(n))))[0]
 
 
 def lexical_ranks(paragraphs: DataFrame, words: list[str], limit: int = CANDIDATES) -> DataFrame:
     """id, lexical score and rank_f of the best matches."""
     # the cheap test comes first, so texts without a word are never divided into tokens
     possible = paragraphs.where(reduce(Column.__and__, [F.lower("body").contains(w) for w in words]))
-    scored = possible.select("id", F.round(lexical_score(F.col("body"), words), 9).alias("lexical")).where("lexical IS NOT NULL")
+    scored = possible.select(*kept_with(paragraphs), F.round(lexical_score(F.col("body"), words), 9).alias("lexical")).where("lexical IS NOT NULL")
     return ranked(scored, [F.desc("lexical"), F.asc("id")], limit, "rank_f")
 
 
 def fuse(semantic: DataFrame, lexical: DataFrame) -> DataFrame:
     """Weighted reciprocal-rank fusion of two rankings by id; a missing rank counts as ``ABSENT_RANK``."""
-    both = semantic.select("id", "rank_s").join(lexical.select("id", "rank_f"), "id", "full_outer")
+    keys = [c for c in ("id", "judgment_id") if c in semantic.columns and c in lexical.columns]
+    both = semantic.select(*keys, "rank_s").join(lexical.select(*keys, "rank_f"), keys, "full_outer")
     part = lambda weight, rank: F.lit(weight) / (RRF_K + F.coalesce(F.col(rank), F.lit(ABSENT_RANK)))
     return both.withColumn("rrf_score", part(SEMANTIC_WEIGHT, "rank_s") + part(LEXICAL_WEIGHT, "rank_f"))
 
@@ -94,7 +101,7 @@ def case_search(cases: DataFrame, paragraphs: DataFrame, vector: list[float], wo
     within = paragraphs.join(kept.select(F.col("id").alias("judgment_id")), "judgment_id", "left_semi")
     fused = fuse(semantic_ranks(within, vector), lexical_ranks(within, words))
     fused = fused.orderBy(F.desc("rrf_score"), F.asc("id")).limit(FUSED)
-    found = fused.join(paragraphs.select("id", "judgment_id"), "id").join(kept.withColumnRenamed("id", "judgment_id"), "judgment_id")
+    found = fused.join(kept.withColumnRenamed("id", "judgment_id"), "judgment_id")
     scored = found.withColumn("score", F.round(boosted(F.col("rrf_score"), F.col("citation")), 9))
     return scored.select("id", "judgment_id", "court", "year", "citation", "rank_s", "rank_f", "score").orderBy(F.desc("score"), F.asc("id")).limit(top_k)
 

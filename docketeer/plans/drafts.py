@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketeer.functions import dates as A
 from docketeer.functions import drafting as D
 from docketeer.functions import text as X
 from docketeer.functions import translation as T
+from docketeer.operators import ingest as I
 from docketeer.plans.registry import query
 from docketeer.plans.texts import doc_key, docs, planted
+from docketeer.sources import references as E
+from docketeer.sources.shared import shared_folder
 from docketeer.sources.tables import table
 
 
@@ -171,3 +177,107 @@ def aes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.base64(F.aes_encrypt(key, master, F.lit("GCM"))).alias("wrapped"), F.aes_encrypt(F.col("c_name"), key, F.lit("GCM")).alias("body"))
     unwrapped = F.aes_decrypt(F.unbase64("wrapped"), master, F.lit("GCM"))
     return rows.select("c_custkey", F.aes_decrypt(F.col("body"), unwrapped, F.lit("GCM")).cast("string").alias("plain"))
+
+
+@query("ARR-07", """WITH t AS (SELECT doc_id, '[__0001__] ' || text AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) >= 15 THEN left(t, 11) || 'A' || substr(t, 15, 1) || '|' || doc_id || '|' || substr(t, 16) WHEN length(t) = 14 THEN left(t, 11) || 'A' ELSE t END AS t FROM t""")
+def style_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A smoother's edits on every document: some overlap a sentinel or an earlier edit, lie outside, or are malformed."""
+    edits = F.concat(
+        F.lit('[{"span":[15,15],"replacement":"|'), doc_key(), F.lit('|"},{"span":[11,14],"replacement":"A"},{"span":[12,16],"replacement":"late"},{"span":[2,4],"replacement":"mark"},'),
+        F.lit('{"span":[5],"replacement":"x"},{"span":[-3,1],"replacement":"x"},{"span":[30,20],"replacement":"x"},{"span":[16,17]},{"span":[2000000000,2000000001],"replacement":"x"}]'),
+    )
+    rows = docs(spark, sf_dir).withColumn("text", F.concat(F.lit("[__0001__] "), "text"))
+    return rows.select("doc_id", T.with_edits(F.col("text"), edits).alias("t"))
+
+
+@query("STR-35", """SELECT doc_id, text || ' “धारा” and "abc" क“x”ख, "a धा' || doc_id AS t FROM documents""")
+def devanagari_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation marks that stand by Devanagari on both sides."""
+    rows = planted(spark, sf_dir, F.lit(' "धारा" and "abc" क"x"ख, "a धा'), doc_key())
+    return rows.select("doc_id", T.devanagari_quotes(F.col("text")).alias("t"))
+
+
+@query("STR-37", r"""WITH t AS (SELECT doc_id, text || ' U.S. law, the U.K and E.U. but U.SA; DIN-1 F. NO. 2 F.No:3 प्लॉट नं. 4 बैंक  खाता नं 5 मकाननं.' || doc_id AS t FROM documents), c AS (SELECT doc_id, lang, regexp_replace(regexp_replace(regexp_replace(t, '\bU\.S\b\.?', 'अमेरिकी', 'g'), '\bU\.K\b\.?', 'ब्रिटेन', 'g'), '\bE\.U\b\.?', 'यूरोपीय संघ', 'g') AS t FROM t JOIN documents USING (doc_id))
+SELECT doc_id, CASE WHEN lang = 'en' THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\bDIN-', 'डीआईएन-', 'g'), '\bF\.\s*NO\.?[-:\s]', 'फा.सं.-', 'g'), '\bF\.\s*No\.?[-:\s]', 'फा.सं.-', 'g'),
+'प्लॉट\s*नं\.?', 'प्लॉट संख्या', 'g'), 'बैंक\s*खाता\s*नं\.?', 'बैंक खाता संख्या', 'g'), 'मकान\s*नं\.?', 'मकान संख्या', 'g') ELSE t END AS t FROM c""")
+def country_and_office_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries in Hindi everywhere, labels of offices only in government documents (here the English ones)."""
+    planted_text = F.concat("text", F.lit(" U.S. law, the U.K and E.U. but U.SA; DIN-1 F. NO. 2 F.No:3 प्लॉट नं. 4 बैंक  खाता नं 5 मकाननं."), doc_key())
+    rows = docs(spark, sf_dir, "text", "lang").select("doc_id", "lang", T.country_names(planted_text).alias("t"))
+    return rows.select("doc_id", F.when(F.col("lang") == "en", T.office_labels(F.col("t"))).otherwise(F.col("t")).alias("t"))
+
+
+@query("STR-23", """WITH t AS (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND body <> '' THEN text ELSE CASE WHEN doc_id % 2 = 0 THEN '# ' || lang || chr(10) || chr(10) ELSE '' END || '## Source' || chr(10) || source || CASE WHEN body <> '' THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Facts' || chr(10) || body ELSE '' END END AS draft FROM t""")
+def assembled_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document is a draft; the others are blank ones with sections out of order."""
+    part = lambda order, title, content: F.struct(F.lit(order).alias("order"), F.lit(title).alias("title"), content.alias("content"))
+    parts = F.array(part(2, "Facts", F.col("text")), part(3, "Empty", F.lit(" \n")), part(1, "Source", F.col("source")))
+    draft = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(" \n ")
+    title = F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(" ")
+    return docs(spark, sf_dir, "text", "source", "lang").select("doc_id", D.assembled(draft, title, parts).alias("draft"))
+
+
+@query("STR-66", """SELECT doc_id, '# DRAFT' || chr(10) || chr(10) || text || chr(10) || chr(10) || '# VERIFICATION REPORT' || chr(10) || chr(10) || '## Claim 1 — ' || CASE WHEN doc_id % 2 = 0 THEN 'SUPPORTED' ELSE 'NOT SUPPORTED' END || chr(10) || '- Type: statute' || chr(10) || '- Claim text: ' || source || chr(10)
+|| CASE WHEN doc_id % 2 = 0 THEN '- Supporting URL: doc/' || doc_id || chr(10) || CASE WHEN text <> '' THEN '- Supporting snippet: ' || left(text, 500) || chr(10) ELSE '' END ELSE '' END || chr(10) || '## Claim 2 — NOT SUPPORTED' || chr(10) || '- Type: quote' || chr(10) || '- Claim text: ' || lang || chr(10) AS report FROM documents""")
+def verification_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a draft with two claims; its own text supports the first of every other."""
+    even = F.col("doc_id") % 2 == 0
+    claim = lambda supported, kind, text, url, snippet: F.struct(supported.alias("supported"), F.lit(kind).alias("type"), text.alias("text"), url.alias("url"), snippet.alias("snippet"))
+    none = F.lit(None).cast("string")
+    claims = F.array(claim(even, "statute", F.col("source"), F.when(even, F.concat(F.lit("doc/"), doc_key())), F.when(even, F.col("text"))), claim(F.lit(False), "quote", F.col("lang"), none, none))
+    return docs(spark, sf_dir, "text", "source", "lang").select("doc_id", D.rewrite_input(F.col("text"), claims).alias("report"))
+
+
+@query("SRC-29", """SELECT n.n_nationkey AS id, r_name AS category, n_name AS sub_type, CASE WHEN n_nationkey % 4 <> 0 THEN '# ' || n_name || chr(10) || chr(10) || 'Template of ' || r_name || chr(10) END AS body FROM nation n JOIN region ON n_regionkey = r_regionkey""")
+def draft_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates as files by category and kind, looked up for every request; some kinds have none."""
+    nations = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # as few as there are regions
+    asked = nations.select(F.col("n_nationkey").alias("id"), F.col("r_name").alias("category"), F.col("n_name").alias("sub_type"))
+    folder = f"{shared_folder(spark)}/templates-{uuid.uuid4().hex}"
+    body = F.concat(F.lit("# "), "sub_type", F.lit("\n\nTemplate of "), "category")
+    asked.where("id % 4 <> 0").select(body.alias("value"), "category", "sub_type").write.partitionBy("category", "sub_type").text(folder)
+    return E.with_template(asked, E.templates(spark, folder)).select("id", "category", "sub_type", "body")
+
+
+@query("SRC-29", "SELECT n_name AS term, 'अनुवाद ' || n_nationkey AS translation FROM nation")
+def baseline_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A glossary written as a file of terms, with comments, blank lines and terms without a translation."""
+    path = f"{shared_folder(spark)}/glossary-{uuid.uuid4().hex}"
+    line = F.concat(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('"'), "n_name", F.lit('"'))).otherwise(F.col("n_name")), F.lit(":  अनुवाद "), F.col("n_nationkey").cast("string"), F.lit(" "))
+    rows = table(spark, sf_dir, "nation").select(F.explode(F.array(line, F.lit("# a comment: none"), F.lit(" "), F.lit("no translation:"))).alias("value"))
+    rows.write.text(path)
+    return E.glossary(spark, path)
+
+
+@query("SRC-29", """SELECT c_custkey AS id, CASE WHEN c_custkey % 5 < 2 THEN 'Notice base' WHEN c_custkey % 5 = 2 THEN CASE WHEN c_custkey % 3 = 1 THEN 'Plaint hindi' ELSE 'Plaint' END END AS structure,
+CASE WHEN c_custkey % 5 < 2 THEN CASE WHEN c_custkey % 3 = 1 THEN 'नमूना' ELSE 'sample' END WHEN c_custkey % 5 = 2 THEN 'plaint sample' END AS example FROM customer""")
+def draft_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples for drafts of several kinds, subtypes and languages, one for each customer."""
+    known = [
+        ("legal_notice", None, None, "Notice base", "sample"), ("legal_notice", None, "hindi", None, "नमूना"), ("petition", None, None, "Petition", "petition sample"),
+        ("petition", "plaint", None, "Plaint", "plaint sample"), ("petition", "plaint", "hindi", "Plaint hindi", None),
+    ]
+    path = f"{shared_folder(spark)}/examples-{uuid.uuid4().hex}"
+    spark.createDataFrame(known, "kind string, subtype string, language string, structure string, example string").write.json(path)
+    key = F.col("c_custkey")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("legal_notice", "demand_notice", "petition", "lease", "contract")]), (key % 5 + 1).cast("int"))
+    asked = table(spark, sf_dir, "customer").select(key.alias("id"), kind.alias("kind"), F.when(key % 5 == 2, "plaint").alias("subtype"), F.when(key % 3 == 1, "hindi").otherwise("english").alias("language"))
+    return E.with_examples(asked, E.examples(spark, path)).select("id", "structure", "example")
+
+
+@query("DATE-03 DATE-04 DATE-07", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '2020-02-02' ELSE strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d') END AS court_day, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS stamp, CASE WHEN event_id % 2 = 0 THEN '1999' ELSE strftime(ts, '%Y') END AS case_year FROM events""")
+def date_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's moment as the present one."""
+    given = F.when(F.col("event_id") % 3 == 0, "2020-02-02").otherwise("")
+    year = F.when(F.col("event_id") % 2 == 0, "1999").otherwise(" ")
+    return table(spark, sf_dir, "events").select("event_id", A.court_day(F.col("ts"), given).alias("court_day"), A.utc_stamp(F.col("ts")).alias("stamp"), A.case_year(year, F.col("ts")).alias("case_year"))
+
+
+@query("DATE-05", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'T' || c_custkey ELSE c_name END AS c_name, CASE WHEN c_custkey % 5 = 0 THEN '2024-05-01 12:00:00' ELSE '2020-01-01 00:00:00' END AS updated_at FROM customer")
+def stamped_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An update that stamps the rows it changes with its moment."""
+    old = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.lit("2020-01-01 00:00:00").alias("updated_at"))
+    new = old.where("c_custkey % 5 = 0").select("c_custkey", F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("c_name"), F.lit("2024-05-01 12:00:00").alias("updated_at"))
+    return I.updated(old, new, "c_custkey", ["c_name", "updated_at"])

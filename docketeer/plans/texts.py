@@ -244,3 +244,20 @@ def region_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     packed = rows.select("conv_id", F.posexplode(batches(F.col("rows.text"), F.col("rows.role"))).alias("batch", "members"))
     return packed.select("conv_id", "batch", F.size("members").alias("n"), F.array_join("members", ",").alias("members"))
+
+
+@query("FLT-13", r"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'There is no  readable text in ' || text WHEN 1 THEN ' [ Stamp: ' || text || ']' WHEN 2 THEN 'It APPEARS to be ' || text WHEN 3 THEN '[Stamped] ' || text ELSE text END AS t FROM documents)
+SELECT doc_id, t FROM t WHERE NOT regexp_matches(t, '(?i)^\s*(?:there\s+is\s+no\s+(readable\s+)?(text|writing)\b|this\s+image\s+(contains|shows|depicts|appears)|the\s+image\s+(contains|shows|depicts|appears)|(it|this)\s+appears\s+to\s+be\b|in\s+(this|the)\s+image\b|no\s+readable\s+(text|content)\b)')
+AND NOT regexp_matches(t, '(?i)^\s*\[\s*(?:stamp|seal|image|logo|handwritten|figure|photo|picture|graphic|sign|emblem|signature)\b')""")
+def image_remarks_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks without those that a text recognition says of images."""
+    starts = F.element_at(F.array(*[F.lit(s) for s in ("There is no  readable text in ", " [ Stamp: ", "It APPEARS to be ", "[Stamped] ", "")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    block = F.concat(starts, "text", F.when(F.col("doc_id") % 5 == 1, "]").otherwise(""))
+    return docs(spark, sf_dir).select("doc_id", block.alias("t")).where(~T.is_image_remark(F.col("t")))
+
+
+@query("STR-05", r"""WITH t AS (SELECT doc_id, text || '. In State of Kerala v. Thomas Mathew (1976) under Article 14, section ' || doc_id || 'A(b) and Sec. 7' AS t FROM documents)
+SELECT doc_id, array_to_string(regexp_extract_all(t, '(?i)(?:Article|Art\.|Section|Sec\.)\s+(\d+[A-Z]?(?:\([a-z]\))?)', 1), '|') AS statutes, array_to_string(list_transform(regexp_extract_all(t, '(?i)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,9})\s+v\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,9})\s*(?:\((\d{4})\))?'), lambda x: trim(x)), '|') AS cases FROM t""")
+def statute_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = planted(spark, sf_dir, F.lit(". In State of Kerala v. Thomas Mathew (1976) under Article 14, section "), doc_key(), F.lit("A(b) and Sec. 7"))
+    return rows.select("doc_id", F.array_join(L.statutes(F.col("text")), "|").alias("statutes"), F.array_join(L.case_names(F.col("text")), "|").alias("cases"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import cache
 
@@ -9,8 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder only where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or local_folder(spark.sparkContext.applicationId)).rstrip("/")
+    """``spark.checkpoint.dir``. Where none is set, as in tests, a local folder, but only for a session of one machine."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return (given or local_folder(spark.sparkContext.applicationId)).rstrip("/")
 
 
 @cache

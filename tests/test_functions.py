@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docketeer.functions import legal, text
 from docketeer.operators import chunking, ingest, layout, ordered, retrieval
+from docketeer.sources import databases, shared
 
 
 def values(spark, expression, *inputs):
@@ -93,3 +94,25 @@ def test_overlap_counts_each_pair_once(spark):
     a = spark.createDataFrame([(1, 1, 0.0, 250.0, 0.0, 250.0)], schema)
     b = spark.createDataFrame([(1, 7, 90.0, 210.0, 90.0, 310.0), (1, 8, 250.0, 260.0, 0.0, 9.0), (2, 9, 0.0, 9.0, 0.0, 9.0)], schema.replace("id", "other"))
     assert [r.other for r in layout.overlapping(a, b, "page", 100).collect()] == [7]
+
+
+def test_database_tables(spark, tmp_path):
+    """Written and read through JDBC, with the embedded database that comes with Spark."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.range(1000).select(F.col("id").alias("ID"), (F.col("id") % 7).cast("int").alias("PART"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("NAME"))
+    databases.append_table(rows.where("ID < 600"), url, "CASES")
+    databases.append_table(rows.where("ID >= 600"), url, "CASES")
+    found = databases.database_table(spark, url, "CASES", "ID", parts=4)
+    assert found.rdd.getNumPartitions() == 4 and found.count() == 1000
+    one = databases.database_table(spark, url, "CASES").where("PART = 3 AND ID > 990")
+    assert [r.NAME for r in one.orderBy("ID").collect()] == ["n997"]
+    assert "PushedFilters" in one._jdf.queryExecution().toString()
+
+
+def test_shared_folder_of_a_cluster(spark, monkeypatch):
+    spark_conf = type("Conf", (), {"get": staticmethod(lambda key, default: None)})
+    fake = lambda master: type("Session", (), {"conf": spark_conf, "sparkContext": type("Context", (), {"master": master, "applicationId": "test"})})
+    assert shared.shared_folder(fake("local[4]")) == shared.shared_folder(fake("local"))
+    for master in ("yarn", "local-cluster[3,2,3000]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            shared.shared_folder(fake(master))
