@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketeer.llm.common import let, save
+from docketeer.llm.common import discard, let, save
 
 #: Families of lexicons: of how many parts of the terms' hash each takes one, and how many there are.
 #: The first is the whole lexicon; sparser ones survive more edits, which long documents need.
@@ -31,7 +31,9 @@ def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
     counts = save(docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy(F.xxhash64("term").alias("term")).agg(F.count("*").alias("n")))
     total = docs.count()
     band = counts.where(F.col("n").between(max(2, math.ceil(total * math.exp(-high))), total * math.exp(-low)))
-    return band.select("term")
+    kept = save(band.select("term"))
+    discard(counts)
+    return kept
 
 
 def with_range(rows: DataFrame, bounds: list[int]) -> DataFrame:
@@ -156,7 +158,7 @@ def fingerprints(docs: DataFrame, low: float = 3.0, high: float = 7.0, bucket_ch
     agree. Null texts count as empty; an only document follows itself; repeated rows and null ids come out as often. Other columns are left.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kept = save(lexicon(docs, low, high))
+    kept = lexicon(docs, low, high)
     if kept.count() * 16 <= MOST_BYTES:
         kept = F.broadcast(kept)
     rows = followed(docs, bucket_chars, most_buckets).withColumn("edited", edited(F.col("text"), F.col("next_text")))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketeer.llm.common import let, save
+from docketeer.llm.common import discard, let, save
 
 VARIABLE = r"(?<!\S)[^\s0-9]*[0-9]\S*"  # a token with a digit is a variable field wherever it stands
 WILDCARD = "<*>"
@@ -122,6 +122,7 @@ def recurring_lines(docs: DataFrame, least_tokens: int, depth: int, constant: fl
     groups = named.groupBy("template").agg(F.min(owner).alias("owner"), F.max("last").alias("last"))
     named = named.select("h1", "h2", "template").join(groups, "template").select("h1", "h2", "owner", "last")
     recur = save(alone.union(named).where("owner <> last").select("h1", "h2", "owner"))
+    discard(distinct, rows, shared)
     hits = lines.select("doc", "doc_key", "line_no", "h1", "h2").join(recur, ["h1", "h2"])
     hits = hits.where(F.struct("doc", "doc_key") != F.col("owner"))
     return hits.groupBy("doc", "doc_key").agg(F.collect_set("line_no").alias("drop"))

@@ -281,6 +281,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     of_code = looked_up(named.select("fp", "root", F.col("n").alias("n_rows")), least, "root", named.count())
     of_code = save(of_code.select("fp", "component_id", F.col("n_rows").alias("n")))
+    discard(codes, roots, named)
     return looked_up(prints, of_code, "fp", prints.count()).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -432,13 +433,14 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     held = left.select("key", every(F.col("blocks")).alias("block"), deal(F.col("parts")).alias("part"), "cid", "fp", "known", F.lit(False).alias("asks"))
     asks = left.where("known <> top").select("key", deal(F.col("blocks")).alias("block"), every(F.col("parts")).alias("part"), "cid", "fp", "known", F.lit(True).alias("asks"))
-    edges = edges.union(compared(held.union(asks), ["key", "block", "part"], sets, similarity, radius))
-
-    roots = components(edges).withColumnRenamed("node", "cid")
+    more = compared(held.union(asks), ["key", "block", "part"], sets, similarity, radius)
+    early_roots, roots = roots, components(edges.union(more)).withColumnRenamed("node", "cid")
+    discard(early_roots, edges, left, routed, sets)
     named = save(nodes.join(roots, "cid", "left").select("cid", "least", "n", F.coalesce("root", "cid").alias("root")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     of_set = looked_up(named.select("cid", "root", F.col("n").alias("n_rows")), least, "root", named.count())
     of_set = save(of_set.select("cid", "component_id", F.col("n_rows").alias("n")))
+    discard(nodes, roots, named)
     return looked_up(rows.select("doc_id", "cid"), of_set, "cid", rows.count()).select("doc_id", "component_id")
 
 

@@ -74,8 +74,10 @@ def judge(captures: DataFrame, entries: DataFrame, **options: int) -> DataFrame:
     """Every capture with ``blocked``, ``lists`` (names in order, comma-joined; empty if none) and ``n_entries``.
 
     A capture with a null URL, moment or id, or a URL without a host, is on no list of domains. Repeated captures of one id
-    share a verdict by id and moment taken together: an entry that any of them meets counts for all.
+    share a verdict by id and moment taken together: an entry that any of them meets counts for all. Columns of the input with the
+    names of the verdict are replaced.
     """
+    captures = captures.drop("blocked", "lists", "n_entries")
     found = active(captures.where("capture IS NOT NULL"), entries, **options)
     found = found.groupBy("capture").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.count("*").alias("n_entries"))
     all_of = captures.join(found, "capture", "left")

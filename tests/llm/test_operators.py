@@ -106,6 +106,41 @@ def test_extra_columns_with_clashing_names_survive(spark):
     assert tokencount.count_tokens(df.withColumnRenamed("doc", "n_tokens"), tokenizer_path("byte_bpe_50k.tiktoken")).columns.count("n_tokens") == 1
 
 
+LONG = "the court of appeal shall hear claim 12 of the party; " * 20_000  # a million characters
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    """Every operator takes columns with the names that it uses itself, and a text of a million characters."""
+    rows = [(1, LONG), (2, LONG + "x"), (3, None), (4, ""), (5, "one short text of the court")]
+    docs = spark.createDataFrame(rows, DOCS)
+    others = lambda *names: docs.withColumns({n: F.lit("own") for n in names})
+
+    pages = others("list", "kind", "key", "period", "part", "lists", "blocked", "valid_to").select("*", F.col("doc_id").alias("capture"), F.concat(F.lit("http://a.org/"), F.col("text")).alias("url"), F.lit("2024-05-05").cast("date").alias("at"))
+    entries = spark.createDataFrame([("ads", "url", f"a.org/{LONG}"), ("ads", "domain", "b.org")], "list string, kind string, key string").select("*", F.lit("add").alias("action"), F.lit("2024-01-01").cast("date").alias("at"))
+    assert {r.capture for r in urlfilter.judge(pages, entries).where("blocked AND period = 'own'").collect()} == {1}
+
+    found = linededup.drop_recurring(others("doc", "h1", "leaf", "template", "drop", "__n")).collect()
+    assert {(r.doc_id, r.text) for r in found} == set(rows) and {r.leaf for r in found} == {"own"}
+    assert {r.item_id for r in decontam.matches(others("item_id", "distance", "start", "end"), spark.createDataFrame([(7, "short text of the court")], "item_id long, text string")).collect()} == {7}
+    kept = decontam.without_matches(others("item_id", "start"), spark.createDataFrame([(7, "claim twelve"), (8, "short text of the court")], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in kept.collect()} == {(i, "own") for i in (1, 2, 3, 4)}
+    prints = imatch.fingerprints(others("bucket", "rn", "tie", "end", "at"), low=0.0).collect()
+    assert {r.doc_id: r.n_chars for r in prints} == {d: len(t or "") for d, t in rows}
+    near = simhash.near_duplicates(others("fp", "least", "root", "n", "component_id")).collect()
+    assert {r.doc_id: r.component_id for r in near} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    alike = simhash.similar_documents(others("cid", "key", "keys", "held", "size", "n", "known")).collect()
+    assert {r.doc_id: r.component_id for r in alike} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    model = quality.learn(others("__text", "__slots", "feature"), spark.createDataFrame([(1, 1), (4, 0), (5, 1), (3, 0)], "doc_id long, good int"), ["feature"])
+    scored = quality.score(others("feature", "score", "text_score"), model).collect()
+    assert len(scored) == 5 and all(0 <= r.score <= 1 for r in scored)
+    assert secrets.scan(others("key", "base", "weak")).count() == 5
+    packed = packing.pack_documents(others("piece", "start", "length", "turn", "offset"), tokenizer_path("word_bpe_49k.json")).collect()
+    assert {r.doc_id for r in packed} == {1, 2, 3, 4, 5} and sum(r.length for r in packed if r.doc_id in (3, 4)) == 2
+    languages = language.learn(docs.withColumn("lang", F.lit("en")))
+    assert {r.doc_id: r.lang_pred for r in language.identify(others("phrases", "score"), languages).collect()} == {1: "en", 2: "en", 3: "und", 4: "und", 5: "en"}
+    assert tokencount.count_tokens(others("n_words"), tokenizer_path("byte_bpe_50k.tiktoken")).where("doc_id = 1").first().n_words == len(tokencount.words_of(LONG))
+
+
 def test_longest_match_counts():
     r = random.Random(1)
     some = lambda most: {bytes(r.choice(b"abc") for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, most))}
