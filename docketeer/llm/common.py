@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a local one only where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or local_folder(spark.sparkContext.applicationId)).rstrip("/")
+    """The folder that the cluster shares (``spark.checkpoint.dir``). A local one only where none is set, on one machine, as in tests."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return (given or local_folder(spark.sparkContext.applicationId)).rstrip("/")
 
 
 @cache
@@ -55,16 +62,19 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about so many characters each, so that a batch of long texts is never expanded at once."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def parts_of(batches: Iterable[pa.RecordBatch], at: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """The batches in parts with about ``most`` bytes of text each, and the texts, which are in column ``at``.
+
+    So a task never has more texts in Python than a part's, or one very long one.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = done = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+            part = batch.slice(start, end - start)
+            yield part, part.column(at).to_pylist()
+            start, done = end, int(ends[end - 1])
 
 
 _kept: dict[tuple[str, Any], Any] = {}

@@ -15,7 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketeer.llm.common import kept_by_worker, save
+from docketeer.llm.common import kept_by_worker, parts_of, save
 
 WORD = re.compile(r"[^\W_]+")
 MATCHES = "doc_id long, item_id long, distance int, start long, end long"
@@ -220,9 +220,8 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_chars:
 def matching(held: Broadcast, rate: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = matcher(held, rate)
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            rows = []
+        for part, texts in parts_of(batches, 1):
+            ids, rows = part.column(0), []
             for i, text in enumerate(texts):
                 if found := own.find(plain(text or "")):
                     at = Places(text)
@@ -247,9 +246,8 @@ def without_matches(docs: DataFrame, items: DataFrame, rate: float = 0.08, block
 
             def run(batches: Iterable[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
                 own = matcher(held, rate)
-                for batch in batches:
-                    texts = batch.column(at).to_pylist()
-                    yield batch.filter(pa.array([not own.has_any(plain(t or "")) for t in texts], pa.bool_()))
+                for part, texts in parts_of(batches, at):
+                    yield part.filter(pa.array([not own.has_any(plain(t or "")) for t in texts], pa.bool_()))
 
             docs = docs.mapInArrow(run, docs.schema)
             docs = save(docs) if n > 1 else docs

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from docketeer.llm.common import kept_by_worker, slices
+from docketeer.llm.common import kept_by_worker, parts_of
 
 UNDETERMINED = "und"
 PREDICTED = "lang_pred string, score double, phrases array<long>"
 UNKNOWN, SPACE, FIRST = 0, 1, 2  # codes of a letter that no language was seen with, of what is no letter, of the first letter
-BLOCK = 2048  # characters that are parsed side by side with those of other blocks
+BLOCK = 1024  # characters that are parsed side by side with those of other blocks
 SEGMENT = 1 << 20  # of longer texts so many characters are in memory as codes at once
 
 
@@ -109,7 +109,7 @@ class Languages:
         letters = "".join(sorted(set("".join(texts.values())) - {" "}))
         code = {c: i for i, c in enumerate(letters, FIRST)} | {" ": SPACE}
         width = len(letters) + FIRST
-        first, starts, rows, targets = np.zeros((len(texts), width), np.int32), [], [], []
+        first, starts, rows, targets = np.zeros((len(texts), width), np.int64), [], [], []
         for number, text in enumerate(texts.values()):
             go, base = suffix_automaton([code[c] for c in text]), len(rows)
             starts.append(base)
@@ -121,12 +121,12 @@ class Languages:
                 rows.append(np.array(held, np.int64))
                 targets.append([base + row[c] for c in held])
         begin, size = displaced(rows, width)
-        owner, target = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        owner, target = np.full(size, -1, np.int64), np.zeros(size, np.int64)
         if rows:
             own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
             places = begin[own] + np.concatenate(rows)
-            owner[places], target[places] = own, np.array([t for some in targets for t in some], np.int32)
-        return cls(list(texts), letters, [len(t) for t in texts.values()], np.array(starts, np.int32), first, begin.astype(np.int32), owner, target)
+            owner[places], target[places] = own, np.array([t for some in targets for t in some], np.int64)
+        return cls(list(texts), letters, [len(t) for t in texts.values()], np.array(starts, np.int64), first, begin, owner, target)
 
     def codes(self, lower: str) -> np.ndarray:
         """A code for each character of a lower-case text."""
@@ -135,9 +135,12 @@ class Languages:
 
     def step(self, state: np.ndarray, row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states, and which of them begin a phrase. ``row``: where the language's first transitions lie."""
-        at = self.begin[state] + code
-        new = self.owner[at] != state
-        return np.where(new, self.first.reshape(-1)[row + code], self.target[at]), new
+        at = self.begin.take(state)
+        at += code
+        new = self.owner.take(at) != state
+        after = self.target.take(at)
+        np.copyto(after, self.first.take(row + code), where=new)
+        return after, new
 
     def parse(self, texts: list[np.ndarray], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases begun in each text (column) by each language (row), and the states at its end, from the given states.
@@ -156,7 +159,7 @@ class Languages:
         grid = np.zeros((size[0], len(parts)), np.int32)
         for j, (i, k) in enumerate(parts):
             grid[: size[j], j] = texts[i][k : k + BLOCK]
-        row = (np.arange(langs, dtype=np.int32) * self.first.shape[1])[:, None]
+        row = (np.arange(langs) * self.first.shape[1])[:, None]
         now = np.where([k == 0 for _, k in parts], state[:, [i for i, _ in parts]], self.starts[:, None])
         begins = np.zeros((len(grid), langs, len(parts)), bool)
         lanes = np.searchsorted(-size, -np.arange(1, len(grid) + 1), side="right")  # those with a character at each step
@@ -281,16 +284,14 @@ def identify(docs: DataFrame, languages: Languages, text_col: str = "text") -> D
 
     Whole texts are parsed. A column of the input with one of these names is replaced.
     """
-    model = docs.sparkSession.sparkContext.broadcast(languages)  # about a megabyte for each language
+    model = docs.sparkSession.sparkContext.broadcast(languages)  # a megabyte or two for each language
     kept = docs.drop("lang_pred", "score", "phrases")
     at = kept.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in slices(texts):
-                lang, score, phrases = zip(*model.value.predict(texts[a:b]))
-                new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(phrases, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], names=[*batch.schema.names, "lang_pred", "score", "phrases"])
+        for part, texts in parts_of(batches, at):
+            lang, score, phrases = zip(*model.value.predict(texts))
+            new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(phrases, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "lang_pred", "score", "phrases"])
 
     return kept.mapInArrow(run, StructType([*kept.schema.fields, *StructType.fromDDL(PREDICTED).fields]))

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketeer.llm.common import kept_by_worker, save, slices
+from docketeer.llm.common import kept_by_worker, parts_of, save
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -92,19 +92,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 4096, end_id: int
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = kept_by_worker("packing", tokenizer, lambda: WordIds(tokenizer))
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                at, rows = [], []
-                for i, own in enumerate(words.of([text or "" for text in texts[a:b]]), a):
-                    for row in cut(own + end, most):
-                        at.append(i)
-                        rows.append(row)
-                piece, start, length, crc = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+        for part, texts in parts_of(batches, 1):
+            at, rows = [], []
+            for i, own in enumerate(words.of([text or "" for text in texts])):
+                for row in cut(own + end, most):
+                    at.append(i)
+                    rows.append(row)
+            piece, start, length, crc = zip(*rows)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 

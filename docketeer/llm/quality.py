@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from docketeer.llm.common import discard, save, slices
+from docketeer.llm.common import discard, parts_of, save
 
 GRAMS = WORDS = 1 << 16  # buckets of byte trigrams and of words
 SLOTS = 1 << 20  # of metadata values: many times more than there are values, so that hardly two share one
@@ -161,11 +161,8 @@ def prepared(docs: DataFrame, columns: list[str], text_col: str = "text") -> lis
 
 def in_batches(batches: Iterable[pa.RecordBatch], text: str = "__text", slots: str = "__slots") -> Iterator[tuple[pa.RecordBatch, Texts, np.ndarray]]:
     for batch in batches:
-        texts = batch.column(text).to_pylist()
-        for a, b in slices(texts):
-            part = batch.slice(a, b - a)
-            held = part.column(slots)
-            yield part, Texts(texts[a:b]), held.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+        for part, texts in parts_of([batch], batch.schema.get_field_index(text)):
+            yield part, Texts(texts), part.column(slots).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
 
 
 def counted(rows: DataFrame, label: Callable[[pa.RecordBatch, Texts, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketeer.llm.common import discard, save, slices
+from docketeer.llm.common import discard, parts_of, save
 
 BITS = 64
 
@@ -177,11 +177,9 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     """``doc_id`` and the fingerprint ``fp`` (a signed long with its 64 bits) of every whole text; null texts count as empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                codes = np.array([simhash(shingles(t, words)) for t in texts[a:b]], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(codes)], names=["doc_id", "fp"])
+        for part, texts in parts_of(batches, 1):
+            codes = np.array([simhash(shingles(t, words)) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes)], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
@@ -310,18 +308,16 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id``, ``cid`` (a name for the text's set of shingles), its ``size``, ``fp`` and ``keys``, without the sets themselves."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                rows = []
-                for text in texts[a:b]:
-                    distinct = np.unique(shingles(text, words))
-                    rows.append((content(distinct), len(distinct), simhash(distinct), routes(distinct)))
-                cid, size, fp, keys = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(cid, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "cid", "size", "fp", "keys"],
-                )
+        for part, texts in parts_of(batches, 1):
+            rows = []
+            for text in texts:
+                distinct = np.unique(shingles(text, words))
+                rows.append((content(distinct), len(distinct), simhash(distinct), routes(distinct)))
+            cid, size, fp, keys = zip(*rows)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(cid, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "cid", "size", "fp", "keys"],
+            )
 
     return docs.mapInArrow(run, "doc_id long, cid binary, size long, fp long, keys array<long>")
 
@@ -330,11 +326,9 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """``cid`` and the sorted distinct shingle hashes ``held``, as bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                sets = [np.unique(shingles(t, words)) for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([pa.array([content(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cid", "held"])
+        for _, texts in parts_of(batches, 1):
+            sets = [np.unique(shingles(t, words)) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([content(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cid", "held"])
 
     return docs.mapInArrow(run, "cid binary, held binary").dropDuplicates(["cid"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from docketeer.llm.common import kept_by_worker
+from docketeer.llm.common import kept_by_worker, parts_of
 
 
 #: The public pattern of the byte-level vocabularies, and what it comes to on texts of the PLAIN characters.
@@ -121,13 +121,12 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Da
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = kept_by_worker("tokencount", vocabulary, lambda: Counts(LongestMatch(rank_file(vocabulary))))
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
+        for part, texts in parts_of(batches, at):
             n_words, n_tokens = [], []
             for text in texts:
                 words = words_of(text or "")
                 n_words.append(len(words))
                 n_tokens.append(sum(map(counts.__getitem__, words)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=[*batch.schema.names, "n_words", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=[*part.schema.names, "n_words", "n_tokens"])
 
     return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("n_words", LongType()), StructField("n_tokens", LongType())]))
