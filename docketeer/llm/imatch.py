@@ -68,7 +68,9 @@ def with_bucket(rows: DataFrame, bounds: list[int], parts: list[int], null_parts
     own = F.try_element_at(literal(parts), F.col("at") + 1)
     part = lambda n: F.least(F.floor((F.col("tie") / 2.0**64 + 0.5) * n), n - 1).cast("int")
     inner = F.when(F.col("doc_id") == F.try_element_at(F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>"), F.col("at") + 1), part(own)).otherwise(F.when(own > 1, own).otherwise(0))
-    return rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), part(F.lit(null_parts))).otherwise(F.try_element_at(literal(before), F.col("at") + 1) + inner)).drop("at")
+    bucket = F.when(F.col("doc_id").isNull(), part(F.lit(null_parts))).otherwise(F.try_element_at(literal(before), F.col("at") + 1) + inner)
+    # never null, and said so: else a join's test for nulls is pushed below the steps of ``at``, which doubles with each
+    return rows.withColumn("bucket", F.coalesce(bucket, F.lit(0))).drop("at")
 
 
 def followed(docs: DataFrame, bucket_chars: int, most_buckets: int) -> DataFrame:

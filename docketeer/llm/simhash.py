@@ -408,7 +408,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     wanted = routed.select(F.col("least").alias("doc_id")).distinct()
     sets = save(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words))
 
-    deal = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    # by key as well: what one key leaves apart in different parts, the next mixes anew and joins
+    deal = lambda n: F.pmod(F.xxhash64("cid", "key"), n).cast("int")
     alone = {"known": F.lit(None).cast("binary"), "asks": F.lit(False)}
     early = routed.where(F.col("route") < EARLY).withColumns({"part": deal(F.col("parts"))} | alone)
     edges = save(compared(early, ["key", "part"], sets, similarity, radius))
