@@ -91,17 +91,18 @@ def without_controls(text: Column) -> Column:
 
 def capped_runs(text: Column) -> Column:
     """Runs of six or more of one symbol, cut to five."""
-    return F.regexp_replace(text, r"([^\w\s])\1{5,}", "$1$1$1$1$1")
+    return F.regexp_replace(text, r"([^\w\s])\1{5}\1*+", "$1$1$1$1$1")
 
 
 def dehyphenated(text: Column) -> Column:
     """Words divided at a line's end, joined if they go on in lower case."""
-    return F.regexp_replace(text, r"(?U)(\w+)-\n([a-z])", "$1$2")
+    # one character of the word is enough, and texts without such a line end are left alone in one cheap test
+    return F.when(text.contains("-\n"), F.regexp_replace(text, r"(?U)(?<=\w)-\n([a-z])", "$1")).otherwise(text)
 
 
 def collapsed_spaces(text: Column) -> Column:
     """Single spaces, none at the end of a line."""
-    return F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}", " "), r"(?m)[ \t]+$", "")
+    return F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}", " "), r"(?m)[ \t]++$", "")
 
 
 def cleaned(text: Column) -> Column:

@@ -10,11 +10,11 @@ from docketeer.functions import legal as L
 from docketeer.functions import text as T
 from docketeer.operators import chunking as C
 from docketeer.plans.registry import query
-from docketeer.sources.tables import table
+from docketeer.sources.tables import spread, table
 
 
 def docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", *columns or ("text",))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns or ("text",)))
 
 
 def planted(spark: SparkSession, sf_dir: str, *parts: object) -> DataFrame:

@@ -11,6 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that come in fewer parts than the session has cores, dealt to all of them; larger tables stay as they are.
+
+    For work that is heavy on each row: a small table is often one row group, which one task reads however many cores are free.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as judgments: id, title, court, year, judges, citation (every third has one), body."""
     year = (F.col("doc_id") % 35 + 1990).cast("int")
