@@ -21,6 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that come in fewer parts than the session has cores, dealt to all of them; larger tables stay as they are.
+
+    A small table is often one row group, which one task reads however many cores are free.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares (``spark.checkpoint.dir``). A local one only where none is set, on one machine, as in tests."""
     given = spark.conf.get("spark.checkpoint.dir", None)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketeer.llm import decontam, imatch, language, linededup, packing, quality, secrets, simhash, tokencount, urlfilter
-from docketeer.llm.common import crc, table
+from docketeer.llm.common import crc, documents, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -75,40 +75,40 @@ FROM captures c LEFT JOIN found f ON c.page_id = f.page_id
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without the lines whose template an earlier document has."""
-    return linededup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.drop_recurring(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op3_longest_match_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy word pieces of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return tokencount.count_tokens(docs, tokenizer_path("byte_bpe_50k.tiktoken")).drop("text")
 
 
 def op4_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that documents hold, with at most eight edits in a hundred characters."""
-    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op5_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the folds that are not held out."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc(F.col("doc_id")) % 5 == 0).alias("held_out"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (crc(F.col("doc_id")) % 5 == 0).alias("held_out"))
     model = language.learn(docs.where(~F.col("held_out")))
     return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
-    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+    return imatch.fingerprints(documents(spark, sf_dir))
 
 
 def op7_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op8_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document, learned from the labels of the folds that are not held out."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good")).where(crc(F.col("doc_id")) % 5 != 0)
     scored = quality.score(docs, quality.learn(docs, labels, ["lang", "source"]))
     return scored.select("doc_id", (crc(F.col("doc_id")) % 5 == 0).alias("held_out"), "text_score", "page_score", "score", (F.col("score") >= 0.5).cast("int").alias("quality_pred"))
@@ -116,12 +116,12 @@ def op8_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, and weak parts that complete one another."""
-    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+    return secrets.report(secrets.scan(documents(spark, sf_dir)))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 4096 tokens."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
 OP2 = r"""
