@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketeer.llm import decontam, language, linededup, packing, simhash
-from docketeer.llm.common import discard, save, table
+from docketeer.llm.common import discard, documents, save, table
 from docketeer.llm.queries import tokenizer_path
 
 
@@ -65,7 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder, read again by the next, and then deleted."""
-    docs, before = table(spark, sf_dir, "documents"), None
+    docs, before = documents(spark, sf_dir), None
     for _, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir))
         if before is not None:
