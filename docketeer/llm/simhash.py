@@ -396,17 +396,20 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     nearly all members of each group. Then, of all keys, those shards remain in which members of several components have not
     been compared. Their largest component needn't be compared with itself: the others are a query set, in blocks of ``most``,
     against all members in parts. So no task holds a whole hot key, and no pair is left out.
-    Null texts count as empty; a null id takes no part in the least id; repeated rows come out as often. Other columns are left.
+    Null texts count as empty; rows with a null id link like any other but take no part in the least id; repeated rows come out as
+    often. Other columns are left.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = save(sketches(docs, words))
     nodes = save(rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count("*").alias("n")))
     routed = nodes.select("cid", "least", "fp", "size", F.posexplode("keys").alias("route", "key"))
-    shared = routed.groupBy("key").agg(F.count("*").alias("members"), F.sum("size").alias("hashes")).where("members > 1")
-    parts = F.greatest(F.ceil(F.col("members") / most), F.ceil(F.col("hashes") / most_hashes)).cast("int")
-    routed = save(routed.join(shared.select("key", parts.alias("parts")), "key"))
+    shared = routed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("hashes")).where("n > 1")
+    total = lambda members, hashes: F.greatest(F.lit(1), F.ceil(members / most), F.ceil(hashes / most_hashes)).cast("int")
+    shared = save(shared.select("key", total(F.col("n"), F.col("hashes")).alias("parts"), "n"))
+    routed = save(looked_up(routed, shared, "key", nodes.count() * ROUTES))
     wanted = routed.select(F.col("least").alias("doc_id")).distinct()
-    sets = save(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words))
+    # rows without an id have no other name here, so all of theirs are taken
+    sets = save(shingle_sets(docs.join(wanted, "doc_id", "left_semi").union(docs.where("doc_id IS NULL")), words))
 
     # by key as well: what one key leaves apart in different parts, the next mixes anew and joins
     deal = lambda n: F.pmod(F.xxhash64("cid", "key"), n).cast("int")
@@ -415,22 +418,22 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     edges = save(compared(early, ["key", "part"], sets, similarity, radius))
     roots = components(edges).withColumnRenamed("node", "cid")
 
-    left = routed.where((F.col("route") >= EARLY) | (F.col("parts") > 1)).join(roots, "cid", "left")
-    left = left.select("key", "cid", "fp", "size", F.coalesce("root", "cid").alias("known"))
+    left = routed.where((F.col("route") >= EARLY) | (F.col("parts") > 1)).drop("parts").join(roots, "cid", "left")
+    left = save(left.select("key", "cid", "fp", "size", F.coalesce("root", "cid").alias("known")))
     ranked = left.groupBy("key", "known").agg(F.count("*").alias("members"), F.sum("size").alias("hashes"))
-    total = lambda members, hashes: F.greatest(F.lit(1), F.ceil(members / most), F.ceil(hashes / most_hashes)).cast("int")
-    several = ranked.groupBy("key").agg(F.sum("members").alias("members"), F.sum("hashes").alias("hashes"), F.max(F.struct("members", "hashes", "known")).alias("top"), F.count("*").alias("groups"))
+    several = ranked.groupBy("key").agg(F.sum("members").alias("n"), F.sum("hashes").alias("hashes"), F.max(F.struct("members", "hashes", "known")).alias("top"), F.count("*").alias("groups"))
     several = several.where("groups > 1").select(
-        "key", F.col("top.known").alias("top"), total(F.col("members"), F.col("hashes")).alias("parts"),
-        total(F.col("members") - F.col("top.members"), F.col("hashes") - F.col("top.hashes")).alias("blocks"),
+        "key", "n", F.col("top.known").alias("top"), total(F.col("n"), F.col("hashes")).alias("parts"),
+        total(F.col("n") - F.col("top.members"), F.col("hashes") - F.col("top.hashes")).alias("blocks"),
     )
-    left = save(left.join(several, "key"))
+    several = save(several)
+    apart = save(looked_up(left, several, "key", left.count()))
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    held = left.select("key", every(F.col("blocks")).alias("block"), deal(F.col("parts")).alias("part"), "cid", "fp", "known", F.lit(False).alias("asks"))
-    asks = left.where("known <> top").select("key", deal(F.col("blocks")).alias("block"), every(F.col("parts")).alias("part"), "cid", "fp", "known", F.lit(True).alias("asks"))
+    held = apart.select("key", every(F.col("blocks")).alias("block"), deal(F.col("parts")).alias("part"), "cid", "fp", "known", F.lit(False).alias("asks"))
+    asks = apart.where("known <> top").select("key", deal(F.col("blocks")).alias("block"), every(F.col("parts")).alias("part"), "cid", "fp", "known", F.lit(True).alias("asks"))
     more = compared(held.union(asks), ["key", "block", "part"], sets, similarity, radius)
     early_roots, roots = roots, components(edges.union(more)).withColumnRenamed("node", "cid")
-    discard(early_roots, edges, left, routed, sets)
+    discard(early_roots, edges, shared, several, left, apart, routed, sets)
     named = save(nodes.join(roots, "cid", "left").select("cid", "least", "n", F.coalesce("root", "cid").alias("root")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     of_set = looked_up(named.select("cid", "root", F.col("n").alias("n_rows")), least, "root", named.count())

@@ -400,6 +400,13 @@ def test_similar_documents_against_all_pairs(spark, odd, empty):
     assert simhash.similar_documents(empty).count() == 0
 
 
+def test_rows_without_an_id_link_others(spark):
+    words = prose(20, 150).split()
+    other = lambda *places: " ".join(f"new{i}" if i in places else w for i, w in enumerate(words))
+    docs = spark.createDataFrame([(1, other(20, 40, 60)), (None, other()), (2, other(80, 100, 120)), (3, prose(21, 100)), (None, None)], DOCS)
+    assert sorted(map(repr, ((x.doc_id, x.component_id) for x in simhash.similar_documents(docs).collect()))) == sorted(map(repr, [(1, 1), (None, 1), (2, 1), (3, 3), (None, None)]))
+
+
 def test_many_equal_codes_in_a_shard():
     """Sets of one SimHash: as many as would exceed the recursion limit, of two groups and some that fit neither."""
     r = random.Random(11)
