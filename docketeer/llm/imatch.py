@@ -36,68 +36,46 @@ def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
     return kept
 
 
-def with_range(rows: DataFrame, bounds: list[int]) -> DataFrame:
-    """Adds ``at``: the last of the ascending bounds that is not above ``doc_id``, by binary search; 0 for nulls.
+def with_bucket(rows: DataFrame, bounds: list[int]) -> DataFrame:
+    """Adds ``bucket``: the last of the ascending bounds that is not above ``doc_id``, by binary search; 0 for nulls.
 
     Each step is a column of its own and none has a lambda, so that Spark sees the plans of both readers as the same and
     shuffles the texts once.
     """
     array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
-    rows = rows.withColumn("at", F.lit(0))
+    rows = rows.withColumn("bucket", F.lit(0))
     step = 1 << max(0, (len(bounds) - 1).bit_length() - 1)
     while step and len(bounds) > 1:
-        further = F.col("at") + step
+        further = F.col("bucket") + step
         fits = (further < len(bounds)) & (F.try_element_at(array, further + 1) <= F.col("doc_id"))
-        rows = rows.withColumn("at", F.col("at") + F.when(fits, step).otherwise(0))
+        rows = rows.withColumn("bucket", F.col("bucket") + F.when(fits, step).otherwise(0))
         step >>= 1
     return rows
 
 
-def with_bucket(rows: DataFrame, bounds: list[int], parts: list[int], null_parts: int) -> DataFrame:
-    """Adds ``bucket``, in the order of id and ``tie``: ranges of ids, and parts by tie of an id that alone fills several.
-
-    Range i has the ids from ``bounds[i]`` on; ``parts[i]`` are those of the bound itself, and its other ids come after them. Null ids
-    come first, in ``null_parts``.
-    """
-    rows = with_range(rows, bounds)
-    before, n = [], null_parts
-    for p in parts:
-        before.append(n)
-        n += p + (p > 1)
-    literal = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
-    own = F.try_element_at(literal(parts), F.col("at") + 1)
-    part = lambda n: F.least(F.floor((F.col("tie") / 2.0**64 + 0.5) * n), n - 1).cast("int")
-    inner = F.when(F.col("doc_id") == F.try_element_at(F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>"), F.col("at") + 1), part(own)).otherwise(F.when(own > 1, own).otherwise(0))
-    bucket = F.when(F.col("doc_id").isNull(), part(F.lit(null_parts))).otherwise(F.try_element_at(literal(before), F.col("at") + 1) + inner)
-    # never null, and said so: else a join's test for nulls is pushed below the steps of ``at``, which doubles with each
-    return rows.withColumn("bucket", F.coalesce(bucket, F.lit(0))).drop("at")
-
-
 def followed(docs: DataFrame, bucket_chars: int, most_buckets: int) -> DataFrame:
     """Each document (``bucket``, ``rn``) with the next one's text and place, in ascending order of id, in a circle.
 
     Ranges of ids are ordered on their own; the first document of the next range closes each. Null ids come first, rows of
-    the same id go by a hash of their text; where one id, or none, has more rows than a range, they are divided by that hash.
+    the same id go by a hash of their text; they are in one range, which a window sorts on disk if it must. There are at most
+    ``most_buckets`` ranges, as planning time doubles with each step of the search among them.
     """
-    size = docs.agg(F.sum(F.length("text")).alias("chars"), F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.count("doc_id").alias("named")).first()
+    size = docs.agg(F.sum(F.length("text")).alias("chars"), F.min("doc_id").alias("least")).first()
     n = int(min(most_buckets, max(1, (size.chars or 0) // bucket_chars)))
-    null_parts = max(1, -(-(size.rows - size.named) * n // max(1, size.rows)))
-    found = [size.least or 0]
-    if n > 1 and size.named:
+    bounds = [size.least or 0]
+    if n > 1:
         ranks = [i / n for i in range(1, n)]
-        found += docs.agg(F.percentile_approx("doc_id", ranks, 10 * n)).first()[0]
-    bounds = sorted(set(found))
-    parts = [max(1, found.count(b) - 1) for b in bounds] if len(bounds) < len(found) else [1] * len(bounds)
-    own = with_bucket(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")), bounds, parts, null_parts)
-    place = F.struct("doc_id", "tie")
-    firsts = save(own.groupBy("bucket").agg(F.min(place).alias("place"), F.min_by("text", place).alias("text")))
-    filled = sorted(r.bucket for r in firsts.select("bucket").collect())
-    closing = docs.sparkSession.createDataFrame(list(zip(filled, filled[-1:] + filled[:-1])), "bucket int, closed int")
-    ends = firsts.join(F.broadcast(closing), "bucket").select("place.doc_id", "text", "place.tie", F.col("closed").alias("bucket"), F.lit(True).alias("end"), F.col("bucket").alias("from_bucket"))
-    own = own.withColumns({"end": F.lit(False), "from_bucket": F.col("bucket")})
+        bounds = sorted({*bounds, *docs.agg(F.percentile_approx("doc_id", ranks, 100 * n)).first()[0]})
+    own = with_bucket(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")), bounds).withColumn("end", F.lit(False))
+    first = docs.sparkSession.createDataFrame([(b, (i - 1) % len(bounds)) for i, b in enumerate(bounds)], "bound long, bucket int")
+    # a range begins at its bound, which is a document's id; only nulls can precede the first range's
+    starts = docs.join(F.broadcast(first), F.col("doc_id") == F.col("bound")).select("doc_id", "text", F.coalesce("bucket", F.lit(0)).alias("bucket"))
+    starts = starts.union(docs.where("doc_id IS NULL").select("doc_id", "text", F.lit(len(bounds) - 1)))
+    ends = starts.select("doc_id", "text", F.xxhash64("text").alias("tie"), "bucket", F.lit(True).alias("end"))
     w = Window.partitionBy("bucket").orderBy("end", "doc_id", "tie")
-    rows = own.unionByName(ends).withColumns({"rn": F.row_number().over(w), "next_text": F.lead("text").over(w), "closes": F.lead("end").over(w), "next_bucket": F.lead("from_bucket").over(w)}).where("NOT end")
-    return rows.select("bucket", "rn", "doc_id", "text", "next_text", "next_bucket", F.when(F.col("closes"), 1).otherwise(F.col("rn") + 1).alias("next_rn"))
+    rows = own.union(ends).withColumns({"rn": F.row_number().over(w), "next_text": F.lead("text").over(w), "closes": F.lead("end").over(w)}).where("NOT end")
+    next_bucket = F.when(F.col("closes"), (F.col("bucket") + 1) % len(bounds)).otherwise(F.col("bucket"))
+    return rows.select("bucket", "rn", "doc_id", "text", "next_text", next_bucket.alias("next_bucket"), F.when(F.col("closes"), 1).otherwise(F.col("rn") + 1).alias("next_rn"))
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -152,7 +130,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(let(pairs, lambda p: F.coalesce(*[share(p, s, 4) for s in reversed(spans[1:])], share(p, spans[1], 1), out)))
 
 
-def fingerprints(docs: DataFrame, low: float = 3.0, high: float = 7.0, bucket_chars: int = 1_000_000, most_buckets: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, low: float = 3.0, high: float = 7.0, bucket_chars: int = 4_000_000, most_buckets: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: id, ``n_chars``, ``edited_sha256``, both fingerprints, and their likenesses.
 
     A fingerprint is a hash for each randomised lexicon over the terms in the band of inverse document frequency; a text

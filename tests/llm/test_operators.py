@@ -308,19 +308,6 @@ def test_imatch_fingerprints_against_plain_python(spark):
         assert abs(x.near_next - brute.likeness(own[i], after, imatch.FAMILIES)) < 1e-12
 
 
-def test_one_id_of_very_many_rows_is_divided(spark):
-    """Null ids, and rows of one id, are ordered by a hash of their text in several buckets, in the same circle as ever."""
-    docs = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, prose(i, 20)) for i in range(300)]
-    frame = spark.createDataFrame(docs, DOCS)
-    tie = lambda t: brute.signed(brute.chained([t]))
-    wanted = [t for _, _, t in sorted((-1 if d is None else d, tie(t), t) for d, t in docs)]
-    rows = imatch.followed(frame, 1500, 100).collect()
-    assert len(rows) == 300 and {x.text: x.next_text for x in rows} == dict(zip(wanted, wanted[1:] + wanted[:1]))
-    buckets = {x.bucket for x in rows if x.doc_id is None}, {x.bucket for x in rows if x.doc_id == 7}
-    assert all(len(b) > 4 for b in buckets)
-    assert {(x.next_bucket, x.next_rn) for x in rows} == {(x.bucket, x.rn) for x in rows}
-
-
 def test_simhash_components_against_all_pairs(spark, odd, empty):
     r = random.Random(5)
     base = [prose(i, 120) for i in range(12)]
