@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketeer.llm import decontam, imatch, language, linededup, packing, quality, secrets, simhash, tokencount, urlfilter
-from docketeer.llm.common import crc, documents, table
+from docketeer.llm import decontam, imatch, language, linededup, negatives, packing, quality, secrets, simhash, tokencount, urlfilter
+from docketeer.llm.common import crc, documents, spread, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -124,6 +124,30 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_pivot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for every fiftieth vector, against all vectors."""
+    vectors = spread(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    strange = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    rows = vectors.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~strange).select(F.col("vec_id").alias("id"), label.alias("label"), vector.alias("vector"))
+    return negatives.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
+OP11 = r"""
+WITH held AS (
+  SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.rn, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, b.rn AS other, list_dot_product(a.v, b.v)::BIGINT AS score FROM held a JOIN held b ON a.rn <> b.rn WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT rn, anchor_id, other, vec_id AS positive_id, score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.rn, p.other ORDER BY n.score DESC, n.vec_id)::INT AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.rn = n.rn AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
 OP2 = r"""
 WITH raw_lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents
@@ -154,9 +178,9 @@ FROM raw_lines a LEFT JOIN dropped d ON a.doc_id = d.doc_id AND a.line_no = d.li
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_temporal_url_lists, op2_line_templates, op3_longest_match_tokens, op4_pigeonhole_decontamination, op5_cross_parsing_language, op6_imatch_fingerprints, op7_simhash_bk_trees, op8_co_trained_quality, op9_linked_secrets, op10_best_fit_packing]
+    found = [op1_temporal_url_lists, op2_line_templates, op3_longest_match_tokens, op4_pigeonhole_decontamination, op5_cross_parsing_language, op6_imatch_fingerprints, op7_simhash_bk_trees, op8_co_trained_quality, op9_linked_secrets, op10_best_fit_packing, op11_pivot_hard_negatives]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_temporal_url_lists": OP1, "op2_line_templates": OP2}
+    return {"op1_temporal_url_lists": OP1, "op2_line_templates": OP2, "op11_pivot_hard_negatives": OP11}
