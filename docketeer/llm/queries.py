@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketeer.llm import decontam, imatch, language, linededup, negatives, packing, quality, secrets, simhash, tokencount, urlfilter
+from docketeer.llm import decontam, imatch, language, linededup, negatives, packing, quality, secrets, simhash, spelling, substrings, tokencount, urlfilter
 from docketeer.llm.common import crc, documents, spread, table
 
 
@@ -148,6 +148,38 @@ FROM positives p JOIN scored n ON p.rn = n.rn AND NOT n.same AND 50 * p.score <=
 QUALIFY rank <= 3
 """
 
+def op12_difference_cover_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 35 words or more that recur."""
+    digest = {"kept_sha256": F.sha2(F.col("kept").cast("binary"), 256)}
+    return substrings.without_repeats(documents(spark, sf_dir), returned=digest).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP12 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT rn, i, md5(array_to_string(words[i:i + 34], ' ')) AS w FROM (SELECT rn, words, unnest(range(1, len(words) - 33)) AS i FROM texts)
+), starts AS (
+  SELECT rn, i FROM windows QUALIFY count(*) OVER (PARTITION BY w) > 1
+), gone AS (
+  SELECT DISTINCT rn, unnest(range(i, i + 35)) AS i FROM starts
+), single AS (
+  SELECT rn, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM texts
+), kept AS (
+  SELECT s.rn, string_agg(s.word, ' ' ORDER BY s.i) AS kept, count(*) AS n FROM single s ANTI JOIN gone g ON s.rn = g.rn AND s.i = g.i GROUP BY s.rn
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN kept USING (rn)
+"""
+
+def op13_rolling_hash_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents, of which about one occurrence in 199 loses a letter first."""
+    words = spelling.occurrences(documents(spark, sf_dir), least_letters=6)  # a shorter run has no six letters left
+    drawn = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "word").cast("binary"))
+    words = words.select("word", drawn.alias("h"))
+    cut = spelling.without(F.col("word"), (F.col("h") % F.length("word")).cast("int"))
+    return spelling.variants(words.select(F.when(F.col("h") % 199 == 0, cut).otherwise(F.col("word")).alias("word")))
+
+
 OP2 = r"""
 WITH raw_lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents
@@ -178,9 +210,9 @@ FROM raw_lines a LEFT JOIN dropped d ON a.doc_id = d.doc_id AND a.line_no = d.li
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_temporal_url_lists, op2_line_templates, op3_longest_match_tokens, op4_pigeonhole_decontamination, op5_cross_parsing_language, op6_imatch_fingerprints, op7_simhash_bk_trees, op8_co_trained_quality, op9_linked_secrets, op10_best_fit_packing, op11_pivot_hard_negatives]
+    found = [op1_temporal_url_lists, op2_line_templates, op3_longest_match_tokens, op4_pigeonhole_decontamination, op5_cross_parsing_language, op6_imatch_fingerprints, op7_simhash_bk_trees, op8_co_trained_quality, op9_linked_secrets, op10_best_fit_packing, op11_pivot_hard_negatives, op12_difference_cover_passages, op13_rolling_hash_spellings]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_temporal_url_lists": OP1, "op2_line_templates": OP2, "op11_pivot_hard_negatives": OP11}
+    return {"op1_temporal_url_lists": OP1, "op2_line_templates": OP2, "op11_pivot_hard_negatives": OP11, "op12_difference_cover_passages": OP12}

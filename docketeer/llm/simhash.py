@@ -255,7 +255,7 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, n_rows: int, most_hot: int = 1000) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: str | list[str], n_rows: int, most_hot: int = 1000) -> DataFrame:
     """``rows`` with the columns of ``table``, which has each key once, and in ``n`` how many rows have it.
 
     Keys with over 1/``most_hot`` of the rows, fewer than ``most_hot``, are broadcast; their rows are not shuffled.
