@@ -171,13 +171,18 @@ WITH texts AS (
 SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN kept USING (rn)
 """
 
-def op13_rolling_hash_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spelling variants among the words of all documents, of which about one occurrence in 199 loses a letter first."""
-    words = spelling.occurrences(documents(spark, sf_dir), least_letters=6)  # a shorter run has no six letters left
+def drawn_words(docs: DataFrame) -> DataFrame:
+    """``word``: the runs of letters of all documents, of which about one in 199 loses a letter, drawn by a checksum of id and run."""
+    words = spelling.occurrences(docs, least_letters=6)  # a shorter run has no six letters left
     drawn = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "word").cast("binary"))
     words = words.select("word", drawn.alias("h"))
     cut = spelling.without(F.col("word"), (F.col("h") % F.length("word")).cast("int"))
-    return spelling.variants(words.select(F.when(F.col("h") % 199 == 0, cut).otherwise(F.col("word")).alias("word")))
+    return words.select(F.when(F.col("h") % 199 == 0, cut).otherwise(F.col("word")).alias("word"))
+
+
+def op13_rolling_hash_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.variants(drawn_words(documents(spark, sf_dir)))
 
 
 OP2 = r"""
