@@ -127,10 +127,12 @@ def windows(texts: DataFrame, window: int) -> DataFrame:
     return texts.select("tid", "text", "places").mapInArrow(run, "first long, second long, tid long, at int")
 
 
-def recurring(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The rows whose key another row has, too. Only counts of keys are shuffled for all; rows of frequent keys are not."""
+def recurring(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """``tid`` and its places (``name``) whose key another row has, too. Only counts of keys are shuffled for all; rows of frequent keys are not."""
     n = save(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"))
-    return looked_up(rows, n, key, rows.count())
+    found = save(looked_up(rows, n, key, rows.count()).groupBy("tid").agg(F.collect_list("at").alias(name)))
+    discard(n)
+    return found
 
 
 def shortened(texts: DataFrame, window: int) -> DataFrame:
@@ -175,13 +177,15 @@ def without_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     named = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumns({"c1": F.xxhash64("text"), "c2": F.xxhash64(F.lit(1), "text")})
     rows = save(named.select("doc_id", "c1", "c2"))
     texts = save(named.groupBy("c1", "c2").agg(F.first("text").alias("text"), F.count("*").alias("n")).withColumn("tid", F.monotonically_increasing_id()))
+    # each step is saved before the next shuffles the texts, so that what one shuffles is gone by then
     found = save(anchored(texts, window))
-    places = recurring(found, ["hash"]).groupBy("tid").agg(F.collect_list("at").alias("places"))
-    wide = save(windows(texts.join(places, "tid"), window))
+    places = recurring(found, ["hash"], "places")
     discard(found)
-    starts = recurring(wide, ["first", "second"]).groupBy("tid").agg(F.collect_list("at").alias("starts"))
+    wide = save(windows(texts.join(places, "tid"), window))
+    starts = recurring(wide, ["first", "second"], "starts")
+    discard(wide, places)
     of_text = shortened(texts.join(starts, "tid", "left"), window)
     of_text = save(of_text.select("c1", "c2", "n", *[c.alias(k) for k, c in (returned or {"text": F.col("kept")}).items()], "n_words", "n_removed"))
-    discard(wide, texts)
+    discard(texts, starts)
     # a frequent text, whose row is broadcast, keeps fewer words than a window has
     return looked_up(rows, of_text, ["c1", "c2"], rows.count()).drop("c1", "c2")
