@@ -74,6 +74,11 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
+    """The same rows in as few parts as hold ``most`` each: a small table needn't be written as hundreds of files. ``rows`` bounds their number."""
+    return df.coalesce(max(1, -(-rows // most)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes what ``save`` wrote, once nothing will read it again. Each table reads saved ones only."""
     for df in tables:

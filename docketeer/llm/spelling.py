@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketeer.llm.common import discard, parts_of, save
+from docketeer.llm.common import discard, gathered, parts_of, save
 
 LETTERS = "[A-Za-zÀ-ÿ]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -144,10 +144,12 @@ def rooted(forms: DataFrame) -> DataFrame:
     Every round takes the root of the root, so the rounds grow with the logarithm of the longest chain; each is saved. A chain's counts
     rise by a factor, so chains are short, and a word is the form of no more words than one edit makes of it.
     """
-    roots = save(forms.select("word", F.col("form").alias("root")))
+    n = forms.count()
+    roots = save(gathered(forms.select("word", F.col("form").alias("root")), n))
     while True:
         on = roots.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        new = save(roots.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        new = roots.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
+        new = save(gathered(new, n))
         discard(roots)
         roots = new.select("word", "root")
         if new.where("moved").isEmpty():
