@@ -10,15 +10,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from docketeer.llm.common import kept_by_worker, parts_of
 
 UNDETERMINED = "und"
-PREDICTED = "lang_pred string, score double, phrases array<long>"
+PREDICTED = "struct<lang_pred: string, score: double, phrases: array<bigint>>"
 UNKNOWN, SPACE, FIRST = 0, 1, 2  # codes of a letter that no language was seen with, of what is no letter, of the first letter
 BLOCK = 1024  # characters that are parsed side by side with those of other blocks
 SEGMENT = 1 << 20  # of longer texts so many characters are in memory as codes at once
+CELLS, COLUMN = 1 << 24, 64  # bytes that are parsed together, and those of a block's column beside its characters
 
 
 def folded(text: str) -> str:
@@ -210,15 +210,18 @@ class Languages:
             new[i] += seen @ strange
             letters[i] += len(codes) - seen[SPACE]
 
-        short = [i for i, t in enumerate(lower) if len(t) <= SEGMENT]
-        codes = [self.codes(lower[i]) for i in short]
-        for i, c in zip(short, codes):
-            tally(i, c)
-        counts[short] = self.parse(codes, np.repeat(self.starts[:, None], len(short), axis=1))[0].T
+        segment = max(BLOCK, min(SEGMENT, CELLS // max(1, len(self.names)) // BLOCK * BLOCK))
+        short = [i for i, t in enumerate(lower) if len(t) <= segment]
+        for some in side_by_side([len(lower[i]) for i in short], len(self.names)):
+            at = [short[k] for k in some]
+            codes = [self.codes(lower[i]) for i in at]
+            for i, c in zip(at, codes):
+                tally(i, c)
+            counts[at] = self.parse(codes, np.repeat(self.starts[:, None], len(at), axis=1))[0].T
         for i in set(range(len(texts))) - set(short):
             state = self.starts[:, None]
-            for k in range(0, len(lower[i]), SEGMENT):
-                piece = self.codes(lower[i][k : k + SEGMENT])
+            for k in range(0, len(lower[i]), segment):
+                piece = self.codes(lower[i][k : k + segment])
                 more, state = self.parse([piece], state)
                 counts[i] += more[:, 0]
                 tally(i, piece)
@@ -231,6 +234,9 @@ class Languages:
         the language; the cheapest language wins. The score is one minus the ratio of the least cost to the second (1 if there
         is one language); ties go to the first name, with score 0. A text that is null or has no letter is ``und`` with score 0.
         """
+        few = max(1, CELLS // 64 // max(1, len(self.names)))  # texts whose counts are in memory at once
+        if len(texts) > few:
+            return [p for k in range(0, len(texts), few) for p in self.predict(texts[k : k + few])]
         phrases, new, letters = self.phrases([t or "" for t in texts])
         costs = (phrases - new) * np.log2(np.maximum(2, self.sizes)) + new * math.log2(0x110000)
         out = []
@@ -244,6 +250,25 @@ class Languages:
         return out
 
 
+def side_by_side(lengths: list[int], languages: int) -> Iterator[list[int]]:
+    """The numbers of texts in groups that are parsed together, short ones with short ones.
+
+    Every block of a group takes a column as high as its longest, for each language; a group has ``CELLS`` such cells, or one text.
+    """
+    group: list[int] = []
+    blocks = 0
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__):
+        more = -(-lengths[i] // BLOCK) or 1
+        height = min(BLOCK, lengths[i]) + COLUMN
+        if group and (blocks + more) * height * languages > CELLS:
+            yield group
+            group, blocks = [], 0
+        group.append(i)
+        blocks += more
+    if group:
+        yield group
+
+
 def code_table(letters: str) -> np.ndarray:
     """Codes of all code points."""
     table = np.array([UNKNOWN if chr(p).isalpha() else SPACE for p in range(0x110000)], np.int32)
@@ -282,16 +307,17 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", c
 def identify(docs: DataFrame, languages: Languages, text_col: str = "text") -> DataFrame:
     """Adds ``lang_pred``, ``score`` and ``phrases`` (one count for each learned language) to every row.
 
-    Whole texts are parsed. A column of the input with one of these names is replaced.
+    Whole texts are parsed; only they and the new columns pass through Python. A column of the input with one of these names is replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(languages)  # a megabyte or two for each language
     kept = docs.drop("lang_pred", "score", "phrases")
-    at = kept.columns.index(text_col)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in parts_of(batches, at):
-            lang, score, phrases = zip(*model.value.predict(texts))
-            new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(phrases, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "lang_pred", "score", "phrases"])
+    @F.arrow_udf(PREDICTED)
+    def predicted(texts: pa.Array) -> pa.Array:
+        whole = pa.RecordBatch.from_arrays([texts], names=["text"])
+        lang, score, phrases = zip(*(p for _, held in parts_of([whole], 0) for p in model.value.predict(held)))
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(phrases, pa.list_(pa.int64()))], names=["lang_pred", "score", "phrases"])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, *StructType.fromDDL(PREDICTED).fields]))
+    # not deterministic for the optimizer, which would otherwise call it once more for a filter on what it returns
+    once = predicted.asNondeterministic()
+    return kept.withColumn("__predicted", once(F.col(text_col))).select(*kept.columns, "__predicted.*")

@@ -90,9 +90,10 @@ def op4_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def op5_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every document, learned from the folds that are not held out."""
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (crc(F.col("doc_id")) % 5 == 0).alias("held_out"))
-    model = language.learn(docs.where(~F.col("held_out")))
+    """The language of every document, learned from the folds that are not held out; a row without an id is in no fold, and not learned from."""
+    fold = crc(F.col("doc_id")) % 5
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", F.coalesce(fold == 0, F.lit(False)).alias("held_out"))
+    model = language.learn(docs.where(fold != 0))
     return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketeer.llm.common import discard, parts_of, save
+from docketeer.llm.common import discard, gathered, parts_of, save
 
 BITS = 64
 
@@ -239,20 +239,23 @@ def components(edges: DataFrame) -> DataFrame:
     executor costs one round at most. The rounds grow with the logarithm of the longest path in practice.
     """
     edges = save(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    roots = save(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    # with the number of each node's links, so that those of a frequent one needn't be dealt to one task
+    roots = save(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"), F.count("*").alias("n")))
+    n_edges, n_nodes = edges.count(), roots.count()
     while True:
-        seen = edges.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        near = roots.join(seen, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("before"))
-        near = save(near)
-        far = near.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = save(near.join(far, "root", "left").select("node", F.least("root", "next").alias("root"), "before"))
+        seen = looked_up(edges, roots.select(F.col("node").alias("b"), "root", "n"), "b", n_edges).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        near = roots.join(seen, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("before"), F.col("n").alias("degree"))
+        near = save(gathered(near, n_nodes))
+        far = near.select(F.col("node").alias("root"), F.col("root").alias("next")).join(near.groupBy("root").agg(F.count("*").alias("n")), "root")
+        new = looked_up(near, far, "root", n_nodes).select("node", F.least("root", "next").alias("root"), "before", F.col("degree").alias("n"))
+        new = save(gathered(new, n_nodes))
         changed = not new.where("root <> before").isEmpty()
         discard(near)
         discard(roots)
-        roots = new.select("node", "root")
+        roots = new.select("node", "root", "n")
         if not changed:
             discard(edges)
-            return roots
+            return roots.select("node", "root")
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str | list[str], n_rows: int, most_hot: int = 1000) -> DataFrame:
@@ -305,7 +308,7 @@ def content(distinct: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id``, ``cid`` (a name for the text's set of shingles), its ``size``, ``fp`` and ``keys``, without the sets themselves."""
+    """``doc_id``, ``t1`` and ``t2`` (a name for the text), ``cid`` (one for its set of shingles), its ``size``, ``fp`` and ``keys``, without the sets themselves."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in parts_of(batches, 1):
@@ -315,11 +318,16 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 rows.append((content(distinct), len(distinct), simhash(distinct), routes(distinct)))
             cid, size, fp, keys = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(cid, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "cid", "size", "fp", "keys"],
+                [part.column(0), part.column(2), part.column(3), pa.array(cid, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "t1", "t2", "cid", "size", "fp", "keys"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, cid binary, size long, fp long, keys array<long>")
+    return docs.select("doc_id", "text", *text_name(F.col("text"))).mapInArrow(run, "doc_id long, t1 long, t2 long, cid binary, size long, fp long, keys array<long>")
+
+
+def text_name(text: Column) -> list[Column]:
+    """128 bits that stand for a text, null included."""
+    return [F.xxhash64(text.isNull(), text).alias("t1"), F.xxhash64(F.lit(1), text.isNull(), text).alias("t2")]
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -385,7 +393,12 @@ def compared(dealt: DataFrame, keys: list[str], sets: DataFrame, similarity: flo
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 32, most: int = 1024, most_hashes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row's ``doc_id`` and ``component_id``: the least id that links between similar texts reach.
+    """Every row's ``doc_id`` and ``component_id``: the least id that links between similar texts reach. See ``similar_rows``."""
+    return similar_rows(docs, words, similarity, radius, most, most_hashes, id_col, text_col).select("doc_id", "component_id")
+
+
+def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 32, most: int = 1024, most_hashes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row's ``doc_id``, ``t1`` and ``t2`` (a name for its text), ``component_id`` (the least id that links between similar texts reach) and ``root``, which names the component.
 
     Texts link whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more. Equal sets are one
     node, so copies never meet in pairs, and texts without words are equal. A shard holds the distinct sets that share a routing key; its
@@ -437,12 +450,26 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     named = save(nodes.join(roots, "cid", "left").select("cid", "least", "n", F.coalesce("root", "cid").alias("root")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     of_set = looked_up(named.select("cid", "root", F.col("n").alias("n_rows")), least, "root", named.count())
-    of_set = save(of_set.select("cid", "component_id", F.col("n_rows").alias("n")))
+    of_set = save(of_set.select("cid", "root", "component_id", F.col("n_rows").alias("n")))
     discard(nodes, roots, named)
-    return looked_up(rows.select("doc_id", "cid"), of_set, "cid", rows.count()).select("doc_id", "component_id")
+    return looked_up(rows.select("doc_id", "t1", "t2", "cid"), of_set, "cid", rows.count()).select("doc_id", "t1", "t2", "component_id", "root")
+
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
+    """One row of each group of similar texts (see ``similar_rows``): that with the least id, of several that with the least name of its text.
 
-def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stand for their group: those whose id is the least of it; rows with a null id stay."""
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    Rows without an id come after all others, so they stand for their group only if it has no id. Of rows with the same id and the same text one
+    stays, whatever their other columns hold. Groups are reduced before they are shuffled, and so are repeated rows.
+    """
+    groups = save(similar_rows(docs, id_col=id_col, text_col=text_col, **options))
+    name = F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")
+    kept = groups.groupBy("root").agg(F.min(name).alias("k")).select("k.doc_id", "k.t1", "k.t2")
+    copies = groups.groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("n"))
+    stand = save(kept.alias("k").join(copies.alias("c"), F.expr("k.doc_id <=> c.doc_id AND k.t1 = c.t1 AND k.t2 = c.t2")).select(F.col("k.doc_id").alias("__id"), F.col("k.t1").alias("__t1"), F.col("k.t2").alias("__t2"), "n"))
+    discard(groups)
+    first, second = text_name(F.col(text_col))
+    rows = docs.withColumns({"__1": first, "__2": second})
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__1") == F.col("__t1")) & (F.col("__2") == F.col("__t2"))
+    single = rows.join(stand.where("n = 1"), same, "left_semi")
+    repeated = rows.join(stand.where("n > 1"), same, "left_semi").dropDuplicates([id_col, "__1", "__2"])
+    return single.unionByName(repeated).select(*docs.columns)

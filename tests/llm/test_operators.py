@@ -267,6 +267,24 @@ def test_many_languages_and_large_alphabets(spark):
     assert [x[0] for x in model.predict(asked)] == [*own, "wide"]
 
 
+def test_many_languages_and_many_short_texts_in_bounded_memory():
+    """Most texts short and one long: what is parsed side by side must not be as high as the longest."""
+    import tracemalloc
+
+    r = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    known = language.Languages.of({f"l{i:03d}": "".join(r.choice(letters[i % 20 : i % 20 + 6] + " ") for _ in range(300)) for i in range(200)})
+    texts = ["".join(r.choice(letters) for _ in range(5)) for _ in range(10_000)] + ["".join(r.choice(letters + " ") for _ in range(1200))]
+    known.codes("a")
+    tracemalloc.start()
+    got = known.predict(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300_000_000, peak
+    for i in (0, 17, 9_999, 10_000):
+        assert got[i] == known.predict([texts[i]])[0]
+
+
 def test_imatch_edits_and_order(spark, empty):
     docs = [(10 * i, prose(i, 60 + i)) for i in range(30)] + [(5, None), (7, ""), (300, prose(1, 61))]
     for options in ({}, {"bucket_chars": 900}):
@@ -380,9 +398,8 @@ def test_similar_documents_against_all_pairs(spark, odd, empty):
     wanted = brute.groups(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     frame = spark.createDataFrame(docs, DOCS)
     for options in ({}, {"most": 3}, {"most_hashes": 500}):
-        found = simhash.similar_documents(frame, **options)
-        assert {x.doc_id: x.component_id for x in found.collect()} == wanted
-    assert {x.doc_id for x in simhash.one_of_each(frame, found).collect()} == set(wanted.values())
+        assert {x.doc_id: x.component_id for x in simhash.similar_documents(frame, **options).collect()} == wanted
+        assert sorted(x.doc_id for x in simhash.one_of_each(frame, **options).collect()) == sorted(set(wanted.values()))
     assert simhash.similar_documents(odd).count() == odd.count()
     assert simhash.similar_documents(empty).count() == 0
 
@@ -394,6 +411,27 @@ def test_rows_without_an_id_link_others(spark):
     assert sorted(map(repr, ((x.doc_id, x.component_id) for x in simhash.similar_documents(docs).collect()))) == sorted(map(repr, [(1, 1), (None, 1), (2, 1), (3, 3), (None, None)]))
 
 
+def test_one_row_of_each_group_stays(spark):
+    v, w = prose(30, 200).split(), prose(31, 200)
+    near = lambda i: " ".join(["new", *v[1:i], f"x{i}", *v[i + 1 :]])
+    rows = [(3, w, "a"), (5, w, "b"), (5, near(50), "c"), (7, near(60), "d"), (9, "alone here", "e"), (9, "alone here", "f"), (None, w, "g"), (None, w, "h"), (None, "no id at all", "i"), (None, "no id at all", "j")]
+    rows += [(11, "", "k"), (12, None, "l"), (None, None, "m"), (13, "same id one", "n"), (13, "same id two", "o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root string").withColumns({"n": F.lit(1), "t1": F.lit(2), "__x": F.lit(3)})
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or "", r.root) for r in kept.collect())
+    assert [(i, t) for i, t, _ in got] == [(0, "no id at all"), (3, w), (5, near(50)), (9, "alone here"), (11, ""), (13, "same id one"), (13, "same id two")]
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_links_of_a_frequent_node_and_of_a_long_path(spark):
+    star = [(0, i) for i in range(1, 3000)]
+    path = [(10_000 + i, 10_001 + i) for i in range(300)]
+    edges = spark.createDataFrame(star + path + [(20_001, 20_000), (20_000, 20_001)], "a long, b long")
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert got == {i: 0 for i in range(3000)} | {10_000 + i: 10_000 for i in range(301)} | {20_000: 20_000, 20_001: 20_000}
+
+
 def test_many_equal_codes_in_a_shard():
     """Sets of one SimHash: as many as would exceed the recursion limit, of two groups and some that fit neither."""
     r = random.Random(11)
