@@ -37,17 +37,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return simhash.one_of_each(docs, simhash.similar_documents(docs))
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    Of each group the row with the least id stays; rows without an id come last. Null and empty texts are one group. Of repeated rows one stays.
+    """
+    return simhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; repeated rows, and rows without an id, are judged each by its text."""
     return decontam.without_matches(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces, packed into sequences of 4096."""
+    """The documents' token pieces, packed into sequences of 4096. A null text counts as empty; repeated rows, and rows without an id, are packed each."""
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
