@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketeer.functions.vectors import cosine_distance, cosine_similarity, literal
+from docketeer.operators import lexical_index
+from docketeer.operators.vector_layout import VectorLayout
 
 # Fusion and boost constants, candidate sizes, thresholds and weights of the scores.
 SEMANTIC_WEIGHT, LEXICAL_WEIGHT, RRF_K, ABSENT_RANK = 0.7, 0.3, 60, 1000
@@ -99,13 +101,29 @@ def case_search(cases: DataFrame, paragraphs: DataFrame, vector: list[float], wo
     """Hybrid case-law search: filter, rank twice, fuse, take the best fifty, boost, and return ``top_k``."""
     kept = filter_cases(cases, **filters)
     within = paragraphs.join(kept.select(F.col("id").alias("judgment_id")), "judgment_id", "left_semi")
-    fused = fuse(semantic_ranks(within, vector), lexical_ranks(within, words))
+    return best_cases(fuse(semantic_ranks(within, vector), lexical_ranks(within, words)), kept, top_k)
+
+
+def best_cases(fused: DataFrame, kept: DataFrame, top_k: int) -> DataFrame:
+    """The best fifty of a fused ranking with their cases, those with a citation boosted, and of these the best ``top_k``."""
     fused = fused.orderBy(F.desc("rrf_score"), F.asc("id")).limit(FUSED)
     found = fused.join(kept.withColumnRenamed("id", "judgment_id"), "judgment_id")
     scored = found.withColumn("score", F.round(boosted(F.col("rrf_score"), F.col("citation")), 9))
     return scored.select("id", "judgment_id", "court", "year", "citation", "rank_s", "rank_f", "score").orderBy(F.desc("score"), F.asc("id")).limit(top_k)
 
 
+def indexed_case_search(cases: DataFrame, layout: VectorLayout, index: DataFrame, vector: list[float], question: str, top_k: int = 5, **filters: object) -> DataFrame:
+    """``case_search`` over vectors by cell and postings of stems: it reads the cells and the terms that matter, and ranks texts as their words come close."""
+    kept = filter_cases(cases, **filters)
+    own = kept.select(F.col("id").alias("judgment_id"))
+    among = lambda rows: rows.join(own, "judgment_id", "left_semi")
+    near = layout.search(vector, CANDIDATES, among).select("id", "judgment_id", "distance")
+    matches = among(lexical_index.matching(index, question))
+    semantic = ranked(near, [F.asc("distance"), F.asc("id")], CANDIDATES, "rank_s")
+    lexical = ranked(matches, [F.desc("lexical"), F.asc("id")], CANDIDATES, "rank_f")
+    return best_cases(fuse(semantic, lexical), kept, top_k)
+
+
 def vector_top_k(chunks: DataFrame, vector: list[float], k: int, **wanted: object) -> DataFrame:
     """The filtered chunks most similar to the vector, with their score."""
     scored = filter_chunks(chunks, **wanted).withColumn("score", F.round(cosine_similarity(F.col("embedding"), literal(vector)), 9))
