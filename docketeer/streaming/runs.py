@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from docketeer.sources.shared import shared_folder
+from docketeer.sources.shared import delete, shared_folder
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_a_batch: int = 4) -> DataFrame:
@@ -39,6 +42,42 @@ def to_the_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(*[f"{base}/out/batch={i}" for i in range(last[0] + 1)])
 
 
+def continued(stream: DataFrame, base: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """Runs a stream in append mode over all there is, from where the last run in ``base`` ended, and returns what all runs have put out.
+
+    Each batch replaces its own folder, so a batch that runs twice counts once. ``settings`` hold for the run's state.
+    """
+    spark = stream.sparkSession
+    with set_for(spark, settings or {}):
+        writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+        run = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")).start()
+        run.awaitTermination()
+    out = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    return spark.read.schema(out).parquet(f"{base}/out").drop("batch")
+
+
+def finished(stream: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
+    """Runs a stream once over all there is and returns what it put out; its state and offsets go."""
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = continued(stream, base, settings)
+    delete(spark, f"{base}/state")
+    return out
+
+
+@contextmanager
+def set_for(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for as long as they are needed."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def job_states(events: DataFrame) -> DataFrame:
     """The newest status of each job and the number of its events. ``events``: job_id, ts, event_id, status."""
     return events.groupBy("job_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("n_events"))
