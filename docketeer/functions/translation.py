@@ -6,14 +6,18 @@ import difflib
 import html
 import re
 import unicodedata
+from collections.abc import Callable, Iterable
 from functools import reduce
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from docketeer.functions.substitution import substituted
+
 # What stays in English, in the order of masking, and the marks that stand for it.
 KEPT = (r"https?://\S+", r"[\w.+-]+@[\w.-]+\.\w+", r"\b[A-Z][A-Za-z]{0,7}[./][A-Z0-9./]{1,15}\b", r"\b\d{4,}\b")
 MARK = re.compile(r"__KEEP_\d+__")
@@ -86,11 +90,9 @@ def spaced(text: Column) -> Column:
     return F.regexp_replace(out, r"\s+([,.])(?=\s|$)", "$1")
 
 
-def rejoined_words(text: Column, passes: int = 3) -> Column:
-    """Words that an extraction divided before a dependent vowel sign; three passes reach what is divided thrice."""
-    for _ in range(passes):
-        text = F.regexp_replace(text, f"([ऀ-ॿ]+) ([{DEPENDENT}][ऀ-ॿ]*)", "$1$2")
-    return text
+def rejoined_words(text: Column) -> Column:
+    """Words that an extraction divided before a dependent vowel sign, however often: what is on both sides of a space doesn't change when it goes."""
+    return F.regexp_replace(text, f"(?<=[ऀ-ॿ]) (?=[{DEPENDENT}])", "")
 
 
 def script_spaces(text: Column) -> Column:
@@ -102,27 +104,72 @@ def without_private_glyphs(text: Column) -> Column:
     return F.regexp_replace(text, "[\\x{E000}-\\x{F8FF}]", "")
 
 
-def collapsed(line: str, most: int) -> str:
-    """A line without immediate repeats of two to ``most`` tokens, longest first."""
+def collapsed(line: str, most: int, exempt: tuple[str, ...] = ()) -> str:
+    """A line in which a phrase of two to ``most`` tokens that is repeated at once stands once; the longest counts, and reading goes on behind both.
+
+    A phrase that holds an exempt term, whatever its case, stays. How far the line repeats itself at each distance is found for all places
+    beforehand, so a long line takes time in proportion.
+    """
     tokens = line.split(" ")
-    for n in range(min(most, len(tokens) // 2), 1, -1):
-        lower = [t.lower() for t in tokens]
-        kept, window, ahead = tokens[:n], lower[:n], n  # the last n kept, and what comes next
-        while ahead + n <= len(tokens):
-            if window == lower[ahead : ahead + n]:
-                ahead += n
-            else:
-                kept.append(tokens[ahead])
-                window = [*window[1:], lower[ahead]]
-                ahead += 1
-        tokens = kept + tokens[ahead:]
-    return " ".join(tokens)
+    n = len(tokens)
+    if n < 4:
+        return line
+    number = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+    ids = np.array([number[t] for t in tokens])
+    longest = np.zeros(n, np.int64)  # the largest distance at which a phrase of as many tokens is repeated
+    for k in range(2, min(most, n // 2) + 1):
+        differs = np.flatnonzero(np.append(ids[:-k] != ids[k:], True))
+        until = differs[np.searchsorted(differs, np.arange(n - k + 1))] - np.arange(n - k + 1)
+        longest[: n - k + 1][until >= k] = k
+    stays = lambda phrase: not phrase.strip() or any(t in phrase.lower() for t in exempt)
+    out: list[str] = []
+    at = 0
+    while at < n:
+        spans = (k for k in range(longest[at], 1, -1) if tokens[at : at + k] == tokens[at + k : at + 2 * k] and not stays(" ".join(tokens[at : at + k])))
+        span = next(spans, 0)
+        out += tokens[at : at + (span or 1)]
+        at += 2 * span or 1
+    return " ".join(out)
 
 
-@F.pandas_udf(StringType())
-def without_repeats(texts: pd.Series) -> pd.Series:
-    """Each line without repeated phrases of two to six tokens."""
-    return texts.map(lambda t: "\n".join(collapsed(line, 6) for line in t.split("\n")) if t is not None else None)
+def without_repeats(text: Column, most: int = 6, exempt: Iterable[str] = ()) -> Column:
+    """Each line without phrases of two to ``most`` tokens that are repeated at once, but for those with a term of the glossary."""
+    terms = tuple(sorted({t.lower() for t in exempt if t}))
+
+    @F.pandas_udf(StringType())
+    def of_lines(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: "\n".join(collapsed(line, most, terms) for line in t.split("\n")) if t is not None else None)
+
+    return of_lines(text)
+
+
+def without_echoes(text: Column, exempt: Iterable[str] = ()) -> Column:
+    """The same for Hindi output, whose echoes are up to twenty tokens long; only terms of one word are exempt."""
+    return without_repeats(text, 20, [t for t in exempt if len(t.split()) <= 1])
+
+
+def devanagari_digits(text: Column) -> Column:
+    """Numbers with a Devanagari letter or digit at most three characters away in Devanagari digits; others, as in addresses and citations, stay."""
+    number = r"(?<!\p{Nd})\p{Nd}++"
+    near = f"(?<=[ऀ-ॿ][\\s\\S]{{0,2}}){number}|{number}(?=[\\s\\S]{{0,2}}[ऀ-ॿ])"
+    return substituted(text, near, lambda n, _: F.translate(n, WESTERN, DEVANAGARI))
+
+
+def reported(text: Column, passes: list[tuple[str, str, str]]) -> Column:
+    """A struct of the text after all passes (name, pattern, replacement) and a map of how many matches each of them replaced."""
+    state = F.struct(text.alias("text"), F.create_map().cast("map<string,int>").alias("report"))
+    for one in passes:
+        state = F.transform(F.array(state), _after(*one))[0]
+    return state
+
+
+def _after(name: str, pattern: str, replacement: str) -> Callable[[Column], Column]:
+    def step(state: Column) -> Column:
+        found = F.coalesce(F.size(F.regexp_extract_all(state["text"], F.lit(pattern), F.lit(0))), F.lit(0))
+        report = F.map_concat(state["report"], F.create_map(F.lit(name), found))
+        return F.struct(F.regexp_replace(state["text"], pattern, replacement).alias("text"), report.alias("report"))
+
+    return step
 
 
 def rejoined(text: str) -> str:

@@ -94,9 +94,9 @@ def islands(rows: DataFrame, group: str, order: str, kind: Column) -> DataFrame:
     return rows.withColumn("run", F.sum("__change").over(w)).drop("__change")
 
 
-def first_mentions(rows: DataFrame, group: str, term: str, order: str) -> DataFrame:
+def first_mentions(rows: DataFrame, group: str, term: str, order: list[str]) -> DataFrame:
     """Whether each mention of a term is its first in the group."""
-    w = Window.partitionBy(group, term).orderBy(order)
+    w = Window.partitionBy(group, term).orderBy(*order)
     return rows.withColumn("first", F.row_number().over(w) == 1)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,3 +108,10 @@ def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
     """Rows of an ordered group in batches of a fixed size. ``rows`` has the group in ``group``."""
     number = F.row_number().over(Window.partitionBy("group").orderBy(order))
     return rows.withColumn("batch", F.floor((number - 1) / size))
+
+
+def translated_batch(texts: Column, translate: Callable[[Column], Column], separator: str) -> Column:
+    """``parts`` and ``way``: the texts translated as one, divided at the separator; where that gives another number of parts, one by one."""
+    parts = F.split(translate(F.array_join(texts, separator)), re.escape(separator), -1)
+    held = lambda x: F.when(F.size(x["p"]) == F.size(x["t"]), F.struct(x["p"].alias("parts"), F.lit("batch").alias("way"))).otherwise(F.struct(F.transform(x["t"], translate).alias("parts"), F.lit("items").alias("way")))
+    return F.transform(F.array(F.struct(parts.alias("p"), texts.alias("t"))), held)[0]

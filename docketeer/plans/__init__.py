@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from docketeer.plans import documents, drafts, flows, ordered, relational, retrieval, streams, texts  # noqa: F401
+from docketeer.plans import documents, drafts, flows, indexes, ordered, pages, relational, retrieval, stores, streams, texts  # noqa: F401
 from docketeer.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -85,7 +85,7 @@ def cause_title_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", draft.alias("draft"))
 
 
-@query("STR-45 STR-46 SORT-14 RET-08", "SELECT doc_id, text || ' The वादी under धारा ' || doc_id || ' of the act' AS t FROM documents")
+@query("STR-45 SORT-14 RET-08", "SELECT doc_id, text || ' The वादी under धारा ' || doc_id || ' of the act' AS t FROM documents")
 def glossary_freeze_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms frozen before a translator and restored behind it; the longer term wins."""
     terms = F.create_map(F.lit("plaintiff"), F.lit("वादी"), F.lit("section"), F.lit("धारा"), F.lit("under section"), F.lit("under धारा"))
@@ -106,7 +106,7 @@ def separator_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(joined.alias("t")).select("conv_id", F.size(F.split("t", "\n@@@\n")).cast("long").alias("n"))
 
 
-@query("CHK-11 CHK-12", "SELECT l_orderkey, round(l_linenumber * 5.0 / 6)::INT AS band, count(*) AS n, string_agg(l_suppkey::VARCHAR, ' ' ORDER BY l_suppkey, l_partkey) AS line FROM lineitem GROUP BY 1, 2")
+@query("CHK-11", "SELECT l_orderkey, round(l_linenumber * 5.0 / 6)::INT AS band, count(*) AS n, string_agg(l_suppkey::VARCHAR, ' ' ORDER BY l_suppkey, l_partkey) AS line FROM lineitem GROUP BY 1, 2")
 def line_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of one height as a line, left to right."""
     band = F.round(F.col("l_linenumber") * 5.0 / 6).cast("int")
@@ -122,7 +122,7 @@ def author_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", (F.coalesce(F.col("before") == "user", F.lit(False)) & (F.col("n") <= 80)).alias("author"))
 
 
-@query("JOIN-12", "SELECT a.doc_id, a.lang, l.quality FROM documents a JOIN labels l ON a.doc_id = l.doc_id")
+@query("JOIN-02", "SELECT a.doc_id, a.lang, l.quality FROM documents a JOIN labels l ON a.doc_id = l.doc_id")
 def raster_page_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
 

@@ -30,11 +30,11 @@ def workspace_answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("RET-06 SET-04", f"""WITH {CHUNKS}, {QVEC}, i AS (SELECT id, {SIM} FROM chunks, q WHERE file_id = 'src3' ORDER BY score DESC, id LIMIT 3),
-w AS (SELECT page_id AS id, round(1.0::DOUBLE / (page_id + 1), 9) AS score FROM pages WHERE page_id < 40)
+w AS (SELECT page_id AS id, round(1.0::DOUBLE / (page_id + 1), 9) AS score FROM pages)
 SELECT id, score, source_no, row_number() OVER (ORDER BY source_no, score DESC, id) AS place FROM (SELECT id, score, 0 AS source_no FROM i UNION ALL SELECT id, score, 1 FROM w WHERE (SELECT count(*) FROM i) < 5) ORDER BY place LIMIT 8""")
 def precedent_finder(spark: SparkSession, sf_dir: str) -> DataFrame:
     internal = R.vector_top_k(chunks(spark, sf_dir), query_vector(spark, sf_dir), 3, file_id="src3").select("id", "score")
-    web = table(spark, sf_dir, "pages").where("page_id < 40").select(F.col("page_id").alias("id"), F.round(1 / (F.col("page_id") + 1), 9).alias("score"))
+    web = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.round(1 / (F.col("page_id") + 1), 9).alias("score"))
     return W.precedents(internal, web, 8)
 
 
@@ -63,7 +63,7 @@ def draft_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.grounding(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), draft.alias("draft"), corpus.alias("corpus")))
 
 
-@query("CHK-13 CHK-14", "SELECT conv_id AS \"group\", turn, floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 3)::BIGINT AS batch FROM conversations")
+@query("CHK-13", "SELECT conv_id AS \"group\", turn, floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 3)::BIGINT AS batch FROM conversations")
 def fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.batches(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("group"), "turn"), "turn", 3)
 

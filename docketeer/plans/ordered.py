@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketeer.operators import layout as Y
 from docketeer.operators import ordered as O
 from docketeer.operators import retrieval as R
+from docketeer.operators import scans as P
 from docketeer.plans.registry import query
 from docketeer.sources.tables import table
 
@@ -17,11 +18,15 @@ j AS (SELECT job_id, min(ts) AS created_at, arg_max(status, (ts, event_id)) AS s
 jobs AS (SELECT job_id, created_at, CASE WHEN s = 'processing' AND epoch((SELECT max(ts) FROM e))::BIGINT - epoch(created_at)::BIGINT > 1800 THEN 'failed' ELSE s END AS status, last_ts, n_events FROM j)"""
 
 
-def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def changes_of(events: DataFrame) -> DataFrame:
     """Events as the changes of jobs."""
     kind = F.col("event_type")
     status = F.when(kind == "signup", "pending").when(kind == "purchase", "completed").when(kind == "error", "failed").otherwise("processing")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", status.alias("status"))
+    return events.select(F.col("user_id").alias("job_id"), "ts", "event_id", status.alias("status"))
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes_of(table(spark, sf_dir, "events"))
 
 
 @query("STM-01", f"WITH {JOBS} SELECT job_id, created_at, status, CASE WHEN status IN ('completed', 'failed') THEN last_ts END AS completed_at, n_events FROM jobs")
@@ -67,15 +72,15 @@ def context_window_3(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, doc_id, length(CASE WHEN length(text) <= 80000 - used THEN text ELSE left(text, (80000 - used)::BIGINT) END)::BIGINT AS n FROM u WHERE length(text) <= 80000 - used OR 80000 - used > 200""")
 def budgeted_concat_80k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each source's documents give to a context of 80,000 characters."""
-    taken = O.budgeted(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", "doc_id", "text")
+    taken = P.budgeted(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", ["doc_id"], "text")
     return taken.select("source", "doc_id", F.length("taken").cast("long").alias("n"))
 
 
-@query("WIN-08", """WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS label FROM pages WHERE page_id < 200),
+@query("WIN-08", """WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS label FROM pages),
 t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY page_id) AS turn, min(page_id) OVER (PARTITION BY label) AS first_at FROM p) SELECT page_id, label, turn FROM t ORDER BY turn, first_at LIMIT 60""")
 def domain_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search's first two hundred hits, one of each host in turn."""
-    hits = table(spark, sf_dir, "pages").where("page_id < 200").select("page_id", F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("label"))
+    """The first sixty of a search's hits, one of each host in turn."""
+    hits = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("label"))
     return R.round_robin(hits, "label", "page_id", 60).select("page_id", "label", "turn")
 
 
@@ -91,10 +96,11 @@ def adjacent_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.without_adjacent_repeats(lines(spark, sf_dir), "doc_id", "n", "line").groupBy("doc_id").agg(F.count("*").alias("kept"))
 
 
-@query("WIN-10 STM-09", f"WITH {LINES}, t AS (SELECT doc_id, n, split_part(line, ' ', 1) AS term FROM l) SELECT doc_id, n, term, row_number() OVER (PARTITION BY doc_id, term ORDER BY n) = 1 AS first FROM t")
+@query("WIN-10 STM-09", f"WITH {LINES}, t AS (SELECT doc_id, n, unnest(string_split(line, ' ')) AS term, unnest(range(len(string_split(line, ' ')))) AS place FROM l) SELECT doc_id, n, place, term, row_number() OVER (PARTITION BY doc_id, term ORDER BY n, place) = 1 AS first FROM t")
 def first_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).select("doc_id", F.col("n").cast("long").alias("n"), F.substring_index("line", " ", 1).alias("term"))
-    return O.first_mentions(rows, "doc_id", "term", "n")
+    """Every word of every line."""
+    rows = lines(spark, sf_dir).select("doc_id", F.col("n").cast("long").alias("n"), F.posexplode(F.split("line", " ")).alias("place", "term"))
+    return O.first_mentions(rows.withColumn("place", F.col("place").cast("long")), "doc_id", "term", ["n", "place"])
 
 
 CAUSE = "c AS (SELECT user_id AS page, event_id AS row_no, event_type, CASE WHEN event_type = 'error' THEN 'J' || (event_id % 7) END AS judge, CASE WHEN event_type = 'signup' THEN 'H' || (event_id % 3) END AS hall FROM events)"
@@ -110,13 +116,13 @@ def cause_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WIN-03 STM-05 STR-43", f"WITH {CAUSE} SELECT page, row_no, event_type, last_value(judge IGNORE NULLS) OVER w AS judge, last_value(hall IGNORE NULLS) OVER w AS hall FROM c WINDOW w AS (PARTITION BY page ORDER BY row_no ROWS UNBOUNDED PRECEDING)")
 def causelist_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.forward_filled(cause_rows(spark, sf_dir), "page", "row_no", ["judge", "hall"])
+    return P.forward_filled(cause_rows(spark, sf_dir), "page", ["row_no"], ["judge", "hall"])
 
 
 @query("WIN-04", f"""WITH {CAUSE}, g AS (SELECT *, sum((event_type = 'click')::INT) OVER (PARTITION BY page ORDER BY row_no)::BIGINT AS entry FROM c)
 SELECT page, entry, min(row_no) FILTER (event_type = 'click') AS petitioner_row, min(row_no) FILTER (event_type = 'view') AS respondent_row FROM g WHERE entry > 0 GROUP BY page, entry""")
 def causelist_vs_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.paired(cause_rows(spark, sf_dir), "page", "row_no", F.col("event_type") == "click", F.col("event_type") == "view")
+    return P.paired(cause_rows(spark, sf_dir), "page", "row_no", F.col("event_type") == "click", F.col("event_type") == "view")
 
 
 @query("WIN-11", """WITH k AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)

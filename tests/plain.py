@@ -113,17 +113,20 @@ def semantic(text):
     return [c for c in chunks if len(c) >= 100]
 
 
-def without_repeats(line, most=6):
-    """Deletes repeats one by one, longest first."""
-    tokens = line.split(" ")
-    for n in range(min(most, len(tokens) // 2), 1, -1):
-        i = 0
-        while i + 2 * n <= len(tokens):
-            if [t.lower() for t in tokens[i : i + n]] == [t.lower() for t in tokens[i + n : i + 2 * n]]:
-                tokens = tokens[: i + n] + tokens[i + 2 * n :]
-            else:
-                i += 1
-    return " ".join(tokens)
+def without_repeats(line, most=6, exempt=()):
+    """Where the tokens begin with a phrase and the same again, the longest such phrase comes out once."""
+    tokens, out = line.split(" "), []
+    if len(tokens) < 4:
+        return line
+    while tokens:
+        for n in (6, 5, 4, 3, 2) if most == 6 else range(most, 1, -1):
+            phrase = " ".join(tokens[:n])
+            if 2 * n <= len(tokens) and tokens[:n] == tokens[n : 2 * n] and phrase.strip() and not any(t.lower() in phrase.lower() for t in exempt):
+                out, tokens = out + tokens[:n], tokens[2 * n :]
+                break
+        else:
+            out.append(tokens.pop(0))
+    return " ".join(out)
 
 
 def unwrapped(text):

@@ -94,10 +94,22 @@ def test_repeats_and_wrapped_lines(spark, docs):
 
 def test_repeats_of_random_tokens():
     r = random.Random(2)
-    for _ in range(3000):
-        line = " ".join(r.choice("aAbc") for _ in range(r.randint(0, 40)))
-        assert translation.collapsed(line, 6) == plain.without_repeats(line)
-    assert translation.collapsed("x y " * 200_000, 6).count("x") < 10  # a very long line ends
+    for most in (6, 20):
+        for _ in range(2000):
+            line = " ".join(r.choice(["a", "A", "b", "", "c d"]) for _ in range(r.randint(0, 60)))
+            for exempt in ((), ("a",), ("b c",)):
+                assert translation.collapsed(line, most, exempt) == plain.without_repeats(line, most, exempt), line
+    assert translation.collapsed("x y " * 200_000, 6).count("x") < 200_001  # a very long line ends
+    assert translation.collapsed("the court of the court of the court of", 6) == "the court of the court of"
+
+
+def test_digits_words_and_reports(spark):
+    frame = spark.createDataFrame([(0, "धारा 12 और 3, https://x.in/45 AIR 2001 SC 7 ९8"), (1, "क ि ा ख  ा a ा"), (2, None)], "i int, t string").orderBy("i")
+    assert [x.v for x in frame.select(translation.devanagari_digits(F.col("t")).alias("v")).collect()] == ["धारा १२ और ३, https://x.in/45 AIR 2001 SC ७ ९8", "क ि ा ख  ा a ा", None]
+    assert [x.v for x in frame.select(translation.rejoined_words(F.col("t")).alias("v")).collect()][1] == "किा ख  ा a ा"
+    passes = [("double", "  +", " "), ("digits", "[0-9]", "#")]
+    got = [(x.v.text, x.v.report) for x in frame.select(translation.reported(F.col("t"), passes).alias("v")).collect()]
+    assert got[1:] == [("क ि ा ख ा a ा", {"double": 1, "digits": 0}), (None, {"double": 0, "digits": 0})] and got[0][1] == {"double": 0, "digits": 11}
 
 
 def test_edits_and_quotes(spark):
