@@ -1,13 +1,11 @@
-"""What the training-data operators share: the cluster's shared folder, saved tables, and batches of texts."""
+"""What the training-data operators share: saved tables, and batches of texts."""
 
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
-from functools import cache
 from typing import Any
 
 import numpy as np
@@ -16,38 +14,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketeer.sources.shared import delete, shared_folder
+from docketeer.sources.tables import spread, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows that come in fewer parts than the session has cores, dealt to all of them; larger tables stay as they are.
-
-    A small table is often one row group, which one task reads however many cores are free.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+__all__ = ["crc", "delete", "discard", "documents", "gathered", "kept_by_worker", "let", "parts_of", "save", "setting", "shared_folder", "spread", "table"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``). A local one only where none is set, on one machine, as in tests."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    return (given or local_folder(spark.sparkContext.applicationId)).rstrip("/")
-
-
-@cache
-def local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"docketeer-{application}-")
-
-
 #: Shuffle files go as soon as the query that wrote them ends, where Spark knows the setting.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -80,12 +56,22 @@ def gathered(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes what ``save`` wrote, once nothing will read it again. Each table reads saved ones only."""
+    """Deletes what ``save`` wrote, once nothing will read it again. Each table reads saved ones only; no files are listed for it."""
     for df in tables:
-        spark = df.sparkSession
-        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in sorted(folders_of(df)):
+            if not re.search(r"/[0-9a-f]{32}$", folder):  # the names that save gives
+                raise ValueError(f"{folder} is no saved table")
+            delete(df.sparkSession, folder)
+
+
+def folders_of(df: DataFrame) -> set[str]:
+    """The folders that a table is read from."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        if leaves.apply(i).getClass().getSimpleName() == "LogicalRelation":
+            paths = leaves.apply(i).relation().location().rootPaths()
+            found |= {paths.apply(k).toString() for k in range(paths.size())}
+    return found
 
 
 def parts_of(batches: Iterable[pa.RecordBatch], at: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:

@@ -41,6 +41,11 @@ class Places:
         return word(start)[0], word(max(start, end - 1))[1]
 
 
+def bounded(text: str) -> str:
+    """A plain text with a space before and behind it, as between its words: an item's spaces match where words begin and end."""
+    return f" {text} "
+
+
 def masks(pattern: str) -> dict[str, int]:
     """For each character the places at which the pattern has it, as bits."""
     found: dict[str, int] = {}
@@ -89,8 +94,9 @@ class Item:
     reverse: dict[str, int]
 
     @classmethod
-    def of(cls, number: int, text: str, rate: float) -> Item:
-        n = int(len(text) * rate) + 1  # pieces: one more than the errors allowed
+    def of(cls, number: int, plain_text: str, rate: float) -> Item:
+        text = bounded(plain_text)
+        n = int(len(plain_text) * rate) + 1  # pieces: one more than the errors allowed
         edges = [len(text) * i // n for i in range(n + 1)]
         above: list[list[Part]] = [[] for _ in range(n)]
 
@@ -144,7 +150,7 @@ class Matcher:
         if held:
             self.automaton.make_automaton()
 
-    def find(self, text: str) -> dict[int, tuple[int, int, int]]:
+    def find(self, plain_text: str) -> dict[int, tuple[int, int, int]]:
         """For each item found in the text its closest match, the leftmost of equals: distance, start, end in the plain text.
 
         Each exact hit of a piece whose larger parts allow a match opens a window, and hits within an open window widen it.
@@ -152,6 +158,7 @@ class Matcher:
         """
         if not self.items:
             return {}
+        text = bounded(plain_text)
         windows: dict[int, list[list[int]]] = {}
         for last, (size, owners) in self.automaton.iter(text):
             at = last + 1 - size
@@ -166,12 +173,16 @@ class Matcher:
         for i, held in windows.items():
             item = self.items[i]
             match = item.closest(text, held)
-            if match and (item.number not in found or match < found[item.number]):
-                found[item.number] = match
+            if match:
+                distance, start, end = match
+                own = text[start:end]
+                match = distance, start + len(own) - len(own.lstrip()) - 1, end - (len(own) - len(own.rstrip())) - 1
+                found[item.number] = min(match, found.get(item.number, match))
         return found
 
-    def has_any(self, text: str) -> bool:
+    def has_any(self, plain_text: str) -> bool:
         """Whether a match of any item is in the text."""
+        text = bounded(plain_text)
         return bool(self.items) and any(self.items[item].may_match(text, piece, last + 1 - size) for last, (size, owners) in self.automaton.iter(text) for item, piece in owners)
 
 
@@ -202,7 +213,8 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.08, block_chars:
     """A row for each document and test item that it holds: the closest match's distance and place (code points).
 
     A match differs from the item in at most ``rate`` of its characters (insertions, deletions, replacements), both without
-    case and punctuation. Null texts and items without a letter or digit match nothing; of items that share an
+    case and punctuation. It begins and ends where words do: a letter before or behind it counts as an error, so an item that
+    is too short for any error matches whole words only. Null texts and items without a letter or digit match nothing; of items that share an
     id the closest counts; repeated documents repeat their rows. ``docs``: doc_id, text. ``items``: item_id, text. Other columns are left.
     Items go out in blocks of about ``block_chars`` characters, one after the other: with several, each block's matches are
     saved, and its broadcast is removed before the next.

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketeer.llm.common import discard, let, save
+from docketeer.llm.common import discard, gathered, let, save
 
 VARIABLE = r"(?<!\S)[^\s0-9]*[0-9]\S*"  # a token with a digit is a variable field wherever it stands
 WILDCARD = "<*>"
@@ -87,7 +87,7 @@ def clusters(rows: DataFrame, constant: float) -> DataFrame:
     all. So each round takes lines out of a leaf or divides it, until every leaf left is one line.
     """
     left = rows.dropDuplicates(["h1", "h2"]).select("h1", "h2", "n", "leaf", F.transform(F.split("line", " "), lambda t: F.xxhash64(t)).alias("tokens"))
-    found = []
+    found, n = [], rows.count()
     while True:
         counts = left.select("leaf", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.count("*").alias("n_lines"))
         places = counts.groupBy("leaf", "pos").agg(F.sum("n_lines").alias("all"), F.max(F.struct("n_lines", "token")).alias("top")).where("all > 1")
@@ -96,8 +96,9 @@ def clusters(rows: DataFrame, constant: float) -> DataFrame:
         forms = forms.select("leaf", F.transform("form", lambda x: x["token"]).alias("form"), "split")
         same = F.size(F.filter(F.zip_with("tokens", "form", lambda a, b: a == b), lambda x: x))
         judged = left.join(forms, "leaf").withColumns({"fits": same >= F.col("n") * constant, "template": F.xxhash64("leaf", "form")})
-        judged = save(judged.drop("form"))
-        if judged.isEmpty():
+        judged = save(gathered(judged.drop("form"), n))
+        n = judged.count()
+        if not n:
             break
         found.append(judged.where("fits").select("h1", "h2", "template"))
         moved = judged.groupBy("leaf").agg(F.bool_or("fits").alias("moved"))

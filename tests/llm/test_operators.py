@@ -181,9 +181,11 @@ def test_pigeonhole_finds_what_all_alignments_find(spark):
     docs = []
     for i in range(40):
         inner = edit(r, r.choice(items[:12])[1], r.randint(0, 8))
-        docs.append((i, "".join(r.choice("abcd") for _ in range(20)) + inner + "".join(r.choice("abcd") for _ in range(20))))
+        around = lambda: "".join(r.choice("abcd") for _ in range(20))
+        docs.append((i, around() + r.choice(["", " ", ", "]) + inner + r.choice([" ", " ", "\n", ""]) + around()))
     docs += [(100, None), (101, ""), (102, items[0][1].upper())]
-    wanted = {(d, i): n for d, t in docs for i, x in items[:12] if (n := brute.distance(x, decontam.plain(t or ""))) <= int(len(x) * 0.1)}
+    wanted = {(d, i): n for d, t in docs for i, x in items[:12] if (n := brute.distance(f" {x} ", f" {decontam.plain(t or '')} ")) <= int(len(x) * 0.1)}
+    assert len(wanted) > 10
     frames = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
     for block in (4_000_000, 100):
         found = decontam.matches(*frames, rate=0.1, block_chars=block).collect()
@@ -203,10 +205,23 @@ def test_the_closest_of_overlapping_matches():
         item = "".join(r.choice("ab") for _ in range(r.randint(10, 40)))
         text = "".join(edit(r, item, r.randint(0, 5)) + "ab"[: r.randrange(3)] for _ in range(3))
         rate = r.choice([0.05, 0.1, 0.2])
-        least, match = brute.distance(item, text), decontam.Matcher([(1, item)], rate).find(text).get(1)
+        least, match = brute.distance(f" {item} ", f" {text} "), decontam.Matcher([(1, item)], rate).find(text).get(1)
         assert (match[0] if match else None) == (least if least <= int(len(item) * rate) else None)
         assert decontam.Matcher([(1, item)], rate).has_any(text) == (match is not None)
-    assert decontam.Matcher([(1, "babaaabaaabaabbabaaa")], 0.1).find("babababaaabaabbabaaababaabaaaabaabbbaaa")[1][0] == 1
+    assert decontam.Matcher([(1, "babaaabaaabaabbabaaa")], 0.1).find("ba babaaabaaabaabbabaaa ab")[1] == (0, 3, 23)
+
+
+def test_short_items_are_whole_words(spark):
+    texts = ["the piano plays nothing", "the heart of warsaw", "No. 5", "the art of war, in short", "art of\nWAR", "a", "an", "", None, "smart of war", "art of wart"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    items = spark.createDataFrame([(1, "No."), (2, "Art of War"), (3, "a"), (4, "!"), (5, None), (6, ""), (7, "piano plays")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.distance, texts[r.doc_id][r.start : r.end]) for r in decontam.matches(docs, items).collect()}
+    assert got == {(2, 1): (0, "No"), (3, 2): (0, "art of war"), (4, 2): (0, "art of\nWAR"), (5, 3): (0, "a"), (0, 7): (0, "piano plays")}
+    assert {r.doc_id for r in decontam.without_matches(docs, items).collect()} == set(range(11)) - {0, 2, 3, 4, 5}
+    for n in range(1, 13):  # one to twelve characters
+        word = "abcdefghijkl"[:n]
+        matcher = decontam.Matcher([(1, word)], 0.08)
+        assert matcher.find(f"x {word} y")[1] == (0, 2, 2 + n) and not matcher.has_any(f"x{word} y") and not matcher.has_any(f"x {word}y {word[:-1]}")
 
 
 def test_match_places_are_those_of_the_raw_text(spark):
