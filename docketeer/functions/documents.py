@@ -7,7 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from docketeer.functions.substitution import substituted
 
 # What marks a book's or a chapter's first page, and how much of it is needed.
 BOOK = (r"\bedition\b", r"\bisbn[\s\-:]*\d", r"\bcopyright\s+©?\s*\d{4}", r"\bpublished\s+by\b", r"\b(?:university|academic)\s+press\b")
@@ -102,36 +103,27 @@ def with_cause_title(body: Column, title: Column) -> Column:
     return F.when(body.startswith("<!-- cause-title:start -->"), body).otherwise(F.concat(start, title, end, F.lit("\n\n"), body))
 
 
-def frozen(text: str, terms: dict[str, str]) -> tuple[str, list[str]]:
-    """Glossary terms, longest first, as numbered sentinels, and the translation that each stands for."""
-    held: list[str] = []
+def freeze(text: Column, terms: dict[str, str]) -> Column:
+    """A struct of the text with glossary terms, longest first, as numbered sentinels, and the translation that each stands for (``held``)."""
+    whole = F.coalesce(text, F.lit(""))
+    names = sorted({t.lower() for t in terms if t}, key=lambda t: (-len(t), t))
+    if not names:
+        return F.struct(whole.alias("text"), F.array().cast("array<string>").alias("held"))
+    pattern = r"(?iuU)\b(?:" + "|".join(map(quoted, names)) + r")\b"
+    known = F.create_map(*[F.lit(x) for t, v in terms.items() for x in (t.lower(), v)])
+    held = F.transform(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), lambda m: known[F.lower(m)])
+    return F.struct(substituted(whole, pattern, lambda _, i: F.format_string("[__%04d__]", i)).alias("text"), held.alias("held"))
 
-    def stash(m: re.Match) -> str:
-        held.append(terms[m[0].lower()])
-        return f"[__{len(held) - 1:04d}__]"
 
-    names = sorted(terms, key=lambda t: (-len(t), t))
-    pattern = r"(?i)\b(?:" + "|".join(map(re.escape, names)) + r")\b"
-    return (re.sub(pattern, stash, text), held) if names else (text, held)
+def quoted(term: str) -> str:
+    """A term as a pattern of itself, for Java."""
+    return re.sub(r"([^\w\s])", r"\\\1", term)
 
 
-def thawed(text: str, held: list[str]) -> str:
+def restore(text: Column, held: Column) -> Column:
     """Sentinels replaced, however a translator spaced them; those without a meaning are removed."""
-    return re.sub(r"\[?\s*_\s*_\s*(\d{4})\s*_\s*_\s*\]?", lambda m: held[int(m[1])] if int(m[1]) < len(held) else "", text)
-
-
-FROZEN = StructType([StructField("text", StringType()), StructField("held", ArrayType(StringType()))])
-
-
-@F.pandas_udf(FROZEN)
-def freeze(texts: pd.Series, terms: pd.Series) -> pd.DataFrame:
-    rows = [frozen(t or "", {k.lower(): v for k, v in dict(m or {}).items()}) for t, m in zip(texts, terms)]
-    return pd.DataFrame({"text": [t for t, _ in rows], "held": [h for _, h in rows]})
-
-
-@F.pandas_udf(StringType())
-def restore(texts: pd.Series, held: pd.Series) -> pd.Series:
-    return pd.Series([thawed(t or "", list(h) if h is not None else []) for t, h in zip(texts, held)])
+    own = lambda n, _: F.coalesce(F.get(held, n.cast("int")), F.lit(""))
+    return substituted(F.coalesce(text, F.lit("")), r"\[?\s*_\s*_\s*(\d{4})\s*_\s*_\s*\]?", own, group=1)
 
 
 def sentences(text: str | None, least: int = SENTENCE_LEAST) -> list[str]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import html
 import re
 import unicodedata
@@ -32,38 +31,33 @@ ADDRESSES = ((r"प्लॉट\s*नं\.?", "प्लॉट संख्य
 # What no edit may touch.
 SENTINEL = re.compile(r"\[__(?:SEP_|VTAG_|STITCH_)?\d{4}__\]")
 
-MASKED = StructType([StructField("text", StringType()), StructField("kept", ArrayType(StringType()))])
 BLOCKS = ArrayType(StructType([StructField("kind", StringType()), StructField("text", StringType())]))
 
 
-def masked(text: str | None) -> tuple[str, list[str]]:
-    """The text with numbered marks, and what each stands for; equal substrings share one."""
-    out, kept = text or "", {}
-
-    def stash(m: re.Match) -> str:
-        return f"__KEEP_{kept.setdefault(m[0], len(kept))}__"
-
+def mask_english(text: Column) -> Column:
+    """A struct of the text with numbered marks, and what each stands for (``kept``); equal substrings share one. No pattern finds anything in a mark."""
+    state = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.array().cast("array<string>").alias("kept"))
     for pattern in KEPT:
-        # marks of earlier passes stay whole: only what stands between them is searched
-        parts = re.split(r"(__KEEP_\d+__)", out)
-        out = "".join(p if MARK.fullmatch(p) else re.sub(pattern, stash, p) for p in parts)
-    return out, list(kept)
+        state = F.transform(F.array(state), _masking(pattern))[0]
+    return state
 
 
-@F.pandas_udf(MASKED)
-def mask_english(texts: pd.Series) -> pd.DataFrame:
-    rows = [masked(t) for t in texts]
-    return pd.DataFrame({"text": [t for t, _ in rows], "kept": [k for _, k in rows]})
+def _masking(pattern: str) -> Callable[[Column], Column]:
+    def step(state: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(state["text"], F.lit(pattern), F.lit(0)))
+        return F.struct(state["text"].alias("text"), F.concat(state["kept"], F.array_except(found, state["kept"])).alias("kept"))
 
+    def marked(state: Column) -> Column:
+        number = lambda m, _: F.concat(F.lit("__KEEP_"), (F.array_position(state["kept"], m) - 1).cast("string"), F.lit("__"))
+        return F.struct(substituted(state["text"], pattern, number).alias("text"), state["kept"].alias("kept"))
 
-@F.pandas_udf(StringType())
-def restore_english(texts: pd.Series, kept: pd.Series) -> pd.Series:
-    """Marks without an original stay, so that a check can find them."""
+    return lambda state: F.transform(F.array(step(state)), marked)[0]
 
-    def back(text: str, known: list[str]) -> str:
-        return re.sub(r"__KEEP_(\d+)__", lambda m: known[int(m[1])] if int(m[1]) < len(known) else m[0], text or "")
 
-    return pd.Series([back(t, list(k) if k is not None else []) for t, k in zip(texts, kept)])
+def restore_english(text: Column, kept: Column) -> Column:
+    """Marks without an original stay, so that a check can find them."""
+    known = lambda n: F.get(kept, n.cast("int"))
+    return substituted(F.coalesce(text, F.lit("")), r"__KEEP_(\d{1,9})__", lambda n, _: F.coalesce(known(n), F.concat(F.lit("__KEEP_"), n, F.lit("__"))), group=1)
 
 
 def leftover_marks(text: Column) -> Column:
@@ -274,20 +268,6 @@ def html_blocks(pages: pd.Series) -> pd.Series:
     return pages.map(blocks_of)
 
 
-def changed(before: str, after: str) -> list[str]:
-    """The parts of the second text that the first has otherwise. What both begin or end with isn't compared further."""
-    a, b = before.split(), after.split()
-    low = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    same = next((i for i, (x, y) in enumerate(zip(a[low:][::-1], b[low:][::-1])) if x != y), min(len(a), len(b)) - low)
-    a, b = a[low : len(a) - same], b[low : len(b) - same]
-    return [" ".join(b[j:k]) for kind, _, _, j, k in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if kind in ("replace", "insert")]
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def changed_spans(before: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series([changed(a or "", b or "") for a, b in zip(before, after)])
-
-
 def edited(text: str, edits: list[tuple[int, int, str]]) -> str:
     """The text with those edits that lie in it and touch neither a mark nor an edit before them; of equal starts the first given."""
     marks = [m.span() for pattern in (MARK, SENTINEL) for m in pattern.finditer(text)]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from docketeer.operators import ingest as I
 from docketeer.operators import layout as Y
 from docketeer.plans.registry import query
 from docketeer.plans.texts import doc_key, docs, planted
-from docketeer.sources.shared import shared_folder
+from docketeer.sources.shared import kept, scratch
 from docketeer.sources.tables import table
 
 
@@ -85,13 +83,14 @@ def cause_title_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", draft.alias("draft"))
 
 
-@query("STR-45 SORT-14 RET-08", "SELECT doc_id, text || ' The वादी under धारा ' || doc_id || ' of the act' AS t FROM documents")
+@query("STR-45 SORT-14 RET-08", "SELECT doc_id, text || ' The [__0000__] [__0001__] ' || doc_id || ' of the act' AS frozen, text || ' The वादी under धारा ' || doc_id || ' of the act' AS t FROM documents WHERE NOT regexp_matches(text, '(?i)\\b(plaintiff|section)\\b')")
 def glossary_freeze_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms frozen before a translator and restored behind it; the longer term wins."""
-    terms = F.create_map(F.lit("plaintiff"), F.lit("वादी"), F.lit("section"), F.lit("धारा"), F.lit("under section"), F.lit("under धारा"))
-    rows = planted(spark, sf_dir, F.lit(" The Plaintiff under Section "), doc_key(), F.lit(" of the act")).select("doc_id", N.freeze(F.col("text"), terms).alias("f"))
+    terms = {"plaintiff": "वादी", "section": "धारा", "under section": "under धारा"}
+    rows = planted(spark, sf_dir, F.lit(" The Plaintiff under Section "), doc_key(), F.lit(" of the act"))
+    rows = rows.where(F.size(F.regexp_extract_all("text", F.lit(r"(?i)\b(plaintiff|section)\b"), F.lit(0))) == 2).select("doc_id", N.freeze(F.col("text"), terms).alias("f"))
     spaced = F.regexp_replace("f.text", r"\[__(\d{4})__\]", "[_ _$1_ _]")
-    return rows.select("doc_id", N.restore(spaced, F.col("f.held")).alias("t"))
+    return rows.select("doc_id", F.col("f.text").alias("frozen"), N.restore(spaced, F.col("f.held")).alias("t"))
 
 
 @query("CHK-04 WIN-05")
@@ -153,12 +152,12 @@ def json_restructure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SRC-03 SRC-04 SRC-06 SRC-05", "SELECT 'c' || (doc_id % 4) AS collection_id, count(*) AS n FROM documents WHERE doc_id % 4 < 2 GROUP BY 1")
 def collection_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as a table partitioned by collection, in two appends, and two collections read back."""
-    path = f"{shared_folder(spark)}/collections-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), (F.col("doc_id") % 4).cast("string")).alias("collection_id"), "doc_id")
-    rows.where("doc_id % 2 = 0").write.mode("overwrite").partitionBy("collection_id").parquet(path)
-    rows.where("doc_id % 2 = 1").write.mode("append").partitionBy("collection_id").parquet(path)
-    stored = spark.read.schema("doc_id long, collection_id string").parquet(path)
-    return stored.where(F.col("collection_id").isin("c0", "c1")).groupBy("collection_id").agg(F.count("*").alias("n"))
+    with scratch(spark) as path:
+        rows.where("doc_id % 2 = 0").write.mode("overwrite").partitionBy("collection_id").parquet(path)
+        rows.where("doc_id % 2 = 1").write.mode("append").partitionBy("collection_id").parquet(path)
+        stored = spark.read.schema("doc_id long, collection_id string").parquet(path)
+        return kept(stored.where(F.col("collection_id").isin("c0", "c1")).groupBy("collection_id").agg(F.count("*").alias("n")))
 
 
 @query("SRC-28", "SELECT conv_id, turn FROM conversations WHERE conv_id % 5 <> 0")
@@ -169,7 +168,7 @@ def clear_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SRC-09 SRC-10", "SELECT doc_id, quality FROM labels")
 def feedback_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feedback appended as JSON lines and read with its schema; broken and blank lines don't count."""
-    path = f"{shared_folder(spark)}/feedback-{uuid.uuid4().hex}"
-    table(spark, sf_dir, "labels").select("doc_id", "quality").write.mode("overwrite").json(path)
-    spark.range(1).select(F.lit("  ").alias("value")).write.mode("append").text(path)
-    return spark.read.schema("doc_id long, quality int").option("mode", "DROPMALFORMED").json(path).where("doc_id IS NOT NULL")
+    with scratch(spark) as path:
+        table(spark, sf_dir, "labels").select("doc_id", "quality").write.mode("overwrite").json(path)
+        spark.range(1).select(F.lit("  ").alias("value")).write.mode("append").text(path)
+        return kept(spark.read.schema("doc_id long, quality int").option("mode", "DROPMALFORMED").json(path).where("doc_id IS NOT NULL"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketeer.functions import dates as A
+from docketeer.functions import differences
 from docketeer.functions import drafting as D
 from docketeer.functions import text as X
 from docketeer.functions import translation as T
@@ -15,7 +14,7 @@ from docketeer.operators import ingest as I
 from docketeer.plans.registry import query
 from docketeer.plans.texts import doc_key, docs, planted
 from docketeer.sources import references as E
-from docketeer.sources.shared import shared_folder
+from docketeer.sources.shared import kept, scratch
 from docketeer.sources.tables import table
 
 
@@ -51,7 +50,7 @@ def search_query_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir, "text", "source").select("doc_id", D.search_query(brief).alias("q"))
 
 
-@query("STR-40 STR-42 RET-09", r"""WITH t AS (SELECT o_orderkey, upper(substr(o_orderpriority, 3)) || '/' || o_orderkey AS number, CASE WHEN o_totalprice < 100000 THEN ' ' ELSE 'C' || o_custkey END AS p, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS r, 'Case ' || CASE o_orderstatus WHEN 'F' THEN 'Disposed' WHEN 'P' THEN 'Pending hearing' ELSE o_orderpriority END AS state FROM orders)
+@query("STR-40 STR-42", r"""WITH t AS (SELECT o_orderkey, upper(substr(o_orderpriority, 3)) || '/' || o_orderkey AS number, CASE WHEN o_totalprice < 100000 THEN ' ' ELSE 'C' || o_custkey END AS p, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS r, 'Case ' || CASE o_orderstatus WHEN 'F' THEN 'Disposed' WHEN 'P' THEN 'Pending hearing' ELSE o_orderpriority END AS state FROM orders)
 SELECT o_orderkey, regexp_extract(number, '^[A-Z_]+') AS case_type, CASE WHEN trim(p) <> '' AND r IS NOT NULL THEN p || ' vs ' || r WHEN trim(p) <> '' THEN p ELSE coalesce(r, number) END AS title,
 CASE WHEN contains(lower(state), 'disposed') THEN 'CLOSED' WHEN contains(lower(state), 'pending') THEN 'PENDING' ELSE 'ACTIVE' END AS status FROM t""")
 def case_detail_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,11 +108,14 @@ def site_scoped_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("("), sites, F.lit(") "), "text").alias("q"))
 
 
-@query("STR-44", "SELECT doc_id, text || ' https://x.org/a@b see a.b@c.org S.482 and 2024 2024 ' || (10000 + doc_id) AS restored, true AS clean FROM documents")
+@query("STR-44", r"""WITH t AS (SELECT doc_id, text || ' https://x.org/a@b see a.b@c.org S.482 and 2024 2024 ' || (10000 + doc_id) AS t FROM documents),
+a AS (SELECT *, regexp_replace(t, 'https?://\S+', '__KEEP__', 'g') AS m FROM t), b AS (SELECT * REPLACE (regexp_replace(m, '[\pL\pN_.+-]+@[\pL\pN_.-]+\.[\pL\pN_]+', '__KEEP__', 'g') AS m) FROM a),
+c AS (SELECT * REPLACE (regexp_replace(m, '\b[A-Z][A-Za-z]{0,7}[./][A-Z0-9./]{1,15}\b', '__KEEP__', 'g') AS m) FROM b) SELECT doc_id, regexp_replace(m, '\b\d{4,}\b', '__KEEP__', 'g') AS masked, t AS restored, true AS clean FROM c""")
 def english_token_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masked and restored again."""
+    """Masked, the marks without their numbers, and restored again."""
     rows = planted(spark, sf_dir, F.lit(" https://x.org/a@b see a.b@c.org S.482 and 2024 2024 "), (F.col("doc_id") + 10000).cast("string"))
-    rows = rows.select("doc_id", T.mask_english(F.col("text")).alias("m")).select("doc_id", T.restore_english(F.col("m.text"), F.col("m.kept")).alias("restored"))
+    rows = rows.select("doc_id", T.mask_english(F.col("text")).alias("m"))
+    rows = rows.select("doc_id", F.regexp_replace("m.text", r"__KEEP_\d+__", "__KEEP__").alias("masked"), T.restore_english(F.col("m.text"), F.col("m.kept")).alias("restored"))
     return rows.withColumn("clean", ~T.leftover_marks(F.col("restored")))
 
 
@@ -155,18 +157,20 @@ def inline_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.sanitised(raw).alias("t"))
 
 
-@query("STR-65 CHK-12")
+@query("STR-65")
 def html_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of every page, in order."""
     rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(T.html_blocks(F.col("html"))).alias("n", "b"))
     return rows.select("page_id", "n", "b.kind", "b.text")
 
 
-@query("ARR-06", "SELECT doc_id, 'new' || doc_id || CASE WHEN regexp_matches(text, '\\S') THEN '|' ELSE ' ' END || 'last' || doc_id AS spans FROM documents")
+@query("ARR-06", """WITH t AS (SELECT doc_id, length(text) AS n, length('§new' || doc_id || '§ ') AS a, length('§last' || doc_id || '§') + 1 AS b FROM documents)
+SELECT doc_id, CASE WHEN n = 0 THEN '0-' || (a + b) ELSE '0-' || a || '|' || (a + n) || '-' || (a + n + b) END AS spans FROM t""")
 def reviewer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reviewer added before and behind each document."""
-    after = F.concat(F.lit("new"), doc_key(), F.lit("  "), "text", F.lit("\nlast"), doc_key())
-    return docs(spark, sf_dir).select("doc_id", F.array_join(T.changed_spans(F.col("text"), after), "|").alias("spans"))
+    after = F.concat(F.lit("§new"), doc_key(), F.lit("§ "), "text", F.lit("\n§last"), doc_key(), F.lit("§"))
+    places = F.transform(differences.changed_places(F.col("text"), after), lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(places, "|").alias("spans"))
 
 
 @query("SRC-19", "SELECT c_custkey, c_name AS plain FROM customer")
@@ -235,20 +239,20 @@ def draft_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates as files by category and kind, looked up for every request; some kinds have none."""
     nations = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # as few as there are regions
     asked = nations.select(F.col("n_nationkey").alias("id"), F.col("r_name").alias("category"), F.col("n_name").alias("sub_type"))
-    folder = f"{shared_folder(spark)}/templates-{uuid.uuid4().hex}"
     body = F.concat(F.lit("# "), "sub_type", F.lit("\n\nTemplate of "), "category")
-    asked.where("id % 4 <> 0").select(body.alias("value"), "category", "sub_type").write.partitionBy("category", "sub_type").text(folder)
-    return E.with_template(asked, E.templates(spark, folder)).select("id", "category", "sub_type", "body")
+    with scratch(spark) as folder:
+        asked.where("id % 4 <> 0").select(body.alias("value"), "category", "sub_type").write.partitionBy("category", "sub_type").text(folder)
+        return kept(E.with_template(asked, E.templates(spark, folder)).select("id", "category", "sub_type", "body"))
 
 
 @query("SRC-29", "SELECT n_name AS term, 'अनुवाद ' || n_nationkey AS translation FROM nation")
 def baseline_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A glossary written as a file of terms, with comments, blank lines and terms without a translation."""
-    path = f"{shared_folder(spark)}/glossary-{uuid.uuid4().hex}"
     line = F.concat(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('"'), "n_name", F.lit('"'))).otherwise(F.col("n_name")), F.lit(":  अनुवाद "), F.col("n_nationkey").cast("string"), F.lit(" "))
     rows = table(spark, sf_dir, "nation").select(F.explode(F.array(line, F.lit("# a comment: none"), F.lit(" "), F.lit("no translation:"))).alias("value"))
-    rows.write.text(path)
-    return E.glossary(spark, path)
+    with scratch(spark) as path:
+        rows.write.text(path)
+        return kept(E.glossary(spark, path))
 
 
 @query("SRC-29", """SELECT c_custkey AS id, CASE WHEN c_custkey % 5 < 2 THEN 'Notice base' WHEN c_custkey % 5 = 2 THEN CASE WHEN c_custkey % 3 = 1 THEN 'Plaint hindi' ELSE 'Plaint' END END AS structure,
@@ -259,12 +263,12 @@ def draft_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("legal_notice", None, None, "Notice base", "sample"), ("legal_notice", None, "hindi", None, "नमूना"), ("petition", None, None, "Petition", "petition sample"),
         ("petition", "plaint", None, "Plaint", "plaint sample"), ("petition", "plaint", "hindi", "Plaint hindi", None),
     ]
-    path = f"{shared_folder(spark)}/examples-{uuid.uuid4().hex}"
-    spark.createDataFrame(known, "kind string, subtype string, language string, structure string, example string").write.json(path)
     key = F.col("c_custkey")
     kind = F.element_at(F.array(*[F.lit(k) for k in ("legal_notice", "demand_notice", "petition", "lease", "contract")]), (key % 5 + 1).cast("int"))
     asked = table(spark, sf_dir, "customer").select(key.alias("id"), kind.alias("kind"), F.when(key % 5 == 2, "plaint").alias("subtype"), F.when(key % 3 == 1, "hindi").otherwise("english").alias("language"))
-    return E.with_examples(asked, E.examples(spark, path)).select("id", "structure", "example")
+    with scratch(spark) as path:
+        spark.createDataFrame(known, "kind string, subtype string, language string, structure string, example string").write.json(path)
+        return kept(E.with_examples(asked, E.examples(spark, path)).select("id", "structure", "example"))
 
 
 @query("DATE-03 DATE-04 DATE-07", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '2020-02-02' ELSE strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d') END AS court_day, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS stamp, CASE WHEN event_id % 2 = 0 THEN '1999' ELSE strftime(ts, '%Y') END AS case_year FROM events""")

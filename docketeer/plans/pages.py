@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketeer.functions import drafting as D
 from docketeer.functions import translation as T
 from docketeer.operators import assembly as A
+from docketeer.operators import scans as P
 from docketeer.operators.workspace import translated_batch
+from docketeer.plans.ordered import cause_rows
 from docketeer.plans.registry import query
 from docketeer.plans.texts import docs
 from docketeer.sources.tables import table
@@ -105,3 +108,24 @@ def echoes_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir)
     last = F.array_join(F.slice(F.split(F.element_at(F.split("text", "\n"), -1), " "), F.lit(1), F.lit(20)), " ")
     return rows.select("doc_id", T.without_echoes(F.concat("text", F.lit("\n"), last, F.lit(" "), last, F.lit(" the end the end")), ["end"]).alias("t"))
+
+
+ENTRIES = """e AS (SELECT user_id AS page, event_id AS row_no, event_type, CASE WHEN event_type = 'error' THEN 'J' || (event_id % 7) END AS judge, CASE WHEN event_type = 'signup' THEN 'H' || (event_id % 3) END AS hall FROM events),
+f AS (SELECT *, last_value(judge IGNORE NULLS) OVER w AS j, last_value(hall IGNORE NULLS) OVER w AS h, sum((event_type = 'click')::INT) OVER w AS entry FROM e WINDOW w AS (PARTITION BY page ORDER BY row_no ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT page, entry, min(row_no) FILTER (event_type = 'click') AS row_no, arg_min(j, row_no) FILTER (event_type = 'click') AS judge, arg_min(h, row_no) FILTER (event_type = 'click') AS hall, min(row_no) FILTER (event_type = 'view') AS other FROM f WHERE entry > 0 GROUP BY page, entry)"""
+
+
+@query("RET-09 AGG-14 STM-05 STR-40 STR-43", f"""WITH {ENTRIES}, c AS (SELECT 'WP/' || (row_no % 500) AS case_number, judge, hall, 'P' || row_no AS petitioner, CASE WHEN other IS NOT NULL THEN 'R' || other END AS respondent, page, row_no FROM p),
+u AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY case_number ORDER BY page, row_no) = 1)
+SELECT case_number, 'WP' AS case_type, judge AS judge_name, hall AS court_hall_no, petitioner, respondent, CASE WHEN respondent IS NOT NULL THEN petitioner || ' vs ' || respondent ELSE petitioner END AS case_title, page, row_no FROM u""")
+def cause_list_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases of all cause lists: entries under their judge and hall, with the party behind "versus", each case number once, where it stands first."""
+    rows = P.forward_filled(cause_rows(spark, sf_dir), "page", ["row_no"], ["judge", "hall"])
+    pairs = P.paired(cause_rows(spark, sf_dir), "page", "row_no", F.col("event_type") == "click", F.col("event_type") == "view")
+    entries = pairs.join(rows.select("page", F.col("row_no").alias("petitioner_row"), "judge", "hall"), ["page", "petitioner_row"])
+    number = F.concat(F.lit("WP/"), (F.col("petitioner_row") % 500).cast("string"))
+    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    cases = entries.select(number.alias("case_number"), F.col("judge").alias("judge_name"), F.col("hall").alias("court_hall_no"), named("P", "petitioner_row").alias("petitioner"), named("R", "respondent_row").alias("respondent"), "page", F.col("petitioner_row").alias("row_no"))
+    first = cases.groupBy("case_number").agg(F.min_by(F.struct(*[c for c in cases.columns if c != "case_number"]), F.struct("page", "row_no")).alias("c")).select("case_number", "c.*")
+    title = D.case_title(F.col("petitioner"), F.col("respondent"), F.col("case_number"))
+    return first.select("case_number", D.case_type(F.col("case_number")).alias("case_type"), "judge_name", "court_hall_no", "petitioner", "respondent", title.alias("case_title"), "page", "row_no")

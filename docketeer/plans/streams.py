@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketeer.operators.ordered import evicted
 from docketeer.plans.ordered import STATUS, changes_of
 from docketeer.plans.registry import query
 from docketeer.sources.tables import table
@@ -78,3 +79,28 @@ def stream_answered_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks as calls and purchases as their results, within six hours (an extra)."""
     part = lambda kind: S.stream_table(spark, sf_dir, "events").where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias("id"), "ts")
     return S.finished(E.answered(part("click"), part("purchase"), "user_id", "6 hours", "1 day")).select("user_id", "call_id", "result_id")
+
+
+@query("STM-12", """WITH w AS (SELECT unnest([time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 12 HOUR, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01')]) AS window_start, event_type, value FROM events)
+SELECT window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL""")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a day every twelve hours over the event stream (an extra)."""
+    return S.to_the_end(S.windowed(S.stream_table(spark, sf_dir, "events"), "1 day", "30 days", "12 hours"))
+
+
+@query("STM-09", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
+t AS (SELECT doc_id, n, unnest(string_split(line, ' ')) AS term, unnest(range(len(string_split(line, ' ')))) AS place FROM l) SELECT doc_id, term, min(n * 1000000 + place)::BIGINT AS first_at, count(*) AS n FROM t GROUP BY doc_id, term""")
+def stream_first_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first place of each word in each document, from a stream of documents."""
+    lines = S.stream_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    words = lines.select("doc_id", "n", F.posexplode(F.split("line", " ")).alias("place", "term"))
+    return S.to_the_end(S.first_mentions(words.select("doc_id", "term", (F.col("n").cast("long") * 1_000_000 + F.col("place")).alias("at"))))
+
+
+@query("STM-02", f"""WITH j AS ({JOB_CHANGES}), r AS (SELECT *, row_number() OVER (PARTITION BY status IN ('completed', 'failed') ORDER BY at_ms DESC, job_id) AS rn FROM j)
+SELECT job_id, status FROM r WHERE status NOT IN ('completed', 'failed') OR rn <= 200""")
+def stream_job_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jobs of the stream that stay: those that run, and the newest two hundred that ended."""
+    changes = J.job_changes(day_jobs(changes_of(S.stream_table(spark, sf_dir, "events"))), "1 day")
+    jobs = J.latest(S.finished(changes, J.STORE)).withColumnRenamed("at_ms", "completed_at").withColumn("created_at", F.col("completed_at"))
+    return evicted(jobs).select("job_id", "status")

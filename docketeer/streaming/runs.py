@@ -23,7 +23,8 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_a_batch: int
 def to_the_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over all there is and returns its last result (``complete``) or all results (``append``).
 
-    Each batch replaces its own folder, so a batch that runs twice counts once; state and offsets are in the shared folder.
+    Each batch replaces its own folder, so a batch that runs twice counts once; state and offsets are in the shared folder, and go at
+    the end, as do results that a later batch's replace.
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -31,10 +32,13 @@ def to_the_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        if mode == "complete" and last and last[0] != number:
+            delete(spark, f"{base}/out/batch={last[0]}")
         last[:] = [number]
 
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
     run.awaitTermination()
+    delete(spark, f"{base}/state")
     if not last:
         return spark.createDataFrame([], stream.schema)
     if mode == "complete":
@@ -88,13 +92,18 @@ def feedback_stats(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count_if(F.col("label") == 1).alias("positive"))
 
 
-def windowed(events: DataFrame, width: str, late: str) -> DataFrame:
-    """Events by type in fixed windows of event time; later ones than ``late`` are dropped. Not in the reference."""
+def windowed(events: DataFrame, width: str, late: str, step: str | None = None) -> DataFrame:
+    """Events by type in windows of event time, which overlap if a ``step`` is given; later ones than ``late`` are dropped. Not in the reference."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    grouped = timed.groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    grouped = timed.groupBy(F.window("at", width, step), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def first_mentions(words: DataFrame) -> DataFrame:
+    """Where each document mentions each term for the first time (doc_id, term, at): a minimum for each, however the mentions arrive."""
+    return words.groupBy("doc_id", "term").agg(F.min("at").alias("first_at"), F.count("*").alias("n"))
+
+
 def first_of_each(rows: DataFrame, keys: list[str], at: str, late: str) -> DataFrame:
     """The first arrival of each key within the watermark: what makes a repeated flush harmless."""
     return rows.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)

@@ -8,7 +8,7 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
-from docketeer.functions import translation
+from docketeer.functions import differences, translation
 from docketeer.operators import chunking
 from docketeer.plans import QUERIES
 
@@ -124,10 +124,20 @@ def test_edits_and_quotes(spark):
 
 def test_changes_between_texts():
     r = random.Random(3)
-    for _ in range(500):
-        before = [r.choice("abcdef") for _ in range(r.randint(0, 20))]
-        after = before[:]
-        for _ in range(r.randint(0, 3)):
-            after.insert(r.randint(0, len(after)), f"new{r.randrange(9)}")
-        spans = translation.changed(" ".join(before), " ".join(after))
-        assert sorted(w for s in spans for w in s.split()) == sorted(w for w in after if w[:3] == "new")
+    for size in (20, 300, 3000):
+        for _ in range(60):
+            before = " ".join(r.choice(["law", "court", f"w{r.randrange(size)}", "a\nb"]) for _ in range(r.randint(0, size)))
+            after = before
+            for _ in range(r.randint(0, 4)):
+                at = r.randint(0, len(after))
+                after = after[:at] + r.choice(["", "§new§", "x"]) + after[at + r.choice([0, 0, 5]) :]
+            found = differences.joined(differences.spans(before, after))
+            same = "".join(c for i, c in enumerate(after) if not any(a <= i < b for a, b in found))
+            rest = iter(before)
+            assert all(c in rest for c in same) and all(any(a <= i < b for a, b in found) for i, c in enumerate(after) if c == "§")
+            assert bool(found) == (before != after) and sum(b - a for a, b in found) <= 60
+    assert differences.joined(differences.spans("the cat sat", "the car sat down")) == [(6, 7), (11, 16)]
+    assert differences.joined(differences.spans("the old cat", "the cat")) == [(4, 4)] and list(differences.spans("", "")) == []
+    words = [f"w{r.randrange(5000)}" for _ in range(60_000)]
+    other = words[:30_000] + ["new"] + words[30_000:]
+    assert differences.joined(differences.spans(" ".join(words), " ".join(other)))  # a long text ends
