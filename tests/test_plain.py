@@ -1,6 +1,7 @@
 """The queries that SQL can't express, row by row against plain Python over whole tables."""
 
 import random
+from functools import reduce
 from pathlib import Path
 
 import duckdb
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketeer.functions import differences, translation
-from docketeer.operators import chunking
+from docketeer.operators import assembly, chunking
 from docketeer.plans import QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -141,3 +142,65 @@ def test_changes_between_texts():
     words = [f"w{r.randrange(5000)}" for _ in range(60_000)]
     other = words[:30_000] + ["new"] + words[30_000:]
     assert differences.joined(differences.spans(" ".join(words), " ".join(other)))  # a long text ends
+
+
+def test_two_column_assembly(spark):
+    lines = rows("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag FROM lineitem ;")
+    blocks = {}
+    for order, number, part, supp, quantity, flag in lines:
+        y, x0 = (number - number % 2) * 10.0 + part % 5, (40.0, 320.0, 150.0)[supp % 3]
+        text = "" if quantity < 3 else f"{flag}-{supp}" + (" " if part % 4 == 0 else "")
+        blocks.setdefault(order, []).append((number * 1_000_000 + part, x0, y, x0 + quantity * 4, y + 10, quantity / 4, text))
+    wanted = []
+    for block, own in blocks.items():
+        heights, items, pending = [], [], []
+        for line in sorted(own):
+            if line[6]:
+                fits = [h for h in heights if abs(line[2] + 5 - sum(x[2] + 5 for x in h) / len(h)) < 6]
+                if fits:
+                    fits[-1].append(line)
+                else:
+                    heights.append([line])
+
+        def text_of(held):
+            return reduce(lambda a, b: a + ("" if a.endswith(" ") or b.startswith(" ") else " ") + b, [x[6] for x in held])
+
+        def flush():
+            if pending:
+                items.append(("text", text_of(pending), None, None, min(x[1] for x in pending), max(x[3] for x in pending), max(x[5] for x in pending)))  # noqa: B023
+                pending.clear()  # noqa: B023
+
+        for held in heights:
+            left, right = [x for x in held if x[3] <= 312], [x for x in held if x[1] >= 288]
+            if len(held) > 1 and left and right and max(x[3] for x in left) < min(x[1] for x in right):
+                flush()
+                items.append(("row", None, text_of(left), text_of(right), min(x[1] for x in held), max(x[3] for x in held), None))
+            else:
+                pending += held
+        flush()
+        wanted += [(block, n, *i) for n, i in enumerate(items)]
+    assert got(spark, "two_column_assembly", "block", "item", "kind", "text", "left", "right", "x0", "x1", "size") == sorted(wanted)
+    assert {w[2] for w in wanted} == {"row", "text"}
+
+
+def test_sections_of_odd_documents(spark):
+    frame = spark.createDataFrame([(1, 0, "a."), (1, 1, "Head"), (1, 2, "b."), (1, 3, None), (1, 4, "Head"), (2, 0, "Top"), (3, 0, "x."), (None, 0, "Top"), (None, 1, "y.")], "d long, n long, t string")
+    found = assembly.sections(frame, "d", "n", "t", ~F.endswith("t", F.lit(".")))
+    assert sorted(map(repr, (tuple(r) for r in found.collect()))) == sorted(map(repr, [(1, 0, None, "a."), (1, 1, "Head", "b."), (1, 2, "Head", ""), (2, 1, "Top", ""), (3, 0, None, "x."), (None, 1, "Top", "y.")]))
+    assert assembly.sections(frame.limit(0), "d", "n", "t", F.lit(True)).count() == 0
+
+
+def test_echoes(spark, docs):
+    def echo(t):
+        last = " ".join(t.split("\n")[-1].split(" ")[:20])
+        return f"{t}\n{last} {last} the end the end"
+
+    assert got(spark, "echoes_removed", "doc_id", "t") == sorted((d, "\n".join(plain.without_repeats(line, 20, ("end",)) for line in echo(t).split("\n"))) for d, t in docs.items())
+
+
+def test_batches_of_regions(spark):
+    talks = {}
+    for conv, turn, role, text in sorted(rows("SELECT conv_id, turn, role, text FROM conversations ;")):
+        talks.setdefault(conv, []).append((turn, "heading" if role == "system" else "body", text))
+    wanted = [(c, own[i][0], n) for c, own in talks.items() for n, held in enumerate(chunking.packed([t for _, _, t in own], [r for _, r, _ in own], 1800)) for i in held]
+    assert got(spark, "region_pack_rows", "doc", "place", "batch") == sorted(wanted)
