@@ -22,60 +22,64 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
-def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
-    """``term`` (a hash): the terms whose inverse document frequency, ln(documents / documents with it), is in the band.
+def lexicon(docs: DataFrame, total: int, low: float, high: float) -> DataFrame:
+    """``term`` (a hash): the terms whose inverse document frequency, ln(documents / documents with it), is in the band; there are ``total`` documents.
 
     Each is in a share exp(-high) of the documents at least, so there are at most exp(high) times as many as an average document
     has: a bound that does not grow with the corpus.
     """
     counts = save(docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy(F.xxhash64("term").alias("term")).agg(F.count("*").alias("n")))
-    total = docs.count()
     band = counts.where(F.col("n").between(max(2, math.ceil(total * math.exp(-high))), total * math.exp(-low)))
     kept = save(band.select("term"))
     discard(counts)
     return kept
 
 
-def with_bucket(rows: DataFrame, bounds: list[int]) -> DataFrame:
-    """Adds ``bucket``: the last of the ascending bounds that is not above ``doc_id``, by binary search; 0 for nulls.
+def named(docs: DataFrame) -> DataFrame:
+    """Adds ``h1`` and ``h2``, 128 bits that stand for a row's id and text."""
+    return docs.withColumns({"h1": F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"), "h2": F.xxhash64(F.lit(1), F.col("doc_id").isNull(), "doc_id", "text")})
 
-    Each step is a column of its own and none has a lambda, so that Spark sees the plans of both readers as the same and
-    shuffles the texts once.
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``rid`` (ascending in the order of ids), ``h1``, ``h2`` and ``k``, the number of equal rows, for each different row, and who comes ``before`` it, in a circle.
+
+    Null ids come first; rows of one id go by a hash of their text. Texts aren't shuffled: what is ordered, in ranges, is a few numbers a
+    row, and equal rows are one. The row before a range's first is the last of the range before, one carry for each range.
     """
-    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
-    rows = rows.withColumn("bucket", F.lit(0))
-    step = 1 << max(0, (len(bounds) - 1).bit_length() - 1)
-    while step and len(bounds) > 1:
-        further = F.col("bucket") + step
-        fits = (further < len(bounds)) & (F.try_element_at(array, further + 1) <= F.col("doc_id"))
-        rows = rows.withColumn("bucket", F.col("bucket") + F.when(fits, step).otherwise(0))
-        step >>= 1
-    return rows
-
-
-def followed(docs: DataFrame, bucket_chars: int, most_buckets: int) -> DataFrame:
-    """Each document (``bucket``, ``rn``) with the next one's text and place, in ascending order of id, in a circle.
-
-    Ranges of ids are ordered on their own; the first document of the next range closes each. Null ids come first, rows of
-    the same id go by a hash of their text; they are in one range, which a window sorts on disk if it must. There are at most
-    ``most_buckets`` ranges, as planning time doubles with each step of the search among them.
+    each = docs.select("doc_id", "h1", "h2", F.length("text").alias("n"), F.xxhash64("text").alias("tie")).groupBy("h1", "h2")
+    each = each.agg(F.first("doc_id").alias("doc_id"), F.first("tie").alias("tie"), F.first("n").alias("n"), F.count("*").alias("k"))
+    order = ["doc_id", "tie", "h1", "h2"]
+    laid = each.repartitionByRange(*order).sortWithinPartitions(*order)
+    laid = save(laid.select("h1", "h2", "n", "k", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("rid")))
+    who = F.struct("rid", "h1", "h2", F.floor(F.col("n") / 4).cast("int").alias("wants"))
+    ends = laid.groupBy("part").agg(F.max(who).alias("end"))
+    parts = Window.orderBy("part")  # a row for each range
+    whole = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    brought = ends.select("part", F.coalesce(F.lag("end").over(parts), F.last("end").over(whole)).alias("brought"))
+    before = F.coalesce(F.lag(who).over(Window.partitionBy("part").orderBy("rid")), F.col("brought"))
+    return laid.join(F.broadcast(brought), "part").select("rid", "h1", "h2", "k", before.alias("before"))
+
+
+def followed(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """Each different row (``rid``) with as much of the next one's text (``ahead``) as its edit wants, and whose ``before`` it is.
+
+    Of ``k`` equal rows the last (``v`` 1) is followed by the next different one, the others (``v`` 0, one row for all) by their own
+    text. The texts are shuffled once, and a quarter of them once more, to the row before.
     """
-    size = docs.agg(F.sum(F.length("text")).alias("chars"), F.min("doc_id").alias("least")).first()
-    n = int(min(most_buckets, max(1, (size.chars or 0) // bucket_chars)))
-    bounds = [size.least or 0]
-    if n > 1:
-        ranks = [i / n for i in range(1, n)]
-        bounds = sorted({*bounds, *docs.agg(F.percentile_approx("doc_id", ranks, 100 * n)).first()[0]})
-    own = with_bucket(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")), bounds).withColumn("end", F.lit(False))
-    first = docs.sparkSession.createDataFrame([(b, (i - 1) % len(bounds)) for i, b in enumerate(bounds)], "bound long, bucket int")
-    # a range begins at its bound, which is a document's id; only nulls can precede the first range's
-    starts = docs.join(F.broadcast(first), F.col("doc_id") == F.col("bound")).select("doc_id", "text", F.coalesce("bucket", F.lit(0)).alias("bucket"))
-    starts = starts.union(docs.where("doc_id IS NULL").select("doc_id", "text", F.lit(len(bounds) - 1)))
-    ends = starts.select("doc_id", "text", F.xxhash64("text").alias("tie"), "bucket", F.lit(True).alias("end"))
-    w = Window.partitionBy("bucket").orderBy("end", "doc_id", "tie")
-    rows = own.union(ends).withColumns({"rn": F.row_number().over(w), "next_text": F.lead("text").over(w), "closes": F.lead("end").over(w)}).where("NOT end")
-    next_bucket = F.when(F.col("closes"), (F.col("bucket") + 1) % len(bounds)).otherwise(F.col("bucket"))
-    return rows.select("bucket", "rn", "doc_id", "text", "next_text", next_bucket.alias("next_bucket"), F.when(F.col("closes"), 1).otherwise(F.col("rn") + 1).alias("next_rn"))
+    once = docs.groupBy("h1", "h2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    held = once.join(places, ["h1", "h2"])
+    ahead = held.select(F.col("before.h1").alias("h1"), F.col("before.h2").alias("h2"), F.left("text", F.col("before.wants")).alias("ahead"))
+    rows = held.join(ahead, ["h1", "h2"])
+    last = F.struct(F.lit(1).alias("v"), F.lit(1).cast("long").alias("times"), F.col("ahead"))
+    others = F.struct(F.lit(0).alias("v"), (F.col("k") - 1).alias("times"), F.col("text").alias("ahead"))
+    variant = F.explode(F.when(F.col("k") > 1, F.array(last, others)).otherwise(F.array(last))).alias("x")
+    return rows.select("rid", F.col("before.rid").alias("before"), "doc_id", "text", variant).select("rid", "before", "doc_id", "text", "x.v", "x.times", "x.ahead")
+
+
+def repeated(rows: DataFrame, times: str, most: int = 100_000) -> DataFrame:
+    """Each row as often as a column says, in steps of ``most``."""
+    rows = rows.withColumn("__from", F.explode(F.sequence(F.lit(1).cast("long"), F.col(times), F.lit(most).cast("long"))))
+    return rows.withColumn("__n", F.explode(F.sequence(F.col("__from"), F.least(F.col(times), F.col("__from") + most - 1)))).drop("__from", "__n")
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -130,34 +134,38 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(let(pairs, lambda p: F.coalesce(*[share(p, s, 4) for s in reversed(spans[1:])], share(p, spans[1], 1), out)))
 
 
-def fingerprints(docs: DataFrame, low: float = 3.0, high: float = 7.0, bucket_chars: int = 4_000_000, most_buckets: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, low: float = 3.0, high: float = 7.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: id, ``n_chars``, ``edited_sha256``, both fingerprints, and their likenesses.
 
     A fingerprint is a hash for each randomised lexicon over the terms in the band of inverse document frequency; a text
     with no such term is fingerprinted by all its terms. ``agree_edited`` and ``agree_next`` count the lexicons of most terms that
-    agree. Null texts count as empty; an only document follows itself; repeated rows and null ids come out as often. Other columns are left.
+    agree; the likenesses ``near_edited`` and ``near_next`` come from the sparse lexicons alone. Null texts count as empty; an only document
+    follows itself; repeated rows follow one another and come out as often; null ids come first. Other columns are left.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kept = lexicon(docs, low, high)
+    docs = named(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    places = save(placed(docs))
+    kept = lexicon(docs, places.agg(F.sum("k")).first()[0] or 0, low, high)
     if kept.count() * 16 <= MOST_BYTES:
         kept = F.broadcast(kept)
-    rows = followed(docs, bucket_chars, most_buckets).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    both = rows.select("bucket", "rn", F.explode(F.array(F.struct(F.lit(0).alias("side"), terms(F.col("text")).alias("terms")), F.struct(F.lit(1).alias("side"), terms(F.col("edited")).alias("terms")))).alias("s"))
-    each = both.select("bucket", "rn", "s.side", F.explode("s.terms").alias("word")).select("bucket", "rn", "side", F.xxhash64("word").alias("term"))
-    grouped = each.join(kept, "term").groupBy("bucket", "rn", "side").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    prints = grouped.select("bucket", "rn", "side", subset_hashes(F.col("terms")).alias("prints"))
-    prints = prints.groupBy("bucket", "rn").agg(*[F.max(F.when(F.col("side") == side, F.col("prints"))).alias(name) for side, name in enumerate(("own", "other"))])
+    rows = followed(docs, places).withColumn("edited", edited(F.col("text"), F.col("ahead")))
+    both = rows.select("rid", "v", F.explode(F.array(F.struct(F.lit(0).alias("side"), terms(F.col("text")).alias("terms")), F.struct(F.lit(1).alias("side"), terms(F.col("edited")).alias("terms")))).alias("s"))
+    each = both.select("rid", "v", "s.side", F.explode("s.terms").alias("word")).select("rid", "v", "side", F.xxhash64("word").alias("term"))
+    grouped = each.join(kept, "term").groupBy("rid", "v", "side").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    prints = grouped.select("rid", "v", "side", subset_hashes(F.col("terms")).alias("prints"))
+    prints = prints.groupBy("rid", "v").agg(*[F.max(F.when(F.col("side") == side, F.col("prints"))).alias(name) for side, name in enumerate(("own", "other"))])
     whole = lambda text: F.concat(F.array(F.xxhash64(F.sort_array(terms(text)))), F.array_repeat(F.lit(None).cast("long"), SPARSE + DENSE - 1))
     facts = rows.select(
-        "bucket", "rn", "next_bucket", "next_rn", "doc_id", F.length("text").cast("long").alias("n_chars"),
+        "rid", "v", "before", "times", "doc_id", F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"), whole(F.col("text")).alias("own_all"), whole(F.col("edited")).alias("other_all"),
     )
-    found = facts.join(prints, ["bucket", "rn"], "left")
+    found = facts.join(prints, ["rid", "v"], "left")
     found = save(found.withColumns({"own": F.coalesce("own", "own_all"), "other": F.coalesce("other", "other_all")}).drop("own_all", "other_all"))
-    after = found.select(F.col("bucket").alias("next_bucket"), F.col("rn").alias("next_rn"), F.col("own").alias("following"))
-    joined = found.join(after, ["next_bucket", "next_rn"], "left")
-    return joined.select(
-        "doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"),
+    discard(places)
+    after = found.where("v = 1").select(F.col("before").alias("rid"), F.col("own").alias("after"))
+    joined = found.join(after, "rid").withColumn("following", F.when(F.col("v") == 1, F.col("after")).otherwise(F.col("own")))
+    shown = joined.select(
+        "times", "doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
         agreeing(F.col("own"), F.col("other")).alias("agree_edited"), agreeing(F.col("own"), F.col("following")).alias("agree_next"),
     )
+    return repeated(shown, "times").drop("times")

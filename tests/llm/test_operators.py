@@ -302,8 +302,10 @@ def test_many_languages_and_many_short_texts_in_bounded_memory():
 
 def test_imatch_edits_and_order(spark, empty):
     docs = [(10 * i, prose(i, 60 + i)) for i in range(30)] + [(5, None), (7, ""), (300, prose(1, 61))]
-    for options in ({}, {"bucket_chars": 900}):
-        rows = imatch.fingerprints(spark.createDataFrame(docs, DOCS), low=0.5, **options).collect()
+    for coalesced in ("true", "false"):  # in one range, and in several
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+        rows = imatch.fingerprints(spark.createDataFrame(docs, DOCS), low=0.5).collect()
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         got = {r.doc_id: r for r in rows}
         assert len(rows) == len(docs) and got.keys() == {d for d, _ in docs}
         ordered = sorted((d, t or "") for d, t in docs)
@@ -318,13 +320,27 @@ def test_imatch_edits_and_order(spark, empty):
     assert {r.edited_sha256 for r in one} == {brute.sha("abcdefzz"), brute.sha("zz")}
     again = imatch.fingerprints(spark.createDataFrame([(1, "abcd efgh")] * 3, DOCS)).collect()
     assert len(again) == 3 and {r.near_next for r in again} == {1.0}
+    mixed = [(None, "first of all here")] * 2 + [(None, "second, with no id")] + [(4, "abcd efgh ijkl")] * 5 + [(4, "another of this id")] * 2 + [(9, "last")]
+    got = sorted((r.doc_id or 0, r.n_chars, r.edited_sha256) for r in imatch.fingerprints(spark.createDataFrame(mixed, DOCS)).collect())
+    tie = {r.text: r.tie for r in spark.createDataFrame(mixed, DOCS).select("text", F.xxhash64("text").alias("tie")).distinct().collect()}
+    ordered = [t for _, t in sorted(mixed, key=lambda x: (x[0] or 0, tie[x[1]]))]
+    wanted = [brute.sha(t[: len(t) - len(t) // 4] + after[: len(t) // 4]) for t, after in zip(ordered, ordered[1:] + ordered[:1])]
+    assert sorted(x for *_, x in got) == sorted(wanted) and len(got) == len(mixed)
+
+
+def test_a_row_that_is_repeated_without_end(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("always the same text")).otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    got = imatch.fingerprints(rows).groupBy("doc_id").count().where("doc_id = 7").first()
+    assert got["count"] == rows.where("doc_id = 7").count() > 1600
+    many = spark.createDataFrame([(1, 250_001), (2, 1), (3, 100_000), (4, 100_001)], "a long, times long")
+    assert {r.a: r["count"] for r in imatch.repeated(many, "times").groupBy("a").count().collect()} == {1: 250_001, 2: 1, 3: 100_000, 4: 100_001}
 
 
 def test_imatch_fingerprints_against_plain_python(spark):
     r = random.Random(17)
     docs = [(i, prose(i, r.randint(5, 300))) for i in range(60)] + [(60, None), (61, "zzz yyy"), (62, "Ünïcode ... wörds, wörds"), (63, prose(1, 40) * 200)]
     docs += [(1000 + i, prose(i, 90) + f" extra{i % 3}") for i in range(8)]
-    frame = spark.createDataFrame(docs, DOCS).withColumns({"bucket": F.lit("x"), "rn": F.lit(1), "terms": F.lit(2), "tie": F.lit(3)})
+    frame = spark.createDataFrame(docs, DOCS).withColumns({"rid": F.lit("x"), "h1": F.lit(1), "terms": F.lit(2), "tie": F.lit(3), "k": F.lit(4), "times": F.lit(5)})
     texts = [t or "" for _, t in sorted(docs)]
     hashes = brute.imatch(texts, 0.7, 7.0, imatch.FAMILIES, imatch.DENSE)
     cut = [t[: len(t) - len(t) // 4] + after[: len(t) // 4] for t, after in zip(texts, texts[1:] + texts[:1])]
@@ -332,7 +348,7 @@ def test_imatch_fingerprints_against_plain_python(spark):
     shown = lambda x: ".".join("" if h is None else f"{h & 0xFFFFFFFF:X}" for h in x)
     most = [0, *range(imatch.SPARSE, imatch.SPARSE + imatch.DENSE)]
     agree = lambda a, b: sum(a[i] is not None and a[i] == b[i] for i in most)
-    got = sorted(imatch.fingerprints(frame, low=0.7, bucket_chars=3000).collect(), key=lambda x: x.doc_id)
+    got = sorted(imatch.fingerprints(frame, low=0.7).collect(), key=lambda x: x.doc_id)
     for i, x in enumerate(got):
         after = own[(i + 1) % len(own)]
         assert (x.fingerprint, x.edited_fingerprint) == (shown(own[i]), shown(other[i]))
