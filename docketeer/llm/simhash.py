@@ -261,11 +261,16 @@ def components(edges: DataFrame) -> DataFrame:
 def looked_up(rows: DataFrame, table: DataFrame, key: str | list[str], n_rows: int, most_hot: int = 1000) -> DataFrame:
     """``rows`` with the columns of ``table``, which has each key once, and in ``n`` how many rows have it.
 
-    Keys with over 1/``most_hot`` of the rows, fewer than ``most_hot``, are broadcast; their rows are not shuffled.
+    Keys with over 1/``most_hot`` of the rows, fewer than ``most_hot``, are told apart by a list of their hashes in the plan; what the table has
+    of them is broadcast, and their rows are not shuffled.
     """
-    limit = n_rows // most_hot + 1
-    hot, cold = F.broadcast(table.where(F.col("n") > limit).drop("n")), table.where(F.col("n") <= limit).drop("n")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    limit, name = n_rows // most_hot + 1, F.xxhash64(*([key] if isinstance(key, str) else key))
+    hot = sorted({r.h for r in table.where(F.col("n") > limit).select(name.alias("h")).collect()})
+    if not hot:
+        return rows.join(table.drop("n"), key)
+    some = name.isin(hot)
+    few, many = table.where(some).drop("n"), table.where(~some).drop("n")
+    return rows.where(some).join(F.broadcast(few), key).unionByName(rows.where(~some).join(many, key))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
