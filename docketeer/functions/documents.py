@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketeer.functions.substitution import substituted
+from docketeer.functions import translation
+from docketeer.functions.substitution import local_units, protected, restored, substituted
 
 # What marks a book's or a chapter's first page, and how much of it is needed.
 BOOK = (r"\bedition\b", r"\bisbn[\s\-:]*\d", r"\bcopyright\s+©?\s*\d{4}", r"\bpublished\s+by\b", r"\b(?:university|academic)\s+press\b")
@@ -151,3 +153,11 @@ def semantic_chunks(text: str | None) -> list[str]:
             out.append(sentence)
         last = sentence
     return [c for c in out if len(c) >= SEMANTIC_LEAST]
+
+
+def translated(text: Column, terms: dict[str, str], translate: Callable[[Column], Column]) -> Column:
+    """A text through a translator: cleaned, its tags and glossary terms kept out, translated, and all put back; amounts in lakh and crore."""
+    clean = translation.rejoined_words(translation.without_private_glyphs(text))
+    bound = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  # computed once, however often it stands there
+    frozen = lambda p: bound(freeze(p["text"], terms), lambda f: restored(restore(translate(f["text"]), f["held"]), p["tags"]))
+    return local_units(bound(protected(clean), frozen))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docketeer.functions import legal
 from docketeer.operators import chunking, ingest, retrieval
+from docketeer.operators.substring_join import contained
 
 # How many internal precedents suffice, and results that are shown.
 ENOUGH_INTERNAL, SHOWN_CHUNKS = 5, 10
@@ -115,3 +116,26 @@ def translated_batch(texts: Column, translate: Callable[[Column], Column], separ
     parts = F.split(translate(F.array_join(texts, separator)), re.escape(separator), -1)
     held = lambda x: F.when(F.size(x["p"]) == F.size(x["t"]), F.struct(x["p"].alias("parts"), F.lit("batch").alias("way"))).otherwise(F.struct(F.transform(x["t"], translate).alias("parts"), F.lit("items").alias("way")))
     return F.transform(F.array(F.struct(parts.alias("p"), texts.alias("t"))), held)[0]
+
+
+def checked(drafts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Drafts (id, draft) with the report of their citations, each with the first evidence (id, url, body) that holds it, and rewritten without the others.
+
+    ``supported`` and ``unsupported`` list the citations; in ``rewritten`` those without evidence are marked. Citations meet the evidence by rare
+    parts of them, whatever their case, not each with all. A draft without citations stays as it is.
+    """
+    claims = drafts.select("id", F.posexplode(F.array_distinct(legal.citations(F.col("draft")))).alias("pos", "claim"))
+    bodies = evidence.select("id", F.lower("body").alias("text"))
+    found = contained(bodies, claims.select(F.lower("claim").alias("term"))).groupBy("term").agg(F.min("id").alias("evidence"))
+    first = found.join(evidence.select(F.col("id").alias("evidence"), "url"), "evidence").select("term", "url")
+    told = claims.join(first, F.lower("claim") == F.col("term"), "left")
+    of_draft = told.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "claim", "url"))).alias("claims"))
+    rows = drafts.join(of_draft, "id", "left").withColumn("claims", F.coalesce("claims", F.array().cast("array<struct<pos:int,claim:string,url:string>>")))
+    without = F.filter("claims", lambda c: c["url"].isNull())
+    held = F.filter("claims", lambda c: c["url"].isNotNull())
+    return rows.select(
+        "id", F.size("claims").alias("n"),
+        F.array_join(F.transform(held, lambda c: F.concat(c["claim"], F.lit(" <- "), c["url"])), "|").alias("supported"),
+        F.array_join(F.transform(without, lambda c: c["claim"]), "|").alias("unsupported"),
+        F.aggregate(without, F.col("draft"), lambda t, c: F.replace(t, c["claim"], F.lit("[unverified]"))).alias("rewritten"),
+    )

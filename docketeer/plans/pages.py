@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketeer.functions import documents as N
 from docketeer.functions import drafting as D
 from docketeer.functions import translation as T
 from docketeer.operators import assembly as A
 from docketeer.operators import scans as P
-from docketeer.operators.workspace import translated_batch
+from docketeer.operators.workspace import checked, translated_batch
 from docketeer.plans.ordered import cause_rows
 from docketeer.plans.registry import query
 from docketeer.plans.texts import docs
@@ -129,3 +130,29 @@ def cause_list_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = cases.groupBy("case_number").agg(F.min_by(F.struct(*[c for c in cases.columns if c != "case_number"]), F.struct("page", "row_no")).alias("c")).select("case_number", "c.*")
     title = D.case_title(F.col("petitioner"), F.col("respondent"), F.col("case_number"))
     return first.select("case_number", D.case_type(F.col("case_number")).alias("case_type"), "judge_name", "court_hall_no", "petitioner", "respondent", title.alias("case_title"), "page", "row_no")
+
+
+@query("RET-08 STR-45 STR-46 STR-39", """SELECT doc_id, replace(text, 'e', '3') || ' <strong>धारा</strong> 5 of वादी <br/>: 30 लाख' AS t FROM documents
+WHERE NOT regexp_matches(text, '(?i)\\b(plaintiff|section)\\b|</?(strong|em|u)\\s*>|<br|\\d\\s*[mb]illion\\b')""")
+def translated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with tags, terms and an amount through a translator (a stand-in)."""
+    rows = docs(spark, sf_dir).where(~F.col("text").rlike(r"(?i)\b(plaintiff|section)\b|</?(strong|em|u)\s*>|<br|\d\s*[mb]illion\b"))
+    raw = F.concat("text", F.lit(" <strong>Section</strong> 5 of Plaintiff <br/>: 3 million"))
+    return rows.select("doc_id", N.translated(raw, {"plaintiff": "वादी", "section": "धारा"}, spoken).alias("t"))
+
+
+@query("RET-07 JOIN-13 STR-15", """WITH d AS (SELECT doc_id AS id, text || '. See (2001) 5 SCC ' || (doc_id * 7 % 900) || ' and AIR 2002 SC ' || doc_id AS draft, '(2001) 5 SCC ' || (doc_id * 7 % 900) AS a, 'AIR 2002 SC ' || doc_id AS b FROM documents),
+e AS (SELECT doc_id AS id, 'doc/' || doc_id AS url, lower(text || '; (2001) 5 scc ' || doc_id || '; Air 2002 SC ' || (doc_id + 1)) AS body FROM documents WHERE doc_id % 2 = 1),
+c AS (SELECT id, 1 AS pos, a AS claim FROM d UNION ALL SELECT id, 2, b FROM d), h AS (SELECT claim, min(e.id) AS e FROM (SELECT DISTINCT claim FROM c) JOIN e ON contains(body, lower(claim)) GROUP BY claim),
+t AS (SELECT c.id, pos, claim, url FROM c LEFT JOIN h USING (claim) LEFT JOIN e ON h.e = e.id),
+g AS (SELECT id, count(*)::INT AS n, coalesce(string_agg(claim || ' <- ' || url, '|' ORDER BY pos) FILTER (url IS NOT NULL), '') AS supported, coalesce(string_agg(claim, '|' ORDER BY pos) FILTER (url IS NULL), '') AS unsupported,
+bool_or(pos = 1 AND url IS NULL) AS na, bool_or(pos = 2 AND url IS NULL) AS nb FROM t GROUP BY id)
+SELECT id, n, supported, unsupported, replace(CASE WHEN na THEN replace(draft, a, '[unverified]') ELSE draft END, CASE WHEN nb THEN b ELSE '' END, CASE WHEN nb THEN '[unverified]' ELSE '' END) AS rewritten FROM d JOIN g USING (id)""")
+def checked_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as drafts with two citations each; every second document is evidence for one or two."""
+    key = lambda c: c.cast("string")
+    rows = docs(spark, sf_dir)
+    draft = F.concat("text", F.lit(". See (2001) 5 SCC "), key(F.col("doc_id") * 7 % 900), F.lit(" and AIR 2002 SC "), key(F.col("doc_id")))
+    body = F.concat("text", F.lit("; (2001) 5 scc "), key(F.col("doc_id")), F.lit("; Air 2002 SC "), key(F.col("doc_id") + 1))
+    evidence = rows.where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc/"), key(F.col("doc_id"))).alias("url"), body.alias("body"))
+    return checked(rows.select(F.col("doc_id").alias("id"), draft.alias("draft")), evidence)

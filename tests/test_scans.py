@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docketeer.operators import folds, ordered, quantiles, scans
+from docketeer.operators import folds, layout, ordered, quantiles, scans
 from docketeer.operators.substring_join import contained
 
 
@@ -121,6 +121,17 @@ def test_merged_sketches_within_their_bound(spark):
     assert pages.agg(F.max(F.octet_length("size"))).first()[0] < 10_000
 
 
+def test_exact_percentiles(spark):
+    r = np.random.default_rng(6)
+    rows = [(int(i % 3), float(np.round(v, 1)) if i % 11 else None) for i, v in enumerate(r.normal(0, 5, 2000))] + [(7, 4.5), (8, None), (None, 1.0), (None, 2.0)]
+    wanted = {"a": ("v", 0.5), "b": ("v", 0.05), "c": ("v", 0.95), "d": ("v", 0.0), "e": ("v", 1.0)}
+    got = {x.k: tuple(x[n] for n in wanted) for x in layout.percentiles(spark.createDataFrame(rows, "k long, v double"), "k", wanted).collect()}
+    assert got.keys() == {0, 1, 2, 7}  | ({None} if None in got else set())
+    for k in (0, 1, 2, 7):
+        own = [v for key, v in rows if key == k and v is not None]
+        assert got[k] == pytest.approx([np.quantile(own, q) for _, q in wanted.values()], abs=1e-9)
+
+
 # ---- table functions ----
 
 
