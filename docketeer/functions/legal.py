@@ -15,9 +15,9 @@ CITATIONS = (
     r"(?i)\(\s*\d{4}\s*\)\s*SCC\s+OnLine\s+\w+\s+\d+",
 )
 YEAR = r"\b((?:19|20)\d{2})\b"
-# Names of cases, and numbers of articles and sections. A party has ten words at most: without a bound a long
-# text without punctuation would be searched again from each of its words.
-CASE_NAME = r"(?i)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,9})\s+v\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,9})\s*(?:\((\d{4})\))?"
+# Names of cases, and numbers of articles and sections. A party is all of a run of words: a search begins only where a run does and
+# never gives a word back, so a long text without punctuation takes time in proportion.
+CASE_NAME = r"(?i)\b(?<![A-Z]{2}\s{1,20})([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*+)\s+v\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*+)\s*(?:\((\d{4})\))?"
 STATUTE = r"(?i)(?:Article|Art\.|Section|Sec\.)\s+(\d+[A-Z]?(?:\([a-z]\))?)"
 # Unfilled places in a draft.
 BRACKET, MUSTACHE, LINE, WORDS = r"\[[A-Z][A-Za-z][A-Za-z \-/]{1,38}\](?!\()", r"\{\{[^}]{1,60}\}\}", "_{4,}", r"(?i)\b(?:XXXX|TBD|TO BE FILLED|TO BE DECIDED|NOT PROVIDED|INSERT HERE)\b"

@@ -41,7 +41,7 @@ def named(docs: DataFrame) -> DataFrame:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """``rid`` (ascending in the order of ids), ``h1``, ``h2`` and ``k``, the number of equal rows, for each different row, and who comes ``before`` it, in a circle.
+    """``h1``, ``h2`` and ``k``, the number of equal rows, for each different row, and who comes ``before`` it in the order of ids, in a circle.
 
     Null ids come first; rows of one id go by a hash of their text. Texts aren't shuffled: what is ordered, in ranges, is a few numbers a
     row, and equal rows are one. The row before a range's first is the last of the range before, one carry for each range.
@@ -57,14 +57,15 @@ def placed(docs: DataFrame) -> DataFrame:
     whole = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     brought = ends.select("part", F.coalesce(F.lag("end").over(parts), F.last("end").over(whole)).alias("brought"))
     before = F.coalesce(F.lag(who).over(Window.partitionBy("part").orderBy("rid")), F.col("brought"))
-    return laid.join(F.broadcast(brought), "part").select("rid", "h1", "h2", "k", before.alias("before"))
+    return laid.join(F.broadcast(brought), "part").select("h1", "h2", "k", before.alias("before"))
 
 
 def followed(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """Each different row (``rid``) with as much of the next one's text (``ahead``) as its edit wants, and whose ``before`` it is.
+    """Each different row (``h1``, ``h2``) with as much of the next one's text (``ahead``) as its edit wants, and who comes ``before`` it.
 
     Of ``k`` equal rows the last (``v`` 1) is followed by the next different one, the others (``v`` 0, one row for all) by their own
-    text. The texts are shuffled once, and a quarter of them once more, to the row before.
+    text. The texts are shuffled once, and a quarter of them once more, to the row before. Rows stay dealt by their names, so that what is
+    made of their texts is grouped where it is.
     """
     once = docs.groupBy("h1", "h2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
     held = once.join(places, ["h1", "h2"])
@@ -73,7 +74,7 @@ def followed(docs: DataFrame, places: DataFrame) -> DataFrame:
     last = F.struct(F.lit(1).alias("v"), F.lit(1).cast("long").alias("times"), F.col("ahead"))
     others = F.struct(F.lit(0).alias("v"), (F.col("k") - 1).alias("times"), F.col("text").alias("ahead"))
     variant = F.explode(F.when(F.col("k") > 1, F.array(last, others)).otherwise(F.array(last))).alias("x")
-    return rows.select("rid", F.col("before.rid").alias("before"), "doc_id", "text", variant).select("rid", "before", "doc_id", "text", "x.v", "x.times", "x.ahead")
+    return rows.select("h1", "h2", "before", "doc_id", "text", variant).select("h1", "h2", "before", "doc_id", "text", "x.v", "x.times", "x.ahead")
 
 
 def repeated(rows: DataFrame, times: str, most: int = 100_000) -> DataFrame:
@@ -148,21 +149,21 @@ def fingerprints(docs: DataFrame, low: float = 3.0, high: float = 7.0, id_col: s
     if kept.count() * 16 <= MOST_BYTES:
         kept = F.broadcast(kept)
     rows = followed(docs, places).withColumn("edited", edited(F.col("text"), F.col("ahead")))
-    both = rows.select("rid", "v", F.explode(F.array(F.struct(F.lit(0).alias("side"), terms(F.col("text")).alias("terms")), F.struct(F.lit(1).alias("side"), terms(F.col("edited")).alias("terms")))).alias("s"))
-    each = both.select("rid", "v", "s.side", F.explode("s.terms").alias("word")).select("rid", "v", "side", F.xxhash64("word").alias("term"))
-    grouped = each.join(kept, "term").groupBy("rid", "v", "side").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    prints = grouped.select("rid", "v", "side", subset_hashes(F.col("terms")).alias("prints"))
-    prints = prints.groupBy("rid", "v").agg(*[F.max(F.when(F.col("side") == side, F.col("prints"))).alias(name) for side, name in enumerate(("own", "other"))])
+    both = rows.select("h1", "h2", "v", F.explode(F.array(F.struct(F.lit(0).alias("side"), terms(F.col("text")).alias("terms")), F.struct(F.lit(1).alias("side"), terms(F.col("edited")).alias("terms")))).alias("s"))
+    each = both.select("h1", "h2", "v", "s.side", F.explode("s.terms").alias("word")).select("h1", "h2", "v", "side", F.xxhash64("word").alias("term"))
+    grouped = each.join(kept, "term").groupBy("h1", "h2", "v", "side").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    prints = grouped.select("h1", "h2", "v", "side", subset_hashes(F.col("terms")).alias("prints"))
+    prints = prints.groupBy("h1", "h2", "v").agg(*[F.max(F.when(F.col("side") == side, F.col("prints"))).alias(name) for side, name in enumerate(("own", "other"))])
     whole = lambda text: F.concat(F.array(F.xxhash64(F.sort_array(terms(text)))), F.array_repeat(F.lit(None).cast("long"), SPARSE + DENSE - 1))
     facts = rows.select(
-        "rid", "v", "before", "times", "doc_id", F.length("text").cast("long").alias("n_chars"),
+        "h1", "h2", "v", "before", "times", "doc_id", F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"), whole(F.col("text")).alias("own_all"), whole(F.col("edited")).alias("other_all"),
     )
-    found = facts.join(prints, ["rid", "v"], "left")
+    found = facts.join(prints, ["h1", "h2", "v"], "left")
     found = save(found.withColumns({"own": F.coalesce("own", "own_all"), "other": F.coalesce("other", "other_all")}).drop("own_all", "other_all"))
     discard(places)
-    after = found.where("v = 1").select(F.col("before").alias("rid"), F.col("own").alias("after"))
-    joined = found.join(after, "rid").withColumn("following", F.when(F.col("v") == 1, F.col("after")).otherwise(F.col("own")))
+    after = found.where("v = 1").select(F.col("before.h1").alias("h1"), F.col("before.h2").alias("h2"), F.col("own").alias("after"))
+    joined = found.join(after, ["h1", "h2"]).withColumn("following", F.when(F.col("v") == 1, F.col("after")).otherwise(F.col("own")))
     shown = joined.select(
         "times", "doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),

@@ -257,7 +257,7 @@ def image_remarks_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("STR-05", r"""WITH t AS (SELECT doc_id, text || '. In State of Kerala v. Thomas Mathew (1976) under Article 14, section ' || doc_id || 'A(b) and Sec. 7' AS t FROM documents)
-SELECT doc_id, array_to_string(regexp_extract_all(t, '(?i)(?:Article|Art\.|Section|Sec\.)\s+(\d+[A-Z]?(?:\([a-z]\))?)', 1), '|') AS statutes, array_to_string(list_transform(regexp_extract_all(t, '(?i)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,9})\s+v\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,9})\s*(?:\((\d{4})\))?'), lambda x: trim(x)), '|') AS cases FROM t""")
+SELECT doc_id, array_to_string(regexp_extract_all(t, '(?i)(?:Article|Art\.|Section|Sec\.)\s+(\d+[A-Z]?(?:\([a-z]\))?)', 1), '|') AS statutes, array_to_string(list_transform(regexp_extract_all(t, '(?i)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+v\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*(?:\((\d{4})\))?'), lambda x: trim(x)), '|') AS cases FROM t""")
 def statute_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = planted(spark, sf_dir, F.lit(". In State of Kerala v. Thomas Mathew (1976) under Article 14, section "), doc_key(), F.lit("A(b) and Sec. 7"))
     return rows.select("doc_id", F.array_join(L.statutes(F.col("text")), "|").alias("statutes"), F.array_join(L.case_names(F.col("text")), "|").alias("cases"))

@@ -116,3 +116,20 @@ def test_shared_folder_of_a_cluster(spark, monkeypatch):
     for master in ("yarn", "local-cluster[3,2,3000]", "spark://host:7077"):
         with pytest.raises(ValueError):
             shared.shared_folder(fake(master))
+
+
+def test_case_names_of_any_length(spark):
+    import random
+    import re
+    import time
+
+    pattern = re.compile(r"(?i)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+v\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*(?:\((\d{4})\))?")
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["State", "of", "v", "v.", "vs", "Rao", "a", "X2", "(1976)", "and,", "Co-op", "  Union", "\nIndia"]) for _ in range(r.randrange(40))) for _ in range(600)]
+    texts += ["word " * 14 + "v. " + "party " * 12 + "(1999)", "word " * 3000 + "v " + "other " * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", legal.case_names(F.col("t")).alias("n")).collect()
+    for row in rows:
+        assert [x.strip() for x in row.n] == [m[0].strip() for m in pattern.finditer(texts[row.i])], texts[row.i]
+    long = spark.range(1).select(F.repeat(F.lit("word "), 300_000).alias("t"))
+    began = time.time()
+    assert long.select(legal.case_names(F.col("t")).alias("n")).first().n == [] and time.time() - began < 30
