@@ -41,7 +41,7 @@ def named(docs: DataFrame) -> DataFrame:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """``h1``, ``h2`` and ``k``, the number of equal rows, for each different row, and who comes ``before`` it in the order of ids, in a circle.
+    """``h1``, ``h2``, ``doc_id`` and ``k``, the number of equal rows, for each different row, and who comes ``before`` it in the order of ids, in a circle.
 
     Null ids come first; rows of one id go by a hash of their text. Texts aren't shuffled: what is ordered, in ranges, is a few numbers a
     row, and equal rows are one. The row before a range's first is the last of the range before, one carry for each range.
@@ -50,14 +50,14 @@ def placed(docs: DataFrame) -> DataFrame:
     each = each.agg(F.first("doc_id").alias("doc_id"), F.first("tie").alias("tie"), F.first("n").alias("n"), F.count("*").alias("k"))
     order = ["doc_id", "tie", "h1", "h2"]
     laid = each.repartitionByRange(*order).sortWithinPartitions(*order)
-    laid = save(laid.select("h1", "h2", "n", "k", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("rid")))
+    laid = save(laid.select("h1", "h2", "doc_id", "n", "k", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("rid")))
     who = F.struct("rid", "h1", "h2", F.floor(F.col("n") / 4).cast("int").alias("wants"))
     ends = laid.groupBy("part").agg(F.max(who).alias("end"))
     parts = Window.orderBy("part")  # a row for each range
     whole = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     brought = ends.select("part", F.coalesce(F.lag("end").over(parts), F.last("end").over(whole)).alias("brought"))
     before = F.coalesce(F.lag(who).over(Window.partitionBy("part").orderBy("rid")), F.col("brought"))
-    return laid.join(F.broadcast(brought), "part").select("h1", "h2", "k", before.alias("before"))
+    return laid.join(F.broadcast(brought), "part").select("h1", "h2", "doc_id", "k", before.alias("before"))
 
 
 def followed(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -67,7 +67,8 @@ def followed(docs: DataFrame, places: DataFrame) -> DataFrame:
     text. The texts are shuffled once, and a quarter of them once more, to the row before. Rows stay dealt by their names, so that what is
     made of their texts is grouped where it is.
     """
-    once = docs.groupBy("h1", "h2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    # nothing but the text, so that Spark sees the plans of all readers as the same and shuffles the texts once
+    once = docs.groupBy("h1", "h2").agg(F.first("text").alias("text"))
     held = once.join(places, ["h1", "h2"])
     ahead = held.select(F.col("before.h1").alias("h1"), F.col("before.h2").alias("h2"), F.left("text", F.col("before.wants")).alias("ahead"))
     rows = held.join(ahead, ["h1", "h2"])
