@@ -204,3 +204,15 @@ def test_batches_of_regions(spark):
         talks.setdefault(conv, []).append((turn, "heading" if role == "system" else "body", text))
     wanted = [(c, own[i][0], n) for c, own in talks.items() for n, held in enumerate(chunking.packed([t for _, _, t in own], [r for _, r, _ in own], 1800)) for i in held]
     assert got(spark, "region_pack_rows", "doc", "place", "batch") == sorted(wanted)
+
+
+def test_sketches_of_pages_files_and_all(spark):
+    spans = [(order % 50, 8 + quantity / 10, float(supp % 500)) for order, quantity, supp in rows("SELECT l_orderkey, l_quantity, l_suppkey FROM lineitem ;")]
+    found = QUERIES["font_sketches"].plan(spark, DIR).collect()
+    assert len(found) == 50 + 5 + 1
+    for r in found:
+        own = [(size, x0) for page, size, x0 in spans if (r.page is None or page == r.page) and (r.file is None or page // 10 == r.file)]
+        assert r.n == len(own)
+        for value, q, k in ((r.median_size, 0.5, 0), (r.left_margin, 0.05, 1)):
+            below, upto = sum(o[k] < value for o in own) / r.n, sum(o[k] <= value for o in own) / r.n
+            assert below - 0.03 <= q <= upto + 0.03
