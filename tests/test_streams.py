@@ -4,6 +4,7 @@ import datetime
 import os
 import random
 
+import pandas as pd
 import pytest
 
 from docketeer.streaming import jobs, runs, sessions
@@ -127,3 +128,45 @@ def test_calls_with_and_without_results(spark, tmp_path):
     results.add([(9, 19, at(10_001))])
     got = runs.continued(sessions.answered(calls.stream(), results.stream(), "thread", "60 seconds", "100 seconds"), str(tmp_path / "run")).collect()
     assert sorted((r.thread, r.call_id, r.result_id or 0) for r in got) == [(1, 1, 11), (1, 2, 12), (2, 3, 0), (9, 9, 19)]
+
+
+class Kept:
+    """What a processor asks of its handle and of a list, counted."""
+
+    def __init__(self):
+        self.rows, self.calls, self.timers = [], 0, []
+
+    def getListState(self, *_):
+        return Kept()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def appendList(self, rows):
+        self.calls, self.rows = self.calls + 1, self.rows + rows
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + 1, list(rows)
+
+    def clear(self):
+        self.calls, self.rows = self.calls + 1, []
+
+
+def test_neighbouring_jobs_share_state_and_a_timer():
+    events = pd.DataFrame([(job, t, 3 * job + i, to) for job in range(500) for i, (t, to) in enumerate([(job, "pending"), (job + 10, "processing"), (job + 20, "completed")])], columns=["job_id", "at_ms", "event_id", "status"])
+    processor, handle = jobs.Jobs(1_800_000, None), Kept()
+    processor.init(handle)
+    assert list(processor.handleInputRows((0,), iter([events]), None)) == [] and handle.timers == [0]
+    now = lambda ms: type("Now", (), {"getCurrentWatermarkInMs": staticmethod(lambda: ms)})
+    first = [r for f in processor.handleExpiredTimer((0,), now(300), None) for r in f.itertuples(index=False, name=None)]
+    assert len(first) == 300 + 290 + 280 and handle.timers == [0, 300]
+    rest = [r for f in processor.handleExpiredTimer((0,), now(10_000), None) for r in f.itertuples(index=False, name=None)]
+    assert len(first + rest) == 1500 and len(handle.timers) == 2 and not processor.waiting.rows
+    assert processor.jobs.calls + processor.waiting.calls <= 10
