@@ -92,9 +92,14 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 t AS (SELECT doc_id, n, unnest(string_split(line, ' ')) AS term, unnest(range(len(string_split(line, ' ')))) AS place FROM l) SELECT doc_id, term, min(n * 1000000 + place)::BIGINT AS first_at, count(*) AS n FROM t GROUP BY doc_id, term""")
 def stream_first_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first place of each word in each document, from a stream of documents."""
-    lines = S.stream_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    words = lines.select("doc_id", "n", F.posexplode(F.split("line", " ")).alias("place", "term"))
-    return S.to_the_end(S.first_mentions(words.select("doc_id", "term", (F.col("n").cast("long") * 1_000_000 + F.col("place")).alias("at"))))
+
+    def of_batch(docs: DataFrame) -> DataFrame:
+        # dealt before they are words, documents needn't be dealt again
+        lines = docs.repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+        words = lines.select("doc_id", "n", F.posexplode(F.split("line", " ")).alias("place", "term"))
+        return S.first_mentions(words.select("doc_id", "term", (F.col("n").cast("long") * 1_000_000 + F.col("place")).alias("at")))
+
+    return S.merged(S.stream_table(spark, sf_dir, "documents").select("doc_id", "text"), of_batch, S.first_of_parts)
 
 
 @query("STM-02", f"""WITH j AS ({JOB_CHANGES}), r AS (SELECT *, row_number() OVER (PARTITION BY status IN ('completed', 'failed') ORDER BY at_ms DESC, job_id) AS rn FROM j)

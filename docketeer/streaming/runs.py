@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +69,23 @@ def finished(stream: DataFrame, settings: dict[str, str] | None = None) -> DataF
     return out
 
 
+def merged(stream: DataFrame, part: Callable[[DataFrame], DataFrame], whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs a stream over all there is; ``part`` is what each batch comes to by itself, ``whole`` what all of these come to.
+
+    For aggregates that can be put together from parts: no state is kept between batches, and none writes anew what an earlier one has written. Each
+    batch replaces its own folder, so a batch that runs twice counts once.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    keep = lambda batch, number: part(batch).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+    run = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    run.awaitTermination()
+    delete(spark, f"{base}/state")
+    schema = part(spark.createDataFrame([], stream.schema)).schema
+    spark._jvm.org.apache.hadoop.fs.Path(f"{base}/out").getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/out"))
+    return whole(spark.read.schema(schema.add("batch", LongType())).parquet(f"{base}/out").drop("batch"))
+
+
 @contextmanager
 def set_for(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     """Settings of the session for as long as they are needed."""
@@ -104,6 +121,11 @@ def first_mentions(words: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", "term").agg(F.min("at").alias("first_at"), F.count("*").alias("n"))
 
 
+def first_of_parts(mentions: DataFrame) -> DataFrame:
+    """The same from what ``first_mentions`` found in parts of the words."""
+    return mentions.groupBy("doc_id", "term").agg(F.min("first_at").alias("first_at"), F.sum("n").alias("n"))
+
+
 def first_of_each(rows: DataFrame, keys: list[str], at: str, late: str) -> DataFrame:
     """The first arrival of each key within the watermark: what makes a repeated flush harmless."""
     return rows.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)

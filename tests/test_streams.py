@@ -170,3 +170,23 @@ def test_neighbouring_jobs_share_state_and_a_timer():
     rest = [r for f in processor.handleExpiredTimer((0,), now(10_000), None) for r in f.itertuples(index=False, name=None)]
     assert len(first + rest) == 1500 and len(handle.timers) == 2 and not processor.waiting.rows
     assert processor.jobs.calls + processor.waiting.calls <= 10
+
+
+def test_parts_of_a_stream_come_together(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", "doc_id long, term string, at long")
+    feed.add([(1, "a", 5), (1, "b", 6), (1, "a", 7)])
+    feed.add([(1, "a", 2), (2, "a", 9)])
+    feed.add([(2, "a", 9)])
+    seen = []
+
+    def part(batch):
+        out = runs.first_mentions(batch)
+        seen.append(out.count())
+        return out
+
+    found = runs.merged(feed.stream(), part, runs.first_of_parts)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "a", 2, 3), (1, "b", 6, 1), (2, "a", 9, 2)]
+    assert sum(seen) == 5  # no batch gives what an earlier one gave
+    nothing = Feed(spark, tmp_path / "none", "doc_id long, term string, at long")
+    nothing.add([])
+    assert runs.merged(nothing.stream(), runs.first_mentions, runs.first_of_parts).count() == 0
