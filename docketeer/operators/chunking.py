@@ -1,15 +1,16 @@
-"""Chunks of documents. The folds depend on order within a document, so each runs on whole texts in Arrow batches."""
+"""Chunks of documents. The folds depend on order within a document, so each runs on whole texts, a part of an Arrow batch at a time."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketeer.functions import legal
+from docketeer.functions.batches import by_parts
 
 # Sizes of paragraphs and of pieces for translation, and where texts divide.
 LEAST_PARAGRAPH, MOST_PARAGRAPH, MOST_PIECE = 80, 1200, 1800
@@ -72,11 +73,7 @@ def packed(texts: list[str], roles: list[str], most: int) -> list[list[int]]:
 
 def exploded(docs: DataFrame, split: Callable[[str | None], list[str]], text_col: str = "text") -> DataFrame:
     """A row for each part that ``split`` gives, numbered ``n`` from 1; documents without parts have none."""
-
-    @F.pandas_udf("array<string>")
-    def parts(texts: pd.Series) -> pd.Series:
-        return texts.map(split)
-
+    parts = by_parts(split, "array<string>", pa.list_(pa.string()))
     rest = [c for c in docs.columns if c != text_col]
     return docs.select(*rest, F.posexplode(parts(F.col(text_col))).alias("n", "chunk")).withColumn("n", F.col("n") + 1)
 

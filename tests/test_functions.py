@@ -1,10 +1,13 @@
 """Examples for the text expressions, chunkers and ordered operators."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docketeer.functions import legal, text
-from docketeer.operators import chunking, ingest, layout, ordered, retrieval
+from docketeer.functions import batches, drafting, legal, text
+from docketeer.operators import chunking, ingest, layout, ordered, retrieval, workspace
 from docketeer.sources import databases, shared
 
 
@@ -133,3 +136,45 @@ def test_case_names_of_any_length(spark):
     long = spark.range(1).select(F.repeat(F.lit("word "), 300_000).alias("t"))
     began = time.time()
     assert long.select(legal.case_names(F.col("t")).alias("n")).first().n == [] and time.time() - began < 30
+
+
+def test_parts_of_batches(spark):
+    texts = [("x" * 300_000 + str(i)) if i % 2 else None for i in range(20)]
+    parts = [p for (p,) in batches.parts((pa.array(texts),))]
+    assert max(len(p) for p in parts) <= 7 and [x for p in parts for x in p.to_pylist()] == texts
+    assert [len(p[0]) for p in batches.parts((pa.array([["a" * 700_000], None, ["b", None] * 10]), pa.array(["c" * 700_000] * 3)))] == [1, 1, 1]
+    most = []
+    rows = spark.createDataFrame([(i, "y" * 100_000) for i in range(40)], "i int, x string").coalesce(1)
+    length = batches.by_parts(lambda a, b: len(a) + len(b), "int", pa.int32())
+    most = {r.n for r in rows.select(length(F.col("x"), F.col("x")).alias("n")).collect()}
+    assert most == {200_000}
+
+
+def test_spelling_in_one_pass_as_rule_by_rule(spark):
+    import re
+
+    r = random.Random(4)
+    words = [*drafting.SPELLING, *drafting.TERMS, "x", "plaintiffs", "IPC,", "bnss."]
+    texts = [" ".join(r.choice([str.upper, str.title, str])(w) for w in r.choices(words, k=40)) for _ in range(50)] + ["", None, "nothing here"]
+    for rules in (drafting.SPELLING, drafting.TERMS, {"a b": "c", "c": "d", "ab": "c"}):
+        wanted = []
+        for t in texts:
+            for word, to in rules.items():
+                t = re.sub(rf"(?i)\b{word}\b", to, t) if t is not None else None
+            wanted.append(t)
+        assert values(spark, lambda x: drafting.words_replaced(x, rules), *texts) == wanted  # noqa: B023
+    assert str(drafting.words_replaced(F.col("t"), drafting.SPELLING)).count("regexp_replace") == 0
+
+
+def test_embeddings_count_hashes(spark):
+    texts = ["b a a", "", "one two three one " * 50, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    got = [r.v for r in rows.select("i", workspace.hash_embedding(F.col("x")).alias("v")).orderBy("i").collect()]
+    words = spark.createDataFrame([(w,) for t in texts if t is not None for w in set(t.split(" "))], "w string")
+    number = {r.w: r.h for r in words.select("w", F.xxhash64("w").alias("h")).collect()}
+    for text, v in zip(texts, got):
+        wanted = [0.0] * 64
+        for w in text.split(" ") if text is not None else ():
+            wanted[number[w] % 64] += 1 if number[w] > 0 else -1
+        assert v == (wanted if text is not None else None)
+    assert str(workspace.hash_embedding(F.col("x"))).count("xxhash64") == 1
