@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +37,16 @@ def ingestion(files: DataFrame) -> DataFrame:
 def hash_embedding(text: Column, width: int = 64) -> Column:
     """A stand-in for an embedding model: signed counts of hashed words. Equal texts have equal vectors."""
     hashes = F.transform(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.xxhash64(w))
-    slot = lambda i: F.filter(hashes, lambda h: F.pmod(h, F.lit(width)) == i)
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(slot(i), F.lit(0.0), lambda s, h: s + F.when(h > 0, 1.0).otherwise(-1.0)))
+
+    @F.arrow_udf("array<double>")
+    def counted(lists: pa.Array) -> pa.Array:
+        """Each row's hashes are added up in the row's own slots, those of all rows in one pass."""
+        values, n = lists.flatten().to_numpy(), len(lists)
+        rows = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        sums = np.bincount(rows * width + values % width, np.where(values > 0, 1.0, -1.0), minlength=n * width)
+        return pa.FixedSizeListArray.from_arrays(sums, width, mask=lists.is_null()).cast(pa.list_(pa.float64()))
+
+    return counted(hashes)
 
 
 def answer_context(chunks: DataFrame, vector: list[float], feedback: DataFrame, collection: str, limit: int = 20, intent: str | None = None, content_type: str | None = None, **filters: object) -> DataFrame:
