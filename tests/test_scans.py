@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docketeer.operators import folds, layout, ordered, quantiles, scans
+from docketeer.operators import folds, layout, ordered, quantiles, scans, substring_join
 from docketeer.operators.substring_join import contained
 
 
@@ -158,3 +158,18 @@ def test_packed_regions_in_order(spark):
 def test_a_group_of_many_rows_goes_through(spark):
     rows = spark.range(300_000).select(F.lit(1).alias("doc"), F.col("id").alias("place"), F.lit("body").alias("role"), F.lit("x" * 10).alias("text"))
     assert folds.packed(rows, 100).agg(F.max("batch")).first()[0] == 29_999
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_terms_around_their_keys(spark, most):
+    r = random.Random(6)
+    letters = ["a", "b", "ab", "é", "𝒳", "धा", " ", "\n", "Ab"]
+    texts = ["".join(r.choices(letters, k=r.randrange(60))) for _ in range(150)] + [None, "", "ab"]
+    terms = ["".join(r.choices(letters, k=r.randrange(1, 9))) for _ in range(120)] + [None, "", "ab", "ab", "x" * 30]
+    ids = [i // 2 if i % 5 else None for i in range(len(texts))]
+    rows = list(zip(ids, texts))
+    found = substring_join.contained(spark.createDataFrame(rows + rows[:20], "id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string"), sample=40, most_shapes=most)
+    wanted = [(i, t) for i, x in set(rows) if x is not None for t in set(terms) if t and t in x]
+    assert sorted(map(repr, (tuple(x) for x in found.collect()))) == sorted(map(repr, wanted))
+    if most:
+        assert "regexp_extract_all" not in found._jdf.queryExecution().toString()
