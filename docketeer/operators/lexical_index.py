@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketeer.functions.stemming import lexeme_positions, query_terms, words
+from docketeer.sources.shared import scratch
 
 # Fixed values of the rank: the weight of a word that isn't in a title or heading, and how far apart two words still count.
 WEIGHT, FARTHEST = 0.1, 100
@@ -29,8 +30,13 @@ def write_postings(paragraphs: DataFrame, path: str, text: str = "body") -> None
 
     They are dealt by ranges of term and id: a frequent term is in several files, a rare one beside its neighbours.
     """
-    rows = postings(paragraphs, text)
-    rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
+    spark = paragraphs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    with scratch(spark) as found:
+        # the ranges are sampled before the rows are dealt; words would be stemmed for each of the two
+        postings(paragraphs.repartition(parts, "id"), text).write.parquet(found)
+        rows = spark.read.parquet(found)
+        rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
 
 
 def closeness(a: Column, b: Column) -> Column:

@@ -180,3 +180,16 @@ def test_the_exact_scan_agrees(spark):
     far = F.round(cosine_distance(F.col("embedding"), literal(rows[9][2])), 9)
     got = frame.where("embedding IS NOT NULL").select("id", far.alias("d")).orderBy("d", "id").limit(10).collect()
     assert [r.id for r in got] == [i for _, i in scan([r for r in rows if r[2]], rows[9][2], 10)]
+
+
+def test_postings_are_stemmed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        seen.add(1)
+        return t
+
+    rows = spark.createDataFrame([(i, f"word{i} bail") for i in range(50)], "id long, body string").select("id", counted("body").alias("body"))
+    lexical_index.write_postings(rows, str(tmp_path / "p"))
+    assert seen.value == 50 and lexical_index.read_postings(spark, str(tmp_path / "p")).count() == 100
